@@ -1,0 +1,46 @@
+"""Equal rows summed once."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+class Shape(NamedTuple):
+    rows: int
+    distinct: int
+    tasks: int
+
+    def collapses(self) -> bool:
+        """Whether grouping equal rows is sure to be cheap.
+
+        With D distinct rows and P tasks, the grouping shuffles at most D * P
+        rows after map-side combine. It pays off if that is at most a quarter
+        of the table.
+        """
+        return 4 * self.distinct * self.tasks <= self.rows
+
+
+def measure(rows: DataFrame, columns: Sequence[str]) -> Shape:
+    """Row count, and estimates of distinct rows and of scan tasks.
+
+    The estimates choose the plan only; no result depends on them.
+    """
+    found = (
+        rows.select(F.xxhash64(*columns).alias("row"), F.spark_partition_id().alias("task"))
+        .agg(
+            F.count("*").alias("rows"),
+            F.approx_count_distinct("row").alias("distinct"),
+            F.approx_count_distinct("task").alias("tasks"),
+        )
+        .first()
+    )
+    return Shape(found["rows"], found["distinct"], found["tasks"])
+
+
+def collapse_copies(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Equal rows as one row whose ``n`` is the sum of theirs."""
+    return rows.groupBy(*columns).agg(F.sum("n").alias("n"))

@@ -1,0 +1,5 @@
+"""No streaming job is built: every training and matrix job is a batch job.
+
+The row-wise operators (parsing, checks, scoring) are plain projections and
+filters, so they also accept a streaming DataFrame.
+"""
