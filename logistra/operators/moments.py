@@ -39,6 +39,9 @@ def design(df: DataFrame, d: int, keep: Sequence[str] = ()) -> DataFrame:
     """Checked scalar columns ``(*keep, x0.., t, n)``; ``n`` is the row's multiplicity."""
     kept = [logistic.name(column) for column in keep]
     xs = [f"x{i}" for i in range(d)]
+    clash = {*keep} & {*xs, *[f"w{i}" for i in range(d)], "phi", "t", "n"}
+    if clash:
+        raise ValueError(f"rename the key columns {sorted(clash)}")
     rows = df.selectExpr(
         *kept,
         *[f"get(phi, {i}) AS {x}" for i, x in enumerate(xs)],
@@ -58,28 +61,27 @@ def multiplicity(df: DataFrame) -> str:
 def cell_sums(
     rows: DataFrame,
     d: int,
-    weights: Sequence[float] | str,
+    weights: Sequence[float] | Sequence[str],
     cells: Sequence[Cell],
     keys: Sequence[str] = (),
     tree: bool = False,
 ) -> DataFrame:
     """``(*keys, a_i_j ..)`` per group from a ``design`` table.
 
-    ``weights`` is a list, or the name of an array column. All sums start on
-    the map side; a hot key or group of copies costs each task one partial
-    row. ``tree`` puts a level of TREE_BINS sums before the single last one.
+    ``weights`` are numbers, or columns that are constant per key and come
+    back with the sums. All sums start on the map side; a hot key or group of
+    copies costs each task one partial row. ``tree`` puts a level of TREE_BINS
+    sums before the single last one.
     """
-    kept = [logistic.name(column) for column in keys]
+    carried = [w for w in weights if isinstance(w, str)]
+    kept = [*[logistic.name(column) for column in keys], *carried]
     xs = [f"x{i}" for i in range(d)]
-    if isinstance(weights, str):
-        w = [f"{logistic.name(weights)}[{j}]" for j in range(d)]
-    else:
-        w = [logistic.number(value) for value in weights]
+    w = [value if isinstance(value, str) else logistic.number(value) for value in weights]
     p = logistic.sigmoid(logistic.linear(xs, w))
     scored = rows.selectExpr(*kept, *xs, "t", "n", f"{p} AS p").selectExpr(
         *kept, *xs, "n", "p - t AS resid", f"{logistic.curvature('p')} AS curv"
     )
-    sums = []
+    sums = [F.expr(f"first({column}) AS {column}") for column in carried]
     for i, j in cells:
         if j == d:
             cell = logistic.gradient_cell(xs[i], "resid")
@@ -100,10 +102,12 @@ def as_cells(sums: DataFrame, cells: Sequence[Cell], keys: Sequence[str] = ()) -
     return sums.selectExpr(*[logistic.name(key) for key in keys], f"inline(array({rows}))")
 
 
-def packed(df: DataFrame, d: int) -> DataFrame:
-    """Checked ``(phi, t, n)`` rows for the matrix strategy."""
-    rows = df.selectExpr("phi", "t", multiplicity(df))
-    valid = (F.size("phi") == d) & F.col("t").isNotNull()
+def packed(df: DataFrame, d: int, keep: Sequence[str] = ()) -> DataFrame:
+    """Checked ``(*keep, phi, t, n)`` rows for the matrix strategy."""
+    rows = df.selectExpr(*[logistic.name(key) for key in keep], "phi", "t", multiplicity(df))
+    valid = F.size("phi") == d
+    for column in [*keep, "t"]:
+        valid = valid & F.col(column).isNotNull()
     return require(rows, valid, f"row has a null, or a feature vector not of length {d}")
 
 
