@@ -30,3 +30,7 @@ BROADCAST_LIMIT = 256 * 1024 * 1024
 
 # Rows of one (key, salt) group in the layout used beyond BROADCAST_LIMIT.
 ROWS_PER_SALT = 4_000_000
+
+# A table of at least this many rows is spread over all cores if it came in
+# fewer tasks.
+SPREAD_ROWS = 50_000

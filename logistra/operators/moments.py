@@ -55,7 +55,7 @@ def design(df: DataFrame, d: int, keep: Sequence[str] = ()) -> DataFrame:
 
 
 def multiplicity(df: DataFrame) -> str:
-    return "CAST(n AS bigint) AS n" if "n" in df.columns else "1L AS n"
+    return "CAST(n AS double) AS n" if "n" in df.columns else "1D AS n"
 
 
 def cell_sums(

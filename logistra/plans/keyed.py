@@ -42,7 +42,7 @@ from logistra.operators.moments import (
 )
 from logistra.operators.validate import require
 from logistra.operators.vectors import key_list
-from logistra.plans.collapse import collapse_copies, measure
+from logistra.plans.layout import Stored
 from logistra.storage import new_table_path
 
 SALT = "_salt"
@@ -67,7 +67,8 @@ def newton_train_by(
     Training starts from 0, or from ``init``, a ``(key, i, w)`` table whose
     missing keys start from 0. With ``history`` every step is returned, with
     ``iteration`` 1, 2, ... A key with a singular Hessian keeps its weights
-    and is flagged. Keys must not be null.
+    and is flagged. Keys must not be null. The weights of every step stay in
+    the shared folder, since the result is read from there.
     """
     if iterations < 1:
         raise ValueError("training needs at least one iteration")
@@ -76,6 +77,10 @@ def newton_train_by(
     path = new_table_path(spark, "weights")
     state = None if init is None else _wide_model(init, data.keys, d)
     for iteration in range(1, iterations + 1):
+        # The first weights may cover few keys; from the second step on the
+        # table has one row per key and keeps its size.
+        if state is not None and iteration <= 2:
+            data.choose_join(state)
         if strategy_for(d) == "wide":
             solved = solve_systems(data.systems(state), data.keys, d, tolerance)
         else:
@@ -115,27 +120,19 @@ class _Rows:
     ):
         self.keys, self.d = keys, d
         self.broadcast_limit, self.rows_per_salt = broadcast_limit, rows_per_salt
-        self.persisted: list[DataFrame] = []
-        self.laid_out: DataFrame | None = None
-        self.fits: bool | None = None
+        self.laid_out = False
+        self.hot: DataFrame | None = None
+        self.fits = True
         if strategy_for(d) == "wide":
-            self.columns = [*keys, *[f"x{i}" for i in range(d)], "t"]
-            self.rows = self._persist(design(df, d, keys))
+            rows, columns = design(df, d, keys), [*keys, *[f"x{i}" for i in range(d)], "t"]
         else:
-            self.columns = [*keys, "phi", "t"]
-            self.rows = self._persist(packed(df, d, keys))
-        shape = measure(self.rows, self.columns)
-        self.row_count = shape.rows
-        if collapse == "always" or (collapse == "auto" and shape.collapses()):
-            self.rows = self._persist(collapse_copies(self.rows, self.columns))
-
-    def _persist(self, df: DataFrame) -> DataFrame:
-        self.persisted.append(df.persist(StorageLevel.MEMORY_AND_DISK))
-        return self.persisted[-1]
+            rows, columns = packed(df, d, keys), [*keys, "phi", "t"]
+        self.stored = Stored(rows, columns, collapse)
 
     def close(self) -> None:
-        for df in self.persisted:
-            df.unpersist()
+        self.stored.close()
+        if self.hot is not None:
+            self.hot.unpersist()
 
     def systems(self, state: DataFrame | None) -> DataFrame:
         """``(key, w0 .., a_i_j ..)``: the cells of [H | g] of every key."""
@@ -143,7 +140,7 @@ class _Rows:
         cells = hessian_cells(d) + gradient_cells(d)
         names = [f"w{i}" for i in range(d)]
         if state is None:
-            sums = cell_sums(self.rows, d, [0.0] * d, cells, keys)
+            sums = cell_sums(self.stored.rows, d, [0.0] * d, cells, keys)
             return sums.selectExpr(*[f"0D AS {w}" for w in names], "*")
         joined = self._with_state(state)
         if SALT not in joined.columns:
@@ -161,9 +158,11 @@ class _Rows:
         """
         d, keys = self.d, self.keys
         names = [f"w{i}" for i in range(d)]
+        self._lay_out()
         if state is None:
-            state = self.rows.select(*keys).distinct().selectExpr("*", *[f"0D AS {w}" for w in names])
-        joined = self._with_state(state, laid_out=True)
+            joined = self.stored.rows.selectExpr("*", *[f"0D AS {w}" for w in names])
+        else:
+            joined = self._with_state(state)
         rows = joined.selectExpr(
             *[name(key) for key in keys], "phi", "t", "n", f"array({', '.join(names)}) AS w"
         )
@@ -179,26 +178,25 @@ class _Rows:
             "transform(cells, c -> c.v) AS cells",
         )
 
-    def _with_state(self, state: DataFrame, laid_out: bool = False) -> DataFrame:
-        """Rows with the weights of their key; a key without weights has zeros."""
-        if self.fits is None:
-            self.fits = _table_bytes(state, self.keys, self.d) <= self.broadcast_limit
-        if self.laid_out is None and (laid_out or not self.fits):
+    def choose_join(self, state: DataFrame) -> None:
+        """Broadcast weights as large as these, or bring them to the salted rows."""
+        self.fits = _table_bytes(state, self.keys, self.d) <= self.broadcast_limit
+        if not self.fits:
             self._lay_out()
+
+    def _with_state(self, state: DataFrame) -> DataFrame:
+        """Rows with the weights of their key; a key without weights has zeros."""
+        weights = state.select(*self.keys, *[f"w{i}" for i in range(self.d)])
         if self.fits:
-            rows = self.rows if self.laid_out is None else self.laid_out
-            joined = rows.join(F.broadcast(self._weights(state)), self.keys, "left")
+            joined = self.stored.rows.join(F.broadcast(weights), self.keys, "left")
         else:
-            salted = self._weights(state).join(F.broadcast(self.hot), self.keys, "left").withColumn(
-                SALT, F.explode(F.expr("sequence(0, coalesce(salts, 1) - 1)"))
-            )
-            joined = self.laid_out.join(
-                salted.drop("salts").hint("merge"), [*self.keys, SALT], "left"
-            )
-        return joined.fillna(0.0, [f"w{i}" for i in range(self.d)])
-
-    def _weights(self, state: DataFrame) -> DataFrame:
-        return state.select(*self.keys, *[f"w{i}" for i in range(self.d)])
+            salts = F.explode(F.expr("sequence(0, coalesce(salts, 1) - 1)"))
+            copies = weights.join(F.broadcast(self.hot), self.keys, "left")
+            copies = copies.withColumn(SALT, salts).drop("salts").hint("merge")
+            joined = self.stored.rows.join(copies, [*self.keys, SALT], "left")
+        names = [f"w{i}" for i in range(self.d)]
+        others = [name(column) for column in joined.columns if column not in names]
+        return joined.selectExpr(*others, *[f"coalesce({w}, 0D) AS {w}" for w in names])
 
     def _lay_out(self) -> None:
         """Rows by key and salt, sorted, in partitions of bounded size.
@@ -207,22 +205,27 @@ class _Rows:
         same when a lost task runs again. At most HOT_KEYS keys have more than
         ``per_salt`` rows, which bounds the broadcast side.
         """
-        per_salt = max(self.rows_per_salt, self.row_count // HOT_KEYS)
-        sizes = self.rows.groupBy(*self.keys).agg(F.count("*").alias("size"))
+        if self.laid_out:
+            return
+        rows, count = self.stored.rows, self.stored.shape.rows
+        per_salt = max(self.rows_per_salt, count // HOT_KEYS)
+        sizes = rows.groupBy(*self.keys).agg(F.count("*").alias("size"))
         hot = sizes.filter(F.col("size") > per_salt)
-        self.hot = self._persist(
-            hot.select(*self.keys, F.ceil(F.col("size") / per_salt).cast("int").alias("salts"))
-        )
-        salted = self.rows.join(F.broadcast(self.hot), self.keys, "left").withColumn(
+        salts = F.ceil(F.col("size") / per_salt).cast("int").alias("salts")
+        self.hot = hot.select(*self.keys, salts).persist(StorageLevel.MEMORY_AND_DISK)
+        salted = rows.join(F.broadcast(self.hot), self.keys, "left").withColumn(
             SALT, F.expr("pmod(spark_partition_id(), coalesce(salts, 1))")
         )
-        configured = int(self.rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        partitions = max(configured, math.ceil(self.row_count / per_salt))
-        self.laid_out = self._persist(
+        configured = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        partitions = max(configured, math.ceil(count / per_salt))
+        # Stored and counted here: a step sees that its rows are in place only
+        # once the layout exists.
+        self.stored.replace(
             salted.drop("salts")
             .repartition(partitions, *self.keys, SALT)
             .sortWithinPartitions(*self.keys, SALT)
         )
+        self.laid_out = True
 
 
 def _table_bytes(state: DataFrame, keys: Sequence[str], d: int) -> int:

@@ -6,8 +6,6 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from logistra.constants import ITERATIONS, PIVOT_TOLERANCE, TREE_TASKS
 from logistra.functions import dense
@@ -21,7 +19,7 @@ from logistra.operators.moments import (
     strategy_for,
 )
 from logistra.operators.vectors import indexed_to_dense
-from logistra.plans.collapse import collapse_copies, measure
+from logistra.plans.layout import Stored
 
 
 def model_frame(spark: SparkSession, weights: Sequence[float]) -> DataFrame:
@@ -42,30 +40,21 @@ def model_weights(model: DataFrame) -> list[float]:
 class _Pass:
     """The training table, and one aggregation over it per step."""
 
-    def __init__(self, df: DataFrame, d: int, strategy: str, collapse: str, persist: bool):
+    def __init__(self, df: DataFrame, d: int, strategy: str):
         self.d = d
         self.cells = hessian_cells(d) + gradient_cells(d)
         self.strategy = strategy_for(d) if strategy == "auto" else strategy
-        if self.strategy == "wide":
-            columns = [*[f"x{i}" for i in range(d)], "t"]
-            self.rows = design(df, d)
-        else:
-            columns = ["phi", "t"]
-            self.rows = packed(df, d)
-        self.persisted = []
-        if persist:
-            self._persist()
-        shape = measure(self.rows, columns) if collapse == "auto" else None
-        self.tree = shape is not None and shape.tasks > TREE_TASKS
-        if collapse == "always" or (shape is not None and shape.collapses()):
-            self.rows = collapse_copies(self.rows, columns)
-            self.tree = False
-            if persist:
-                self._persist()
-
-    def _persist(self) -> None:
-        self.rows = self.rows.persist(StorageLevel.MEMORY_AND_DISK)
-        self.persisted.append(self.rows)
+        if self.strategy not in ("wide", "blas"):
+            raise ValueError(f"unknown strategy {strategy!r}")
+        self.rows = design(df, d) if self.strategy == "wide" else packed(df, d)
+        self.tree = False
+        self.stored: Stored | None = None
+
+    def store(self, collapse: str) -> None:
+        features = [f"x{i}" for i in range(self.d)] if self.strategy == "wide" else ["phi"]
+        self.stored = Stored(self.rows, [*features, "t"], collapse)
+        self.rows = self.stored.rows
+        self.tree = not self.stored.collapsed and self.stored.shape.tasks > TREE_TASKS
 
     def system(self, weights: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
         """H and g at ``weights``: d^2 / 2 + d sums reach the driver, never rows."""
@@ -82,8 +71,8 @@ class _Pass:
         return full[:, : self.d], full[:, self.d]
 
     def close(self) -> None:
-        for rows in self.persisted:
-            rows.unpersist()
+        if self.stored is not None:
+            self.stored.close()
 
 
 def newton_step(
@@ -96,7 +85,7 @@ def newton_step(
 
     A singular Hessian leaves the weights as they are.
     """
-    data = _Pass(df, len(weights), strategy, "never", persist=False)
+    data = _Pass(df, len(weights), strategy)
     h, g = data.system(weights)
     update, singular = dense.newton_update(h[None], g[None], tolerance)
     rows = [
@@ -124,13 +113,15 @@ def newton_train(
     Training starts from 0, or from ``init``, an ``(i, w)`` model. With
     ``history`` the weights after every step are returned with ``iteration``
     1, 2, ... ``singular`` tells that the step found a singular Hessian and
-    kept the weights. ``collapse`` (auto, always, never) sums equal rows once
-    before the steps.
+    kept the weights. The table is stored for the steps unless ``persist`` is
+    false; ``collapse`` (auto, always, never) then sums equal rows once.
     """
     weights = np.zeros(d) if init is None else np.array(model_weights(init))
     if weights.size != d:
         raise ValueError(f"{weights.size} weights for {d} features")
-    data = _Pass(df, d, strategy, collapse, persist)
+    data = _Pass(df, d, strategy)
+    if persist:
+        data.store(collapse)
     rows = []
     singular = np.array([False])
     for iteration in range(1, iterations + 1):

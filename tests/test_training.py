@@ -6,7 +6,7 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from helpers import numpy_newton, vectors, weights
 from logistra.operators import moments, scoring, vectors as V
 from logistra.plans import features, newton
-from logistra.plans.collapse import Shape, measure
+from logistra.plans.layout import Shape, measure
 from logistra.sources import model
 
 SMALL = [([1, 0.5], 0), ([1, 1], 1), ([1, 1.5], 0), ([1, 2], 1), ([1, 2.5], 0), ([1, 3], 1)]
