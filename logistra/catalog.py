@@ -26,8 +26,8 @@ SUPPLIER = "l_suppkey"
 
 def rounded(value: str | Column, digits: int = 6) -> Column:
     value = F.col(value) if isinstance(value, str) else value
-    short = F.round(value, digits)
-    return F.when(short == 0, F.lit(0.0)).otherwise(short)
+    # Adding 0.0 turns -0.0 into 0.0.
+    return F.round(value, digits) + F.lit(0.0)
 
 
 def event_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,7 +75,7 @@ def vector_to_indexed(spark: SparkSession, folder: str) -> DataFrame:
 
 def indexed_to_dense(spark: SparkSession, folder: str) -> DataFrame:
     dense = vectors.indexed_to_dense(embedding_cells(spark, folder), "vec_id")
-    cells = dense.select("vec_id", F.size("phi").alias("d"), F.posexplode("phi").alias("i", "v"))
+    cells = vectors.vector_to_indexed(dense.withColumn("d", F.size("phi")), ["vec_id", "d"])
     return cells.select("vec_id", "d", "i", rounded("v").alias("v"))
 
 
@@ -216,7 +216,7 @@ def hessians(spark: SparkSession, folder: str, d: int) -> DataFrame:
 
 def coo_to_dense(spark: SparkSession, folder: str) -> DataFrame:
     dense = matrix.coo_to_dense(hessians(spark, folder, 3), 3, SUPPLIER)
-    cells = dense.select(SUPPLIER, F.posexplode("m").alias("place", "v"))
+    cells = vectors.vector_to_indexed(dense, [SUPPLIER], "m", "place")
     return cells.select(SUPPLIER, "place", rounded("v").alias("v"))
 
 

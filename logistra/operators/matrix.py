@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from logistra.functions import dense
 from logistra.functions.logistic import name
-from logistra.operators.validate import require
-from logistra.operators.vectors import key_list, unique_cells
+from logistra.operators.validate import checked
+from logistra.operators.vectors import key_list, unique_cells, vector_to_indexed
 
 CLOSED_FORM_LIMIT = 3
 
@@ -30,22 +30,20 @@ def coo_to_dense(matrix: DataFrame, d: int, key: Key = None) -> DataFrame:
     The job fails unless every key has each of its d^2 cells exactly once.
     """
     keys = key_list(key)
-    inside = require(
-        matrix,
-        F.col("i").between(0, d - 1) & F.col("j").between(0, d - 1),
-        f"cell outside a {d} x {d} matrix",
-    )
-    cells = unique_cells(inside, [*keys, "i", "j"], "v")
+    outside = f"cell outside a {d} x {d} matrix"
+    places = {c: checked(F.col(c), F.col(c).between(0, d - 1), outside) for c in ("i", "j")}
+    cells = unique_cells(matrix.withColumns(places), [*keys, "i", "j"], "v")
     gathered = cells.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("i", "j", "v"))).alias("cells")
     )
-    whole = require(gathered, F.size("cells") == d * d, f"matrix has fewer than {d * d} cells")
-    return whole.select(*keys, F.transform("cells", lambda cell: cell["v"]).alias("m"))
+    whole = F.size("cells") == d * d
+    m = F.transform("cells", lambda cell: cell["v"])
+    return gathered.select(*keys, checked(m, whole, f"matrix has fewer than {d * d} cells").alias("m"))
 
 
 def dense_to_coo(table: DataFrame, d: int, keep: Sequence[str] = (), cells: str = "m") -> DataFrame:
     """``(*keep, i, j, v)`` from d x d cells in row order."""
-    places = table.select(*keep, F.posexplode(cells).alias("place", "v"))
+    places = vector_to_indexed(table, keep, cells, "place")
     return places.selectExpr(
         *[name(column) for column in keep],
         f"CAST(place DIV {d} AS int) AS i",
@@ -132,10 +130,9 @@ def matvec(matrix: DataFrame, x: DataFrame, key: Key = None) -> DataFrame:
     """
     keys = key_list(key)
     side = x.select(*keys, F.col("i").alias("j"), F.col("v").alias("x"))
-    joined = require(
-        matrix.join(side, [*keys, "j"], "left"), F.col("x").isNotNull(), "vector is too short"
-    )
-    return joined.groupBy(*keys, "i").agg(F.sum(F.col("v") * F.col("x")).alias("v"))
+    joined = matrix.join(side, [*keys, "j"], "left")
+    term = F.col("v") * checked(F.col("x"), F.lit(True), "vector is too short")
+    return joined.groupBy(*keys, "i").agg(F.sum(term).alias("v"))
 
 
 def _quoted(keys: Sequence[str]) -> list[str]:

@@ -17,8 +17,7 @@ from pyspark.sql import functions as F
 from logistra.constants import GRADIENT_BINS, TREE_BINS, WIDE_LIMIT
 from logistra.functions import logistic
 from logistra.operators.scoring import row_gradient, row_hessian_coo
-from logistra.operators.validate import require
-from logistra.operators.vectors import key_list
+from logistra.operators.vectors import key_list, vector_to_indexed
 
 Cell = tuple[int, int]
 
@@ -37,21 +36,22 @@ def strategy_for(d: int) -> str:
 
 def design(df: DataFrame, d: int, keep: Sequence[str] = ()) -> DataFrame:
     """Checked scalar columns ``(*keep, x0.., t, n)``; ``n`` is the row's multiplicity."""
-    kept = [logistic.name(column) for column in keep]
     xs = [f"x{i}" for i in range(d)]
     clash = {*keep} & {*xs, *[f"w{i}" for i in range(d)], "phi", "t", "n"}
     if clash:
         raise ValueError(f"rename the key columns {sorted(clash)}")
-    rows = df.selectExpr(
-        *kept,
-        *[f"get(phi, {i}) AS {x}" for i, x in enumerate(xs)],
-        "t",
-        multiplicity(df),
-        f"size(phi) = {d} AS fits",
-    )
-    valid = " AND ".join(["fits", *[f"{column} IS NOT NULL" for column in [*kept, *xs, "t"]]])
-    message = f"row has a null, or a feature vector not of length {d}"
-    return require(rows, F.expr(valid), message).drop("fits")
+    cells = [f"if(size(phi) = {d}, get(phi, {i}), null)" for i in range(d)]
+    features = [f"{logistic.or_fail(c, bad_row(d))} AS {x}" for c, x in zip(cells, xs)]
+    return df.selectExpr(*_present(keep, d), *features, *_present(["t"], d), multiplicity(df))
+
+
+def bad_row(d: int) -> str:
+    return f"row has a null, or a feature vector not of length {d}"
+
+
+def _present(columns: Sequence[str], d: int) -> list[str]:
+    names = [logistic.name(column) for column in columns]
+    return [f"{logistic.or_fail(column, bad_row(d))} AS {column}" for column in names]
 
 
 def multiplicity(df: DataFrame) -> str:
@@ -99,16 +99,13 @@ def cell_sums(
 def as_cells(sums: DataFrame, cells: Sequence[Cell], keys: Sequence[str] = ()) -> DataFrame:
     """``cell_sums`` columns to ``(*keys, i, j, v)`` rows; no rows sum to 0."""
     rows = ", ".join(f"struct({i} AS i, {j} AS j, coalesce(a_{i}_{j}, 0D) AS v)" for i, j in cells)
-    return sums.selectExpr(*[logistic.name(key) for key in keys], f"inline(array({rows}))")
+    return sums.selectExpr(*[logistic.name(key) for key in keys], f"inline_outer(array({rows}))")
 
 
 def packed(df: DataFrame, d: int, keep: Sequence[str] = ()) -> DataFrame:
     """Checked ``(*keep, phi, t, n)`` rows for the matrix strategy."""
-    rows = df.selectExpr(*[logistic.name(key) for key in keep], "phi", "t", multiplicity(df))
-    valid = F.size("phi") == d
-    for column in [*keep, "t"]:
-        valid = valid & F.col(column).isNotNull()
-    return require(rows, valid, f"row has a null, or a feature vector not of length {d}")
+    phi = logistic.or_fail(f"if(size(phi) = {d}, phi, null)", bad_row(d))
+    return df.selectExpr(*_present(keep, d), f"{phi} AS phi", *_present(["t"], d), multiplicity(df))
 
 
 def matrix_sums(
@@ -201,7 +198,7 @@ def newton_system(
 def _exploded_system(
     df: DataFrame, d: int, weights: Sequence[float], cells: Sequence[Cell]
 ) -> DataFrame:
-    g = row_gradient(df, weights).select(F.posexplode("grad").alias("i", "v"))
+    g = vector_to_indexed(row_gradient(df, weights), phi="grad")
     h = row_hessian_coo(df, weights).filter("i <= j").select("i", "j", F.col("h").alias("v"))
     both = g.select("i", F.lit(d).alias("j"), "v").unionByName(h)
     wanted = both.filter(" or ".join(f"(i = {i} and j = {j})" for i, j in cells))
@@ -231,7 +228,7 @@ def mirror(upper: DataFrame, value: str = "v", keys: Sequence[str] = ()) -> Data
     """The full symmetric matrix from the cells with i <= j."""
     cell, swapped = f"struct(i, j, {value})", f"struct(j AS i, i AS j, {value})"
     cells = f"if(i = j, array({cell}), array({cell}, {swapped}))"
-    return upper.selectExpr(*[logistic.name(key) for key in keys], f"inline({cells})")
+    return upper.selectExpr(*[logistic.name(key) for key in keys], f"inline_outer({cells})")
 
 
 def gradient_binned(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logistra.functions import logistic
-from logistra.operators.vectors import indexed_to_dense
+from logistra.operators.vectors import indexed_to_dense, vector_to_indexed
 
 # A list of numbers, or the name of an array column.
 Weights = Sequence[float] | str
@@ -54,8 +54,8 @@ def row_curvature(df: DataFrame, weights: Weights) -> DataFrame:
 
 def row_hessian_coo(df: DataFrame, weights: Weights, keep: Sequence[str] = ()) -> DataFrame:
     """``(*keep, i, j, h)``: all d^2 cells of every row's Hessian."""
-    rows = score(df, weights).select(*keep, "phi", "curv", F.posexplode("phi").alias("i", "xi"))
-    cells = rows.select(*keep, "i", "xi", "curv", F.posexplode("phi").alias("j", "xj"))
+    rows = vector_to_indexed(score(df, weights), [*keep, "phi", "curv"], value="xi")
+    cells = vector_to_indexed(rows, [*keep, "i", "xi", "curv"], index="j", value="xj")
     h = F.expr(logistic.hessian_cell("xi", "xj", "curv"))
     return cells.select(*keep, "i", "j", h.alias("h"))
 

@@ -1,4 +1,9 @@
-"""Checks on vector tables."""
+"""Checks on vector tables.
+
+A failing check is an expression around the value it guards, not a filter: a
+filter is pushed towards the scan, where it would compute the guarded
+expressions once more per reference.
+"""
 
 from __future__ import annotations
 
@@ -9,21 +14,22 @@ from logistra.constants import NAN_FILL
 from logistra.functions.logistic import name, nan_guard
 
 
-def require(df: DataFrame, condition: Column, message: str) -> DataFrame:
-    """``df`` unchanged; the job fails on the first row that breaks ``condition``."""
-    passed = F.when(condition, F.lit(True))
-    return df.filter(F.coalesce(passed, F.raise_error(F.lit(message)).cast("boolean")))
+def checked(value: Column, condition: Column, message: str) -> Column:
+    """``value`` where ``condition`` holds; elsewhere, or if null, the task fails."""
+    return F.coalesce(F.when(condition, value), F.raise_error(F.lit(message)))
 
 
 def check_dims(df: DataFrame, d: int, on_error: str = "fail", phi: str = "phi"):
     """Rows whose vector is present, complete and of length ``d``.
 
-    ``fail`` returns the checked table; ``reject`` returns ``(good, rejects)``.
+    ``fail`` returns the table, whose vectors fail the task that reads a bad
+    one; ``reject`` returns ``(good, rejects)``.
     """
     vector = F.col(phi)
     fits = (F.size(vector) == d) & ~F.exists(vector, F.isnull)
     if on_error == "fail":
-        return require(df, fits, f"feature vector is missing, incomplete or not of length {d}")
+        message = f"feature vector is missing, incomplete or not of length {d}"
+        return df.withColumn(phi, checked(vector, fits, message))
     if on_error == "reject":
         fits = F.coalesce(fits, F.lit(False))
         return df.filter(fits), df.filter(~fits)

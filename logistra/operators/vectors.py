@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logistra.operators.validate import require
+from logistra.operators.validate import checked
 
 
 def key_list(key: str | Sequence[str] | None) -> list[str]:
@@ -17,16 +17,17 @@ def key_list(key: str | Sequence[str] | None) -> list[str]:
 
 
 def unique_cells(df: DataFrame, index: Sequence[str], value: str) -> DataFrame:
-    """``df`` by ``index``; the job fails if an index is null or repeated.
+    """``df`` by ``index``; a null or repeated index or a null value fails the job.
 
     The grouping keeps at most one value per index, so whatever gathers the
     cells of a key afterwards is bounded by the size of the vector or matrix.
     """
     cells = df.groupBy(*index).agg(F.count("*").alias("copies"), F.first(value).alias(value))
-    present = F.lit(True)
-    for name in [*index, value]:
-        present = present & F.col(name).isNotNull()
-    return require(cells, (F.col("copies") == 1) & present, f"repeated or null {list(index)}")
+    single = F.col("copies") == 1
+    for column in index:
+        single = single & F.col(column).isNotNull()
+    kept = checked(F.col(value), single, f"repeated or null {list(index)}")
+    return cells.select(*index, kept.alias(value))
 
 
 def indexed_to_dense(
@@ -49,22 +50,27 @@ def indexed_to_dense(
         gathered = gathered.filter(F.size("cells") > 0)
     places = F.transform(F.col("cells"), lambda cell: cell[index])
     complete = (F.array_min(places) == 0) & (F.array_max(places) == F.size("cells") - 1)
-    checked = require(gathered, complete, "indexed vector has a gap")
-    return checked.select(*keys, F.transform("cells", lambda cell: cell[value]).alias(out))
+    vector = F.transform("cells", lambda cell: cell[value])
+    return gathered.select(*keys, checked(vector, complete, "indexed vector has a gap").alias(out))
 
 
 def vector_to_indexed(
     df: DataFrame, keep: Sequence[str] = (), phi: str = "phi", index: str = "i", value: str = "v"
 ) -> DataFrame:
-    """One row per array cell, zero-based."""
-    return df.select(*keep, F.posexplode(phi).alias(index, value))
+    """One row per array cell, zero-based.
+
+    The outer form with a filter behind it: for the plain form the optimizer
+    adds a test of the array's size next to the scan, which computes the array
+    of every row a second time.
+    """
+    cells = df.select(*keep, F.posexplode_outer(phi).alias(index, value))
+    return cells.filter(F.col(index).isNotNull())
 
 
 def explode_array(df: DataFrame, key: str, values: str) -> DataFrame:
     """``(key, value as text)``, one row per array cell."""
-    return df.select(key, F.explode(values).alias("value")).select(
-        key, F.col("value").cast("string").alias("value")
-    )
+    cells = vector_to_indexed(df, [key], values, value="value")
+    return cells.select(key, F.col("value").cast("string").alias("value"))
 
 
 def emit_sequence(df: DataFrame, n: int = 10) -> DataFrame:
@@ -96,9 +102,8 @@ def vector_subtract(
     index = [*key_list(key), "i"]
     left = a.select(*index, F.col(value).alias("left"))
     right = b.select(*index, F.col(value).alias("right"))
-    both = require(
-        left.join(right, index, "full_outer"),
-        F.col("left").isNotNull() & F.col("right").isNotNull(),
-        "vectors differ in length",
+    difference = F.col("left") - F.col("right")
+    both = difference.isNotNull()
+    return left.join(right, index, "full_outer").select(
+        *index, checked(difference, both, "vectors differ in length").alias(value)
     )
-    return both.select(*index, (F.col("left") - F.col("right")).alias(value))

@@ -40,7 +40,7 @@ from logistra.operators.moments import (
     strategy_for,
     system_of,
 )
-from logistra.operators.validate import require
+from logistra.operators.validate import checked
 from logistra.operators.vectors import key_list
 from logistra.plans.layout import Stored
 from logistra.storage import new_table_path
@@ -92,7 +92,7 @@ def newton_train_by(
     names = ["iteration", *data.keys] if history else data.keys
     steps = spark.read.parquet(path) if history else state
     weights = ", ".join(f"struct({i} AS i, w{i} AS w)" for i in range(d))
-    out = steps.selectExpr(*[name(n) for n in names], "singular", f"inline(array({weights}))")
+    out = steps.selectExpr(*[name(n) for n in names], "singular", f"inline_outer(array({weights}))")
     return out.select(*names, "i", "w", "singular")
 
 
@@ -100,10 +100,10 @@ def _wide_model(model: DataFrame, keys: Sequence[str], d: int) -> DataFrame:
     """``(key, i, w)`` rows as ``(key, w0 ..)``; a missing or extra index fails."""
     weights = [F.expr(f"max(if(i = {i}, w, null)) AS w{i}") for i in range(d)]
     table = model.groupBy(*keys).agg(F.count("*").alias("cells"), *weights)
+    message = f"a model does not have exactly {d} weights"
     whole = F.col("cells") == d
-    for i in range(d):
-        whole = whole & F.col(f"w{i}").isNotNull()
-    return require(table, whole, f"a model does not have exactly {d} weights").drop("cells")
+    found = [checked(F.col(f"w{i}"), whole, message).alias(f"w{i}") for i in range(d)]
+    return table.select(*keys, *found)
 
 
 class _Rows:

@@ -59,7 +59,7 @@ class _Pass:
     def system(self, weights: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
         """H and g at ``weights``: d^2 / 2 + d sums reach the driver, never rows."""
         if self.strategy == "wide":
-            row = cell_sums(self.rows, self.d, weights, self.cells, tree=self.tree).first()
+            row = cell_sums(self.rows, self.d, weights, self.cells, tree=self.tree).collect()[0]
             sums = [(i, j, v or 0.0) for (i, j), v in zip(self.cells, row, strict=True)]
         else:
             sums = matrix_sums(self.rows, self.d, weights, self.cells).collect()

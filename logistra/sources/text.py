@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from logistra.constants import BROADCAST_LIMIT
-from logistra.operators.validate import require
+from logistra.operators.validate import checked
+from logistra.operators.vectors import vector_to_indexed
 
 # The only spellings of non-finite numbers the text format accepts; Spark's
 # cast alone would also take "inf", "nan" and other cases.
@@ -22,7 +23,7 @@ def _tokens(line: Column) -> Column:
 
 
 def _numbers(tokens: Column) -> Column:
-    return F.transform(tokens, lambda token: token.try_cast("double"))
+    return tokens.try_cast("array<double>")
 
 
 def _bad_number(values: Column, tokens: Column) -> Column:
@@ -60,8 +61,8 @@ def _outputs(labelled: bool) -> list[Column]:
 
 def _finish(parsed: DataFrame, keep: Sequence[str], labelled: bool, on_error: str):
     if on_error == "fail":
-        good = require(parsed, F.col("error").isNull(), "malformed vector line")
-        return good.select(*keep, *_outputs(labelled))
+        good = checked(F.col("numbers"), F.col("error").isNull(), "malformed vector line")
+        return parsed.withColumn("numbers", good).select(*keep, *_outputs(labelled))
     if on_error == "reject":
         good = parsed.filter(F.col("error").isNull()).select(*keep, *_outputs(labelled))
         bad = parsed.filter(F.col("error").isNotNull()).select(*keep, "line", "error")
@@ -108,10 +109,9 @@ def load_matrix_coo(lines: DataFrame, row_id: str, column: str = "value") -> Dat
     tokens = lines.select(F.col(row_id).cast("bigint").alias("i"), _tokens(F.col(column)).alias("tokens"))
     features = tokens.select("i", F.slice("tokens", 1, F.size("tokens") - 1).alias("tokens"))
     numbers = features.withColumn("numbers", _numbers(F.col("tokens")))
-    good = require(
-        numbers, ~_bad_number(F.col("numbers"), F.col("tokens")), "malformed matrix line"
-    )
-    return good.select("i", F.posexplode("numbers").alias("j", "v"))
+    fits = ~_bad_number(F.col("numbers"), F.col("tokens"))
+    good = checked(F.col("numbers"), fits, "malformed matrix line")
+    return vector_to_indexed(numbers.withColumn("numbers", good), ["i"], "numbers", "j")
 
 
 def with_row_number(spark: SparkSession, path: str) -> DataFrame:
