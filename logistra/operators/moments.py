@@ -78,8 +78,8 @@ def cell_sums(
     xs = [f"x{i}" for i in range(d)]
     w = [value if isinstance(value, str) else logistic.number(value) for value in weights]
     p = logistic.sigmoid(logistic.linear(xs, w))
-    scored = rows.selectExpr(*kept, *xs, "t", "n", f"{p} AS p").selectExpr(
-        *kept, *xs, "n", "p - t AS resid", f"{logistic.curvature('p')} AS curv"
+    scored = rows.selectExpr(
+        *kept, *xs, "n", f"{p} AS p", "p - t AS resid", f"{logistic.curvature('p')} AS curv"
     )
     sums = [F.expr(f"first({column}) AS {column}") for column in carried]
     for i, j in cells:

@@ -239,28 +239,27 @@ def solve_systems(
     """``(key, w0 .., singular)``: weights after one step, in built-in expressions.
 
     The symmetric system is eliminated one column at a time and solved
-    backwards; every stage is a projection.
+    backwards. ``e2_i_j`` is cell (i, j) after two columns; each alias builds
+    on earlier ones, so all stages are one projection.
     """
-    table = systems.selectExpr("*", *[f"a_{i}_{i} AS h{i}" for i in range(d)])
-    kept = [name(key) for key in keys] + [f"w{i}" for i in range(d)] + [f"h{i}" for i in range(d)]
+    stages = [f"a_{i}_{j} AS e0_{i}_{j}" for i in range(d) for j in range(i, d + 1)]
     for k in range(d - 1):
-        cells = []
-        for i in range(d):
+        for i in range(k + 1, d):
+            factor = f"try_divide(e{k}_{k}_{i}, e{k}_{k}_{k})"
             for j in range(i, d + 1):
-                cell = f"a_{i}_{j}"
-                if i > k:
-                    cell = f"{cell} - try_divide(a_{k}_{i}, a_{k}_{k}) * a_{k}_{j} AS {cell}"
-                cells.append(cell)
-        table = table.selectExpr(*kept, *cells)
+                stages.append(f"e{k}_{i}_{j} - {factor} * e{k}_{k}_{j} AS e{k + 1}_{i}_{j}")
+    for i in reversed(range(d)):
+        known = "".join(f" - e{i}_{i}_{j} * u{j}" for j in range(i + 1, d))
+        stages.append(f"try_divide(e{i}_{i}_{d}{known}, e{i}_{i}_{i}) AS u{i}")
+    share = number(tolerance)
     regular = " AND ".join(
-        f"coalesce(abs(a_{i}_{i}) > {number(tolerance)} * abs(h{i}), false)" for i in range(d)
+        f"coalesce(abs(e{i}_{i}_{i}) > {share} * abs(a_{i}_{i}), false)" for i in range(d)
     )
-    table = table.selectExpr("*", f"NOT ({regular}) AS singular")
-    for i in reversed(range(d)):
-        known = "".join(f" - a_{i}_{j} * u{j}" for j in range(i + 1, d))
-        table = table.selectExpr("*", f"try_divide(a_{i}_{d}{known}, a_{i}_{i}) AS u{i}")
-    weights = [f"if(singular, w{i}, w{i} - u{i}) AS w{i}" for i in range(d)]
-    return table.selectExpr(*[name(key) for key in keys], *weights, "singular")
+    quoted = [name(key) for key in keys]
+    olds = [f"w{i}" for i in range(d)]
+    solved = systems.selectExpr(*quoted, *olds, *stages, f"NOT ({regular}) AS singular")
+    news = [f"if(singular, w{i}, w{i} - u{i}) AS w{i}" for i in range(d)]
+    return solved.selectExpr(*quoted, *news, "singular")
 
 
 def _block_sums(rows: DataFrame, keys: Sequence[str], d: int) -> DataFrame:

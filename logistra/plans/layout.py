@@ -54,20 +54,21 @@ class Stored:
 
     A lost executor costs the recomputation of its part. ``collapse`` (auto,
     always, never) groups equal rows. A table that came in fewer tasks than
-    the cluster has cores is spread over all of them.
+    the cluster has cores is spread over all of them. The table is measured
+    before it is stored, so only the form the steps read takes up space.
     """
 
     def __init__(self, rows: DataFrame, columns: Sequence[str], collapse: str):
         if collapse not in ("auto", "always", "never"):
             raise ValueError(f"collapse must be auto, always or never, not {collapse!r}")
-        self.rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-        self.shape = measure(self.rows, columns)
+        self.shape = measure(rows, columns)
         cores = rows.sparkSession.sparkContext.defaultParallelism
         self.collapsed = collapse == "always" or (collapse == "auto" and self.shape.collapses())
         if self.collapsed:
-            self.replace(collapse_copies(self.rows, columns))
+            rows = collapse_copies(rows, columns)
         elif self.shape.tasks < cores and self.shape.rows >= SPREAD_ROWS:
-            self.replace(self.rows.repartition(cores))
+            rows = rows.repartition(cores)
+        self.rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
 
     def replace(self, rows: DataFrame) -> None:
         """Store ``rows``, which derive from the stored ones, instead of them."""

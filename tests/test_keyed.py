@@ -38,7 +38,7 @@ LAYOUTS = {
 
 
 @pytest.mark.parametrize("layout", LAYOUTS)
-@pytest.mark.parametrize("strategy, d", [("wide", 1), ("wide", 4), ("blas", 3), ("blas", 10)])
+@pytest.mark.parametrize("strategy, d", [("wide", 1), ("wide", 3), ("wide", 8), ("blas", 3), ("blas", 10)])
 def test_every_layout_matches_numpy(spark, monkeypatch, layout, strategy, d):
     monkeypatch.setattr(keyed, "strategy_for", lambda d: strategy)
     rows, want = keyed_rows(spark, d)
