@@ -22,12 +22,14 @@ from logistra.catalog import QUERIES  # noqa: E402
 HEADLINES = [
     "newton_train",
     "newton_train_wide",
+    "newton_train_products",
     "newton_train_events",
     "newton_train_orders",
     "newton_train_documents",
     "newton_train_embeddings",
     "newton_by_key",
     "newton_by_key_wide",
+    "newton_by_key_products",
     "gradient",
     "gradient_binned",
     "hessian",

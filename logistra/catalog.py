@@ -374,6 +374,7 @@ QUERIES: dict[str, Query] = {
     "newton_step": newton_step,
     "newton_train": train(features.line, 3),
     "newton_train_wide": train(features.line_wide, 5),
+    "newton_train_products": train(features.line_products, 10),
     "newton_train_events": train(features.events, 3),
     "newton_train_orders": train(features.orders, 3),
     "newton_train_documents": train(features.documents, 3),
@@ -383,4 +384,5 @@ QUERIES: dict[str, Query] = {
     "newton_by_key": newton_by_key(features.line, 3),
     "newton_by_key_history": newton_by_key(features.line, 3, history=True),
     "newton_by_key_wide": newton_by_key(features.line_wide, 5),
+    "newton_by_key_products": newton_by_key(features.line_products, 10),
 }

@@ -38,7 +38,8 @@ def coo_to_dense(matrix: DataFrame, d: int, key: Key = None) -> DataFrame:
     )
     whole = F.size("cells") == d * d
     m = F.transform("cells", lambda cell: cell["v"])
-    return gathered.select(*keys, checked(m, whole, f"matrix has fewer than {d * d} cells").alias("m"))
+    m = checked(m, whole, f"matrix has fewer than {d * d} cells")
+    return gathered.select(*keys, m.alias("m"))
 
 
 def dense_to_coo(table: DataFrame, d: int, keep: Sequence[str] = (), cells: str = "m") -> DataFrame:
@@ -109,16 +110,14 @@ def inverse(matrix: DataFrame, d: int, key: Key = None) -> DataFrame:
     table = coo_to_dense(matrix, d, key)
     if d <= CLOSED_FORM_LIMIT:
         det = _minor(range(d), range(d), d)
-        scaled = table.selectExpr(
-            *_quoted(keys), f"{_adjugate(d)} AS adj", f"coalesce(try_divide(1D, {det}), 0D) AS scale"
-        )
+        scale = f"coalesce(try_divide(1D, {det}), 0D) AS scale"
+        scaled = table.selectExpr(*_quoted(keys), f"{_adjugate(d)} AS adj", scale)
         done = scaled.selectExpr(
             *_quoted(keys), "transform(adj, a -> scale * a + 0D) AS m", "scale = 0D AS singular"
         )
     else:
-        done = _stacked(
-            table, d, keys, lambda stack: list(dense.inverse(stack)), "m array<double>, singular boolean"
-        )
+        outputs = "m array<double>, singular boolean"
+        done = _stacked(table, d, keys, lambda stack: list(dense.inverse(stack)), outputs)
     return dense_to_coo(done, d, [*keys, "singular"]).select(*keys, "i", "j", "v", "singular")
 
 

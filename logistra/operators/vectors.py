@@ -51,7 +51,8 @@ def indexed_to_dense(
     places = F.transform(F.col("cells"), lambda cell: cell[index])
     complete = (F.array_min(places) == 0) & (F.array_max(places) == F.size("cells") - 1)
     vector = F.transform("cells", lambda cell: cell[value])
-    return gathered.select(*keys, checked(vector, complete, "indexed vector has a gap").alias(out))
+    whole = checked(vector, complete, "indexed vector has a gap")
+    return gathered.select(*keys, whole.alias(out))
 
 
 def vector_to_indexed(
@@ -90,7 +91,9 @@ def vector_sum(df: DataFrame, key: str | Sequence[str], phi: str = "phi") -> Dat
     return cells.groupBy(*keys, "i").agg(F.sum("v").alias("v"))
 
 
-def sum_by_key(df: DataFrame, key: str | Sequence[str], value: str, out: str = "total") -> DataFrame:
+def sum_by_key(
+    df: DataFrame, key: str | Sequence[str], value: str, out: str = "total"
+) -> DataFrame:
     """Sum of a number column per key; int sums are bigint and do not wrap."""
     return df.groupBy(*key_list(key)).agg(F.sum(value).alias(out))
 

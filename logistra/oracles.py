@@ -24,6 +24,12 @@ SELECT l_suppkey,
          AS phi,
        (l_returnflag = 'R')::INT::DOUBLE AS t
 FROM lineitem"""
+LINE_PRODUCTS = """
+SELECT l_suppkey, t,
+       [1.0, q, d, x, q * q, d * d, x * x, q * d, q * x, d * x]::DOUBLE[] AS phi
+FROM (SELECT l_suppkey, l_quantity / 50 AS q, l_discount * 10 AS d, l_tax * 10 AS x,
+             (l_returnflag = 'R')::INT::DOUBLE AS t
+      FROM lineitem)"""
 EVENTS = """
 SELECT event_id, [1.0, value / 100, (event_type = 'error')::INT]::DOUBLE[] AS phi,
        (user_id % 2)::DOUBLE AS t
@@ -69,7 +75,7 @@ def system(rows: str, d: int, key: str | None = None) -> str:
     """One augmented matrix [H | g] as nested lists, from rows with resid and curv."""
     keyed = f"{key}, " if key else ""
     group = f"GROUP BY {key}" if key else ""
-    if d <= 5:
+    if d <= 10:
         lists = ", ".join(
             "["
             + ", ".join(f"sum(curv * phi[{i}] * phi[{j}])" for j in range(1, d + 1))
@@ -332,6 +338,7 @@ FROM ({supplier_gradient(ZEROS)}) a JOIN ({supplier_gradient(WEIGHTS)}) b USING
     "newton_step": step(),
     "newton_train": trained(LINE, 3),
     "newton_train_wide": trained(LINE_WIDE, 5),
+    "newton_train_products": trained(LINE_PRODUCTS, 10),
     "newton_train_events": trained(EVENTS, 3),
     "newton_train_orders": trained(ORDERS, 3),
     "newton_train_documents": trained(DOCUMENTS, 3),
@@ -341,4 +348,5 @@ FROM ({supplier_gradient(ZEROS)}) a JOIN ({supplier_gradient(WEIGHTS)}) b USING
     "newton_by_key": trained(LINE, 3, SUPPLIER),
     "newton_by_key_history": history(LINE, 3, SUPPLIER),
     "newton_by_key_wide": trained(LINE_WIDE, 5, SUPPLIER),
+    "newton_by_key_products": trained(LINE_PRODUCTS, 10, SUPPLIER),
 }

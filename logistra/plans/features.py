@@ -42,6 +42,15 @@ def line_wide(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def line_products(spark: SparkSession, folder: str) -> DataFrame:
+    """Ten features per line: three measures, their squares and their products."""
+    q, d, x = F.col("l_quantity") / 50, F.col("l_discount") * 10, F.col("l_tax") * 10
+    features = [F.lit(1.0), q, d, x, q * q, d * d, x * x, q * d, q * x, d * x]
+    return vector_table(
+        table(spark, folder, "lineitem"), features, F.col("l_returnflag") == "R", ["l_suppkey"]
+    )
+
+
 def events(spark: SparkSession, folder: str) -> DataFrame:
     features = [F.lit(1.0), F.col("value") / 100, F.col("event_type") == "error"]
     return vector_table(

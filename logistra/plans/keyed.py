@@ -28,7 +28,7 @@ from logistra.constants import (
     ROWS_PER_SALT,
 )
 from logistra.functions import dense
-from logistra.functions.logistic import name, number
+from logistra.functions.logistic import linear, name, number
 from logistra.operators.matrix import as_arrow, ddl
 from logistra.operators.moments import (
     cell_sums,
@@ -152,32 +152,38 @@ class _Rows:
         )
 
     def stacked_systems(self, state: DataFrame | None) -> DataFrame:
-        """``(key, w, cells)``: weights and cells of [H | g] of every key as arrays.
+        """``(key, cells, w)``: cells of [H | g] and weights of every key as arrays.
 
         Rows of a key lie together, so a task sends few partial sums per key.
         """
-        d, keys = self.d, self.keys
-        names = [f"w{i}" for i in range(d)]
         self._lay_out()
-        if state is None:
-            joined = self.stored.rows.selectExpr("*", *[f"0D AS {w}" for w in names])
-        else:
-            joined = self._with_state(state)
-        rows = joined.selectExpr(
-            *[name(key) for key in keys], "phi", "t", "n", f"array({', '.join(names)}) AS w"
-        )
-        partial = _block_sums(rows, keys, d).repartition(*keys)
-        sums = partial.groupBy(*keys, "place").agg(F.sum("v").alias("v"), F.first("w").alias("w"))
+        keys = [name(key) for key in self.keys]
+        margin = "0D"
+        rows = self.stored.rows
+        if state is not None:
+            rows = self._with_state(state)
+            cells = [f"get(phi, {i})" for i in range(self.d)]
+            margin = linear(cells, [f"w{i}" for i in range(self.d)])
+        rows = rows.selectExpr(*keys, "phi", "t", "n", f"{margin} AS margin")
+        partial = _block_sums(rows, self.keys, self.d).repartition(*self.keys)
+        sums = partial.groupBy(*self.keys, "place").agg(F.sum("v").alias("v"))
         # At most d (d + 3) / 2 places per key are gathered.
-        gathered = sums.groupBy(*keys).agg(
-            F.array_sort(F.collect_list(F.struct("place", "v", "w"))).alias("cells")
+        gathered = sums.groupBy(*self.keys).agg(
+            F.array_sort(F.collect_list(F.struct("place", "v"))).alias("cells")
         )
+        if state is not None:
+            weights = self._weights(state)
+            gathered = gathered.join(
+                F.broadcast(weights) if self.fits else weights, self.keys, "left"
+            )
+        olds = ", ".join("0D" if state is None else f"coalesce(w{i}, 0D)" for i in range(self.d))
         return gathered.selectExpr(
-            *[name(key) for key in keys],
-            f"transform(slice(cells, 1, {d}), c -> c.w) AS w",
-            "transform(cells, c -> c.v) AS cells",
+            *keys, "transform(cells, c -> c.v) AS cells", f"array({olds}) AS w"
         )
 
+    def _weights(self, state: DataFrame) -> DataFrame:
+        return state.select(*self.keys, *[f"w{i}" for i in range(self.d)])
+
     def choose_join(self, state: DataFrame) -> None:
         """Broadcast weights as large as these, or bring them to the salted rows."""
         self.fits = _table_bytes(state, self.keys, self.d) <= self.broadcast_limit
@@ -186,7 +192,7 @@ class _Rows:
 
     def _with_state(self, state: DataFrame) -> DataFrame:
         """Rows with the weights of their key; a key without weights has zeros."""
-        weights = state.select(*self.keys, *[f"w{i}" for i in range(self.d)])
+        weights = self._weights(state)
         if self.fits:
             joined = self.stored.rows.join(F.broadcast(weights), self.keys, "left")
         else:
@@ -263,9 +269,9 @@ def solve_systems(
 
 
 def _block_sums(rows: DataFrame, keys: Sequence[str], d: int) -> DataFrame:
-    """``(key, place, v, w)``: per Arrow batch and key, one row per cell of [H | g].
+    """``(key, place, v)``: per Arrow batch and key, one row per cell of [H | g].
 
-    Gradient cells come first; ``w`` of place i is weight i of the key.
+    Gradient cells come first.
     """
     cells = gradient_cells(d) + hessian_cells(d)
     at_i, at_j = np.array(cells).T
@@ -275,27 +281,25 @@ def _block_sums(rows: DataFrame, keys: Sequence[str], d: int) -> DataFrame:
             if batch.num_rows == 0:
                 continue
             x, t, n = feature_arrays(batch, d)
-            w = batch.column("w").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-            margin = np.einsum("ij,ij->i", x, w)
-            code = np.zeros(batch.num_rows, dtype=np.int64)
+            margin = batch.column("margin").to_numpy()
+            group = np.zeros(batch.num_rows, dtype=np.int64)
             for key in keys:
                 part = batch.column(key).dictionary_encode().indices.to_numpy()
-                code = code * (part.max() + 1) + part
-            _, first, group = np.unique(code, return_index=True, return_inverse=True)
+                code = group * batch.num_rows + part
+                _, first, group = np.unique(code, return_index=True, return_inverse=True)
             order = np.argsort(group, kind="stable")
             edges = np.searchsorted(group[order], np.arange(first.size + 1))
-            sums, carried = [], np.full((first.size, len(cells)), np.nan)
-            carried[:, :d] = w[first]
+            sums = []
             for g in range(first.size):
                 at = order[edges[g] : edges[g + 1]]
                 sums.append(system_of(x[at], t[at], n[at], margin[at])[at_i, at_j])
             take = pa.array(np.repeat(first, len(cells)))
             columns = [batch.column(key).take(take) for key in keys]
             place = np.tile(np.arange(len(cells), dtype=np.int32), first.size)
-            columns += [pa.array(place), pa.array(np.concatenate(sums)), pa.array(carried.ravel())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "place", "v", "w"])
+            columns += [pa.array(place), pa.array(np.concatenate(sums))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "place", "v"])
 
-    return rows.mapInArrow(run, ", ".join([*ddl(rows, keys), "place int, v double, w double"]))
+    return rows.mapInArrow(run, ", ".join([*ddl(rows, keys), "place int, v double"]))
 
 
 def solve_stacked(

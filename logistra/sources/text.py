@@ -106,7 +106,8 @@ def load_vectors(spark: SparkSession, path: str, on_error: str = "fail"):
 
 def load_matrix_coo(lines: DataFrame, row_id: str, column: str = "value") -> DataFrame:
     """One ``(i, j, v)`` row per feature cell; the last token is not read."""
-    tokens = lines.select(F.col(row_id).cast("bigint").alias("i"), _tokens(F.col(column)).alias("tokens"))
+    row = F.col(row_id).cast("bigint")
+    tokens = lines.select(row.alias("i"), _tokens(F.col(column)).alias("tokens"))
     features = tokens.select("i", F.slice("tokens", 1, F.size("tokens") - 1).alias("tokens"))
     numbers = features.withColumn("numbers", _numbers(F.col("tokens")))
     fits = ~_bad_number(F.col("numbers"), F.col("tokens"))

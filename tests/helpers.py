@@ -2,8 +2,9 @@ import numpy as np
 
 
 def vectors(spark, rows, partitions=None):
-    """``[(*keys?, [features], target)]`` as (phi, t)."""
-    frame = spark.createDataFrame([(list(map(float, x)), float(t)) for x, t in rows], "phi array<double>, t double")
+    """``[([features], target)]`` as (phi, t)."""
+    plain = [(list(map(float, x)), float(t)) for x, t in rows]
+    frame = spark.createDataFrame(plain, "phi array<double>, t double")
     return frame.repartition(partitions) if partitions else frame
 
 

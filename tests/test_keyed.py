@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from helpers import numpy_newton
 from logistra.operators import moments
@@ -72,7 +71,7 @@ def test_history_and_resume(spark, layout):
     rows, want = keyed_rows(spark, 3)
     options = LAYOUTS[layout]
     steps = keyed.newton_train_by(rows, ["name", "part"], 3, history=True, **options)
-    assert sorted({r.iteration for r in steps.select("iteration").distinct().collect()}) == [1, 2, 3, 4, 5, 6]
+    assert {r.iteration for r in steps.collect()} == {1, 2, 3, 4, 5, 6}
     third = steps.filter("iteration = 3").drop("iteration", "singular")
     resumed = models(keyed.newton_train_by(rows, ["name", "part"], 3, 3, init=third, **options))
     for key, w in want.items():
@@ -102,7 +101,8 @@ def test_null_keys_and_clashing_names_fail(spark):
 def test_hot_key_is_split_and_rows_stay_put(spark):
     rows, _ = keyed_rows(spark, 3)
     data = keyed._Rows(rows, ["name", "part"], 3, "never", 0, 100)
-    state = rows.select("name", "part").distinct().selectExpr("*", "0D AS w0", "0D AS w1", "0D AS w2")
+    zeros = [f"0D AS w{i}" for i in range(3)]
+    state = rows.select("name", "part").distinct().selectExpr("*", *zeros)
     data.choose_join(state)
     plan = data.systems(state)._jdf.queryExecution().executedPlan().toString()
     salts = data.stored.rows.groupBy("name", keyed.SALT).count().collect()

@@ -106,11 +106,12 @@ def test_nan_guard(spark):
 
 def test_model_files(spark, tmp_path):
     path = str(tmp_path / "model")
-    first = spark.createDataFrame([(1, 0, 0.5), (1, 1, 1.5), (2, 0, 0.6)], "iteration int, i int, w double")
+    schema = "iteration int, i int, w double"
+    first = spark.createDataFrame([(1, 0, 0.5), (1, 1, 1.5), (2, 0, 0.6)], schema)
     model.save_model(first, path)
     assert sorted(map(tuple, model.load_model(spark, path, 1).collect())) == [(0, 0.5), (1, 1.5)]
     assert [tuple(r) for r in model.load_model(spark, path).collect()] == [(0, 0.6)]
-    again = spark.createDataFrame([(2, 0, 0.7)], "iteration int, i int, w double")
+    again = spark.createDataFrame([(2, 0, 0.7)], schema)
     model.save_model(again, path)
     assert model.load_history(spark, path).count() == 3
     assert [tuple(r) for r in model.load_model(spark, path).collect()] == [(0, 0.7)]
