@@ -300,9 +300,9 @@ def steps(trained: DataFrame) -> DataFrame:
     return trained.select(*others, rounded("w").alias("w"), "singular")
 
 
-def train(table: Callable, d: int) -> Query:
+def train(table: Callable, d: int, persist: bool = False) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        return steps(newton.newton_train(table(spark, folder), d))
+        return steps(newton.newton_train(table(spark, folder), d, persist=persist))
 
     return query
 
@@ -377,7 +377,7 @@ QUERIES: dict[str, Query] = {
     "newton_train_products": train(features.line_products, 10),
     "newton_train_events": train(features.events, 3),
     "newton_train_orders": train(features.orders, 3),
-    "newton_train_documents": train(features.documents, 3),
+    "newton_train_documents": train(features.documents, 3, persist=True),
     "newton_train_embeddings": train(features.embeddings, 64),
     "newton_history": newton_history,
     "newton_resume": newton_resume,

@@ -58,6 +58,7 @@ def newton_train_by(
     init: DataFrame | None = None,
     history: bool = False,
     collapse: str = "auto",
+    persist: bool = False,
     tolerance: float = PIVOT_TOLERANCE,
     broadcast_limit: int = BROADCAST_LIMIT,
     rows_per_salt: int = ROWS_PER_SALT,
@@ -67,13 +68,14 @@ def newton_train_by(
     Training starts from 0, or from ``init``, a ``(key, i, w)`` table whose
     missing keys start from 0. With ``history`` every step is returned, with
     ``iteration`` 1, 2, ... A key with a singular Hessian keeps its weights
-    and is flagged. Keys must not be null. The weights of every step stay in
+    and is flagged. Keys must not be null. ``collapse`` and ``persist`` work as
+    in ``newton_train``. The weights of every step stay in
     the shared folder, since the result is read from there.
     """
     if iterations < 1:
         raise ValueError("training needs at least one iteration")
     spark = df.sparkSession
-    data = _Rows(df, key_list(key), d, collapse, broadcast_limit, rows_per_salt)
+    data = _Rows(df, key_list(key), d, collapse, persist, broadcast_limit, rows_per_salt)
     path = new_table_path(spark, "weights")
     state = None if init is None else _wide_model(init, data.keys, d)
     for iteration in range(1, iterations + 1):
@@ -115,6 +117,7 @@ class _Rows:
         keys: list[str],
         d: int,
         collapse: str,
+        persist: bool,
         broadcast_limit: int,
         rows_per_salt: int,
     ):
@@ -127,7 +130,7 @@ class _Rows:
             rows, columns = design(df, d, keys), [*keys, *[f"x{i}" for i in range(d)], "t"]
         else:
             rows, columns = packed(df, d, keys), [*keys, "phi", "t"]
-        self.stored = Stored(rows, columns, collapse)
+        self.stored = Stored(rows, columns, collapse, persist)
 
     def close(self) -> None:
         self.stored.close()
@@ -213,7 +216,7 @@ class _Rows:
         """
         if self.laid_out:
             return
-        rows, count = self.stored.rows, self.stored.shape.rows
+        rows, count = self.stored.rows, self.stored.count()
         per_salt = max(self.rows_per_salt, count // HOT_KEYS)
         sizes = rows.groupBy(*self.keys).agg(F.count("*").alias("size"))
         hot = sizes.filter(F.col("size") > per_salt)

@@ -50,25 +50,38 @@ def collapse_copies(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 class Stored:
-    """Rows kept in executor memory and disk for the steps of a training run.
-
-    A lost executor costs the recomputation of its part. ``collapse`` (auto,
-    always, never) groups equal rows. A table that came in fewer tasks than
-    the cluster has cores is spread over all of them. The table is measured
-    before it is stored, so only the form the steps read takes up space.
+    """The rows that every step of a training run reads.
+
+    With ``collapse`` auto the table is measured once. Equal rows are grouped
+    if that is cheap, and a table that came in fewer tasks than the cluster
+    has cores is spread over all of them; the result is kept in executor
+    memory and disk, and a lost executor costs the recomputation of its part.
+    Otherwise the steps read the source again, which for a column store is as
+    fast as reading kept rows and saves filling the store. ``persist`` keeps
+    the rows in any case, for sources that cost more, such as text or joins.
     """
 
-    def __init__(self, rows: DataFrame, columns: Sequence[str], collapse: str):
+    def __init__(self, rows: DataFrame, columns: Sequence[str], collapse: str, persist: bool):
         if collapse not in ("auto", "always", "never"):
             raise ValueError(f"collapse must be auto, always or never, not {collapse!r}")
-        self.shape = measure(rows, columns)
-        cores = rows.sparkSession.sparkContext.defaultParallelism
-        self.collapsed = collapse == "always" or (collapse == "auto" and self.shape.collapses())
+        self.shape = measure(rows, columns) if collapse == "auto" else None
+        self.collapsed = collapse == "always"
+        spread = False
+        if self.shape is not None:
+            cores = rows.sparkSession.sparkContext.defaultParallelism
+            self.collapsed = self.shape.collapses()
+            spread = self.shape.tasks < cores and self.shape.rows >= SPREAD_ROWS
         if self.collapsed:
             rows = collapse_copies(rows, columns)
-        elif self.shape.tasks < cores and self.shape.rows >= SPREAD_ROWS:
+        elif spread:
             rows = rows.repartition(cores)
-        self.rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        self.rows = rows
+        if self.collapsed or spread or persist:
+            self.rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def count(self) -> int:
+        """Rows of the source if they were measured, else of the stored form."""
+        return self.rows.count() if self.shape is None else self.shape.rows
 
     def replace(self, rows: DataFrame) -> None:
         """Store ``rows``, which derive from the stored ones, instead of them."""

@@ -50,11 +50,12 @@ class _Pass:
         self.tree = False
         self.stored: Stored | None = None
 
-    def store(self, collapse: str) -> None:
+    def store(self, collapse: str, persist: bool) -> None:
         features = [f"x{i}" for i in range(self.d)] if self.strategy == "wide" else ["phi"]
-        self.stored = Stored(self.rows, [*features, "t"], collapse)
+        self.stored = Stored(self.rows, [*features, "t"], collapse, persist)
         self.rows = self.stored.rows
-        self.tree = not self.stored.collapsed and self.stored.shape.tasks > TREE_TASKS
+        shape = self.stored.shape
+        self.tree = not self.stored.collapsed and shape is not None and shape.tasks > TREE_TASKS
 
     def system(self, weights: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
         """H and g at ``weights``: d^2 / 2 + d sums reach the driver, never rows."""
@@ -105,7 +106,7 @@ def newton_train(
     history: bool = False,
     strategy: str = "auto",
     collapse: str = "auto",
-    persist: bool = True,
+    persist: bool = False,
     tolerance: float = PIVOT_TOLERANCE,
 ) -> DataFrame:
     """``(i, w, singular)`` after exactly ``iterations`` full Newton steps.
@@ -113,15 +114,15 @@ def newton_train(
     Training starts from 0, or from ``init``, an ``(i, w)`` model. With
     ``history`` the weights after every step are returned with ``iteration``
     1, 2, ... ``singular`` tells that the step found a singular Hessian and
-    kept the weights. The table is stored for the steps unless ``persist`` is
-    false; ``collapse`` (auto, always, never) then sums equal rows once.
+    kept the weights. ``collapse`` (auto, always, never) groups equal rows
+    once; ``persist`` keeps the rows between the steps, which pays off for
+    costly sources such as text or joins.
     """
     weights = np.zeros(d) if init is None else np.array(model_weights(init))
     if weights.size != d:
         raise ValueError(f"{weights.size} weights for {d} features")
     data = _Pass(df, d, strategy)
-    if persist:
-        data.store(collapse)
+    data.store(collapse, persist)
     rows = []
     singular = np.array([False])
     for iteration in range(1, iterations + 1):

@@ -100,7 +100,7 @@ def test_null_keys_and_clashing_names_fail(spark):
 
 def test_hot_key_is_split_and_rows_stay_put(spark):
     rows, _ = keyed_rows(spark, 3)
-    data = keyed._Rows(rows, ["name", "part"], 3, "never", 0, 100)
+    data = keyed._Rows(rows, ["name", "part"], 3, "never", False, 0, 100)
     zeros = [f"0D AS w{i}" for i in range(3)]
     state = rows.select("name", "part").distinct().selectExpr("*", *zeros)
     data.choose_join(state)

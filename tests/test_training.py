@@ -214,7 +214,9 @@ def test_partitioning_does_not_matter(spark):
     rows = features.line(spark, FOLDER)
     one = weights(newton.newton_train(rows.coalesce(1), 3, collapse="never"))
     many = weights(newton.newton_train(rows.repartition(13), 3, collapse="never"))
+    kept = weights(newton.newton_train(rows, 3, collapse="never", persist=True))
     assert one == pytest.approx(many, rel=1e-10)
+    assert one == pytest.approx(kept, rel=1e-10)
 
 
 def test_bins_add_up(spark):
