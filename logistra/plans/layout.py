@@ -56,9 +56,10 @@ class Stored:
     if that is cheap, and a table that came in fewer tasks than the cluster
     has cores is spread over all of them; the result is kept in executor
     memory and disk, and a lost executor costs the recomputation of its part.
-    Otherwise the steps read the source again, which for a column store is as
-    fast as reading kept rows and saves filling the store. ``persist`` keeps
-    the rows in any case, for sources that cost more, such as text or joins.
+    Otherwise the steps read the source again, which over six steps of a
+    column store costs about as much as keeping the rows and needs no room.
+    ``persist`` keeps them in any case, for costlier sources such as text or
+    joins.
     """
 
     def __init__(self, rows: DataFrame, columns: Sequence[str], collapse: str, persist: bool):
