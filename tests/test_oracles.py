@@ -7,10 +7,11 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from logistra.catalog import QUERIES
+from logistra.oracles import ORACLES as SQL
 
 FOLDER = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, SQL = queries(), oracle_sql()
 
 
 @pytest.fixture(scope="module")
