@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logistra.llm import mixing
+from logistra.llm import fingerprint, mixing
 from logistra.llm.frames import table
 
 
@@ -12,7 +12,12 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.schedule(table(spark, folder, "documents")).drop("source", "content")
 
 
+def op10_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint.compare_with_edited(table(spark, folder, "documents"))
+
+
 LLM_QUERIES = {
+    "op10_fingerprint": op10_fingerprint,
     "op8_mixing": op8_mixing,
 }
 LLM_ORACLES = {
