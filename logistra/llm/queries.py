@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logistra.llm import fingerprint, mixing
+from logistra.llm import fingerprint, mixing, ngram_join
 from logistra.llm.frames import table
 
 
@@ -16,7 +16,13 @@ def op10_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint.compare_with_edited(table(spark, folder, "documents"))
 
 
+def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    rule = ngram_join.Rule(k=3, num=90, den=100, spare=1.0)
+    return ngram_join.join_components(table(spark, folder, "documents"), rule)
+
+
 LLM_QUERIES = {
+    "op2_ngram_join": op2_ngram_join,
     "op10_fingerprint": op10_fingerprint,
     "op8_mixing": op8_mixing,
 }
