@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from logistra.llm import fingerprint, mixing, ngram_join
+from logistra.llm import fingerprint, mixing, ngram_join, url_filter
 from logistra.llm.frames import table
 
 
@@ -21,12 +22,86 @@ def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.join_components(table(spark, folder, "documents"), rule)
 
 
+def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """A page's outcome is the label of the document of the same number: low quality is bad."""
+    outcomes = table(spark, folder, "labels").selectExpr("doc_id AS page_id", "1 - quality AS bad")
+    judged = url_filter.verdicts(table(spark, folder, "pages"), outcomes)
+    # The last bits of sums depend on the order of rows.
+    return judged.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in ("bad_share", "low")})
+
+
 LLM_QUERIES = {
+    "op7_url_filter": op7_url_filter,
     "op2_ngram_join": op2_ngram_join,
     "op10_fingerprint": op10_fingerprint,
     "op8_mixing": op8_mixing,
 }
 LLM_ORACLES = {
+    "op7_url_filter": r"""
+WITH parts AS (
+    SELECT page_id,
+        CASE WHEN url LIKE '%://%' THEN lower(regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*')) ELSE '' END AS host,
+        CASE WHEN url LIKE '%://%' THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+    FROM pages
+), said AS (
+    SELECT doc_id AS page_id, count(*) AS n, sum(1 - quality) AS bad
+    FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id
+), hosts AS (
+    SELECT host, coalesce(sum(n), 0)::double AS n, coalesce(sum(bad), 0)::double AS bad,
+        regexp_extract(host, '[^.]*$') AS suffix, regexp_extract(host, '[^.]*([.][^.]*)?$') AS domain
+    FROM parts LEFT JOIN said USING (page_id) GROUP BY host
+), domains AS (
+    SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY suffix, domain
+), suffixes AS (
+    SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY suffix
+), root AS (
+    SELECT coalesce(sum(bad) / nullif(sum(n), 0), 0) AS mean FROM suffixes
+), m1 AS (
+    SELECT max(mean) AS prior, coalesce(sum(CASE WHEN n > 0 THEN n * pow(bad / n - mean, 2) ELSE 0 END), 0) AS scatter,
+        max(mean) * (1 - max(mean)) AS spread, count(*) FILTER (n > 0) AS k, sum(n) AS total, sum(n * n) AS squares
+    FROM suffixes CROSS JOIN root
+), w1 AS (
+    SELECT prior, CASE WHEN k > 1 AND spread > 0 AND scatter > k * spread AND total * total > squares
+        THEN greatest(2, least(1000, spread * (total - squares / total) / (scatter - k * spread) - 1)) ELSE 1000 END AS weight
+    FROM m1
+), p1 AS (
+    SELECT suffix, (bad + weight * prior) / (n + weight) AS mean FROM suffixes CROSS JOIN w1
+), m2 AS (
+    SELECT suffix, max(mean) AS prior, coalesce(sum(CASE WHEN n > 0 THEN n * pow(bad / n - mean, 2) ELSE 0 END), 0) AS scatter,
+        max(mean) * (1 - max(mean)) AS spread, count(*) FILTER (n > 0) AS k, sum(n) AS total, sum(n * n) AS squares
+    FROM domains JOIN p1 USING (suffix) GROUP BY suffix
+), w2 AS (
+    SELECT suffix, prior, CASE WHEN k > 1 AND spread > 0 AND scatter > k * spread AND total * total > squares
+        THEN greatest(2, least(1000, spread * (total - squares / total) / (scatter - k * spread) - 1)) ELSE 1000 END AS weight
+    FROM m2
+), p2 AS (
+    SELECT domain, (bad + weight * prior) / (n + weight) AS mean FROM domains JOIN w2 USING (suffix)
+), m3 AS (
+    SELECT domain, max(mean) AS prior, coalesce(sum(CASE WHEN n > 0 THEN n * pow(bad / n - mean, 2) ELSE 0 END), 0) AS scatter,
+        max(mean) * (1 - max(mean)) AS spread, count(*) FILTER (n > 0) AS k, sum(n) AS total, sum(n * n) AS squares
+    FROM hosts JOIN p2 USING (domain) GROUP BY domain
+), w3 AS (
+    SELECT domain, prior, CASE WHEN k > 1 AND spread > 0 AND scatter > k * spread AND total * total > squares
+        THEN greatest(2, least(1000, spread * (total - squares / total) / (scatter - k * spread) - 1)) ELSE 1000 END AS weight
+    FROM m3
+), p3 AS (
+    SELECT host, n, weight, (bad + weight * prior) / (n + weight) AS mean FROM hosts JOIN w3 USING (domain)
+), judged AS (
+    SELECT host, mean, mean - 1.645 * sqrt(mean * (1 - mean) / (n + weight + 1)) AS low FROM p3
+), ruled AS (
+    SELECT page_id, host, path, mean, low, CASE
+        WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND path LIKE '/en/%' THEN 'www.example.com/en/'
+        WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/%' THEN 'example.com/en/'
+        WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/es/%' THEN 'net/es/'
+        WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/fr/%' THEN 'net/fr/'
+        WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule
+    FROM parts JOIN judged USING (host)
+)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow'
+    WHEN rule IS NOT NULL THEN 'block' WHEN low > 0.25 THEN 'block' ELSE 'allow' END AS verdict,
+    round(mean, 6) + 0.0 AS bad_share, round(low, 6) + 0.0 AS low
+FROM ruled
+""",
     "op8_mixing": r"""
 WITH sized AS (
     SELECT doc_id, source, coalesce(md5(CAST(doc_id AS varchar)), '') AS place, coalesce(md5(text), '') AS content,
