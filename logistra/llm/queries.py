@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logistra.llm import fingerprint, mixing, ngram_join, url_filter
+from logistra.llm import fingerprint, licenses, mixing, ngram_join, url_filter
 from logistra.llm.frames import table
 
 
@@ -30,7 +30,12 @@ def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judged.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in ("bad_share", "low")})
 
 
+def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 LLM_QUERIES = {
+    "op6_licenses": op6_licenses,
     "op7_url_filter": op7_url_filter,
     "op2_ngram_join": op2_ngram_join,
     "op10_fingerprint": op10_fingerprint,

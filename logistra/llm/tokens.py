@@ -24,7 +24,7 @@ class Words(NamedTuple):
     """Words of a chunk of documents: documents ``first`` to ``first + len(offsets) - 2``."""
 
     first: int
-    data: np.ndarray  # bytes of the chunk
+    raw: np.ndarray  # bytes of the chunk
     bounds: np.ndarray  # byte offsets of the documents
     starts: np.ndarray  # byte offset of each word
     ends: np.ndarray
@@ -34,7 +34,7 @@ class Words(NamedTuple):
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) <= n:
-        size = max(n + 1, CHUNK + 1)
+        size = max(n + 1, 4096 if not _powers else 2 * len(_powers[0]))
         _powers[:] = [
             np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, b)]), dtype=np.uint64)
             for b in (_BASE, _BASE_INVERSE)
@@ -92,12 +92,11 @@ def words(column: pa.Array, table: np.ndarray) -> Iterator[Words]:
     raw, bounds = buffers(column)
     for first, last in chunks(bounds):
         offsets = bounds[first : last + 1] - bounds[first]
-        data = table[raw[bounds[first] : bounds[last]]]
-        yield _split(first, data, offsets)
+        yield _split(first, raw[bounds[first] : bounds[last]], table, offsets)
 
 
-def _split(first: int, data: np.ndarray, bounds: np.ndarray) -> Words:
-    n = len(data)
+def _split(first: int, raw: np.ndarray, table: np.ndarray, bounds: np.ndarray) -> Words:
+    data, n = table[raw], len(raw)
     inside = np.zeros(n + 2, dtype=bool)
     inside[1:-1] = data != 0
     begin = inside[1:-1] & ~inside[:-2]
@@ -112,7 +111,7 @@ def _split(first: int, data: np.ndarray, bounds: np.ndarray) -> Words:
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(data * powers[:n], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * inverses[starts])
-    return Words(first, data, bounds, starts, ends, np.searchsorted(starts, bounds), hashes)
+    return Words(first, raw, bounds, starts, ends, np.searchsorted(starts, bounds), hashes)
 
 
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -125,3 +124,8 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     for j in range(width):
         total = mix(total + hashes[j : n - width + 1 + j] + np.uint64(width))
     return total
+
+
+def alone(hashes: np.ndarray) -> np.ndarray:
+    """Each word as the shingle of a text of that word alone."""
+    return mix(hashes + np.uint64(1))
