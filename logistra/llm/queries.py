@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logistra.llm import fingerprint, licenses, mixing, ngram_join, url_filter
+from logistra.llm import decontaminate, fingerprint, licenses, mixing, ngram_join, url_filter
 from logistra.llm.frames import table
 
 
@@ -34,7 +34,14 @@ def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents"))
 
 
+def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_leaks(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    )
+
+
 LLM_QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op6_licenses": op6_licenses,
     "op7_url_filter": op7_url_filter,
     "op2_ngram_join": op2_ngram_join,
