@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logistra.llm import decontaminate, fingerprint, licenses, mixing, ngram_join, url_filter
+from logistra.llm import (
+    decontaminate,
+    fingerprint,
+    language_id,
+    licenses,
+    mixing,
+    ngram_join,
+    url_filter,
+)
 from logistra.llm.frames import table
 
 
@@ -40,7 +48,12 @@ def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identify(table(spark, folder, "documents"))
+
+
 LLM_QUERIES = {
+    "op4_language_id": op4_language_id,
     "op1_decontaminate": op1_decontaminate,
     "op6_licenses": op6_licenses,
     "op7_url_filter": op7_url_filter,
