@@ -132,7 +132,7 @@ def with_ranges(docs: DataFrame) -> DataFrame:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text, fp)`` with ``next_text`` and ``next_fp``, those of the next document.
+    """``(doc_id, text, fp, next_text, next_fp)``: fingerprints, and those of the next document.
 
     The order is descending doc_id, then text; after the last row comes the
     first. A null text is empty. Windows run inside a range of ids; the first
@@ -142,13 +142,12 @@ def with_next(docs: DataFrame) -> DataFrame:
     ranged = with_ranges(docs)
     # Hashes break ties of equal ids, so that no long text is compared.
     order = "PARTITION BY range ORDER BY doc_id DESC, xxhash64(text), text"
-    inside = ranged.selectExpr(
+    inside = ranged.withColumn("fp", fingerprint("text")).selectExpr(
         "*", f"lead(struct(text, fp)) OVER ({order}) AS following"
     )
-    heads = ranged.groupBy("range").agg(
-        F.expr("min_by(struct(text, fp), struct(-doc_id AS a, xxhash64(text) AS b, text AS c))")
-        .alias("head")
-    )
+    first = F.expr("min_by(text, struct(-doc_id AS a, xxhash64(text) AS b, text AS c))")
+    heads = ranged.groupBy("range").agg(first.alias("text"))
+    heads = heads.select("range", F.struct("text", fingerprint("text").alias("fp")).alias("head"))
     # One row per range: the range that follows in descending order.
     numbers = ranged.groupBy("range").count()
     follows = numbers.selectExpr(
@@ -171,7 +170,7 @@ def compare_with_edited(docs: DataFrame) -> DataFrame:
     all, of the first of the next document. One document alone is its own next.
     """
     texts = pick(docs, "doc_id", "text").selectExpr("doc_id", "coalesce(text, '') AS text")
-    both = with_next(texts.withColumn("fp", fingerprint("text"))).selectExpr(
+    both = with_next(texts).selectExpr(
         "*", "CAST(char_length(text) AS long) AS n_chars"
     )
     half = "CAST(n_chars - floor(n_chars / 2) AS int)"
