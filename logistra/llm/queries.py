@@ -12,6 +12,7 @@ from logistra.llm import (
     licenses,
     mixing,
     ngram_join,
+    quality,
     url_filter,
 )
 from logistra.llm.frames import table
@@ -52,7 +53,12 @@ def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identify(table(spark, folder, "documents"))
 
 
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 LLM_QUERIES = {
+    "op5_quality": op5_quality,
     "op4_language_id": op4_language_id,
     "op1_decontaminate": op1_decontaminate,
     "op6_licenses": op6_licenses,
