@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logistra.llm.frames import pick
+from logistra.storage import stored
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -109,18 +110,19 @@ def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.sum("bad").alias("bad")
     )
     suffix, domain = _levels()
-    hosts = (
+    hosts, _ = stored(
         pages.join(said, "page_id", "left")
         .groupBy("host")
         .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-        .selectExpr("*", f"{suffix} AS suffix", f"{domain} AS domain", "0 AS root")
+        .selectExpr("*", f"{suffix} AS suffix", f"{domain} AS domain", "0 AS root"),
+        "hosts",
     )
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     domains = hosts.groupBy("root", "suffix", "domain").agg(*sums)
     suffixes = domains.groupBy("root", "suffix").agg(*sums)
     root = suffixes.groupBy("root").agg(F.expr("coalesce(sum(bad) / nullif(sum(n), 0), 0D)").alias("mean"))
     by_suffix = _posterior(root, suffixes, "root", ["suffix"])
-    by_domain = _posterior(by_suffix, domains, "suffix", ["domain"])
+    by_domain, _ = stored(_posterior(by_suffix, domains, "suffix", ["domain"]), "domains")
     return _posterior(by_domain, hosts, "domain", ["host"]).selectExpr(
         "host", "n", "bad", "mean",
         f"mean - {Z}D * sqrt(mean * (1 - mean) / (n + weight + 1)) AS low",
