@@ -11,6 +11,7 @@ which changes no component.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +21,17 @@ from pyspark.sql import functions as F
 
 from logistra.llm import tokens
 from logistra.llm.components import components
-from logistra.llm.frames import pick
+from logistra.llm.frames import let, pick
 from logistra.storage import drop_table, stored
 
 # Most rows of a table of class ids that is broadcast: 8 bytes each.
 BROADCAST_ROWS = 1_000_000
+# What names a bucket: a prefix token and the lower of two size classes.
+BUCKET = ["token", "size"]
+# What names the large buckets of one first class.
+FAMILY = ["hub", "size"]
+# Rows of a bucket up to which all its pairs are listed.
+SMALL_BUCKET = 32
 # Tokens of the classes that one task compares as left and as right sides.
 LEFT_TOKENS, RIGHT_TOKENS = 400_000, 2_000_000
 
@@ -91,9 +98,12 @@ def _prefix_rows(rule: Rule):
 
 def _set_rows(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, sizes, found in _sets(rule, batches):
-            cids = pa.array(_classes(sizes, found))
-            yield pa.RecordBatch.from_arrays([cids, _lists(found)], names=["cid", "tokens"])
+        for batch, first, sizes, found in _sets(rule, batches):
+            ids = batch.column("doc_id").slice(first, len(found))
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array(_classes(sizes, found)), _lists(found)],
+                names=["doc_id", "cid", "tokens"],
+            )
 
     return run
 
@@ -128,31 +138,41 @@ def _compare(rule: Rule):
     return run
 
 
-def _semi(df: DataFrame, ids: DataFrame, rows: int) -> DataFrame:
-    """Rows of ``df`` whose cid is in ``ids``, broadcast up to BROADCAST_ROWS."""
-    return df.join(F.broadcast(ids) if rows <= BROADCAST_ROWS else ids, "cid", "left_semi")
-
+def _members(heads: DataFrame, rule: Rule) -> DataFrame:
+    """``(cid, n, gid, prefix)``: of each class the prefix tokens that occur in other rows too.
 
-def _buckets(classes: DataFrame, rule: Rule) -> DataFrame:
-    """``(token, cid, n, gid)``: the classes that share a prefix token with a class of like size."""
-    postings = classes.select("cid", "n", F.explode("head").alias("token"))
+    Copies may repeat in ``heads``: frequencies are those of rows, which order
+    the tokens as well as any other numbers.
+    """
+    postings = heads.where("n > 0").select("cid", "n", F.explode("head").alias("token"))
     common = postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     # Tokens that occur once stand first in the order and can't be shared.
     ordered = (
         postings.join(common, "token")
         .groupBy("cid", "n")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
+        .agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("shared"))
     )
     least = f"((n * {rule.num} + {rule.den - 1}) div {rule.den})"
     inner = f"(({least} * {rule.num} + {rule.den - 1}) div {rule.den})"
     extended = f"(n - {least} + CAST(floor({rule.spare}D * (n - {least})) AS long) + 1)"
     length = f"({extended} - CAST(floor({rule.spare}D * ({least} - {inner})) AS long))"
     prefix = f"slice(shared.token, 1, CAST(greatest(0, {length} - {extended} + size(shared)) AS int))"
-    members = ordered.selectExpr("cid", "n", f"{prefix} AS prefix").where("size(prefix) > 0")
-    members = members.withColumn("gid", F.xxhash64("n", "prefix"))
+    return (
+        ordered.selectExpr("cid", "n", f"{prefix} AS prefix")
+        .where("size(prefix) > 0")
+        .withColumn("gid", F.xxhash64("n", "prefix"))
+    )
+
+
+def _buckets(members: DataFrame, rule: Rule) -> DataFrame:
+    """``(token, size, cid, n, gid, rows)``: groups that share a prefix token with one of like size.
+
+    A group pair exists where a bucket holds two sizes in reach of each other
+    or two members of one size; the members of such groups are expanded.
+    ``rows`` is the number of members in the bucket.
+    """
     groups = members.select("gid", "n", F.explode("prefix").alias("token"))
     groups = groups.groupBy("token", "gid", "n").agg(F.count("*").alias("members"))
-    # Group pairs exist where a bucket holds two sizes in reach, or members of one group.
     near = f"{{low}} * {rule.den} >= {{high}} * {rule.num}"
     side = "{f}(n) OVER (PARTITION BY token ORDER BY n)"
     below = near.format(low=side.format(f="lag"), high="n")
@@ -160,11 +180,39 @@ def _buckets(classes: DataFrame, rule: Rule) -> DataFrame:
     sizes = (
         groups.groupBy("token", "n")
         .agg(F.sum("members").alias("members"))
-        .selectExpr("token", "n", f"members > 1 OR coalesce({below}, false) OR coalesce({above}, false) AS kept")
+        .selectExpr(
+            "token",
+            "n",
+            "members",
+            f"members > 1 OR coalesce({below}, false) OR coalesce({above}, false) AS kept",
+        )
         .where("kept")
     )
-    kept = groups.join(sizes.drop("kept"), ["token", "n"]).select("token", "gid")
-    return kept.join(members.select("gid", "cid", "n"), "gid")
+    # Like sizes are in one size class or in neighbours; a bucket holds two classes.
+    step = math.log(rule.den / rule.num) * 1.0001
+    kept = groups.join(sizes.select("token", "n"), ["token", "n"]).selectExpr(
+        "*", f"CAST(floor(ln(n) / {step!r}D) AS long) AS class"
+    )
+    kept = kept.selectExpr("*", "explode(array(class, class - 1)) AS size")
+    totals = (
+        kept.groupBy("token", "size")
+        .agg(F.sum("members").alias("rows"), F.max(F.expr("class = size")).alias("low"))
+        .where("rows > 1 AND low")
+    )
+    kept = kept.join(totals, ["token", "size"])
+    return kept.select("token", "size", "gid", "rows").join(members.select("gid", "cid", "n"), "gid")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """The links ``(a, b)`` among ``pairs(a, b)``."""
+    left = pairs.join(sets.select(F.col("cid").alias("a"), F.col("tokens").alias("x")), "a")
+    both = left.join(sets.select(F.col("cid").alias("b"), F.col("tokens").alias("y")), "b")
+    linked = let(
+        "size(array_intersect(x, y))",
+        "i",
+        f"i * {rule.den}L >= {rule.num}L * (size(x) + size(y) - i)",
+    )
+    return both.where(linked).select("a", "b")
 
 
 def links(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
@@ -172,82 +220,88 @@ def links(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     texts = pick(docs, "doc_id", "text")
     id_type = texts.schema["doc_id"].dataType.simpleString()
-    heads, _ = stored(
+    heads, head_path = stored(
         texts.mapInArrow(_prefix_rows(rule), f"doc_id {id_type}, n long, cid long, head array<long>"),
         "heads",
     )
-    classes = heads.where("n > 0").select("cid", "n", "head").dropDuplicates(["cid"])
-    buckets, bucket_path = stored(_buckets(classes, rule), "buckets")
-    needed = buckets.select("cid").distinct()
-    rows = needed.count()
+    rows, _ = stored(heads.select("doc_id", "n", "cid"), "classes")
+    members, member_path = stored(_members(heads, rule), "members")
+    drop_table(spark, head_path)
+    buckets, bucket_path = stored(_buckets(members, rule), "buckets")
+    drop_table(spark, member_path)
+    # Texts of one row of each class that may have a partner.
+    wanted = buckets.select("cid").distinct().join(rows, "cid").groupBy("cid").agg(
+        F.min("doc_id").alias("doc_id")
+    )
+    keys = [F.col("r.cid") == F.col("s.cid"), F.col("r.doc_id").eqNullSafe(F.col("s.doc_id"))]
+    small = wanted.count() <= BROADCAST_ROWS
+    every = texts.mapInArrow(_set_rows(rule), f"doc_id {id_type}, cid long, tokens array<long>")
     sets, set_path = stored(
-        _semi(texts.select("text").mapInArrow(_set_rows(rule), "cid long, tokens array<long>"), needed, rows)
-        .dropDuplicates(["cid"]),
+        every.alias("s")
+        .join((F.broadcast(wanted) if small else wanted).alias("r"), keys, "left_semi")
+        .select("cid", "tokens"),
         "sets",
     )
-    # Every bucket's first class against the others of the bucket.
-    hubs = buckets.groupBy("token").agg(F.min("cid").alias("hub"))
-    star = buckets.join(hubs, "token").where("cid <> hub").select("hub", "cid").distinct()
-    left = star.join(sets, "cid")
-    right = sets.select(F.col("cid").alias("hub"), F.col("tokens").alias("hub_tokens"))
-    inter = "size(array_intersect(tokens, hub_tokens))"
-    union = f"(size(tokens) + size(hub_tokens) - {inter})"
-    near = "least(size(tokens), size(hub_tokens))", "greatest(size(tokens), size(hub_tokens))"
-    first, first_path = stored(
-        left.join(right, "hub")
-        .where(f"{near[0]} * {rule.den}L >= {near[1]} * {rule.num}L")
-        .where(f"{inter} * {rule.den}L >= {rule.num}L * {union}")
-        .select(F.col("hub").alias("a"), F.col("cid").alias("b")),
-        "links",
-    )
+    # All pairs of a small bucket; the first class of a large one with each other.
+    few = buckets.where(f"rows <= {SMALL_BUCKET}")
+    other = few.select(*BUCKET, F.col("cid").alias("b"), F.col("n").alias("m"))
+    near = f"a < b AND least(n, m) * {rule.den} >= greatest(n, m) * {rule.num}"
+    pairs = few.withColumnRenamed("cid", "a").join(other, BUCKET).where(near).select("a", "b")
+    # Large buckets with the same first class are one: the tokens of a family of
+    # near copies have nearly the same rows.
+    many = buckets.where(f"rows > {SMALL_BUCKET}")
+    hubs = many.groupBy(*BUCKET).agg(F.min("cid").alias("hub"))
+    many = many.join(hubs, BUCKET).select("hub", "size", "cid", "n").distinct()
+    star = many.where("cid <> hub").select(F.col("cid").alias("a"), F.col("hub").alias("b"))
+    first, first_path = stored(_verified(pairs.union(star).distinct(), sets, rule), "links")
     known = components(first).withColumnRenamed("node", "cid")
-    second, second_path = stored(_remaining(buckets, hubs, sets, known, rule), "links")
+    second, second_path = stored(_remaining(many, sets, known, rule), "links")
     found = components(first.union(second)).withColumnRenamed("node", "cid")
     for path in (bucket_path, set_path, first_path, second_path):
         drop_table(spark, path)
-    return heads.select("doc_id", "n", "cid"), found
+    return rows, found
 
 
-def _remaining(
-    buckets: DataFrame, hubs: DataFrame, sets: DataFrame, known: DataFrame, rule: Rule
-) -> DataFrame:
-    """Links between classes of one bucket that the first round did not connect.
+def _remaining(buckets: DataFrame, sets: DataFrame, known: DataFrame, rule: Rule) -> DataFrame:
+    """Links between classes of large buckets that their first class did not connect.
 
     The rows of a bucket outside its largest component are the left sides. They
     are cut into blocks of LEFT_TOKENS, and each block meets the rows of the
     bucket in blocks of RIGHT_TOKENS, so that a task's memory is bounded and no
     table of pairs arises.
     """
-    rows = (
-        buckets.join(hubs, "token")
-        .where("cid <> hub")
-        .select("token", "cid", "n")
-        .join(known, "cid", "left")
-        .select("token", "cid", "n", F.coalesce("component", "cid").alias("component"))
+    rows = buckets.join(known, "cid", "left").select(
+        *FAMILY, "cid", "n", F.coalesce("component", "cid").alias("component")
     )
-    parts = rows.groupBy("token", "component").agg(F.sum("n").alias("words"))
-    plans = parts.groupBy("token").agg(
-        F.max_by("component", F.struct("words", "component")).alias("largest"),
-        F.sum("words").alias("words"),
-        F.max("words").alias("most"),
-        F.count("*").alias("parts"),
-    ).where("parts > 1").selectExpr(
-        "token",
-        "largest",
-        f"1 + (words - most) div {LEFT_TOKENS} AS lefts",
-        f"1 + words div {RIGHT_TOKENS} AS rights",
+    parts = rows.groupBy(*FAMILY, "component").agg(F.sum("n").alias("words"))
+    plans = (
+        parts.groupBy(*FAMILY)
+        .agg(
+            F.max_by("component", F.struct("words", "component")).alias("largest"),
+            F.sum("words").alias("words"),
+            F.max("words").alias("most"),
+            F.count("*").alias("parts"),
+        )
+        .where("parts > 1")
+        .selectExpr(
+            *FAMILY,
+            "largest",
+            f"1 + (words - most) div {LEFT_TOKENS} AS lefts",
+            f"1 + words div {RIGHT_TOKENS} AS rights",
+        )
     )
-    dealt = rows.join(plans, "token")
+    dealt = rows.join(plans, FAMILY)
     left = dealt.where("component <> largest").selectExpr(
-        "token", "cid", "component", "pmod(xxhash64(cid), lefts) AS l",
+        *FAMILY, "cid", "component", "pmod(xxhash64(cid), lefts) AS l",
         "explode(sequence(0L, rights - 1)) AS r", "true AS is_left",
-    )
+    )
     right = dealt.selectExpr(
-        "token", "cid", "component", "explode(sequence(0L, lefts - 1)) AS l",
+        *FAMILY, "cid", "component", "explode(sequence(0L, lefts - 1)) AS l",
         "pmod(xxhash64(cid, 1), rights) AS r", "false AS is_left",
-    )
+    )
     blocks = left.union(right).join(sets, "cid")
-    return blocks.groupBy("token", "l", "r").applyInArrow(_compare(rule), "a long, b long").distinct()
+    compared = blocks.groupBy(*FAMILY, "l", "r").applyInArrow(_compare(rule), "a long, b long")
+    return compared.distinct()
 
 
 def join_components(docs: DataFrame, rule: Rule | None = None) -> DataFrame:

@@ -27,7 +27,7 @@ def op10_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
-    rule = ngram_join.Rule(k=3, num=90, den=100, spare=1.0)
+    rule = ngram_join.Rule(k=3, num=90, den=100)
     return ngram_join.join_components(table(spark, folder, "documents"), rule)
 
 
