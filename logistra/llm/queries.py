@@ -10,6 +10,7 @@ from logistra.llm import (
     fingerprint,
     language_id,
     licenses,
+    lm_score,
     mixing,
     ngram_join,
     quality,
@@ -57,7 +58,14 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op9_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    """The target is what is labelled to be of good quality."""
+    good = table(spark, folder, "labels").where("quality = 1")
+    return lm_score.score(table(spark, folder, "documents"), good)
+
+
 LLM_QUERIES = {
+    "op9_lm_score": op9_lm_score,
     "op5_quality": op5_quality,
     "op4_language_id": op4_language_id,
     "op1_decontaminate": op1_decontaminate,
