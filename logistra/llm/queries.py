@@ -14,6 +14,7 @@ from logistra.llm import (
     mixing,
     ngram_join,
     quality,
+    secrets,
     url_filter,
 )
 from logistra.llm.frames import table
@@ -64,7 +65,13 @@ def op9_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     return lm_score.score(table(spark, folder, "documents"), good)
 
 
+def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return secrets.scan(docs, secrets.train(secrets.corpus_examples(docs)))
+
+
 LLM_QUERIES = {
+    "op3_secrets": op3_secrets,
     "op9_lm_score": op9_lm_score,
     "op5_quality": op5_quality,
     "op4_language_id": op4_language_id,
