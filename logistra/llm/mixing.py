@@ -70,26 +70,23 @@ def source_targets(totals: DataFrame, weights=WEIGHTS, tilts=TILTS, budget=BUDGE
     )
 
 
-def schedule(docs: DataFrame, weights=WEIGHTS, tilts=TILTS, budget=BUDGET) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text, source), range-sorted by ``position``.
+def _keyed(docs: DataFrame, *more: str) -> DataFrame:
+    """``docs`` (doc_id, text, source) with hashes that name a row; none is null."""
+    return docs.selectExpr(
+        *more,
+        "coalesce(concat('=', source), '') AS skey",
+        "coalesce(md5(CAST(doc_id AS string)), '') AS place",
+        "coalesce(md5(text), '') AS content",
+    )
 
-    ``size`` (words of the text; null or empty: 0), ``source_size``, ``target``,
-    ``taken`` (words that the mix takes, repeats counted), ``position`` and
-    ``second_position`` (training time of the first and second pass; null if
-    there is none). A source is read in the order of a hash of the id, once or
-    twice, until its target is reached; the last document may be taken in part,
-    so the words taken of a source are its target without the fraction. Rows
-    with equal ids are documents of their own. A null source is a source.
-    Sorting leaves documents that are not taken at the end.
-    """
+
+def _planned(docs: DataFrame, weights, tilts, budget) -> DataFrame:
     sized, _ = stored(
-        pick(docs, "doc_id", "text", "source").selectExpr(
+        _keyed(
+            pick(docs, "doc_id", "text", "source"),
             "doc_id",
             "source",
-            "coalesce(concat('=', source), '') AS skey",
             f"CAST(coalesce(regexp_count(text, r'{WORD}'), 0) AS long) AS size",
-            "coalesce(md5(CAST(doc_id AS string)), '') AS place",
-            "coalesce(md5(text), '') AS content",
         ).selectExpr("*", f"substring(place, 1, {BUCKET_DIGITS}) AS bucket"),
         "mixing",
     )
@@ -107,21 +104,64 @@ def schedule(docs: DataFrame, weights=WEIGHTS, tilts=TILTS, budget=BUDGET) -> Da
         " content, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start",
         "CAST(floor(target) AS long) AS wanted",
     )
-    passes = range(MOST_PASSES)
     part = "greatest(0L, least(size, wanted - start - {p} * source_size))"
     # D(t) = target * ((1 - tilt) t + tilt t^2), solved for t without cancellation.
     share = "((start + {p} * source_size) / target)"
     time = f"2 * {share} / (1 - tilt + sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * {share}))"
-    taken = [part.format(p=p) for p in passes]
-    times = [f"if({part.format(p=p)} > 0, {time.format(p=p)}, NULL)" for p in passes]
+    passes = range(MOST_PASSES)
     return started.selectExpr(
-        "doc_id",
-        "size",
-        "source_size",
-        "target",
-        f"{' + '.join(taken)} AS taken",
-        f"{times[0]} AS position",
-        f"{times[1]} AS second_position",
-        "source",
-        "content",
-    ).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+        "*",
+        f"{' + '.join(part.format(p=p) for p in passes)} AS taken",
+        *(
+            f"if({part.format(p=p)} > 0, {time.format(p=p)}, NULL) AS {name}"
+            for p, name in zip(passes, ("position", "second_position"), strict=True)
+        ),
+    )
+
+
+def schedule(docs: DataFrame, weights=WEIGHTS, tilts=TILTS, budget=BUDGET) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text, source), range-sorted by ``position``.
+
+    ``size`` (words of the text; null or empty: 0), ``source_size``, ``target``,
+    ``taken`` (words that the mix takes, repeats counted), ``position`` and
+    ``second_position`` (training time of the first and second pass; null if
+    there is none). A source is read in the order of a hash of the id, once or
+    twice, until its target is reached; the last document may be taken in part,
+    so the words taken of a source are its target without the fraction. Rows
+    with equal ids are documents of their own. A null source is a source.
+    Documents that are not taken stand at the end.
+    """
+    columns = ["doc_id", "size", "source_size", "target", "taken", "position", "second_position"]
+    planned = _planned(docs, weights, tilts, budget).select(columns)
+    return planned.orderBy(F.col("position").asc_nulls_last(), "doc_id")
+
+
+def training_sequence(docs: DataFrame, weights=WEIGHTS, tilts=TILTS, budget=BUDGET) -> DataFrame:
+    """One row per pass of the mix over a row of ``docs``, sorted by ``position``, all columns.
+
+    ``taken`` is the number of words that the pass takes of the document, from
+    its start; only for the last document of a source it is less than all.
+    Documents that the mix does not reach are not in it.
+    """
+    names, lower = docs.columns, [c.lower() for c in docs.columns]
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    key = {c: names.index(c) if c in names else lower.index(c) for c in ("doc_id", "text", "source")}
+    keyed = _keyed(plain.selectExpr("*", *(f"c{i} AS {c}" for c, i in key.items())), *plain.columns)
+    names_of_row = ["skey", "place", "content"]
+    # Rows that agree in all of these are told apart by number.
+    number = f"row_number() OVER (PARTITION BY {', '.join(names_of_row)} ORDER BY {{by}}) AS number"
+    planned = _planned(docs, weights, tilts, budget).where("content <> ''")
+    planned = planned.selectExpr("*", number.format(by="start")).where("taken > 0")
+    passes = planned.select(*names_of_row, "number", "size", "taken", "position", "second_position")
+    whole = keyed.where("content <> ''").selectExpr("*", number.format(by="skey"))
+    return (
+        whole.join(passes, [*names_of_row, "number"])
+        .selectExpr(
+            *plain.columns,
+            "inline(filter(array(named_struct('taken', least(size, taken), 'position', position),"
+            " named_struct('taken', taken - size, 'position', second_position)),"
+            " p -> p.position IS NOT NULL))",
+        )
+        .orderBy("position", f"c{key['doc_id']}")
+        .toDF(*names, "taken", "position")
+    )

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from logistra.llm import tokens
 from logistra.llm.components import components
@@ -63,12 +64,17 @@ def _sets(rule: Rule, batches: Iterator[pa.RecordBatch]):
     """For each chunk of documents: first row, batch, sizes and sorted distinct shingles."""
     table = tokens.byte_table()
     for batch in batches:
-        for w in tokens.words(batch.column("text"), table):
-            found = [
-                np.unique(tokens.shingles(w.hashes[i:j], rule.k).view(np.int64))
-                for i, j in zip(w.offsets[:-1], w.offsets[1:], strict=True)
-            ]
-            yield batch, w.first, np.array([len(s) for s in found], dtype=np.int64), found
+        for first, sizes, found in _found(rule, batch.column("text"), table):
+            yield batch, first, sizes, found
+
+
+def _found(rule: Rule, column: pa.Array, table: np.ndarray):
+    for w in tokens.words(column, table):
+        found = [
+            np.unique(tokens.shingles(w.hashes[i:j], rule.k).view(np.int64))
+            for i, j in zip(w.offsets[:-1], w.offsets[1:], strict=True)
+        ]
+        yield w.first, np.array([len(s) for s in found], dtype=np.int64), found
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -324,3 +330,68 @@ def join_components(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     return whole.union(
         rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     )
+
+
+def one_of_each(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, ...) without the near copies of others, all columns.
+
+    Of the rows that links connect the one with the smallest doc_id stays, null
+    ids last; of several such rows that with the smallest text. Rows without
+    words are linked with nothing and stay. The classes that lose a row are
+    listed, and each row's class is computed again from its text, so no text is
+    shuffled while the list is small.
+    """
+    rule = rule or Rule()
+    rows, found = links(docs, rule)
+    classes = (
+        rows.where("n > 0")
+        .groupBy("cid", "doc_id")
+        .agg(F.count("*").alias("same"))
+        .groupBy("cid")
+        .agg(
+            F.min("doc_id").alias("first"),
+            F.sum("same").alias("rows"),
+            F.coalesce(F.min_by("same", "doc_id"), F.sum("same")).alias("firsts"),
+        )
+    )
+    grouped = classes.join(found, "cid", "left").withColumn("family", F.coalesce("component", "cid"))
+    keepers = grouped.groupBy("family").agg(
+        F.min_by("cid", F.struct(F.col("first").isNull(), "first", "cid")).alias("keeper")
+    )
+    losing, _ = stored(
+        grouped.join(keepers, "family")
+        .selectExpr("cid", "first", "rows", "firsts", "cid = keeper AS stays")
+        .where("NOT stays OR rows > 1"),
+        "losing",
+    )
+    names, lower = docs.columns, [c.lower() for c in docs.columns]
+    place = {c: names.index(c) if c in names else lower.index(c) for c in ("doc_id", "text")}
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    schema = StructType([*plain.schema.fields, StructField("cid", LongType())])
+    listed = F.broadcast(losing) if losing.count() <= BROADCAST_ROWS else losing
+    marked = plain.mapInArrow(_with_class(rule, place["text"]), schema).join(listed, "cid", "left")
+    kept = marked.where(
+        F.col("stays").isNull() | F.col("stays") & F.col(f"c{place['doc_id']}").eqNullSafe(F.col("first"))
+    )
+    out = kept.where("coalesce(firsts, 1) = 1").select(plain.columns)
+    if not losing.where("stays AND firsts > 1").isEmpty():
+        order = [f"c{place['text']}", *(c for c in plain.columns if c != f"c{place['text']}")]
+        equal = kept.where("firsts > 1").groupBy("cid").agg(F.min(F.struct(*order)).alias("row"))
+        out = out.union(equal.select("row.*").select(plain.columns))
+    return out.toDF(*names)
+
+
+def _with_class(rule: Rule, place: int):
+    """Rows with the class of their text, null without words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = tokens.byte_table()
+        for batch in batches:
+            cids, empty = np.zeros(batch.num_rows, dtype=np.int64), np.ones(batch.num_rows, dtype=bool)
+            for first, sizes, found in _found(rule, batch.column(place), table):
+                cids[first : first + len(found)] = _classes(sizes, found)
+                empty[first : first + len(found)] = sizes == 0
+            columns = [*batch.columns, pa.array(cids, mask=empty)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "cid"])
+
+    return run

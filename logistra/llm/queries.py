@@ -21,7 +21,7 @@ from logistra.llm.frames import table
 
 
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.schedule(table(spark, folder, "documents")).drop("source", "content")
+    return mixing.schedule(table(spark, folder, "documents"))
 
 
 def op10_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
