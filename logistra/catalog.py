@@ -85,6 +85,48 @@ def model_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return steps(model.load_history(spark, path))
 
 
+def written_lines(spark: SparkSession, folder: str, lines: DataFrame) -> str:
+    """Path of the lines' text files: several, in the order of the events."""
+    path = new_table_path(spark, "lines")
+    parts = lines.repartitionByRange(4, "event_id").sortWithinPartitions("event_id")
+    parts.select("value").write.text(path)
+    return path
+
+
+def text_labelled(spark: SparkSession, folder: str) -> DataFrame:
+    rows = text.load_labelled(spark, written_lines(spark, folder, event_lines(spark, folder)))
+    cells = vectors.vector_to_indexed(rows, ["row_id", "t"])
+    return cells.select("i", rounded("v").alias("v"), "t")
+
+
+def text_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    rows = text.load_vectors(spark, written_lines(spark, folder, event_lines(spark, folder)))
+    cells = vectors.vector_to_indexed(rows, ["row_id"])
+    return cells.select("i", rounded("v").alias("v"))
+
+
+def text_matrix(spark: SparkSession, folder: str) -> DataFrame:
+    cells = text.load_matrix(spark, written_lines(spark, folder, event_lines(spark, folder)))
+    return cells.select("i", "j", rounded("v").alias("v"))
+
+
+def text_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """Every seventh line has a word where a number should be."""
+    lines = event_lines(spark, folder).withColumn(
+        "value", F.expr("if(event_id % 7 = 0, concat('x', event_id, ' ', value), value)")
+    )
+    _, rejects = text.load_labelled(spark, written_lines(spark, folder, lines), on_error="reject")
+    return rejects.select(F.substring_index("line", " ", 1).alias("word"))
+
+
+def model_replace(spark: SparkSession, folder: str) -> DataFrame:
+    """Six steps stored, then three: the load gives step 3."""
+    path = new_table_path(spark, "model")
+    for count in (6, 3):
+        model.save_model(newton.newton_train(features.line(spark, folder), 3, count, history=True), path)
+    return steps(model.load_model(spark, path))
+
+
 # Checks
 
 
@@ -115,11 +157,6 @@ def explode_array(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.explode_array(rows, "event_type", "vals")
 
 
-def emit_sequence(spark: SparkSession, folder: str) -> DataFrame:
-    rows = vectors.emit_sequence(features.table(spark, folder, "events"))
-    return vectors.explode_array(rows, "key", "values")
-
-
 # Row-wise jobs
 
 
@@ -160,6 +197,17 @@ def row_hessian_dense(spark: SparkSession, folder: str) -> DataFrame:
     return cells.select(*LINE_KEY, "i", "j", rounded("v").alias("h"))
 
 
+def row_gradient_element(spark: SparkSession, folder: str) -> DataFrame:
+    """Element guard: a NaN feature costs the row its own gradient cell alone where w is 0."""
+    rows = features.line(spark, folder).withColumn(
+        "t", F.expr("if(l_linenumber = 7, double('NaN'), t)")
+    )
+    cells = vectors.vector_to_indexed(
+        scoring.row_gradient(rows, WEIGHTS, guard="element"), LINE_KEY, "grad"
+    )
+    return cells.select(*LINE_KEY, "i", rounded("v").alias("v"))
+
+
 # Sums
 
 
@@ -206,6 +254,72 @@ def gradient_bins_total(spark: SparkSession, folder: str) -> DataFrame:
     return moments.bins_total(sums).select("i", rounded("g").alias("g"))
 
 
+def gradient_by_key_products(spark: SparkSession, folder: str) -> DataFrame:
+    sums = moments.gradient_by(features.line_products(spark, folder), SUPPLIER, [0.05] * 10)
+    return sums.select(SUPPLIER, "i", rounded("v").alias("v"))
+
+
+def hessian_by_key_products(spark: SparkSession, folder: str) -> DataFrame:
+    sums = moments.hessian_by(features.line_products(spark, folder), SUPPLIER, [0.05] * 10)
+    return sums.select(SUPPLIER, "i", "j", rounded("v").alias("v"))
+
+
+# Tables of matrices with exact elimination: one per supplier, some singular,
+# some scaled by 2^400 or 2^-400, rows 0 and 1 swapped for odd suppliers
+
+
+def exact_matrices(spark: SparkSession, folder: str, d: int, scaled: bool = False) -> DataFrame:
+    scale = "CASE s_suppkey % 5 WHEN 0 THEN pow(2D, 400) WHEN 1 THEN pow(2D, -400) ELSE 1D END"
+    a, b, c = "s_suppkey % 7", "s_nationkey % 5", "s_suppkey % 11"
+    rows = [["1", a, b], ["0", "2", c], ["0", "0", "if(s_suppkey % 3 = 0, 0, 4)"]]
+    rows = [row + ["0"] * (d - 3) for row in rows]
+    rows += [["0"] * i + [str(2 ** (i - 2))] + ["0"] * (d - i - 1) for i in range(3, d)]
+    cells = ", ".join(
+        f"struct({i} AS i, {j} AS j, CAST({x} AS double) AS v)"
+        for i, row in enumerate(rows)
+        for j, x in enumerate(row)
+    )
+    table = features.table(spark, folder, "supplier").selectExpr(
+        "s_suppkey", f"{scale if scaled else '1D'} AS scale", f"inline(array({cells}))"
+    )
+    swapped = "CASE WHEN s_suppkey % 2 = 1 AND i < 2 THEN 1 - i ELSE i END AS i"
+    return table.selectExpr("s_suppkey", swapped, "j", "v * scale AS v")
+
+
+def transpose_swapped(spark: SparkSession, folder: str) -> DataFrame:
+    return matrix.transpose(exact_matrices(spark, folder, 3), "s_suppkey")
+
+
+def upper_triangle_swapped(spark: SparkSession, folder: str) -> DataFrame:
+    cells = matrix.upper_triangle(exact_matrices(spark, folder, 3), 3, "s_suppkey")
+    return cells.select("s_suppkey", "i", "j", rounded("v").alias("v"), "sign")
+
+
+def determinant_singular(d: int) -> Query:
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        table = matrix.determinant(exact_matrices(spark, folder, d, scaled=True), d, "s_suppkey")
+        return table.select("s_suppkey", "sign", rounded("log_abs_det").alias("log_abs_det"))
+
+    return query
+
+
+def adjugate_singular(d: int) -> Query:
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        cells = matrix.adjugate(exact_matrices(spark, folder, d), d, "s_suppkey")
+        return cells.select("s_suppkey", "i", "j", rounded("v").alias("v"))
+
+    return query
+
+
+def inverse_singular(d: int) -> Query:
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        cells = matrix.inverse(exact_matrices(spark, folder, d, scaled=True), d, "s_suppkey")
+        back = "CASE s_suppkey % 5 WHEN 0 THEN pow(2D, 400) WHEN 1 THEN pow(2D, -400) ELSE 1D END"
+        return cells.select("s_suppkey", "i", "j", rounded(F.expr(f"v * {back}")).alias("v"), "singular")
+
+    return query
+
+
 # Tables of matrices: one Hessian per supplier, 3 x 3 or 5 x 5
 
 
@@ -244,7 +358,7 @@ def determinant(d: int) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
         table = matrix.determinant(hessians(spark, folder, d), d, SUPPLIER)
         return table.select(
-            SUPPLIER, rounded("det", 3).alias("det"), rounded("log_abs_det").alias("log_abs_det")
+            SUPPLIER, rounded("det", 3).alias("det"), "sign", rounded("log_abs_det").alias("log_abs_det")
         )
 
     return query
@@ -272,8 +386,10 @@ def inverse(d: int) -> Query:
 
 
 def matvec(spark: SparkSession, folder: str) -> DataFrame:
-    inverses = matrix.inverse(hessians(spark, folder, 3), 3, SUPPLIER)
-    gradients = moments.gradient_by(features.line(spark, folder), SUPPLIER, ZEROS)
+    wanted = moments.hessian_cells(3) + moments.gradient_cells(3)
+    both = moments.system_by(features.line(spark, folder), SUPPLIER, ZEROS, wanted)
+    inverses = matrix.inverse(moments.mirror(both.where("j < 3"), "v", [SUPPLIER]), 3, SUPPLIER)
+    gradients = both.where("j = 3").drop("j")
     product = matrix.matvec(inverses, gradients, SUPPLIER)
     return product.select(SUPPLIER, "i", rounded("v").alias("v"))
 
@@ -326,24 +442,40 @@ def newton_by_key(table: Callable, d: int, history: bool = False) -> Query:
     return query
 
 
+def newton_by_key_nan(table: Callable, d: int) -> Query:
+    """Rows with a NaN feature add nothing to their key's sums."""
+
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        damaged = "if(l_linenumber = 7, transform(phi, x -> double('NaN')), phi)"
+        rows = table(spark, folder, ["l_linenumber"]).withColumn("phi", F.expr(damaged))
+        return steps(keyed.newton_train_by(rows, SUPPLIER, d))
+
+    return query
+
+
 QUERIES: dict[str, Query] = {
     "load_labelled": load_labelled,
     "load_vectors": load_vectors,
     "matrix_coo": matrix_coo,
     "indexed_to_dense": indexed_to_dense,
     "vector_to_indexed": vector_to_indexed,
+    "text_labelled": text_labelled,
+    "text_vectors": text_vectors,
+    "text_matrix": text_matrix,
+    "text_rejects": text_rejects,
     "model_roundtrip": model_roundtrip,
+    "model_replace": model_replace,
     "dim_rejects": dim_rejects,
     "nan_guard": nan_guard,
     "nan_guard_count": nan_guard_count,
     "explode_array": explode_array,
-    "emit_sequence": emit_sequence,
     "score_margin": scored("margin"),
     "score_prob": scored("p"),
     "score_resid": scored("resid"),
     "score_curv": scored("curv"),
     "with_weights": with_weights,
     "row_gradient": row_gradient,
+    "row_gradient_element": row_gradient_element,
     "row_curvature": row_curvature,
     "row_hessian_coo": row_hessian_coo,
     "row_hessian_dense": row_hessian_dense,
@@ -358,6 +490,16 @@ QUERIES: dict[str, Query] = {
     "hessian": hessian_of(features.line, WEIGHTS),
     "hessian_zero": hessian_of(features.line, ZEROS),
     "hessian_embeddings": hessian_of(features.embeddings, [0.01] * 64),
+    "gradient_by_key_products": gradient_by_key_products,
+    "hessian_by_key_products": hessian_by_key_products,
+    "transpose_swapped": transpose_swapped,
+    "upper_triangle_swapped": upper_triangle_swapped,
+    "determinant_singular": determinant_singular(3),
+    "determinant_singular_wide": determinant_singular(5),
+    "adjugate_singular": adjugate_singular(3),
+    "adjugate_singular_wide": adjugate_singular(5),
+    "inverse_singular": inverse_singular(3),
+    "inverse_singular_wide": inverse_singular(5),
     "coo_to_dense": coo_to_dense,
     "transpose": transpose,
     "transpose_rectangular": transpose_rectangular,
@@ -385,4 +527,6 @@ QUERIES: dict[str, Query] = {
     "newton_by_key_history": newton_by_key(features.line, 3, history=True),
     "newton_by_key_wide": newton_by_key(features.line_wide, 5),
     "newton_by_key_products": newton_by_key(features.line_products, 10),
+    "newton_by_key_nan": newton_by_key_nan(features.line_wide, 5),
+    "newton_by_key_nan_products": newton_by_key_nan(features.line_products, 10),
 }

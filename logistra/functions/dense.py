@@ -1,6 +1,8 @@
 """Numpy routines over a stack of square matrices, shape (k, d, d).
 
-Spark hands one Arrow batch of keyed matrices to each call.
+Spark hands one Arrow batch of keyed matrices to each call. All of them rest on
+one elimination, so a matrix is singular by the same test at every width: a
+pivot that is exactly 0. A NaN or infinite cell stays within its own matrix.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ import numpy as np
 
 
 def upper_triangle(stack: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Eliminate below the diagonal without scaling rows.
+    """Eliminate below the diagonal without scaling rows; columns may follow the square.
 
     Rows move only where the pivot is exactly 0: the first lower row with a
     non-zero cell becomes the pivot row and the rows above it shift down by
@@ -30,57 +32,84 @@ def upper_triangle(stack: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         pivot = u[:, col, col]
         usable = pivot != 0
         safe = np.where(usable, pivot, 1.0)
-        factor = np.where(usable[:, None], u[:, col + 1 :, col] / safe[:, None], 0.0)
-        u[:, col + 1 :, col:] -= factor[:, :, None] * u[:, None, col, col:]
+        with np.errstate(all="ignore"):
+            factor = np.where(usable[:, None], u[:, col + 1 :, col] / safe[:, None], 0.0)
+            u[:, col + 1 :, col:] -= factor[:, :, None] * u[:, None, col, col:]
         u[usable, col + 1 :, col] = 0.0
     return u, sign
 
 
+def pivots(triangle: np.ndarray) -> np.ndarray:
+    return np.diagonal(triangle, axis1=1, axis2=2)
+
+
 def determinant(stack: np.ndarray) -> np.ndarray:
-    u, sign = upper_triangle(stack)
-    return np.prod(np.diagonal(u, axis1=1, axis2=2), axis=1) * sign
+    return signed_determinant(stack)[0]
+
+
+def signed_determinant(stack: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Determinants, their signs and the logarithms of their sizes.
+
+    Sign and logarithm come from the pivots, so they neither over- nor underflow.
+    """
+    u, moves = upper_triangle(stack)
+    p = pivots(u)
+    with np.errstate(all="ignore"):
+        sign = np.prod(np.sign(p), axis=1) * moves
+        log_abs = np.where(sign == 0, -np.inf, np.log(np.abs(p)).sum(axis=1))
+        return np.where(sign == 0, 0.0, np.prod(p, axis=1) * moves), sign, log_abs
 
 
 def adjugate(stack: np.ndarray) -> np.ndarray:
-    """Transposed cofactors, also for singular matrices.
+    """Transposed cofactors, also for singular matrices: one elimination per minor."""
+    k, d = stack.shape[0], stack.shape[1]
+    out = np.empty((k, d, d))
+    others = np.array([[c for c in range(d) if c != j] for j in range(d)], dtype=int).reshape(d, -1)
+    for i in range(d):
+        # Minors without row i, for each column left out.
+        minors = stack[:, others[i]][:, :, others].transpose(0, 2, 1, 3)
+        values = determinant(minors.reshape(k * d, d - 1, d - 1)).reshape(k, d)
+        out[:, :, i] = values * (-1.0) ** (i + np.arange(d))
+    return out
 
-    From A = U S V' follows adj(A) = det(U) det(V) * V adj(S) U', and adj(S)
-    holds the products of all singular values but one: O(d^3), no division.
+
+def solved(stack: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Solutions X of A X = B for stacks (k, d, d) and (k, d, m), and singular flags.
+
+    A singular matrix gets zeros.
     """
     d = stack.shape[1]
-    if d == 0:
-        return np.array(stack)
-    u, s, vt = np.linalg.svd(stack)
-    one = np.ones((s.shape[0], 1))
-    before = np.cumprod(np.hstack([one, s[:, :-1]]), axis=1)
-    after = np.cumprod(np.hstack([one, s[:, :0:-1]]), axis=1)[:, ::-1]
-    sign = np.round(np.linalg.det(u) * np.linalg.det(vt))
-    scaled = np.swapaxes(vt, 1, 2) * (before * after * sign[:, None])[:, None, :]
-    return scaled @ np.swapaxes(u, 1, 2)
+    u, moves = upper_triangle(np.concatenate([stack, right], axis=2))
+    p = pivots(u[:, :, :d])
+    singular = (moves == 0) | (p == 0).any(axis=1)
+    x = u[:, :, d:]
+    with np.errstate(all="ignore"):
+        for i in reversed(range(d)):
+            known = (u[:, i, None, i + 1 : d] @ x[:, i + 1 :])[:, 0]
+            x[:, i] = (x[:, i] - known) / np.where(singular, 1.0, p[:, i])[:, None]
+    x[singular] = 0.0
+    return x, singular
 
 
 def inverse(stack: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Inverses and singular flags; a singular matrix gets an all-zero inverse."""
-    u, sign = upper_triangle(stack)
-    singular = (sign == 0) | (np.diagonal(u, axis1=1, axis2=2) == 0).any(axis=1)
-    singular |= np.linalg.slogdet(stack)[0] == 0
-    d = stack.shape[1]
-    out = np.linalg.inv(np.where(singular[:, None, None], np.eye(d), stack))
-    out[singular] = 0.0
-    return out, singular
+    x, singular = solved(stack, np.broadcast_to(np.eye(stack.shape[1]), stack.shape))
+    return x + 0.0, singular
 
 
 def newton_update(
     hessian: np.ndarray, gradient: np.ndarray, tolerance: float
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Solve H u = g for stacks (k, d, d) and (k, d); zero where H is singular."""
-    u, sign = upper_triangle(hessian)
-    pivots = np.abs(np.diagonal(u, axis1=1, axis2=2))
-    cells = np.abs(np.diagonal(hessian, axis1=1, axis2=2))
-    singular = (sign == 0) | (pivots <= tolerance * cells).any(axis=1)
-    singular |= np.linalg.slogdet(hessian)[0] == 0
-    d = hessian.shape[1]
-    safe = np.where(singular[:, None, None], np.eye(d), hessian)
-    update = np.linalg.solve(safe, gradient[:, :, None])[:, :, 0]
+    """Solve H u = g for stacks (k, d, d) and (k, d); zero where H is singular.
+
+    A pivot that is not above its share of the diagonal cell, NaN included,
+    makes H singular.
+    """
+    cells = np.abs(pivots(hessian))
+    update, singular = solved(hessian, gradient[:, :, None])
+    with np.errstate(all="ignore"):
+        regular = np.abs(pivots(upper_triangle(hessian)[0])) > tolerance * cells
+    singular |= ~regular.all(axis=1)
+    update = update[:, :, 0]
     update[singular] = 0.0
     return update, singular

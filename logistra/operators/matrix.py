@@ -1,8 +1,8 @@
 """Jobs over a table of matrices ``(key, i, j, v)``, one matrix per key.
 
-Without a key the table holds a single matrix. Up to width 3 determinant,
-adjugate and inverse are closed-form expressions; beyond that Arrow batches of
-matrices go through numpy.
+Without a key the table holds a single matrix. The cells of a matrix are
+gathered, and Arrow batches of matrices are eliminated together, in the same way
+at every width.
 """
 
 from __future__ import annotations
@@ -19,8 +19,6 @@ from logistra.functions.logistic import name
 from logistra.operators.validate import checked
 from logistra.operators.vectors import key_list, unique_cells, vector_to_indexed
 
-CLOSED_FORM_LIMIT = 3
-
 Key = str | Sequence[str] | None
 
 
@@ -79,16 +77,10 @@ def determinant(matrix: DataFrame, d: int, key: Key = None) -> DataFrame:
     ``det`` overflows for large matrices; ``sign`` and ``log_abs_det`` do not.
     """
     keys = key_list(key)
-    table = coo_to_dense(matrix, d, key)
-    if d <= CLOSED_FORM_LIMIT:
-        det = table.selectExpr(*_quoted(keys), f"{_minor(range(d), range(d), d)} AS det")
-        return det.selectExpr("*", "signum(det) AS sign", "ln(nullif(abs(det), 0D)) AS log_abs_det")
-
-    def run(stack: np.ndarray) -> list[np.ndarray]:
-        sign, log_abs = np.linalg.slogdet(stack)
-        return [dense.determinant(stack), sign, log_abs]
-
-    done = _stacked(table, d, keys, run, "det double, sign double, log_abs_det double")
+    outputs = "det double, sign double, log_abs_det double"
+    done = _stacked(
+        coo_to_dense(matrix, d, key), d, keys, lambda stack: list(dense.signed_determinant(stack)), outputs
+    )
     log_abs = "if(log_abs_det = double('-Infinity'), null, log_abs_det) AS log_abs_det"
     return done.selectExpr(*_quoted(keys), "det", "sign", log_abs)
 
@@ -97,10 +89,7 @@ def adjugate(matrix: DataFrame, d: int, key: Key = None) -> DataFrame:
     """``(key, i, j, v)``: transposed cofactors; singular matrices have one too."""
     keys = key_list(key)
     table = coo_to_dense(matrix, d, key)
-    if d <= CLOSED_FORM_LIMIT:
-        done = table.selectExpr(*_quoted(keys), f"{_adjugate(d)} AS m")
-    else:
-        done = _stacked(table, d, keys, lambda stack: [dense.adjugate(stack)], "m array<double>")
+    done = _stacked(table, d, keys, lambda stack: [dense.adjugate(stack)], "m array<double>")
     return dense_to_coo(done, d, keys)
 
 
@@ -108,16 +97,8 @@ def inverse(matrix: DataFrame, d: int, key: Key = None) -> DataFrame:
     """``(key, i, j, v, singular)``: determinant exactly 0 gives all zeros."""
     keys = key_list(key)
     table = coo_to_dense(matrix, d, key)
-    if d <= CLOSED_FORM_LIMIT:
-        det = _minor(range(d), range(d), d)
-        scale = f"coalesce(try_divide(1D, {det}), 0D) AS scale"
-        scaled = table.selectExpr(*_quoted(keys), f"{_adjugate(d)} AS adj", scale)
-        done = scaled.selectExpr(
-            *_quoted(keys), "transform(adj, a -> scale * a + 0D) AS m", "scale = 0D AS singular"
-        )
-    else:
-        outputs = "m array<double>, singular boolean"
-        done = _stacked(table, d, keys, lambda stack: list(dense.inverse(stack)), outputs)
+    outputs = "m array<double>, singular boolean"
+    done = _stacked(table, d, keys, lambda stack: list(dense.inverse(stack)), outputs)
     return dense_to_coo(done, d, [*keys, "singular"]).select(*keys, "i", "j", "v", "singular")
 
 
@@ -138,32 +119,6 @@ def _quoted(keys: Sequence[str]) -> list[str]:
     return [name(key) for key in keys]
 
 
-def _minor(rows: Sequence[int], columns: Sequence[int], d: int) -> str:
-    """Determinant of the chosen rows and columns of ``m``, by its first row."""
-    rows, columns = list(rows), list(columns)
-    if not rows:
-        return "1D"
-    if len(rows) == 1:
-        return f"m[{rows[0] * d + columns[0]}]"
-    terms = ["0D"]
-    for place, column in enumerate(columns):
-        rest = [c for c in columns if c != column]
-        sign = "-" if place % 2 else "+"
-        terms.append(f"{sign} m[{rows[0] * d + column}] * ({_minor(rows[1:], rest, d)})")
-    return " ".join(terms)
-
-
-def _adjugate(d: int) -> str:
-    cells = []
-    for i in range(d):
-        for j in range(d):
-            rows = [r for r in range(d) if r != j]
-            columns = [c for c in range(d) if c != i]
-            sign = "-" if (i + j) % 2 else "+"
-            cells.append(f"0D {sign} ({_minor(rows, columns, d)})")
-    return f"array({', '.join(cells)})"
-
-
 def _stacked(
     table: DataFrame,
     d: int,

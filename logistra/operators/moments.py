@@ -55,7 +55,11 @@ def _present(columns: Sequence[str], d: int) -> list[str]:
 
 
 def multiplicity(df: DataFrame) -> str:
-    return "CAST(n AS double) AS n" if "n" in df.columns else "1D AS n"
+    """The row's multiplicity; null, NaN, negative and infinite ones fail the job."""
+    if "n" not in df.columns:
+        return "1D AS n"
+    counted = "CAST(n AS double) >= 0D AND CAST(n AS double) < double('Infinity')"
+    return f"{logistic.or_fail(f'if({counted}, CAST(n AS double), null)', 'multiplicity is no count')} AS n"
 
 
 def cell_sums(
@@ -114,8 +118,9 @@ def matrix_sums(
     """``(i, j, v)`` sums from ``packed`` rows, one matrix product per Arrow batch.
 
     Every task sends at most one row per cell; the cells are summed in
-    parallel by (i, j).
+    parallel by (i, j). Without Hessian cells no Hessian is multiplied.
     """
+    wants_hessian = any(j < d for _, j in cells)
     w = np.asarray(weights, dtype=np.float64)
     at_i = np.array([i for i, _ in cells], dtype=np.int32)
     at_j = np.array([j for _, j in cells], dtype=np.int32)
@@ -128,7 +133,7 @@ def matrix_sums(
                 continue
             seen = True
             x, t, n = feature_arrays(batch, d)
-            system += system_of(x, t, n, x @ w)
+            system += system_of(x, t, n, x @ w, wants_hessian)
         if seen:
             v = system[at_i, at_j]
             yield pa.RecordBatch.from_arrays(
@@ -149,8 +154,10 @@ def feature_arrays(batch: pa.RecordBatch, d: int) -> tuple[np.ndarray, np.ndarra
     return x, t, n
 
 
-def system_of(x: np.ndarray, t: np.ndarray, n: np.ndarray, margin: np.ndarray) -> np.ndarray:
-    """[H | g] of a block of rows, shape (d, d + 1).
+def system_of(
+    x: np.ndarray, t: np.ndarray, n: np.ndarray, margin: np.ndarray, wants_hessian: bool = True
+) -> np.ndarray:
+    """[H | g] of a block of rows, shape (d, d + 1); H is 0 if it is not wanted.
 
     A guarded cell counts as the smallest double, which vanishes in a sum, so
     guarded rows are left out.
@@ -158,10 +165,12 @@ def system_of(x: np.ndarray, t: np.ndarray, n: np.ndarray, margin: np.ndarray) -
     with np.errstate(over="ignore", invalid="ignore"):
         p = 1.0 / (1.0 + np.exp(-margin))
         resid = p - t
-        curv = p * (1.0 - p) * n
-        finite = np.isfinite(x).all(axis=1) & np.isfinite(curv)
-        xh = x if finite.all() else np.where(finite[:, None], x, 0.0)
-        hessian = xh.T @ (xh * np.where(finite, curv, 0.0)[:, None])
+        hessian = np.zeros((x.shape[1], x.shape[1]))
+        if wants_hessian:
+            curv = p * (1.0 - p) * n
+            finite = np.isfinite(x).all(axis=1) & np.isfinite(curv)
+            xh = x if finite.all() else np.where(finite[:, None], x, 0.0)
+            hessian = xh.T @ (xh * np.where(finite, curv, 0.0)[:, None])
         known = ~np.isnan(resid)
         xg = x if known.all() else np.where(known[:, None], x, 0.0)
         gradient = xg.T @ np.where(known, resid * n, 0.0)
@@ -249,16 +258,91 @@ def bins_total(binned: DataFrame) -> DataFrame:
     return binned.groupBy("i").agg(F.sum("g").alias("g"))
 
 
+def system_by(
+    df: DataFrame, key: str | Sequence[str], weights: Sequence[float], cells: Sequence[Cell]
+) -> DataFrame:
+    """``(key, i, j, v)``: the wanted cells of [H | g] of every key."""
+    keys, d = key_list(key), len(weights)
+    if strategy_for(d) == "wide":
+        return as_cells(cell_sums(design(df, d, keys), d, weights, cells, keys), cells, keys)
+    places = [logistic.name(k) for k in keys]
+    margin = logistic.linear([f"get(phi, {i})" for i in range(d)], [logistic.number(w) for w in weights])
+    rows = packed(df, d, keys).selectExpr(*places, "phi", "t", "n", f"{margin} AS margin")
+    return block_sums(rows, keys, d, cells).groupBy(*keys, "i", "j").agg(F.sum("v").alias("v"))
+
+
+def block_sums(
+    rows: DataFrame, keys: Sequence[str], d: int, cells: Sequence[Cell]
+) -> DataFrame:
+    """``(key, i, j, v)``: per Arrow batch and key, one row per cell of [H | g].
+
+    ``rows`` are ``(key, phi, t, n, margin)``. Few keys in a batch are one matrix
+    product each; many are summed together, one run of sorted rows per key.
+    Guards as in ``system_of``.
+    """
+    at_i, at_j = np.array(cells, dtype=np.int32).reshape(-1, 2).T
+    wants_hessian = bool((at_j < d).any())
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            if batch.num_rows == 0:
+                continue
+            x, t, n = feature_arrays(batch, d)
+            margin = batch.column("margin").to_numpy(zero_copy_only=False)
+            group = np.zeros(batch.num_rows, dtype=np.int64)
+            for key in keys:
+                part = batch.column(key).dictionary_encode().indices.to_numpy()
+                code = group * batch.num_rows + part
+                _, first, group = np.unique(code, return_index=True, return_inverse=True)
+            order = np.argsort(group, kind="stable")
+            starts = np.searchsorted(group[order], np.arange(first.size))
+            x, t, n, margin = x[order], t[order], n[order], margin[order]
+            sums = _segment_systems(x, t, n, margin, starts, wants_hessian)
+            take = pa.array(np.repeat(first, len(at_i)))
+            columns = [batch.column(key).take(take) for key in keys]
+            columns += [pa.array(np.tile(at, first.size)) for at in (at_i, at_j)]
+            columns.append(pa.array(sums[:, at_i, at_j].ravel()))
+            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "i", "j", "v"])
+
+    names = [f"{logistic.name(k)} {rows.schema[k].dataType.simpleString()}" for k in keys]
+    return rows.mapInArrow(run, ", ".join([*names, "i int, j int, v double"]))
+
+
+def _segment_systems(x, t, n, margin, starts, wants_hessian: bool) -> np.ndarray:
+    """[H | g] of each run of rows, shape (runs, d, d + 1)."""
+    d, runs = x.shape[1], len(starts)
+    if runs <= d:
+        edges = [*starts, len(x)]
+        return np.stack(
+            [
+                system_of(x[a:b], t[a:b], n[a:b], margin[a:b], wants_hessian)
+                for a, b in zip(edges[:-1], edges[1:], strict=True)
+            ]
+        )
+    out = np.zeros((runs, d, d + 1))
+    with np.errstate(over="ignore", invalid="ignore"):
+        p = 1.0 / (1.0 + np.exp(-margin))
+        resid, curv = p - t, p * (1.0 - p) * n
+        known = ~np.isnan(resid)
+        terms = np.where(known[:, None], x, 0.0) * np.where(known, resid * n, 0.0)[:, None]
+        out[:, :, d] = np.add.reduceat(terms, starts, axis=0)
+        if wants_hessian:
+            finite = np.isfinite(x).all(axis=1) & np.isfinite(curv)
+            xh, c = np.where(finite[:, None], x, 0.0), np.where(finite, curv, 0.0)
+            for i in range(d):
+                terms = xh[:, i:] * (xh[:, i] * c)[:, None]
+                out[:, i, i:d] = np.add.reduceat(terms, starts, axis=0)
+                out[:, i:, i] = out[:, i, i:d]
+    return out
+
+
 def gradient_by(df: DataFrame, key: str | Sequence[str], weights: Sequence[float]) -> DataFrame:
     """``(key, i, v)``: one gradient per key."""
-    keys, d = key_list(key), len(weights)
-    cells = gradient_cells(d)
-    return as_cells(cell_sums(design(df, d, keys), d, weights, cells, keys), cells, keys)
+    keys = key_list(key)
+    return system_by(df, keys, weights, gradient_cells(len(weights))).select(*keys, "i", "v")
 
 
 def hessian_by(df: DataFrame, key: str | Sequence[str], weights: Sequence[float]) -> DataFrame:
     """``(key, i, j, v)``: one full Hessian per key."""
-    keys, d = key_list(key), len(weights)
-    cells = hessian_cells(d)
-    sums = cell_sums(design(df, d, keys), d, weights, cells, keys)
-    return mirror(as_cells(sums, cells, keys), "v", keys)
+    keys = key_list(key)
+    return mirror(system_by(df, keys, weights, hessian_cells(len(weights))), "v", keys)

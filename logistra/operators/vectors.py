@@ -74,12 +74,6 @@ def explode_array(df: DataFrame, key: str, values: str) -> DataFrame:
     return cells.select(key, F.col("value").cast("string").alias("value"))
 
 
-def emit_sequence(df: DataFrame, n: int = 10) -> DataFrame:
-    """``(1, [0.0 .. n-1])`` for every input row."""
-    numbers = F.array(*[F.lit(float(i)) for i in range(n)])
-    return df.select(F.lit(1).alias("key"), numbers.alias("values"))
-
-
 def vector_sum(df: DataFrame, key: str | Sequence[str], phi: str = "phi") -> DataFrame:
     """``(key, i, v)``: sum of the vectors of each key, cell by cell.
 

@@ -193,7 +193,8 @@ def diagonal(matrix: str, d: int) -> str:
 
 def determinants(d: int) -> str:
     return f"""
-SELECT {SUPPLIER}, {rounded('det', 3)} AS det, {rounded('ln(abs(det))')} AS log_abs_det
+SELECT {SUPPLIER}, {rounded('det', 3)} AS det, sign(det)::DOUBLE AS sign,
+       {rounded('ln(abs(det))')} AS log_abs_det
 FROM (SELECT {SUPPLIER}, {diagonal('u', d)} AS det
       FROM (SELECT {SUPPLIER}, {triangle(hessian_only(d), d)} AS u
             FROM ({supplier_matrices(d)})))"""
@@ -249,7 +250,108 @@ SELECT {SUPPLIER}, i, sum(resid * phi[i + 1]) AS v
 FROM ({scored(LINE, weights)}), range(3) AS r(i) GROUP BY {SUPPLIER}, i"""
 
 
+NOT_SEVEN = " WHERE l_linenumber <> 7"
+
+# The matrices of ``exact_matrices``, as numbers a, b, c, e of
+# [[1, a, b], [0, 2, c], [0, 0, e]], followed by 2 and 4 on the diagonal in wide ones.
+EXACT = """
+SELECT s_suppkey, (s_suppkey % 2 = 1) AS swapped, (s_suppkey % 7)::DOUBLE AS a,
+       (s_nationkey % 5)::DOUBLE AS b, (s_suppkey % 11)::DOUBLE AS c,
+       (CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE 4 END)::DOUBLE AS e,
+       CASE s_suppkey % 5 WHEN 0 THEN 400 WHEN 1 THEN -400 ELSE 0 END AS power
+FROM supplier"""
+
+
+def exact_cells(d: int, cells: dict[tuple[int, int], str], swap: str, extra: str = "") -> str:
+    """Rows of a d x d matrix given by its non-zero cells; ``swap`` is i or j."""
+    value = "CASE " + " ".join(
+        f"WHEN r = {i} AND k = {j} THEN {v}" for (i, j), v in cells.items()
+    )
+    place = {"i": "r", "j": "k"}[swap]
+    exchanged = f"CASE WHEN swapped AND {place} < 2 THEN 1 - {place} ELSE {place} END"
+    i, j = (exchanged, "k") if swap == "i" else ("r", exchanged)
+    return f"""
+SELECT s_suppkey, ({i})::INT AS i, ({j})::INT AS j, {rounded(f'({value} ELSE 0.0::DOUBLE END)')} AS v{extra}
+FROM ({EXACT}), range({d}) AS x(r), range({d}) AS y(k)"""
+
+
+TRIANGLE = {(0, 0): "1.0", (0, 1): "a", (0, 2): "b", (1, 1): "2.0", (1, 2): "c", (2, 2): "e"}
+
+
+def exact_adjugate(d: int) -> str:
+    """adj(P T) = adj(T) adj(P): columns 0 and 1 swapped and all cells negated."""
+    wide = "8 * " if d == 5 else ""
+    sign = "(CASE WHEN swapped THEN -1 ELSE 1 END)"
+    cells = {
+        (0, 0): "2 * e", (0, 1): "-a * e", (0, 2): "(a * c - 2 * b)",
+        (1, 1): "e", (1, 2): "-c", (2, 2): "2",
+    }
+    out = {place: f"{sign} * {wide}({v})" for place, v in cells.items()}
+    if d == 5:
+        out |= {(3, 3): f"{sign} * 4 * 2 * e", (4, 4): f"{sign} * 2 * 2 * e"}
+    return exact_cells(d, out, "j")
+
+
+def exact_inverse(d: int) -> str:
+    cells = {
+        (0, 0): "1.0", (0, 1): "-a / 2", (0, 2): "(a * c / 2 - b) / e",
+        (1, 1): "0.5", (1, 2): "-c / (2 * e)", (2, 2): "1 / e",
+    }
+    if d == 5:
+        cells |= {(3, 3): "0.5", (4, 4): "0.25"}
+    regular = {place: f"CASE WHEN e = 0 THEN 0 ELSE {v} END" for place, v in cells.items()}
+    return exact_cells(d, regular, "j", ", e = 0 AS singular")
+
+
+def exact_determinant(d: int) -> str:
+    size = "2 * e * 8" if d == 5 else "2 * e"
+    return f"""
+SELECT s_suppkey, (CASE WHEN e = 0 THEN 0 WHEN swapped THEN -1 ELSE 1 END)::DOUBLE AS sign,
+       CASE WHEN e > 0 THEN {rounded(f'ln({size}) + {d} * power * ln(2)')} END AS log_abs_det
+FROM ({EXACT})"""
+
+
 ORACLES: dict[str, str] = {
+    "text_labelled": f"""
+SELECT i::INT AS i, {rounded('numbers[i + 1]')} AS v, numbers[4] AS t
+FROM ({NUMBERS}), range(3) AS r(i)""",
+    "text_vectors": f"""
+SELECT i::INT AS i, {rounded('numbers[i + 1]')} AS v FROM ({NUMBERS}), range(4) AS r(i)""",
+    "text_matrix": f"""
+SELECT n AS i, j::INT AS j, {rounded('numbers[j + 1]')} AS v
+FROM (SELECT row_number() OVER (ORDER BY event_id) - 1 AS n, numbers FROM ({NUMBERS})),
+     range(3) AS r(j)""",
+    "text_rejects": "SELECT 'x' || event_id::VARCHAR AS word FROM events WHERE event_id % 7 = 0",
+    "model_replace": f"""{training(LINE, 3, 3)}
+SELECT i::INT AS i, {rounded('w[i + 1]')} AS w, FALSE AS singular FROM w3, range(3) AS r(i)""",
+    "row_gradient_element": f"""
+SELECT {LINE_KEY}, i::INT AS i,
+       CASE WHEN l_linenumber = 7 THEN 0.0 ELSE {rounded('resid * phi[i + 1]')} END AS v
+FROM ({scored(LINE, WEIGHTS)}), range(3) AS r(i)""",
+    "gradient_by_key_products": f"""
+SELECT {SUPPLIER}, i::INT AS i, {rounded('sum(resid * phi[i + 1])')} AS v
+FROM ({scored(LINE_PRODUCTS, [0.05] * 10)}), range(10) AS r(i) GROUP BY {SUPPLIER}, i""",
+    "hessian_by_key_products": f"""
+SELECT {SUPPLIER}, i::INT AS i, j::INT AS j, {rounded('sum(curv * phi[i + 1] * phi[j + 1])')} AS v
+FROM ({scored(LINE_PRODUCTS, [0.05] * 10)}), range(10) AS a(i), range(10) AS b(j)
+GROUP BY {SUPPLIER}, i, j""",
+    "transpose_swapped": f"SELECT s_suppkey, j AS i, i AS j, v FROM ({exact_cells(3, TRIANGLE, 'i')})",
+    "upper_triangle_swapped": f"""
+SELECT s_suppkey, r::INT AS i, k::INT AS j, {rounded('v')} AS v,
+       (CASE WHEN swapped THEN -1 ELSE 1 END)::INT AS sign
+FROM (SELECT *, CASE {' '.join(f'WHEN r = {i} AND k = {j} THEN {v}' for (i, j), v in TRIANGLE.items())}
+             ELSE 0.0::DOUBLE END AS v
+      FROM ({EXACT}), range(3) AS x(r), range(3) AS y(k))""",
+    "determinant_singular": exact_determinant(3),
+    "determinant_singular_wide": exact_determinant(5),
+    "adjugate_singular": exact_adjugate(3),
+    "adjugate_singular_wide": exact_adjugate(5),
+    "inverse_singular": exact_inverse(3),
+    "inverse_singular_wide": exact_inverse(5),
+    "newton_by_key_nan": trained(LINE_WIDE + NOT_SEVEN, 5, SUPPLIER),
+    "newton_by_key_nan_products": trained(
+        LINE_PRODUCTS.replace("FROM lineitem)", f"FROM lineitem{NOT_SEVEN})"), 10, SUPPLIER
+    ),
     "load_labelled": f"""
 SELECT event_id, i::INT AS i, {rounded('numbers[i + 1]')} AS v, numbers[4] AS t
 FROM ({NUMBERS}), range(3) AS r(i)""",
@@ -271,8 +373,6 @@ FROM ({INJECTED})""",
     "explode_array": """
 SELECT event_type, n::DOUBLE::VARCHAR AS value
 FROM (SELECT event_type, unnest(range(0, user_id % 10 + 1)) AS n FROM events)""",
-    "emit_sequence": """
-SELECT 1 AS key, n::DOUBLE::VARCHAR AS value FROM events, range(10) AS r(n)""",
     "score_margin": score_query("margin"),
     "score_prob": score_query("p"),
     "score_resid": score_query("resid"),

@@ -28,7 +28,9 @@ def line(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def line_wide(spark: SparkSession, folder: str) -> DataFrame:
+def line_wide(
+    spark: SparkSession, folder: str, keep: Sequence[str] = ()
+) -> DataFrame:
     """Five features per line, for matrices past the closed forms."""
     features = [
         F.lit(1.0),
@@ -38,16 +40,18 @@ def line_wide(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_extendedprice") / 100000,
     ]
     return vector_table(
-        table(spark, folder, "lineitem"), features, F.col("l_returnflag") == "R", ["l_suppkey"]
+        table(spark, folder, "lineitem"), features, F.col("l_returnflag") == "R", ["l_suppkey", *keep]
     )
 
 
-def line_products(spark: SparkSession, folder: str) -> DataFrame:
+def line_products(
+    spark: SparkSession, folder: str, keep: Sequence[str] = ()
+) -> DataFrame:
     """Ten features per line: three measures, their squares and their products."""
     q, d, x = F.col("l_quantity") / 50, F.col("l_discount") * 10, F.col("l_tax") * 10
     features = [F.lit(1.0), q, d, x, q * q, d * d, x * x, q * d, q * x, d * x]
     return vector_table(
-        table(spark, folder, "lineitem"), features, F.col("l_returnflag") == "R", ["l_suppkey"]
+        table(spark, folder, "lineitem"), features, F.col("l_returnflag") == "R", ["l_suppkey", *keep]
     )
 
 

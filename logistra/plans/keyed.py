@@ -31,14 +31,13 @@ from logistra.functions import dense
 from logistra.functions.logistic import linear, name, number
 from logistra.operators.matrix import as_arrow, ddl
 from logistra.operators.moments import (
+    block_sums,
     cell_sums,
     design,
-    feature_arrays,
     gradient_cells,
     hessian_cells,
     packed,
     strategy_for,
-    system_of,
 )
 from logistra.operators.validate import checked
 from logistra.operators.vectors import key_list
@@ -75,9 +74,32 @@ def newton_train_by(
     if iterations < 1:
         raise ValueError("training needs at least one iteration")
     spark = df.sparkSession
-    data = _Rows(df, key_list(key), d, collapse, persist, broadcast_limit, rows_per_salt)
+    names = key_list(key)
+    taken = {"iteration", "i", "w", "singular", "phi", "t", "n"}
+    taken |= {f"{c}{i}" for c in "xw" for i in range(d)}
+    if taken & {*names}:
+        raise ValueError(f"rename the key columns {sorted(taken & {*names})}")
+    # Keys have names of their own inside, so that no inner column clashes.
+    inner = {column: f"_key{i}" for i, column in enumerate(names)}
+    keyed_rows = df.withColumnsRenamed(inner)
+    data = _Rows(keyed_rows, [*inner.values()], d, collapse, persist, broadcast_limit, rows_per_salt)
     path = new_table_path(spark, "weights")
-    state = None if init is None else _wide_model(init, data.keys, d)
+    try:
+        state = _run(data, path, init, inner, iterations, tolerance)
+    finally:
+        data.close()
+    kept = ["iteration", *data.keys] if history else data.keys
+    steps = spark.read.parquet(path) if history else state
+    weights = ", ".join(f"struct({i} AS i, w{i} AS w)" for i in range(d))
+    out = steps.selectExpr(*[name(n) for n in kept], "singular", f"inline_outer(array({weights}))")
+    outer = {place: column for column, place in inner.items()}
+    return out.select(*kept, "i", "w", "singular").withColumnsRenamed(outer)
+
+
+def _run(data, path, init, inner, iterations, tolerance) -> DataFrame:
+    """The weights after the last step; those of each step are written below ``path``."""
+    d, spark = data.d, data.stored.rows.sparkSession
+    state = None if init is None else _wide_model(init.withColumnsRenamed(inner), data.keys, d)
     for iteration in range(1, iterations + 1):
         # The first weights may cover few keys; from the second step on the
         # table has one row per key and keeps its size.
@@ -90,12 +112,7 @@ def newton_train_by(
         step = f"{path}/iteration={iteration}"
         solved.write.parquet(step)
         state = spark.read.schema(solved.schema).parquet(step)
-    data.close()
-    names = ["iteration", *data.keys] if history else data.keys
-    steps = spark.read.parquet(path) if history else state
-    weights = ", ".join(f"struct({i} AS i, w{i} AS w)" for i in range(d))
-    out = steps.selectExpr(*[name(n) for n in names], "singular", f"inline_outer(array({weights}))")
-    return out.select(*names, "i", "w", "singular")
+    return state
 
 
 def _wide_model(model: DataFrame, keys: Sequence[str], d: int) -> DataFrame:
@@ -161,15 +178,18 @@ class _Rows:
         """
         self._lay_out()
         keys = [name(key) for key in self.keys]
-        margin = "0D"
-        rows = self.stored.rows
+        rows, weights = self.stored.rows, ["0D"] * self.d
         if state is not None:
-            rows = self._with_state(state)
-            cells = [f"get(phi, {i})" for i in range(self.d)]
-            margin = linear(cells, [f"w{i}" for i in range(self.d)])
+            rows, weights = self._with_state(state), [f"w{i}" for i in range(self.d)]
+        # Zeros are multiplied too: 0 * NaN is what the guard looks for.
+        margin = linear([f"get(phi, {i})" for i in range(self.d)], weights)
         rows = rows.selectExpr(*keys, "phi", "t", "n", f"{margin} AS margin")
-        partial = _block_sums(rows, self.keys, self.d).repartition(*self.keys)
-        sums = partial.groupBy(*self.keys, "place").agg(F.sum("v").alias("v"))
+        wanted = gradient_cells(self.d) + hessian_cells(self.d)
+        # Summed by key and cell: the tasks combine their rows before they send them.
+        partial = block_sums(rows, self.keys, self.d, wanted)
+        place = f"if(j = {self.d}, i, {self.d} + i * {self.d} + j) AS place"
+        sums = partial.groupBy(*self.keys, "i", "j").agg(F.sum("v").alias("v"))
+        sums = sums.selectExpr(*keys, place, "v")
         # At most d (d + 3) / 2 places per key are gathered.
         gathered = sums.groupBy(*self.keys).agg(
             F.array_sort(F.collect_list(F.struct("place", "v"))).alias("cells")
@@ -271,40 +291,6 @@ def solve_systems(
     return solved.selectExpr(*quoted, *news, "singular")
 
 
-def _block_sums(rows: DataFrame, keys: Sequence[str], d: int) -> DataFrame:
-    """``(key, place, v)``: per Arrow batch and key, one row per cell of [H | g].
-
-    Gradient cells come first.
-    """
-    cells = gradient_cells(d) + hessian_cells(d)
-    at_i, at_j = np.array(cells).T
-
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            if batch.num_rows == 0:
-                continue
-            x, t, n = feature_arrays(batch, d)
-            margin = batch.column("margin").to_numpy()
-            group = np.zeros(batch.num_rows, dtype=np.int64)
-            for key in keys:
-                part = batch.column(key).dictionary_encode().indices.to_numpy()
-                code = group * batch.num_rows + part
-                _, first, group = np.unique(code, return_index=True, return_inverse=True)
-            order = np.argsort(group, kind="stable")
-            edges = np.searchsorted(group[order], np.arange(first.size + 1))
-            sums = []
-            for g in range(first.size):
-                at = order[edges[g] : edges[g + 1]]
-                sums.append(system_of(x[at], t[at], n[at], margin[at])[at_i, at_j])
-            take = pa.array(np.repeat(first, len(cells)))
-            columns = [batch.column(key).take(take) for key in keys]
-            place = np.tile(np.arange(len(cells), dtype=np.int32), first.size)
-            columns += [pa.array(place), pa.array(np.concatenate(sums))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "place", "v"])
-
-    return rows.mapInArrow(run, ", ".join([*ddl(rows, keys), "place int, v double"]))
-
-
 def solve_stacked(
     systems: DataFrame, keys: Sequence[str], d: int, tolerance: float
 ) -> DataFrame:

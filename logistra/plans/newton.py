@@ -122,15 +122,16 @@ def newton_train(
     if weights.size != d:
         raise ValueError(f"{weights.size} weights for {d} features")
     data = _Pass(df, d, strategy)
-    data.store(collapse, persist)
     rows = []
-    singular = np.array([False])
-    for iteration in range(1, iterations + 1):
-        h, g = data.system(weights.tolist())
-        update, singular = dense.newton_update(h[None], g[None], tolerance)
-        weights = weights - update[0]
-        rows += [(iteration, i, float(w), bool(singular[0])) for i, w in enumerate(weights)]
-    data.close()
+    try:
+        data.store(collapse, persist)
+        for iteration in range(1, iterations + 1):
+            h, g = data.system(weights.tolist())
+            update, singular = dense.newton_update(h[None], g[None], tolerance)
+            weights = weights - update[0]
+            rows += [(iteration, i, float(w), bool(singular[0])) for i, w in enumerate(weights)]
+    finally:
+        data.close()
     if not iterations:
         rows = [(0, i, float(w), False) for i, w in enumerate(weights)]
     steps = df.sparkSession.createDataFrame(

@@ -2,27 +2,40 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def save_model(model: DataFrame, path: str) -> None:
-    """Write ``(iteration, .., i, w)``, replacing the iterations it holds.
+    """Write ``(iteration, .., i, w)`` as the whole content of ``path``.
 
-    A model without ``iteration`` is stored as iteration 0. The model must not
-    be read from ``path`` itself.
+    A model without ``iteration`` is stored as iteration 0. What was stored is
+    replaced as a whole once the new model is written beside it; a failed write
+    leaves it as it was. The model must not be read from ``path`` itself.
     """
-    target = path.rstrip("/") + "/"
-    if any(target in source + "/" for source in model.inputFiles()):
+    spark = model.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    target = files.makeQualified(hadoop(path)).toString().rstrip("/")
+    sources = {files.makeQualified(hadoop(f)).toString() for f in model.inputFiles()}
+    if any(source.startswith(target + "/") for source in sources):
         raise ValueError(f"the model to save is read from {path}")
     if "iteration" not in model.columns:
         model = model.withColumn("iteration", F.lit(0))
-    (
-        model.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("iteration")
-        .parquet(path)
-    )
+    mark = uuid.uuid4().hex
+    new, old = f"{target}-new-{mark}", f"{target}-old-{mark}"
+    model.write.partitionBy("iteration").parquet(new)
+    replaced = files.exists(hadoop(target))
+    if replaced and not files.rename(hadoop(target), hadoop(old)):
+        raise OSError(f"cannot replace {path}")
+    if not files.rename(hadoop(new), hadoop(target)):
+        if replaced:
+            files.rename(hadoop(old), hadoop(target))
+        raise OSError(f"cannot store {path}")
+    if replaced:
+        files.delete(hadoop(old), True)
 
 
 def load_model(spark: SparkSession, path: str, iteration: int | None = None) -> DataFrame:

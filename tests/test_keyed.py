@@ -121,3 +121,40 @@ def test_sums_start_before_the_shuffle(spark):
     plan = sums._jdf.queryExecution().executedPlan().toString()
     assert plan.count("HashAggregate") == 2 and plan.count("Exchange hashpartitioning") == 1
     assert "partial_sum" in plan
+
+
+def small_rows(spark, d, key, damaged=False):
+    random = np.random.default_rng(3)
+    rows = []
+    for k in ("a", "b"):
+        for n in range(60):
+            x = [1.0, *random.normal(size=d - 1).tolist()]
+            if damaged and k == "a" and n == 7:
+                x[1] = float("nan")
+            rows.append((k, x, float(random.random() < 0.5)))
+    return spark.createDataFrame(rows, f"{key} string, phi array<double>, t double")
+
+
+@pytest.mark.parametrize("d", [3, 9])
+def test_nan_row_costs_only_itself(spark, d):
+    trained = keyed.newton_train_by(small_rows(spark, d, "key", damaged=True), "key", d)
+    clean = small_rows(spark, d, "key", damaged=True).where("NOT exists(phi, x -> isnan(x))")
+    expected = {(r.key, r.i): r.w for r in keyed.newton_train_by(clean, "key", d).collect()}
+    found = {(r.key, r.i): r.w for r in trained.collect()}
+    assert found.keys() == expected.keys()
+    assert all(abs(found[k] - expected[k]) < 1e-8 for k in expected)
+
+
+@pytest.mark.parametrize("d", [3, 9])
+@pytest.mark.parametrize("key", ["p", "size", "margin", "place", "cells", "salts"])
+def test_key_names_do_not_clash(spark, d, key):
+    trained = keyed.newton_train_by(small_rows(spark, d, key), key, d, iterations=2)
+    assert trained.columns == [key, "i", "w", "singular"]
+    assert trained.count() == 2 * d
+
+
+def test_partials_are_summed_before_the_exchange(spark):
+    rows = small_rows(spark, 9, "key")
+    plan = moments.hessian_by(rows, "key", [0.0] * 9)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Exchange hashpartitioning(key") :]
+    assert below.index("partial_sum") < below.index("MapInArrow")

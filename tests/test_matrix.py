@@ -21,12 +21,6 @@ ADJUGATE_3 = {
 }
 
 
-@pytest.fixture(params=["closed form", "numpy"])
-def path(request, monkeypatch):
-    if request.param == "numpy":
-        monkeypatch.setattr(matrix, "CLOSED_FORM_LIMIT", 0)
-
-
 def close(got, want):
     assert set(got) == set(want)
     for key in want:
@@ -52,7 +46,7 @@ def test_pivot_row_two_below_moves_up_past_the_others(spark):
     assert {r.sign for r in frame.collect()} == {1}
 
 
-def test_determinant(spark, path):
+def test_determinant(spark):
     got = {r.key: r.det for r in matrix.determinant(coo(spark, TWO), 2, "key").collect()}
     assert got == pytest.approx({"a": 5, "swap": -1, "singular": 0})
     got = {r.key: r for r in matrix.determinant(coo(spark, THREE), 3, "key").collect()}
@@ -67,13 +61,13 @@ def test_determinant_past_the_largest_double(spark):
     assert row.det == float("inf") and row.log_abs_det == pytest.approx(400 * np.log(10))
 
 
-def test_adjugate(spark, path):
+def test_adjugate(spark):
     close(to_numpy(matrix.adjugate(coo(spark, TWO), 2, "key"), 2), ADJUGATE)
     close(to_numpy(matrix.adjugate(coo(spark, THREE), 3, "key"), 3), ADJUGATE_3)
     close(to_numpy(matrix.adjugate(coo(spark, {"k": [[5]]}), 1, "key"), 1), {"k": [[1]]})
 
 
-def test_inverse(spark, path):
+def test_inverse(spark):
     frame = matrix.inverse(coo(spark, TWO), 2, "key")
     want = {"a": [[0.6, -0.2], [-0.2, 0.4]], "swap": [[0, 1], [1, 0]]}
     want["singular"] = [[0, 0], [0, 0]]
@@ -153,3 +147,28 @@ def test_dense_needs_every_cell_once(spark):
         matrix.coo_to_dense(frame.union(frame), 2, "key").collect()
     with pytest.raises(Exception, match="outside"):
         matrix.coo_to_dense(frame, 1, "key").collect()
+
+
+@pytest.mark.parametrize("d", [3, 5])
+def test_one_matrix_with_nan_leaves_the_others_alone(spark, d):
+    good = np.diag(np.arange(1.0, d + 1))
+    bad = good.copy()
+    bad[0, 0] = np.nan
+    table = coo(spark, {"good": good.tolist(), "bad": bad.tolist()})
+    for job in (matrix.inverse, matrix.adjugate):
+        cells = to_numpy(job(table, d, "key").drop("singular"), d)
+        assert np.isfinite(cells["good"]).all() and np.isnan(cells["bad"]).any()
+
+
+@pytest.mark.parametrize("d", [3, 4])
+@pytest.mark.parametrize("scale", [1e-120, 1e120])
+def test_scale_does_not_make_singular(spark, d, scale):
+    table = coo(spark, {"a": (np.eye(d) * scale).tolist()})
+    rows = matrix.inverse(table, d, "key").collect()
+    assert not any(r.singular for r in rows)
+    assert all(abs(r.v * scale - (r.i == r.j)) < 1e-12 for r in rows)
+
+
+def test_rank_two_matrix_is_singular(spark):
+    table = coo(spark, {"a": [[0.1, 0.3, 0.1], [0.8, 0.1, 0.3], [0.9, 0.4, 0.4]]})
+    assert all(r.singular and r.v == 0 for r in matrix.inverse(table, 3, "key").collect())

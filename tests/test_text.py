@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import lines
 from logistra.operators.validate import check_dims, guard_cells, replaced_count
@@ -113,7 +114,16 @@ def test_model_files(spark, tmp_path):
     assert [tuple(r) for r in model.load_model(spark, path).collect()] == [(0, 0.6)]
     again = spark.createDataFrame([(2, 0, 0.7)], schema)
     model.save_model(again, path)
-    assert model.load_history(spark, path).count() == 3
+    # What was stored before is gone as a whole.
+    assert model.load_history(spark, path).count() == 1
     assert [tuple(r) for r in model.load_model(spark, path).collect()] == [(0, 0.7)]
+    model.save_model(again.drop("iteration"), path)
+    assert [tuple(r) for r in model.load_model(spark, path).collect()] == [(0, 0.7)]
+    failing = again.withColumn("w", F.expr("CAST(raise_error('no') AS double)"))
+    with pytest.raises(Exception, match="no"):
+        model.save_model(failing, path)
+    assert model.load_history(spark, path).count() == 1
+    # A path that only begins alike is another model.
+    model.save_model(model.load_history(spark, path), path + "2")
     with pytest.raises(ValueError, match="read from"):
         model.save_model(model.load_history(spark, path), path)
