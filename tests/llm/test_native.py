@@ -1,0 +1,221 @@
+"""Fingerprints, mixing, secrets, licences and URL rules; no Python in the native plans."""
+
+import hashlib
+import random
+from collections import Counter, defaultdict
+
+import pytest
+
+import corpus
+from logistra.llm import fingerprint, licenses, mixing, secrets, url_filter
+from pyspark.sql import functions as F
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def ordered(table):
+    """Descending id, nulls last; ties in any order."""
+    return sorted(table, key=lambda r: (r[0] is None, -(r[0] or 0)))
+
+
+def unique_ids(table):
+    return list({row[0]: row for row in table if row[0] is not None}.values())
+
+
+def test_fingerprints(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "RANGE_ROWS", 1)
+    table = [row for row in unique_ids(corpus.rows()) if len(row[1] or "") < 10_000]
+    done = fingerprint.compare_with_edited(corpus.clashing(corpus.frame(spark, table)))
+    assert "Python" not in plan_of(done) and "Arrow" not in plan_of(done)
+    got = {r.doc_id: r for r in done.collect()}
+    table = ordered(table)
+    assert len(got) == len(table)
+    by_text, errors = defaultdict(set), []
+    for row, after in zip(table, table[1:] + table[:1]):
+        text, following, r = row[1] or "", after[1] or "", got[row[0]]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + following[:half]
+        assert r.n_chars == len(text)
+        assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert len(r.fingerprint) == fingerprint.BINS or set(r.fingerprint) == {"x", "0"}
+        by_text[text].add(r.fingerprint)
+        by_text[edited].add(r.edited_fingerprint)
+        for other, near in ((edited, r.near_edited), (following, r.near_next)):
+            a, b = corpus.shingles(text.lower(), 5), corpus.shingles(other.lower(), 5)
+            errors.append(near - (len(a & b) / len(a | b) if a | b else 1.0))
+    assert all(len(prints) == 1 for prints in by_text.values())
+    assert max(map(abs, errors)) < 0.25
+    assert abs(sum(errors) / len(errors)) < 0.01
+
+
+def test_fingerprints_of_odd_tables(spark):
+    assert fingerprint.compare_with_edited(spark.createDataFrame([], corpus.SCHEMA)).collect() == []
+    one = fingerprint.compare_with_edited(corpus.frame(spark, [(7, "a b", "en", "s", 3)])).first()
+    assert one.edited_sha256 == hashlib.sha256(b"a a"[:2] + b"a").hexdigest()
+    table = corpus.rows()
+    assert fingerprint.compare_with_edited(corpus.frame(spark, table)).count() == len(table)
+
+
+def water_level(sizes, weights, budget):
+    """Targets by repeated resharing."""
+    target, free = dict.fromkeys(sizes, 0.0), set(sizes)
+    while free:
+        left = budget - sum(target[s] for s in sizes if s not in free)
+        total = sum(weights[s] for s in free)
+        over = {s for s in free if left * weights[s] / total >= 2 * sizes[s]}
+        if not over:
+            return target | {s: left * weights[s] / total for s in free}
+        target |= {s: 2.0 * sizes[s] for s in over}
+        free -= over
+    return target
+
+
+def test_mixing(spark):
+    table = corpus.rows()
+    done = mixing.schedule(corpus.clashing(corpus.frame(spark, table)))
+    assert "Python" not in plan_of(done) and "Arrow" not in plan_of(done)
+    got = done.collect()
+    assert len(got) == len(table)
+    sizes = Counter()
+    for row in table:
+        sizes[row[3]] += len(corpus.words(row[1]))
+    names = sorted(s for s in sizes if s is not None) + [None]
+    weights = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    target = water_level(sizes, weights, 1.5 * sum(sizes.values()))
+    want = Counter((row[0], len(corpus.words(row[1])), sizes[row[3]]) for row in table)
+    assert Counter((r.doc_id, r["size"], r.source_size) for r in got) == want
+    taken = Counter()
+    for r in got:
+        assert 0 <= r.taken <= 2 * r["size"]
+        assert (r.position is None) == (r.taken == 0)
+        taken[r.source_size] += r.taken
+    for source, words in sizes.items():
+        found = [r.target for r in got if r.source_size == words]
+        assert found[0] == pytest.approx(target[source])
+        assert abs(taken[words] - target[source]) <= 1
+    places = [r.position for r in got if r.position is not None]
+    assert places == sorted(places) and 0 <= places[0] and places[-1] < 1
+    assert got == mixing.schedule(corpus.frame(spark, table)).collect()
+
+
+def test_training_sequence(spark):
+    table = corpus.rows()
+    rows = mixing.training_sequence(corpus.frame(spark, table)).collect()
+    planned = mixing.schedule(corpus.frame(spark, table)).agg(F.sum("taken")).first()[0]
+    assert sum(r.taken for r in rows) == planned
+    assert {tuple(r)[:5] for r in rows} <= set(table)
+    assert [r.position for r in rows] == sorted(r.position for r in rows)
+
+
+def test_mixing_without_words(spark):
+    assert mixing.schedule(spark.createDataFrame([], corpus.SCHEMA)).collect() == []
+    blank = [(1, "", "en", "a", 0), (2, None, None, None, None)]
+    got = mixing.schedule(corpus.frame(spark, blank)).collect()
+    assert [(r["size"], r.target, r.taken, r.position) for r in got] == [(0, 0, 0, None)] * 2
+
+
+def secret_rows():
+    rng, out = random.Random(6), []
+    for i in range(150):
+        hidden = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+        kind = i % 5
+        text = {
+            0: f'{corpus.prose(rng, 9)} token = "{hidden}" {corpus.prose(rng, 9)}',
+            1: f"{corpus.prose(rng, 9)} {rng.randrange(10**15, 10**16)} {corpus.prose(rng, 9)}",
+            2: f"see mail{i}.example.com/docs/page{i}.html now",
+            3: f"key ghp_{hidden[:36]} here, ghp_{hidden[:36]} again",
+            4: corpus.prose(rng, 30),
+        }[kind]
+        out.append((i, text, "en", "s", len(text)))
+    return out + [(200, None, None, None, None), (201, "", "en", "s", 0), out[0]]
+
+
+def test_secrets(spark):
+    table = secret_rows()
+    docs = corpus.frame(spark, table)
+    forest = secrets.train(secrets.corpus_examples(docs))
+    done = secrets.scan(corpus.clashing(docs), forest)
+    assert "Python" not in plan_of(done) and "Arrow" not in plan_of(done)
+    got = done.collect()
+    assert {r.doc_id for r in got} == {row[0] for row in table if row[0] < 150 and row[0] % 5 in (0, 3)}
+    for r in got:
+        text = next(row[1] for row in table if row[0] == r.doc_id)
+        assert r.secret in corpus.re.split(r"[\x20\x09-\x0D]+", text)[r.word] and r.score >= 0.5
+    masked = secrets.mask(docs, forest).collect()
+    assert len(masked) == len(table)
+    for r in masked:
+        original = next(row for row in table if row[0] == r.doc_id)
+        hidden = {x.secret for x in got if x.doc_id == r.doc_id}
+        want = original[1]
+        for s in sorted(hidden, key=len, reverse=True):
+            want = want.replace(s, secrets.MASK)
+        assert r.text == want and r.n_chars == (None if want is None else len(want))
+        assert (r.lang, r.source) == original[2:4]
+
+
+def test_secrets_of_empty_table(spark):
+    none = spark.createDataFrame([], corpus.SCHEMA)
+    forest = secrets.train(secrets.corpus_examples(none))
+    assert secrets.scan(none, forest).collect() == []
+
+
+def test_licences(spark):
+    rng, table, want = random.Random(8), [], set()
+    for i in range(60):
+        name, notice = licenses.TEMPLATES[i % len(licenses.TEMPLATES)]
+        lines = [corpus.prose(rng, 8), "", notice.upper() if i % 2 else notice, "", corpus.prose(rng, 3)]
+        table.append((i, "\n".join(lines), "en", "s", 0))
+        want.add((i, 2, 1, name, 1.0))
+    long = licenses.TEMPLATES[1][1].split(" ")
+    table.append((70, " ".join(long[:40]) + "\n" + " ".join(long[40:]), "en", "s", 0))
+    table += [(80, None, None, None, None), (81, "", "en", "s", 0), (82, "\n\n", "en", "s", 0), (83, "!", "en", "s", 0)]
+    got = licenses.scan(corpus.clashing(corpus.frame(spark, table))).collect()
+    assert {tuple(r)[:4] + (r.dice,) for r in got if r.doc_id < 60} == want
+    assert [(r.line, r.lines, r.license) for r in got if r.doc_id == 70] == [(0, 2, "Apache-2.0")]
+    assert {r.doc_id for r in got} == {*range(60), 70}
+    assert licenses.scan(spark.createDataFrame([], corpus.SCHEMA)).collect() == []
+
+
+URLS = [
+    ("http://WWW.Example.com/en/1?x=/a#b", "www.example.com", "/en/1", "www.example.com/en/", "allow"),
+    ("https://m.example.com/en/", "m.example.com", "/en/", "example.com/en/", "block"),
+    ("https://m.example.com/fr/", "m.example.com", "/fr/", "com/", "allow"),
+    ("https://notexample.com/en/", "notexample.com", "/en/", "com/", "allow"),
+    ("x://a.net/es/1", "a.net", "/es/1", "net/es/", "block"),
+    ("x://a.net/en/1", "a.net", "/en/1", None, "allow"),
+    ("http://example.com", "example.com", "", None, "allow"),
+    ("http://a.com?q=/en/", "a.com", "", None, "allow"),
+    ("example.com/en/", "", "", None, "allow"),
+    ("://", "", "", None, "allow"),
+    (None, "", "", None, "allow"),
+]
+
+
+def test_rules(spark):
+    pages = spark.createDataFrame([(i, u[0]) for i, u in enumerate(URLS)], "page_id long, url string")
+    none = spark.createDataFrame([], "page_id long, bad int")
+    got = {r.page_id: tuple(r)[1:5] for r in url_filter.verdicts(corpus.clashing(pages), none).collect()}
+    assert got == {i: u[1:] for i, u in enumerate(URLS)}
+
+
+def test_reputation(spark):
+    """Bad hosts with many labels are blocked, few labels are shrunk to the domain."""
+    urls, bad = [], []
+    for i in range(400):
+        host = ["farm.spam.org", "new.spam.org", "good.org", "other.org"][0 if i < 150 else 2 if i < 300 else 3]
+        urls.append((i, f"http://{host}/{i}"))
+        bad.append((i, int(i < 140)))
+    urls += [(500, "http://new.spam.org/"), (None, "http://good.org/")]
+    bad += [(None, 1), (3, None), (9999, 1)]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    said = spark.createDataFrame(bad, "page_id long, bad int")
+    rows = url_filter.verdicts(pages, said).collect()
+    assert len(rows) == len(urls)
+    share = {r.host: r.bad_share for r in rows}
+    verdict = {r.host: r.verdict for r in rows}
+    assert verdict["farm.spam.org"] == "block" and verdict["good.org"] == verdict["other.org"] == "allow"
+    assert share["farm.spam.org"] > 0.85 > 0.1 > share["good.org"]
+    assert share["new.spam.org"] > 0.5
+    assert url_filter.verdicts(pages.where("false"), said).collect() == []
