@@ -30,7 +30,7 @@ SAMPLE_TASKS = 8
 ROWS, WIDTH = 1 << 14, 32
 # Entries of an index vector that are not 0, and words seen to either side.
 ENTRIES, REACH = 4, 2
-HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 256, 3e-3, 1e-4
+HIDDEN, STEPS, BATCH, RATE, DECAY = 32, 2000, 256, 3e-3, 1e-4
 # Share of the sample that chooses the temperature.
 CALIBRATION = 0.2
 # Documents are kept from this score on.
@@ -135,7 +135,7 @@ class Model:
             p += [random.normal(0, np.sqrt(2 / i), (i, o)), np.zeros(o)]
         moments = [[np.zeros_like(v), np.zeros_like(v)] for v in p]
         z, step = (x - self.mean) / self.scale, 0
-        for _ in range(EPOCHS):
+        while step < STEPS:
             random.shuffle(rows)
             for b in range(0, len(rows), BATCH):
                 at = rows[b : b + BATCH]
