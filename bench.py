@@ -30,10 +30,13 @@ HEADLINES = [
     "newton_by_key",
     "newton_by_key_wide",
     "newton_by_key_products",
+    "newton_by_part",
     "gradient",
     "gradient_binned",
     "hessian",
     "hessian_embeddings",
+    "hessian_by_key_products",
+    "gradient_by_key_products",
     "vector_sum",
     "load_labelled",
     "score_prob",
@@ -77,6 +80,7 @@ def main() -> None:
                 "unit": "sec",
                 "queries": times,
                 "sf": Path(folder).name.removeprefix("sf"),
+                "cores": int(cpus),
             }
         )
     )

@@ -453,6 +453,15 @@ def newton_by_key_nan(table: Callable, d: int) -> Query:
     return query
 
 
+def newton_by_part(spark: SparkSession, folder: str) -> DataFrame:
+    """The first step of one model per part: many keys, few lines each."""
+    features_of_line = [F.lit(1.0), F.col("l_quantity") / 50, F.col("l_discount") * 10]
+    rows = features.vector_table(
+        features.table(spark, folder, "lineitem"), features_of_line, F.col("l_returnflag") == "R", ["l_partkey"]
+    )
+    return steps(keyed.newton_train_by(rows, "l_partkey", 3, iterations=1, collapse="never"))
+
+
 QUERIES: dict[str, Query] = {
     "load_labelled": load_labelled,
     "load_vectors": load_vectors,
@@ -527,6 +536,7 @@ QUERIES: dict[str, Query] = {
     "newton_by_key_history": newton_by_key(features.line, 3, history=True),
     "newton_by_key_wide": newton_by_key(features.line_wide, 5),
     "newton_by_key_products": newton_by_key(features.line_products, 10),
+    "newton_by_part": newton_by_part,
     "newton_by_key_nan": newton_by_key_nan(features.line_wide, 5),
     "newton_by_key_nan_products": newton_by_key_nan(features.line_products, 10),
 }

@@ -311,6 +311,22 @@ SELECT s_suppkey, (CASE WHEN e = 0 THEN 0 WHEN swapped THEN -1 ELSE 1 END)::DOUB
 FROM ({EXACT})"""
 
 
+def first_step_by_part() -> str:
+    """At weights 0 all curvatures are 1/4: H is singular where X'X is, by its three pivots."""
+    rows = scored(LINE.replace("l_suppkey", "l_partkey"), ZEROS)
+    share = "1e-13"
+    return f"""
+WITH m AS MATERIALIZED ({system(f'({rows})', 3, 'l_partkey')}),
+pivots AS MATERIALIZED (
+  SELECT l_partkey, m, {triangle('m', 3)} AS u FROM m),
+regular AS MATERIALIZED (
+  SELECT l_partkey, m, coalesce(abs(m[1][1]) > 0 AND abs(u[2][2]) > {share} * abs(m[2][2])
+         AND abs(u[3][3]) > {share} * abs(m[3][3]), FALSE) AS ok FROM pivots)
+SELECT l_partkey, i::INT AS i, CASE WHEN ok THEN {rounded('-x[i + 1][4]')} ELSE 0.0 END AS w,
+       NOT ok AS singular
+FROM (SELECT l_partkey, ok, {reduced('m', 3)} AS x FROM regular), range(3) AS r(i)"""
+
+
 ORACLES: dict[str, str] = {
     "text_labelled": f"""
 SELECT i::INT AS i, {rounded('numbers[i + 1]')} AS v, numbers[4] AS t
@@ -348,6 +364,7 @@ FROM (SELECT *, CASE {' '.join(f'WHEN r = {i} AND k = {j} THEN {v}' for (i, j),
     "adjugate_singular_wide": exact_adjugate(5),
     "inverse_singular": exact_inverse(3),
     "inverse_singular_wide": exact_inverse(5),
+    "newton_by_part": first_step_by_part(),
     "newton_by_key_nan": trained(LINE_WIDE + NOT_SEVEN, 5, SUPPLIER),
     "newton_by_key_nan_products": trained(
         LINE_PRODUCTS.replace("FROM lineitem)", f"FROM lineitem{NOT_SEVEN})"), 10, SUPPLIER

@@ -41,7 +41,7 @@ from logistra.operators.moments import (
 )
 from logistra.operators.validate import checked
 from logistra.operators.vectors import key_list
-from logistra.plans.layout import Stored
+from logistra.plans.layout import Stored, measure
 from logistra.storage import new_table_path
 
 SALT = "_salt"
@@ -140,7 +140,7 @@ class _Rows:
     ):
         self.keys, self.d = keys, d
         self.broadcast_limit, self.rows_per_salt = broadcast_limit, rows_per_salt
-        self.laid_out = False
+        self.laid_out = self.salted = False
         self.hot: DataFrame | None = None
         self.fits = True
         if strategy_for(d) == "wide":
@@ -208,16 +208,30 @@ class _Rows:
         return state.select(*self.keys, *[f"w{i}" for i in range(self.d)])
 
     def choose_join(self, state: DataFrame) -> None:
-        """Broadcast weights as large as these, or bring them to the salted rows."""
+        """Broadcast weights as large as these, or bring them to rows laid out by key.
+
+        Rows are laid out as well where summing them in the tasks that read them
+        does not make them fewer: then every step would send more than the rows.
+        """
         self.fits = _table_bytes(state, self.keys, self.d) <= self.broadcast_limit
-        if not self.fits:
+        if not self.fits or self._sums_outgrow_rows(state):
             self._lay_out()
 
+    def _sums_outgrow_rows(self, state: DataFrame) -> bool:
+        """Whether one step's partial sums may hold more numbers than all rows."""
+        if strategy_for(self.d) != "wide" or self.laid_out:
+            return False
+        shape = self.stored.shape or measure(self.stored.rows, self.keys)
+        partial = min(shape.rows, state.count() * shape.tasks)
+        return partial * (self.d * (self.d + 3) // 2 + self.d) > shape.rows * (self.d + 2)
+
     def _with_state(self, state: DataFrame) -> DataFrame:
         """Rows with the weights of their key; a key without weights has zeros."""
         weights = self._weights(state)
         if self.fits:
             joined = self.stored.rows.join(F.broadcast(weights), self.keys, "left")
+        elif not self.salted:
+            joined = self.stored.rows.join(weights.hint("merge"), self.keys, "left")
         else:
             salts = F.explode(F.expr("sequence(0, coalesce(salts, 1) - 1)"))
             copies = weights.join(F.broadcast(self.hot), self.keys, "left")
@@ -228,7 +242,7 @@ class _Rows:
         return joined.selectExpr(*others, *[f"coalesce({w}, 0D) AS {w}" for w in names])
 
     def _lay_out(self) -> None:
-        """Rows by key and salt, sorted, in partitions of bounded size.
+        """Rows by key, sorted; by key and salt if a key has many rows.
 
         The salt is the number of the task that read the row, so it stays the
         same when a lost task runs again. At most HOT_KEYS keys have more than
@@ -242,17 +256,18 @@ class _Rows:
         hot = sizes.filter(F.col("size") > per_salt)
         salts = F.ceil(F.col("size") / per_salt).cast("int").alias("salts")
         self.hot = hot.select(*self.keys, salts).persist(StorageLevel.MEMORY_AND_DISK)
-        salted = rows.join(F.broadcast(self.hot), self.keys, "left").withColumn(
-            SALT, F.expr("pmod(spark_partition_id(), coalesce(salts, 1))")
-        )
+        self.salted = not self.hot.isEmpty()
+        places = [*self.keys, SALT] if self.salted else self.keys
+        if self.salted:
+            rows = rows.join(F.broadcast(self.hot), self.keys, "left").withColumn(
+                SALT, F.expr("pmod(spark_partition_id(), coalesce(salts, 1))")
+            ).drop("salts")
         configured = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         partitions = max(configured, math.ceil(count / per_salt))
         # Stored and counted here: a step sees that its rows are in place only
         # once the layout exists.
         self.stored.replace(
-            salted.drop("salts")
-            .repartition(partitions, *self.keys, SALT)
-            .sortWithinPartitions(*self.keys, SALT)
+            rows.repartition(partitions, *places).sortWithinPartitions(*places)
         )
         self.laid_out = True
 

@@ -158,3 +158,18 @@ def test_partials_are_summed_before_the_exchange(spark):
     plan = moments.hessian_by(rows, "key", [0.0] * 9)._jdf.queryExecution().executedPlan().toString()
     below = plan[plan.index("Exchange hashpartitioning(key") :]
     assert below.index("partial_sum") < below.index("MapInArrow")
+
+
+def test_many_keys_are_laid_out_once(spark):
+    rows = spark.range(6000).selectExpr(
+        "id DIV 3 AS part", "array(1D, CAST(id % 3 AS double), rand(7)) AS phi",
+        "CAST(id % 2 AS double) AS t",
+    )
+    data = keyed._Rows(rows.repartition(6), ["part"], 3, "never", False, 1 << 28, 4_000_000)
+    state = rows.select("part").distinct().selectExpr("*", *[f"0D AS w{i}" for i in range(3)])
+    data.choose_join(state)
+    assert data.laid_out and data.fits and not data.salted
+    plan = data.systems(state)._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("InMemoryTableScan")]
+    assert "Exchange hashpartitioning" not in above
+    data.close()
