@@ -116,7 +116,20 @@ def _set_rows(rule: Rule):
 
 def _compare(rule: Rule):
     def run(table: pa.Table) -> pa.Table:
-        """Links between left rows and rows of another component in one block."""
+        """Links between left rows and rows of other components in one block.
+
+        All pairs are compared; of the links those that connect what the block's
+        links before left apart are returned, so a family of near copies gives
+        as many rows as it has components, not as it has pairs.
+        """
+        parent: dict[int, int] = {}
+
+        def root(component: int) -> int:
+            while (above := parent.get(component, component)) != component:
+                parent[component] = parent.get(above, above)
+                component = above
+            return component
+
         cids, comps = (table.column(c).to_numpy() for c in ("cid", "component"))
         left = np.flatnonzero(table.column("is_left").to_numpy(zero_copy_only=False))
         right = np.flatnonzero(~table.column("is_left").to_numpy(zero_copy_only=False))
@@ -136,8 +149,12 @@ def _compare(rule: Rule):
             inter = np.add.reduceat(present[own].astype(np.int64), starts) if len(own) else own
             present[mine] = False
             union = sizes[x] + sizes[right] - inter
-            hit = (inter * rule.den >= rule.num * union) & (comps[right] != comps[x])
-            pairs += [(cids[x], cids[y]) for y in right[hit]]
+            hit = right[(inter * rule.den >= rule.num * union) & (comps[right] != comps[x])]
+            for component, y in zip(*np.unique(comps[hit], return_index=True), strict=True):
+                mine, other = root(int(comps[x])), root(int(component))
+                if mine != other:
+                    parent[mine] = other
+                    pairs.append((cids[x], cids[hit[y]]))
         a, b = zip(*pairs, strict=True) if pairs else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
