@@ -6,11 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from logistra.constants import BROADCAST_LIMIT
 from logistra.operators.validate import checked
 from logistra.operators.vectors import vector_to_indexed
+from logistra.storage import stored
 
 # The only spellings of non-finite numbers the text format accepts; Spark's
 # cast alone would also take "inf", "nan" and other cases.
@@ -128,16 +128,29 @@ def with_row_number(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("mark"),
         "value",
     )
-    splits = (
-        lines.groupBy("file", "start")
-        .agg(F.count("*").alias("rows"), F.min("mark").alias("first_mark"))
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    splits, _ = stored(
+        lines.groupBy("file", "start").agg(
+            F.count("*").alias("rows"), F.min("mark").alias("first_mark")
+        ),
+        "splits",
+    )
+    # Split offsets: a running sum over one row per split. Files are dealt out
+    # in ranges of their names, so the only unpartitioned window is over ranges.
+    files, _ = stored(
+        splits.groupBy("file")
+        .agg(F.sum("rows").alias("file_rows"))
+        .repartitionByRange("file")
+        .withColumn("range", F.spark_partition_id()),
+        "files",
+    )
+    ranges = files.groupBy("range").agg(F.sum("file_rows").alias("range_rows"))
+    ranges = running_total(ranges, ["range"], "range_rows", "range_offset")
+    files = running_total(files, ["file"], "file_rows", "file_offset", by=["range"])
+    files = files.join(ranges, "range").select(
+        "file", (F.col("range_offset") + F.col("file_offset")).alias("file_offset")
     )
-    # Split offsets: a running sum over one row per split, summed per file
-    # first so that the only unpartitioned window is over files.
-    files = splits.groupBy("file").agg(F.sum("rows").alias("file_rows"))
     size = splits.agg(F.sum(F.length("file") + 64).alias("bytes")).first()["bytes"] or 0
-    offsets = splits.join(running_total(files, ["file"], "file_rows", "file_offset"), "file")
+    offsets = splits.join(files, "file")
     offsets = running_total(offsets, ["start"], "rows", "offset", by=["file"]).select(
         "file", "start", "first_mark", (F.col("file_offset") + F.col("offset")).alias("offset")
     )
