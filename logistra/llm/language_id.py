@@ -220,4 +220,5 @@ def identify(docs: DataFrame, folds: int = 3, held_out: int = 1) -> DataFrame:
     """Predictions for all of ``docs`` by a model of those outside one fold of a hash of the id."""
     labelled = pick(docs, "doc_id", "text", "lang")
     model = train(labelled.where(remainder(F.col("doc_id"), folds) != held_out))
-    return predict(docs, model).withColumn("held_out", remainder(F.col("doc_id"), folds) == held_out)
+    fold = (remainder(F.col("doc_id"), folds) == held_out).alias("held_out")
+    return predict(docs, model).select("doc_id", fold, "lang_pred", "score")

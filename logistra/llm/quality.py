@@ -48,14 +48,13 @@ def numbers(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.
     top = np.uint64(64 - (ROWS.bit_length() - 1))
     for w in tokens.words(column, table):
         forms = (w.hashes >> top).astype(np.int64)
-        kinds = _KINDS[w.raw].astype(np.uint64)
-        inside = np.zeros(len(kinds) + 1, dtype=np.int64)
-        np.add.at(inside, w.starts, 1)
+        kinds = _KINDS[w.raw]
+        opens = np.zeros(len(kinds), dtype=bool)
+        opens[w.starts] = True
         # A run begins with a word or where the kind changes.
         begins = np.append(True, kinds[1:] != kinds[:-1]) if len(kinds) else np.zeros(0, dtype=bool)
-        begins |= inside[:-1] > 0
-        at = np.flatnonzero(begins)
-        runs = tokens.mix(kinds[at] + np.uint64(1))
+        at = np.flatnonzero(begins | opens)
+        runs = tokens.mix(kinds[at].astype(np.uint64) + np.uint64(1))
         # Hash of a word's runs: a sum of run hashes weighted by their place in the word.
         first = np.searchsorted(at, w.starts)
         last = np.searchsorted(at, w.ends)

@@ -77,11 +77,11 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, bounds
 
 
-def chunks(bounds: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
-    """Runs of documents of about ``size`` bytes."""
+def chunks(bounds: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of documents of at most CHUNK bytes, or of one document."""
     first, n = 0, len(bounds) - 1
     while first < n:
-        last = int(np.searchsorted(bounds, bounds[first] + size, side="right")) - 1
+        last = int(np.searchsorted(bounds, bounds[first] + CHUNK, side="right")) - 1
         last = min(n, max(first + 1, last))
         yield first, last
         first = last
@@ -92,7 +92,26 @@ def words(column: pa.Array, table: np.ndarray) -> Iterator[Words]:
     raw, bounds = buffers(column)
     for first, last in chunks(bounds):
         offsets = bounds[first : last + 1] - bounds[first]
-        yield _split(first, raw[bounds[first] : bounds[last]], table, offsets)
+        text = raw[bounds[first] : bounds[last]]
+        long = len(text) > 2 * CHUNK
+        yield _long(first, text, table) if long else _split(first, text, table, offsets)
+
+
+def _long(first: int, raw: np.ndarray, table: np.ndarray) -> Words:
+    """The words of one long text, read in pieces that end where words do."""
+    parts, at = [], 0
+    while at < len(raw):
+        end = min(at + CHUNK, len(raw))
+        # A piece ends before a separator; a word longer than a piece is one piece.
+        while end < len(raw) and (gaps := np.flatnonzero(table[raw[at:end]] == 0)).size == 0:
+            end = min(end + CHUNK, len(raw))
+        if end < len(raw):
+            end = at + int(gaps[-1]) + 1
+        piece = _split(first, raw[at:end], table, np.array([0, end - at]))
+        parts.append((piece.starts + at, piece.ends + at, piece.hashes))
+        at = end
+    starts, ends, hashes = (np.concatenate(p) for p in zip(*parts, strict=True))
+    return Words(first, raw, np.array([0, len(raw)]), starts, ends, np.array([0, len(starts)]), hashes)
 
 
 def _split(first: int, raw: np.ndarray, table: np.ndarray, bounds: np.ndarray) -> Words:

@@ -29,6 +29,21 @@ def test_words_and_shingles():
     assert len(set(seen.values())) == len(seen)
 
 
+def test_long_text_in_pieces(monkeypatch):
+    rng = random.Random(1)
+    text = " ".join(corpus.prose(rng, 50) for _ in range(40)) + " " + "x" * 5000 + "\t" + corpus.prose(rng, 300)
+    column = pa.array(["a b", text, "", text + " "])
+    whole = [w.hashes.tolist() for w in tokens.words(column, tokens.byte_table())]
+    monkeypatch.setattr(tokens, "CHUNK", 1000)
+    pieces = list(tokens.words(column, tokens.byte_table()))
+    assert sum((w.hashes.tolist() for w in pieces), []) == sum(whole, [])
+    for w in pieces:
+        found = [bytes(w.raw[a:b]).decode() for a, b in zip(w.starts, w.ends)]
+        docs = [column[w.first + d].as_py() for d in range(len(w.offsets) - 1)]
+        assert found == [word for d in docs for word in d.split()]
+        assert w.offsets[-1] == len(found)
+
+
 def lingual(n=120):
     rng = random.Random(2)
     sounds = {"aa": "ka lo mi tu", "bb": "schl arf und gro", "cc": "ção não mé lha"}
