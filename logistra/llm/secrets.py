@@ -30,22 +30,19 @@ MASK = "<secret>"
 
 # Words that covered candidates consist of.
 DICTIONARY = (
-    "about access account address admin album alpha archive article asset assets author backup"
-    " banner base beta blog book build bundle button cache card catalog category center chart check"
-    " class client cloud code color column comment common company config contact content copy core"
-    " count create data date default demo design detail dev dist doc docs document domain download"
-    " draft email error event example export feature feed field file files filter final first font"
-    " footer form forum free front full gallery game group guide header help home host html http"
-    " https icon image images import index info input item items java jpeg json label large last"
-    " layout lib library license line link list local log login logo mail main manager map master"
-    " media member menu message meta mobile model module month name net new news node note number"
-    " object office online order org output package page pages part path photo phone php plan player"
-    " plugin png policy post price print privacy product profile project public query rank read"
-    " readme release report request research resource result review root sample script search"
-    " section server service session setting share shop site small source staging start state static"
-    " status store string style support system table tag task team template test text theme thread"
-    " time title tool total track type unit update upload url user users util value version video"
-    " view web week widget window word world www year"
+    "about access account address admin album asset assets backup beta blog build bundle button"
+    " catalog category center chart check cloud code color column common config contact copy count"
+    " create data date default demo design dev doc docs document domain download draft email error"
+    " event example export field file files filter final first footer form forum gallery game"
+    " group header help home host html http https icon image images import index info input item"
+    " items java json label layout lib library license line link list local log login logo mail"
+    " main manager map master media member menu message meta mobile model name net new news node"
+    " note number object online org output package page pages part path photo php plan png policy"
+    " post print privacy product profile project public query read readme release report request"
+    " research resource result review root sample script search section server service session"
+    " setting share shop site source staging start state static status store string style support"
+    " system table tag task team template test text theme thread time title tool total track type"
+    " unit update upload url user users util value version video view web week word world www year"
 ).split()
 # Words that announce a secret.
 KEYWORDS = "token|secret|passw|pwd|api.?key|apikey|auth|bearer|credential|private|access.?key"
