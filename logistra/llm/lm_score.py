@@ -1,10 +1,13 @@
 """Language-model scores by cross-entropy difference.
 
-Two bigram models with one vocabulary are counted over the corpus: the target
-model over the documents of a chosen subset, the background model over all. The
-background counts are scaled to the target's number of words, so that both
-models are smoothed alike. A document's score is the mean over its words of
-target loss minus background loss: negative for texts like the target.
+Two bigram models with one vocabulary, all words of the corpus, are counted over
+it: the target model over the documents of a chosen subset, the background model
+over all. The background counts are scaled to the target's number of words, so
+that both models are smoothed alike. A document's score is the mean over its
+words of target loss minus background loss: negative for texts like the target.
+
+The models are tables that grow with the corpus. Frequent bigrams, which would
+be hot keys, are looked up in the tasks; all others are joined.
 """
 
 from __future__ import annotations
@@ -18,40 +21,51 @@ from pyspark.sql import functions as F
 
 from logistra.llm import tokens
 from logistra.llm.frames import pick
+from logistra.storage import drop_table, stored
 
-# Words of the shared vocabulary: the most frequent ones. All others are one
-# word, which bounds the bigrams, and so the model, to (VOCABULARY + 1)^2 cells.
-VOCABULARY = 2047
+# Words of the shared vocabulary, if it is to be bounded: the most frequent ones,
+# all others are one word. None: every word of the corpus.
+VOCABULARY: int | None = None
 # Words whose counts a task holds before it sends them on.
 HELD_WORDS = 1 << 21
 # Most ids of the target that are broadcast: 8 bytes each.
 BROADCAST_ROWS = 1_000_000
+# A bigram, or word, that is at least this part of all is sent to every task, which
+# bounds their number; the others are joined. The choice changes no result.
+HOT_PAIRS, HOT_WORDS = 1 << 20, 1 << 18
 
 
-def _sums(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """Distinct first entries of (value, count, ...) parts and the sums of the others."""
-    values, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return values, *(
-        np.bincount(where, weights=np.concatenate([p[i] for p in parts])).astype(np.int64)
-        for i in range(1, len(parts[0]))
+def _sums(parts: list[tuple[np.ndarray, ...]], same: int = 1) -> tuple[np.ndarray, ...]:
+    """Distinct first entries of (value, ..., count, ...) parts and the sums of the counts.
+
+    The first ``same`` columns are equal where the first is.
+    """
+    columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+    _, at, where = np.unique(columns[0], return_index=True, return_inverse=True)
+    return *(c[at] for c in columns[:same]), *(
+        np.bincount(where, weights=c, minlength=len(at)).astype(np.int64) for c in columns[same:]
     )
 
 
-def _held(parts: Iterator[tuple[np.ndarray, ...]], names: list[str]) -> Iterator[pa.RecordBatch]:
+def _held(
+    parts: Iterator[tuple[np.ndarray, ...]], names: list[str], same: int = 1
+) -> Iterator[pa.RecordBatch]:
     """Sums of the parts of a task, sent on when HELD_WORDS values are held."""
     held: list[tuple[np.ndarray, ...]] = []
     for part in parts:
         held.append(part)
         if sum(len(p[0]) for p in held) >= HELD_WORDS:
-            held = [_sums(held)]
+            held = [_sums(held, same)]
             if len(held[0][0]) >= HELD_WORDS // 2:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in held.pop()], names=names)
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in _sums(held)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in _sums(held, same)], names=names)
 
 
-def vocabulary(texts: DataFrame) -> np.ndarray:
-    """Hashes of the most frequent words of all ``texts`` (text), ascending; ties by hash."""
+def vocabulary(texts: DataFrame) -> np.ndarray | None:
+    """Hashes of the VOCABULARY most frequent words of ``texts`` (text), ascending; ties by hash."""
+    if VOCABULARY is None:
+        return None
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = tokens.byte_table()
@@ -67,64 +81,97 @@ def vocabulary(texts: DataFrame) -> np.ndarray:
     return np.sort(np.array([r.word for r in top], dtype=np.int64))
 
 
-def word_numbers(w: tokens.Words, vocab: np.ndarray) -> np.ndarray:
-    """Place of each word in the vocabulary, from 1; 0 for other words."""
-    words = w.hashes.view(np.int64)
-    if not len(vocab):
-        return np.zeros(len(words), dtype=np.int64)
-    place = np.searchsorted(vocab, words)
-    place[place == len(vocab)] = 0
-    return np.where(vocab[place] == words, place + 1, 0)
+def bigrams(w: tokens.Words, vocab: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    """Of each word: hash of the bigram it ends, the word before and the word; 0 is before a first word.
 
-
-def bigram_codes(w: tokens.Words, vocab: np.ndarray) -> np.ndarray:
-    """Of each word: (number of the word before) * size + its number; 0 is before a first word."""
-    numbers = word_numbers(w, vocab)
-    before = np.append(0, numbers[:-1])[: len(numbers)]
+    Words that are not in ``vocab``, where there is one, are 0.
+    """
+    words = w.hashes.view(np.int64)
+    if vocab is not None:
+        words = np.where(np.isin(words, vocab), words, 0)
+    before = np.append(0, words[:-1])[: len(words)]
     first = w.offsets[:-1]
     before[first[first < len(before)]] = 0
-    return before * (VOCABULARY + 1) + numbers
+    return pair_codes(before, words), before, words
+
 
+def pair_codes(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """One hash of two words."""
+    mixed = tokens.mix(before.view(np.uint64) + np.uint64(1))
+    return tokens.mix(mixed + words.view(np.uint64)).view(np.int64)
 
-def bigram_counts(texts: DataFrame, vocab: np.ndarray) -> DataFrame:
-    """``(code, n, target_n)``: bigrams of all ``texts`` (text, is_target) and of the target's."""
+
+def bigram_counts(texts: DataFrame, vocab: np.ndarray | None) -> DataFrame:
+    """``(before, word, n, target_n)``: bigrams of all ``texts`` (text, is_target) and of the target's."""
+    names = ["code", "before", "word", "n", "target_n"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _held(_bigrams(batches, vocab), ["code", "n", "target_n"])
+        for batch in _held(_bigrams(batches, vocab), names, same=3):
+            yield batch.select(names[1:])
 
-    counted = texts.mapInArrow(count, "code long, n long, target_n long")
-    return counted.groupBy("code").agg(F.sum("n").alias("n"), F.sum("target_n").alias("target_n"))
+    # Hashes do not compress, so the code is not shuffled with the words that it follows from.
+    counted = texts.mapInArrow(count, ", ".join(f"{c} long" for c in names[1:]))
+    return counted.groupBy("before", "word").agg(*(F.sum(c).alias(c) for c in names[3:]))
 
 
-def _bigrams(batches: Iterator[pa.RecordBatch], vocab: np.ndarray):
+def _bigrams(batches: Iterator[pa.RecordBatch], vocab: np.ndarray | None):
     table = tokens.byte_table()
     for batch in batches:
         chosen = batch.column("is_target").to_numpy(zero_copy_only=False)
         for w in tokens.words(batch.column("text"), table):
-            codes = bigram_codes(w, vocab)
+            found = bigrams(w, vocab)
             sizes = np.diff(w.offsets)
             mine = np.repeat(chosen[w.first : w.first + len(sizes)], sizes).astype(np.int64)
-            yield _sums([(codes, np.ones(len(codes), dtype=np.int64), mine)])
+            yield _sums([(*found, np.ones(len(mine), dtype=np.int64), mine)], same=3)
+
 
+def _with(rows: DataFrame, facts: DataFrame, key: str, least: float) -> DataFrame:
+    """``rows`` joined to ``facts`` of every ``key``; facts of size ``least`` or more are broadcast."""
+    hot = F.broadcast(facts.where(F.col("size") >= least).drop("size"))
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    cold = facts.where(F.col("size") < least).drop("size")
+    return rows.join(hot, key).unionByName(rest.join(cold, key))
 
-def losses(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Bits of the second word after the first, for all (VOCABULARY + 1)^2 bigrams.
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first two columns, words, as one hash."""
+    for batch in batches:
+        codes = pair_codes(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+        names = ["code", *batch.schema.names[2:]]
+        yield pa.RecordBatch.from_arrays([pa.array(codes), *batch.columns[2:]], names=names)
+
+
+def losses(counted: DataFrame) -> tuple[DataFrame, int]:
+    """``(code, n, target, background)``: bits of the second word after the first; and words in all.
 
     Witten-Bell: a first word's counts are joined by as many draws from the
     word's own frequency (plus one) as it has kinds of followers. Counts may be
     fractions; a bigram of expected count below 1 is that part of a kind.
     """
-    size = VOCABULARY + 1
-    seen = np.zeros(size * size)
-    seen[codes] = counts
-    seen = seen.reshape(size, size)
-    single = seen.sum(axis=0) + 1
-    single /= single.sum()
-    kinds = np.minimum(seen, 1).sum(axis=1, keepdims=True) + 1
-    total = seen.sum(axis=1, keepdims=True)
-    seen += kinds * single
-    seen /= total + kinds
-    return -np.log2(seen, out=seen).astype(np.float32).ravel()
+    spark = counted.sparkSession
+    counted, path = stored(counted, "bigrams")
+    every, chosen = counted.selectExpr("coalesce(sum(n), 0)", "coalesce(sum(target_n), 0)").first()
+    scale = chosen / max(1, every)
+    counts = {"target": "CAST(target_n AS double)", "background": f"n * {scale!r}D"}
+    first = [f"sum({c}) AS total_{m}" for m, c in counts.items()]
+    first += [f"sum(least({c}, 1D)) + 1 AS kinds_{m}" for m, c in counts.items()]
+    second = [f"sum({c}) + 1 AS single_{m}" for m, c in counts.items()]
+    size = F.sum("n").alias("size")
+    befores, at = stored(counted.groupBy("before").agg(size, *map(F.expr, first)), "befores")
+    words, of = stored(counted.groupBy("word").agg(size, *map(F.expr, second)), "words")
+    singles = float(chosen + max(1, words.count()))
+    least = every / HOT_WORDS
+    rows = _with(_with(counted, befores, "before", least), words, "word", least)
+    bits = [
+        f"CAST(-log2(({c} + kinds_{m} * single_{m} / {singles!r}D) / (total_{m} + kinds_{m})) AS float) AS {m}"
+        for m, c in counts.items()
+    ]
+    rows = rows.selectExpr("before", "word", "n", *bits)
+    schema = "code long, n long, target float, background float"
+    out, _ = stored(rows.mapInArrow(_coded, schema), "losses")
+    for old in (path, at, of):
+        drop_table(spark, old)
+    return out, every
 
 
 def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
@@ -134,8 +181,8 @@ def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     documents; null ids are none. Words are lower-cased (A-Z) runs without white
     space. Losses are bits per word. Texts without words, and null texts, have
     n_words 0 and null losses. Without any target both models know nothing but
-    the vocabulary's size on the target side. All counts are over all rows; the
-    driver gets VOCABULARY words and at most (VOCABULARY + 1)^2 bigrams.
+    the vocabulary's size on the target side. All counts are over all rows and
+    all words; the driver gets the at most HOT_PAIRS most frequent bigrams.
     """
     texts = pick(docs, "doc_id", "text")
     ids = pick(target_ids, "doc_id").where("doc_id IS NOT NULL").distinct()
@@ -146,38 +193,63 @@ def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
         "text", F.coalesce("is_target", F.lit(False)).alias("is_target")
     )
     vocab = vocabulary(texts)
-    counted = bigram_counts(marked, vocab).toArrow()
-    codes = counted.column("code").to_numpy()
-    every = counted.column("n").to_numpy().astype(np.float64)
-    chosen = counted.column("target_n").to_numpy().astype(np.float64)
-    del counted
-    target = losses(codes, chosen)
-    background = losses(codes, every * (chosen.sum() / max(1.0, every.sum())))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    model, every = losses(bigram_counts(marked, vocab))
+    frequent = F.col("n") >= every / HOT_PAIRS
+    hot = model.where(frequent).drop("n").orderBy("code").toArrow()
+    codes, *bits = (hot.column(c).to_numpy() for c in ("code", "target", "background"))
+    del hot
+
+    def places(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each bigram among the frequent ones, and whether it is one."""
+        if not len(codes):
+            return np.zeros(len(found), dtype=np.int64), np.zeros(len(found), dtype=bool)
+        place = np.minimum(np.searchsorted(codes, found), len(codes) - 1)
+        return place, codes[place] == found
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words, words in rare bigrams and the loss of the frequent bigrams of each document."""
         table = tokens.byte_table()
         for batch in batches:
-            n = np.zeros(batch.num_rows, dtype=np.int64)
-            out = np.zeros((2, batch.num_rows))
+            out = np.zeros((4, batch.num_rows))
             for w in tokens.words(batch.column("text"), table):
                 sizes = np.diff(w.offsets)
                 docs = np.flatnonzero(sizes)
-                n[w.first : w.first + len(sizes)] = sizes
                 if len(docs):
-                    found = bigram_codes(w, vocab)
-                    for k, model in enumerate((target, background)):
-                        bits = model[found].astype(np.float64)
-                        out[k, w.first + docs] = np.add.reduceat(bits, w.offsets[docs]) / sizes[docs]
-            empty = n == 0
+                    place, known = places(bigrams(w, vocab)[0])
+                    out[0, w.first + docs] = sizes[docs]
+                    out[1, w.first + docs] = np.add.reduceat((~known).astype(np.int64), w.offsets[docs])
+                    for k, model_bits in enumerate(bits if len(codes) else ()):
+                        each = np.where(known, model_bits[place].astype(np.float64), 0)
+                        out[2 + k, w.first + docs] = np.add.reduceat(each, w.offsets[docs])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n)]
-                + [pa.array(x, mask=empty) for x in (out[0], out[1], out[0] - out[1])],
-                names=["doc_id", "n_words", "target_loss", "background_loss", "difference"],
+                [batch.column("doc_id"), batch.column("key")]
+                + [pa.array(x.astype(np.int64)) for x in out[:2]]
+                + [pa.array(x) for x in out[2:]],
+                names=["doc_id", "key", "n_words", "rare", "target", "background"],
             )
 
-    id_type = texts.schema["doc_id"].dataType.simpleString()
-    schema = (
-        f"doc_id {id_type}, n_words long, target_loss double, background_loss double,"
-        " difference double"
+    def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rare bigrams of each document."""
+        table = tokens.byte_table()
+        for batch in batches:
+            keys = batch.column("key").to_numpy()
+            for w in tokens.words(batch.column("text"), table):
+                found = bigrams(w, vocab)[0]
+                rare = np.flatnonzero(~places(found)[1])
+                of = np.searchsorted(w.offsets, rare, side="right") - 1 + w.first
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys[of]), pa.array(found[rare])], names=["key", "code"]
+                )
+
+    # Equal rows have one key. Their rare bigrams are counted together, so means are joined.
+    keyed = texts.withColumn("key", F.xxhash64("doc_id", "text"))
+    rare = keyed.select("key", "text").mapInArrow(far, "key long, code long")
+    rare = rare.join(model.where(~frequent).drop("n").hint("merge"), "code").groupBy("key").agg(
+        F.avg("target").alias("rare_target"), F.avg("background").alias("rare_background")
     )
-    return texts.mapInArrow(run, schema)
+    id_type = texts.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {id_type}, key long, n_words long, rare long, target double, background double"
+    total = "CASE WHEN n_words > 0 THEN ({0} + rare * coalesce(rare_{0}, 0D)) / n_words END AS {0}_loss"
+    scored = keyed.mapInArrow(near, schema).join(rare, "key", "left")
+    scored = scored.selectExpr("doc_id", "n_words", total.format("target"), total.format("background"))
+    return scored.withColumn("difference", F.col("target_loss") - F.col("background_loss"))

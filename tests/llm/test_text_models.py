@@ -199,3 +199,38 @@ def test_lm_score(spark, monkeypatch):
     )
     assert sum((want - found).values()) <= 2  # rounding at a half
     assert all(r.difference is None or abs(r.difference - r.target_loss + r.background_loss) < 1e-9 for r in got)
+
+
+def test_lm_score_tells_all_words_apart(spark, monkeypatch):
+    """Words far behind 2,047 more frequent ones, by lookup and by join alike."""
+    many = " ".join(f"w{i}" for i in range(2100))
+    table = [(i, many, "en", "s", 0) for i in range(3)]
+    table += [(10, "ka lo ka lo mi", "xx", "s", 0), (11, "lo mi ka lo", "xx", "s", 0),
+              (20, "schl arf schl arf gro", "yy", "s", 0), (21, None, "yy", "s", 0), (10, "ka lo ka lo mi", "xx", "s", 0)]
+    ids = spark.createDataFrame([(10,), (0,)], "doc_id long")
+
+    def scores():
+        found = lm_score.score(corpus.frame(spark, table), ids).collect()
+        return sorted(
+            (r.doc_id, r.n_words, *(round(x, 4) for x in (r.target_loss, r.background_loss) if x is not None))
+            for r in found
+        )
+
+    looked_up = scores()
+    by_id = {r[0]: r for r in looked_up}
+    lists = [corpus.words(row[1]) for row in table]
+    pairs = [list(zip(["", *ws], ws)) for ws in lists]
+    seen = Counter(b for row, bs in zip(table, pairs) if row[0] in (0, 10) for b in bs)
+    size = sum(seen.values()) + len({w for ws in lists for w in ws})
+
+    def bits(u, w):
+        kinds = sum(a == u for a, _ in seen) + 1
+        single = (sum(n for (_, b), n in seen.items() if b == w) + 1) / size
+        return -math.log2((seen[u, w] + kinds * single) / (sum(n for (a, _), n in seen.items() if a == u) + kinds))
+
+    for row, bs in zip(table, pairs):
+        if row[0] in (10, 11, 20):
+            assert by_id[row[0]][2] == pytest.approx(sum(bits(*b) for b in bs) / len(bs), abs=1e-3)
+    monkeypatch.setattr(lm_score, "HOT_PAIRS", 1)
+    monkeypatch.setattr(lm_score, "HOT_WORDS", 4)
+    assert scores() == looked_up and len(looked_up) == len(table)
