@@ -7,6 +7,10 @@ says. Walks over texts of small edit distance soon run in step again, so their
 embeddings have a small Hamming distance. Several samples of a few coordinates
 of several walks are looked up among the samples of the benchmark items; a hit
 is verified by the exact edit distance.
+
+Walks miss some of the leaks of many edits, the more the longer the item. So the
+items are also cut into one piece more than a leak may have edits: at least one
+piece is then unchanged in the leak, and is looked up as a run of words.
 """
 
 from __future__ import annotations
@@ -25,7 +29,8 @@ from logistra.llm.frames import pick
 LEAST_WORDS = 8
 # Most edits of words, as a share of the item's words.
 EDITS = 0.2
-# Five walks found 99% of passages with one to five random edits of words.
+# Five walks found 99% of passages with one to five random edits of words; the
+# pieces find all passages of any number of edits that counts.
 # Walks, samples of each walk and size class, and coordinates of a sample.
 WALKS, SAMPLES, COORDINATES = 5, 8, 4
 # Items of one size class differ by less than this factor; their windows reach
@@ -107,6 +112,43 @@ class Index:
                     steps = np.sort(random.choice(steps, COORDINATES, replace=False))
                     samples.append(Sample(steps, symbols[:, steps], items))
             self.walks.append((multipliers, samples))
+        self.pieces = self._pieces()
+
+    def _pieces(self) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(words, known top bits, hashes, items, places in the items) of the pieces of each length."""
+        cut: dict[int, list[tuple[int, int, int]]] = {}
+        for item, words in enumerate(self.words):
+            parts = int(EDITS * len(words)) + 1
+            ends = [len(words) * j // parts for j in range(parts + 1)]
+            for a, b in zip(ends[:-1], ends[1:], strict=True):
+                cut.setdefault(b - a, []).append((int(tokens.shingles(words[a:b], b - a)[0]), item, a))
+        out = []
+        for size, pieces in sorted(cut.items()):
+            keys, items, places = zip(*sorted(pieces), strict=True)
+            keys = np.array(keys, dtype=np.uint64)
+            known = np.zeros(1 << 20, dtype=bool)
+            known[keys >> np.uint64(44)] = True
+            out.append((size, known, keys, np.array(items), np.array(places)))
+        return out
+
+    def unchanged(self, w: tokens.Words) -> set[tuple[int, int, int]]:
+        """(document, item, start) where a document of the chunk holds a piece of the item."""
+        found: set[tuple[int, int, int]] = set()
+        for size, known, keys, items, places in self.pieces:
+            if len(w.hashes) < size:
+                continue
+            runs = tokens.shingles(w.hashes, size)
+            at = np.flatnonzero(known[runs >> np.uint64(44)])
+            docs = np.searchsorted(w.offsets, at, side="right") - 1
+            inside = at + size <= w.offsets[docs + 1]
+            at, docs = at[inside], docs[inside]
+            low, high = (np.searchsorted(keys, runs[at], side=x) for x in ("left", "right"))
+            n = high - low
+            hit = np.repeat(np.arange(len(at)), n)
+            piece = np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n) + low[hit]
+            starts = np.maximum(w.offsets[docs[hit]], at[hit] - places[piece])
+            found.update(zip(docs[hit].tolist(), items[piece].tolist(), starts.tolist(), strict=True))
+        return found
 
     @staticmethod
     def _embed(words: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
@@ -201,6 +243,8 @@ class Index:
                             (max(first, w.offsets[d]), min(last, w.offsets[d + 1] - 1))
                         )
                     d += 1
+            for d, item, start in self.unchanged(w):
+                near.setdefault((d, item), []).append((start, start))
             for (d, item), places in near.items():
                 words, base = w.hashes[w.offsets[d] : w.offsets[d + 1]], int(w.offsets[d])
                 found = [

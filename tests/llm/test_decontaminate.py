@@ -1,6 +1,8 @@
 import random
 
 import corpus
+import pyarrow as pa
+import pytest
 from logistra.llm import decontaminate
 
 
@@ -75,3 +77,27 @@ def test_empty_tables(spark):
     assert decontaminate.find_leaks(none, items).collect() == []
     assert decontaminate.find_leaks(docs, items).collect() == []
     assert decontaminate.without_leaks(docs, items).count() == docs.count()
+
+
+def changed(rng, words, edits):
+    """As many words replaced, put in or taken out."""
+    out = list(words)
+    for _ in range(edits):
+        at, kind = rng.randrange(len(out)), rng.randrange(3)
+        out[at : at + (kind != 1)] = [] if kind == 2 else [rng.choice(corpus.VOCABULARY)]
+    return out
+
+
+@pytest.mark.parametrize("size", [20, 60, 120, 300, 600])
+def test_finds_all_leaks_of_the_most_edits(size):
+    rng = random.Random(size)
+    items = [corpus.prose(rng, size).split() for _ in range(20)]
+    index = decontaminate.Index(list(range(20)), [" ".join(i) for i in items])
+    docs = [
+        corpus.prose(rng, 50) + " " + " ".join(changed(rng, i, int(0.2 * size))) + " " + corpus.prose(rng, 30)
+        for i in items
+    ]
+    # A leak may begin a text and follow on another.
+    docs += [" ".join(changed(rng, i, int(0.2 * size))) for i in items]
+    found = {(row, item) for row, item, *_ in index.matches(pa.array(docs, pa.string()))}
+    assert found == {(row, row % 20) for row in range(40)}
