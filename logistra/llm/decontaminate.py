@@ -1,6 +1,7 @@
 """Benchmark decontamination by CGK embedding, bit-sampling LSH and edit distance.
 
-The unit is the word, lower-cased and stripped of punctuation. From every word
+The unit is the word, lower-cased and stripped of punctuation; in scripts without
+spaces between words it is the character. From every word
 of a document a random walk writes its embedding: step j copies the word under
 it and then moves on by 0 or 1 words, as a random function of j and of that word
 says. Walks over texts of small edit distance soon run in step again, so their
@@ -19,14 +20,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logistra.llm import tokens
 from logistra.llm.frames import pick
 
-# Items of fewer words prove nothing and are not searched.
+# Items of fewer words are too short for walks; their pieces alone are looked up.
 LEAST_WORDS = 8
+# Characters that are words of their own, and punctuation that they come with.
+UNSPACED = "".join(
+    rf"\p{{Is{script}}}"
+    for script in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan")
+)
+UNSPACED_MARKS = r"[\x{3000}\x{0F0B}-\x{0F14}]|[\p{IsPunctuation}&&[\x{3001}-\x{303F}\x{FF00}-\x{FF65}]]"
 # Most edits of words, as a share of the item's words.
 EDITS = 0.2
 # Five walks found 99% of passages with one to five random edits of words; the
@@ -90,19 +97,20 @@ class Index:
             for w in tokens.words(pa.array([t.lower() for t in texts], pa.string()), table)
             for i, j in zip(w.offsets[:-1], w.offsets[1:], strict=True)
         ]
-        kept = [i for i, w in enumerate(words) if len(w) >= LEAST_WORDS]
+        kept = [i for i, w in enumerate(words) if len(w)]
         self.ids, self.words = [ids[i] for i in kept], [words[i] for i in kept]
         random = np.random.default_rng(SEED)
         sizes = np.array([len(w) for w in self.words], dtype=np.int64)
+        walked = sizes >= LEAST_WORDS
         classes = np.floor(np.log(sizes / LEAST_WORDS) / np.log(CLASS_RATIO) + 1e-9).astype(int)
-        self.most = int(sizes.max(initial=0))
+        self.most = int(sizes[walked].max(initial=0))
         self.walks: list[tuple[np.ndarray, list[Sample]]] = []
         for _ in range(WALKS):
             multipliers = random.integers(1, 1 << 63, 2 * self.most + 1, dtype=np.uint64)
             multipliers = (multipliers >> np.uint64(31)).astype(np.uint32) | np.uint32(1)
             samples = []
-            for c in np.unique(classes):
-                items = np.flatnonzero(classes == c)
+            for c in np.unique(classes[walked]):
+                items = np.flatnonzero(walked & (classes == c))
                 smallest = int(sizes[items].min())
                 symbols = np.stack([self._embed(short(self.words[i]), multipliers) for i in items])
                 for _ in range(SAMPLES):
@@ -165,7 +173,7 @@ class Index:
         """(item, first, last): starts between which a walk of the text hit a sample of the item."""
         found: set[tuple[int, int, int]] = set()
         text = np.concatenate([short(words), np.zeros(2 * self.most + 2, dtype=np.uint32)])
-        for multipliers, samples in self.walks:
+        for multipliers, samples in self.walks if self.most else ():
             found |= self._walk(text, len(words), multipliers, samples)
         return found
 
@@ -267,9 +275,19 @@ def _merged(places: list[tuple[int, int]], gap: int) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in out]
 
 
+def units(text: Column | str) -> Column:
+    """``text`` in lower case, with spaces around the characters that are words of their own."""
+    lower = F.lower(text)
+    spaced = F.regexp_replace(lower, f"([{UNSPACED}])", " $1 ")
+    # Texts of ASCII alone have none.
+    return F.when(F.length(lower) == F.octet_length(lower), lower).otherwise(
+        F.regexp_replace(spaced, UNSPACED_MARKS, " ")
+    )
+
+
 def indexes(benchmark: DataFrame) -> Iterator[Index]:
     """Indexes of ``benchmark`` (item_id, text) in blocks of bounded size."""
-    items = pick(benchmark, "item_id", "text").where("text IS NOT NULL")
+    items = pick(benchmark, "item_id", "text").where("text IS NOT NULL").withColumn("text", units("text"))
     size = items.select(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     blocks = max(1, -(-size[0] // BLOCK_ITEMS), -(-size[1] // BLOCK_CHARS))
     for b in range(blocks):
@@ -283,10 +301,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     An item of n words is found where some run of the text's words is at most
     floor(EDITS * n) edits of words away; of several places the nearest, then
-    the first, counts. Items of fewer than LEAST_WORDS words, null, empty and
-    wordless texts match nothing. Equal rows give equal rows.
+    the first, counts; so items of one to four words are found unchanged alone.
+    Characters of scripts without spaces count as words. Null, empty and wordless
+    texts match nothing. Equal rows give equal rows.
     """
-    texts = pick(docs, "doc_id", "text").withColumn("text", F.lower("text"))
+    texts = pick(docs, "doc_id", "text").withColumn("text", units("text"))
     ids = [pick(f, c).schema[c].dataType for f, c in ((docs, "doc_id"), (benchmark, "item_id"))]
     schema = (
         f"doc_id {ids[0].simpleString()}, item_id {ids[1].simpleString()},"
@@ -330,7 +349,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 hit[[row for row, *_ in index.matches(batch.column("lowered"))]] = True
                 yield batch.filter(pa.array(~hit)).select(list(range(batch.num_columns - 1)))
 
-        plain = plain.withColumn("lowered", F.lower(f"c{place}")).mapInArrow(keep, plain.schema)
+        plain = plain.withColumn("lowered", units(f"c{place}")).mapInArrow(keep, plain.schema)
     return plain.toDF(*names)
 
 

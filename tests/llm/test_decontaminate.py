@@ -101,3 +101,24 @@ def test_finds_all_leaks_of_the_most_edits(size):
     docs += [" ".join(changed(rng, i, int(0.2 * size))) for i in items]
     found = {(row, item) for row, item, *_ in index.matches(pa.array(docs, pa.string()))}
     assert found == {(row, row % 20) for row in range(40)}
+
+
+def test_finds_short_items_and_scripts_without_spaces(spark):
+    items = [
+        (1, "Seven"), (2, "blue moon rising"), (3, "who wrote the old book"), (4, "the first of all the kings"),
+        (5, "中华人民共和国成立于一九四九年十月一日。"), (6, "東京は日本の首都です"), (7, "กรุงเทพมหานครเป็นเมืองหลวง"), (8, "。、"),
+    ]
+    docs = [
+        "one two seven, eight", "a Blue moon, rising here", "a blue sky rising here", "now who wrote an old book then",
+        "who wrote this old novel", "x the first of the kings", "他说中华人民共和国成立於一九四九年十月一日,是",
+        "昔、大阪は日本の大都市です", "昔、東京は日本の首府です。", "วันนี้กรุงเทพมหานครเป็นเมืองหลวงของ", "北京。、",
+    ]
+    want = {(0, 1, 0), (1, 2, 0), (3, 3, 1), (5, 4, 1), (6, 5, 1), (8, 6, 1), (9, 7, 0)}
+    table = [(i, text, "en", "a", 0) for i, text in enumerate(docs)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.find_leaks(corpus.frame(spark, table), benchmark).collect()
+    assert {(r.doc_id, r.item_id, r.distance) for r in found} == want
+    kept = decontaminate.without_leaks(corpus.frame(spark, table), benchmark).collect()
+    assert {r.doc_id for r in kept} == set(range(len(docs))) - {d for d, *_ in want}
+    alone = decontaminate.find_leaks(corpus.frame(spark, table), benchmark.where("item_id = 1")).collect()
+    assert [(r.doc_id, r.words, r.last_word) for r in alone] == [(0, 1, 2)]
