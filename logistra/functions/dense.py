@@ -55,7 +55,8 @@ def signed_determinant(stack: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     u, moves = upper_triangle(stack)
     p = pivots(u)
     with np.errstate(all="ignore"):
-        sign = np.prod(np.sign(p), axis=1) * moves
+        # Plus 0.0: a singular matrix has sign 0.0, never -0.0.
+        sign = np.prod(np.sign(p), axis=1) * moves + 0.0
         log_abs = np.where(sign == 0, -np.inf, np.log(np.abs(p)).sum(axis=1))
         return np.where(sign == 0, 0.0, np.prod(p, axis=1) * moves), sign, log_abs
 

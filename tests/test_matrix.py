@@ -172,3 +172,11 @@ def test_scale_does_not_make_singular(spark, d, scale):
 def test_rank_two_matrix_is_singular(spark):
     table = coo(spark, {"a": [[0.1, 0.3, 0.1], [0.8, 0.1, 0.3], [0.9, 0.4, 0.4]]})
     assert all(r.singular and r.v == 0 for r in matrix.inverse(table, 3, "key").collect())
+
+
+def test_sign_of_singular_matrix_is_positive_zero():
+    stack = np.stack([np.diag([-1.0, 2.0, 0.0]), np.diag([-1.0, -2.0, 0.0])])
+    det, sign, log_abs = dense.signed_determinant(stack)
+    for values in (det, sign):
+        assert (values == 0).all() and not np.signbit(values).any()
+    assert np.isneginf(log_abs).all()
