@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logistra.llm import (
+    byte_bpe,
     decontaminate,
     fingerprint,
     language_id,
@@ -70,7 +71,22 @@ def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan(docs, secrets.train(secrets.corpus_examples(docs)))
 
 
+def op13_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    codec = byte_bpe.Codec(path, public_tokenizers.PATTERN)
+    encoded = byte_bpe.encode(table(spark, folder, "documents"), codec)
+    return byte_bpe.decode(encoded, codec).select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 LLM_QUERIES = {
+    "op13_byte_bpe": op13_byte_bpe,
     "op3_secrets": op3_secrets,
     "op9_lm_score": op9_lm_score,
     "op5_quality": op5_quality,
