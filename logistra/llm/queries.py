@@ -15,6 +15,7 @@ from logistra.llm import (
     mixing,
     ngram_join,
     quality,
+    ranked_search,
     secrets,
     url_filter,
 )
@@ -85,7 +86,12 @@ def op13_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 LLM_QUERIES = {
+    "op11_ranked_search": op11_ranked_search,
     "op13_byte_bpe": op13_byte_bpe,
     "op3_secrets": op3_secrets,
     "op9_lm_score": op9_lm_score,
@@ -208,5 +214,36 @@ SELECT doc_id, CAST(size AS bigint) AS size, source_size, target, CAST(once + tw
     CASE WHEN once > 0 THEN 2 * y1 / (1 - tilt + sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * y1)) END AS position,
     CASE WHEN twice > 0 THEN 2 * y2 / (1 - tilt + sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * y2)) END AS second_position
 FROM parts
+""",
+    "op11_ranked_search": r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS place, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents
+), items AS (
+    SELECT row_number() OVER () AS query, item_id, unnest(list_distinct(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term
+    FROM benchmark
+), totals AS (
+    SELECT count(*) FILTER (len(terms) > 0) AS documents, CAST(sum(len(terms)) AS bigint) AS words FROM docs
+), found AS (
+    SELECT place, doc_id, term, n, count(*) AS tf
+    FROM (SELECT place, doc_id, len(terms) AS n, unnest(terms) AS term FROM docs)
+    WHERE term IN (SELECT term FROM items) GROUP BY ALL
+), weighted AS (
+    SELECT term, CAST(floor(1000 * ln((2 * documents + 2)::double / (2 * count(*) + 1)::double)) AS bigint) AS weight
+    FROM found CROSS JOIN totals GROUP BY term, documents
+), impacts AS (
+    SELECT place, doc_id, term,
+        weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * documents) // words))) AS impact
+    FROM found JOIN weighted USING (term) CROSS JOIN totals
+), scored AS (
+    SELECT query, item_id, place, doc_id, CAST(sum(impact) AS bigint) AS score
+    FROM items JOIN impacts USING (term) GROUP BY ALL HAVING sum(impact) > 0
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS integer) AS rank, doc_id, score
+FROM scored QUALIFY rank <= 50
 """,
 }
