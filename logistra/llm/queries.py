@@ -9,6 +9,7 @@ from logistra.llm import (
     byte_bpe,
     decontaminate,
     fingerprint,
+    hard_negatives,
     language_id,
     licenses,
     lm_score,
@@ -90,7 +91,14 @@ def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
     return ranked_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = "CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label"
+    rows = table(spark, folder, "embeddings").selectExpr("vec_id", "embedding", label)
+    return hard_negatives.mine(rows, anchors="vec_id % 100 = 0")
+
+
 LLM_QUERIES = {
+    "op12_hard_negatives": op12_hard_negatives,
     "op11_ranked_search": op11_ranked_search,
     "op13_byte_bpe": op13_byte_bpe,
     "op3_secrets": op3_secrets,
@@ -245,5 +253,29 @@ WITH docs AS (
 )
 SELECT item_id, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS integer) AS rank, doc_id, score
 FROM scored QUALIFY rank <= 50
+""",
+    "op12_hard_negatives": r"""
+WITH vectors AS (
+    SELECT row_number() OVER () AS place, vec_id,
+        CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        [floor(256 * x::double) for x in embedding] AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), pairs AS (
+    SELECT a.place AS anchor, a.vec_id AS anchor_id, a.label = b.label AS same, b.place AS place, b.vec_id AS vec_id,
+        CAST(list_inner_product(a.v, b.v) AS bigint) AS score
+    FROM vectors a JOIN vectors b ON a.place <> b.place
+    WHERE a.vec_id % 100 = 0
+), positives AS (
+    SELECT anchor, anchor_id, place AS positive, vec_id AS positive_id, score AS positive_score
+    FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id,
+    CAST(row_number() OVER (PARTITION BY p.anchor, positive ORDER BY score DESC, vec_id) AS integer) AS rank,
+    vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN pairs n USING (anchor, anchor_id)
+WHERE NOT n.same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
 """,
 }
