@@ -34,3 +34,12 @@ ROWS_PER_SALT = 4_000_000
 # A table of at least this many rows is spread over all cores if it came in
 # fewer tasks.
 SPREAD_ROWS = 50_000
+
+# Bytes of the running sums by key that one task keeps before it sends them.
+RUNNING_BYTES = 64 * 1024 * 1024
+
+# Cells of one row of such a sum; longer arrays travel in parts.
+PART_CELLS = 1024
+
+# Bytes of the systems or matrices that a task works on at a time.
+SLICE_BYTES = 16 * 1024 * 1024

@@ -62,20 +62,99 @@ def signed_determinant(stack: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def adjugate(stack: np.ndarray) -> np.ndarray:
-    """Transposed cofactors, also for singular matrices: one elimination per minor."""
+    """Transposed cofactors, also for singular matrices, from one elimination each.
+
+    Rows and columns are exchanged so that the largest remaining cell is the next pivot,
+    which leaves the smallest pivot u for the end: P A Q = L U with U = [[U1, b], [0, u]].
+    The adjugate is then +-det(U1) Q [[u U1^-1, -U1^-1 b], [0, 1]] L^-1 P. Nothing is
+    divided by u, so the same formula holds for rank d, where it is det * inverse, for rank
+    d - 1, where it is the product of both null vectors, and close to it; at lower
+    ranks det(U1) is 0. Its error, relative to its largest cell, is that of solving with U1 and L
+    in double precision, and thus follows the second smallest pivot, not the smallest.
+    A matrix with a NaN or infinite cell has its minors eliminated one by one, since
+    cofactors that leave the cell out are finite.
+    """
+    finite = np.isfinite(stack).all(axis=(1, 2))
+    if not finite.all():
+        out = np.empty(stack.shape)
+        out[finite] = adjugate(stack[finite])
+        for m in np.flatnonzero(~finite):
+            out[m] = _adjugate_by_minors(stack[m])
+        return out
     k, d = stack.shape[0], stack.shape[1]
-    out = np.empty((k, d, d))
+    u, rows, columns, sign = _complete_triangle(stack)
+    p = pivots(u)
+    lower = np.tril(u, -1) + np.eye(d)
+    low_rank = (p[:, :-1] == 0).any(axis=1)
+    safe = np.where(p == 0, 1.0, p)
+    # [[u U1^-1, -U1^-1 b], [0, 1]], solved from the last row of U1 upwards.
+    middle = np.zeros((k, d, d))
+    middle[:, -1, -1] = 1.0
+    with np.errstate(all="ignore"):
+        for i in reversed(range(d - 1)):
+            middle[:, i, i] = p[:, -1]
+            middle[:, i, -1] = -u[:, i, -1]
+            known = (u[:, i, None, i + 1 : d - 1] @ middle[:, i + 1 : d - 1])[:, 0]
+            middle[:, i] = (middle[:, i] - known) / safe[:, i, None]
+        # middle * L^-1, column by column from the last.
+        for j in reversed(range(d - 1)):
+            middle[:, :, j] -= (middle[:, :, j + 1 :] @ lower[:, j + 1 :, j, None])[:, :, 0]
+        scale, exponent = _product(p[:, :-1])
+        out = np.ldexp(middle * (scale * sign)[:, None, None], exponent[:, None, None])
+    out[low_rank] = 0.0
+    # Undo the exchanges: row r of the result belongs to column columns[r] of the matrix.
+    placed = np.empty_like(out)
+    at = np.arange(k)[:, None, None]
+    placed[at, columns[:, :, None], rows[:, None, :]] = out
+    return placed + 0.0
+
+
+def _adjugate_by_minors(matrix: np.ndarray) -> np.ndarray:
+    d = len(matrix)
+    out = np.empty((d, d))
     others = np.array([[c for c in range(d) if c != j] for j in range(d)], dtype=int).reshape(d, -1)
     for i in range(d):
         # Minors without row i, for each column left out.
-        minors = stack[:, others[i]][:, :, others].transpose(0, 2, 1, 3)
-        values = determinant(minors.reshape(k * d, d - 1, d - 1)).reshape(k, d)
-        out[:, :, i] = values * (-1.0) ** (i + np.arange(d))
+        minors = matrix[others[i]][:, others].transpose(1, 0, 2)
+        out[:, i] = determinant(minors) * (-1.0) ** (i + np.arange(d))
     return out
 
 
-def solved(stack: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Solutions X of A X = B for stacks (k, d, d) and (k, d, m), and singular flags.
+def _complete_triangle(stack: np.ndarray) -> tuple[np.ndarray, ...]:
+    """L below and U above the diagonal of the exchanged matrices, the orders, and the sign."""
+    u = np.array(stack, dtype=np.float64)
+    k, d = u.shape[0], u.shape[1]
+    at = np.arange(k)
+    rows, columns = (np.tile(np.arange(d), (k, 1)) for _ in range(2))
+    sign = np.ones(k)
+    for c in range(d - 1):
+        size = np.abs(u[:, c:, c:]).reshape(k, -1)
+        best = np.argmax(size, axis=1)
+        i, j = c + best // (d - c), c + best % (d - c)
+        u[at, c], u[at, i] = u[at, i], u[at, c]
+        rows[at, c], rows[at, i] = rows[at, i], rows[at, c]
+        u[at, :, c], u[at, :, j] = u[at, :, j], u[at, :, c]
+        columns[at, c], columns[at, j] = columns[at, j], columns[at, c]
+        sign *= np.where(i == c, 1.0, -1.0) * np.where(j == c, 1.0, -1.0)
+        pivot = u[:, c, c]
+        with np.errstate(all="ignore"):
+            factor = np.where(pivot[:, None] != 0, u[:, c + 1 :, c] / pivot[:, None], 0.0)
+            u[:, c + 1 :, c + 1 :] -= factor[:, :, None] * u[:, None, c, c + 1 :]
+        u[:, c + 1 :, c] = factor
+    return u, rows, columns, sign
+
+
+def _product(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Products of the rows as fraction and power of two, which neither over- nor underflow."""
+    fraction, exponent = np.ones(len(values)), np.zeros(len(values), dtype=np.int64)
+    for column in values.T:
+        fraction, power = np.frexp(fraction * np.frexp(column)[0])
+        exponent += power + np.frexp(column)[1]
+    return fraction, exponent
+
+
+def solved(stack: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Solutions X of A X = B for stacks (k, d, d) and (k, d, m), singular flags, and pivots.
 
     A singular matrix gets zeros.
     """
@@ -89,12 +168,12 @@ def solved(stack: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray
             known = (u[:, i, None, i + 1 : d] @ x[:, i + 1 :])[:, 0]
             x[:, i] = (x[:, i] - known) / np.where(singular, 1.0, p[:, i])[:, None]
     x[singular] = 0.0
-    return x, singular
+    return x, singular, p
 
 
 def inverse(stack: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Inverses and singular flags; a singular matrix gets an all-zero inverse."""
-    x, singular = solved(stack, np.broadcast_to(np.eye(stack.shape[1]), stack.shape))
+    x, singular, _ = solved(stack, np.broadcast_to(np.eye(stack.shape[1]), stack.shape))
     return x + 0.0, singular
 
 
@@ -107,10 +186,9 @@ def newton_update(
     makes H singular.
     """
     cells = np.abs(pivots(hessian))
-    update, singular = solved(hessian, gradient[:, :, None])
+    update, singular, p = solved(hessian, gradient[:, :, None])
     with np.errstate(all="ignore"):
-        regular = np.abs(pivots(upper_triangle(hessian)[0])) > tolerance * cells
-    singular |= ~regular.all(axis=1)
+        singular |= ~(np.abs(p) > tolerance * cells).all(axis=1)
     update = update[:, :, 0]
     update[singular] = 0.0
     return update, singular

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logistra.constants import SLICE_BYTES
 from logistra.functions import dense
 from logistra.functions.logistic import name
 from logistra.operators.validate import checked
@@ -126,17 +127,19 @@ def _stacked(
     run: Callable[[np.ndarray], list[np.ndarray]],
     outputs: str,
 ) -> DataFrame:
-    """Apply ``run`` to the matrices of each Arrow batch, keeping the keys."""
+    """Apply ``run`` to slices of the matrices of each Arrow batch, keeping the keys."""
     names = [*keys, *[field.split()[0] for field in outputs.split(", ")]]
+    # Some eight copies of a slice are in memory while it is worked on.
+    step = max(1, SLICE_BYTES // (8 * 8 * d * d))
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            if batch.num_rows == 0:
-                continue
-            values = batch.column("m").flatten().to_numpy(zero_copy_only=False)
-            results = run(values.reshape(-1, d, d))
-            arrays = [batch.column(key) for key in keys] + [as_arrow(r) for r in results]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+        for whole in source:
+            for first in range(0, whole.num_rows, step):
+                batch = whole.slice(first, step)
+                values = batch.column("m").flatten().to_numpy(zero_copy_only=False)
+                results = run(values.reshape(-1, d, d))
+                arrays = [batch.column(key) for key in keys] + [as_arrow(r) for r in results]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return table.select(*keys, "m").mapInArrow(batches, ", ".join([*ddl(table, keys), outputs]))
 

@@ -14,9 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logistra.constants import GRADIENT_BINS, TREE_BINS, WIDE_LIMIT
+from logistra.constants import GRADIENT_BINS, SLICE_BYTES, TREE_BINS, WIDE_LIMIT
 from logistra.functions import logistic
 from logistra.operators.scoring import row_gradient, row_hessian_coo
+from logistra.operators.sums import Out, array_sums, groups
 from logistra.operators.vectors import key_list, vector_to_indexed
 
 Cell = tuple[int, int]
@@ -115,33 +116,34 @@ def packed(df: DataFrame, d: int, keep: Sequence[str] = ()) -> DataFrame:
 def matrix_sums(
     rows: DataFrame, d: int, weights: Sequence[float], cells: Sequence[Cell]
 ) -> DataFrame:
-    """``(i, j, v)`` sums from ``packed`` rows, one matrix product per Arrow batch.
+    """``(i, j, v)`` sums from ``packed`` rows; no rows give none."""
+    return matrix_arrays(rows, d, weights, cells, out=Out(cells, ["i", "j", "v"]))
 
-    Every task sends at most one row per cell; the cells are summed in
-    parallel by (i, j). Without Hessian cells no Hessian is multiplied.
+
+def matrix_arrays(
+    rows: DataFrame,
+    d: int,
+    weights: Sequence[float],
+    cells: Sequence[Cell],
+    tree: bool = False,
+    out: Out | None = None,
+) -> DataFrame:
+    """The wanted cells as ``array_sums``, one matrix product per Arrow batch.
+
+    Every task sends its sums as one array. Without Hessian cells no Hessian is
+    multiplied.
     """
-    wants_hessian = any(j < d for _, j in cells)
+    at_i, at_j = np.array(cells, dtype=np.int32).reshape(-1, 2).T
+    wants_hessian = bool((at_j < d).any())
     w = np.asarray(weights, dtype=np.float64)
-    at_i = np.array([i for i, _ in cells], dtype=np.int32)
-    at_j = np.array([j for _, j in cells], dtype=np.int32)
-
-    def partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system = np.zeros((d, d + 1))
-        seen = False
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            seen = True
-            x, t, n = feature_arrays(batch, d)
-            system += system_of(x, t, n, x @ w, wants_hessian)
-        if seen:
-            v = system[at_i, at_j]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(at_i), pa.array(at_j), pa.array(v)], names=["i", "j", "v"]
-            )
-
-    cells_of_tasks = rows.mapInArrow(partials, "i int, j int, v double")
-    return cells_of_tasks.groupBy("i", "j").agg(F.sum("v").alias("v"))
+    known, sizes = np.ones((1, len(cells)), dtype=bool), np.array([len(cells)])
+
+    def systems(batch: pa.RecordBatch) -> Iterator[tuple]:
+        x, t, n = feature_arrays(batch, d)
+        system = system_of(x, t, n, x @ w, wants_hessian)
+        yield [()], system[None, at_i, at_j], known, sizes
+
+    return array_sums(rows, [], cells=systems, tree=tree, out=out)
 
 
 def feature_arrays(batch: pa.RecordBatch, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -268,44 +270,37 @@ def system_by(
     places = [logistic.name(k) for k in keys]
     margin = logistic.linear([f"get(phi, {i})" for i in range(d)], [logistic.number(w) for w in weights])
     rows = packed(df, d, keys).selectExpr(*places, "phi", "t", "n", f"{margin} AS margin")
-    return block_sums(rows, keys, d, cells).groupBy(*keys, "i", "j").agg(F.sum("v").alias("v"))
+    return keyed_arrays(rows, keys, d, cells, Out(cells, ["i", "j", "v"]))
 
 
-def block_sums(
-    rows: DataFrame, keys: Sequence[str], d: int, cells: Sequence[Cell]
+def keyed_arrays(
+    rows: DataFrame, keys: Sequence[str], d: int, cells: Sequence[Cell], out: Out | None = None
 ) -> DataFrame:
-    """``(key, i, j, v)``: per Arrow batch and key, one row per cell of [H | g].
+    """The wanted cells of [H | g] of every key as ``array_sums``.
 
-    ``rows`` are ``(key, phi, t, n, margin)``. Few keys in a batch are one matrix
-    product each; many are summed together, one run of sorted rows per key.
-    Guards as in ``system_of``.
+    ``rows`` are ``(key, phi, t, n, margin)`` in any order. Few keys in a batch are
+    one matrix product each; many are summed together, one run of sorted rows
+    per key. A task adds up its batches and sends one array per key. Guards as in
+    ``system_of``.
     """
     at_i, at_j = np.array(cells, dtype=np.int32).reshape(-1, 2).T
     wants_hessian = bool((at_j < d).any())
-
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            if batch.num_rows == 0:
-                continue
-            x, t, n = feature_arrays(batch, d)
-            margin = batch.column("margin").to_numpy(zero_copy_only=False)
-            group = np.zeros(batch.num_rows, dtype=np.int64)
-            for key in keys:
-                part = batch.column(key).dictionary_encode().indices.to_numpy()
-                code = group * batch.num_rows + part
-                _, first, group = np.unique(code, return_index=True, return_inverse=True)
-            order = np.argsort(group, kind="stable")
-            starts = np.searchsorted(group[order], np.arange(first.size))
-            x, t, n, margin = x[order], t[order], n[order], margin[order]
-            sums = _segment_systems(x, t, n, margin, starts, wants_hessian)
-            take = pa.array(np.repeat(first, len(at_i)))
-            columns = [batch.column(key).take(take) for key in keys]
-            columns += [pa.array(np.tile(at, first.size)) for at in (at_i, at_j)]
-            columns.append(pa.array(sums[:, at_i, at_j].ravel()))
-            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "i", "j", "v"])
-
-    names = [f"{logistic.name(k)} {rows.schema[k].dataType.simpleString()}" for k in keys]
-    return rows.mapInArrow(run, ", ".join([*names, "i int, j int, v double"]))
+    # Runs whose systems are in memory at a time.
+    step = max(1, SLICE_BYTES // (8 * d * (d + 1)))
+
+    def systems(batch: pa.RecordBatch) -> Iterator[tuple]:
+        order, starts, found = groups(batch, keys)
+        margin = batch.column("margin").to_numpy(zero_copy_only=False)
+        x, t, n, margin = (v[order] for v in (*feature_arrays(batch, d), margin))
+        ends = np.append(starts, len(order))
+        for a in range(0, len(starts), step):
+            b = min(a + step, len(starts))
+            run = slice(ends[a], ends[b])
+            sums = _segment_systems(x[run], t[run], n[run], margin[run], starts[a:b] - ends[a], wants_hessian)
+            sums = sums[:, at_i, at_j]
+            yield found[a:b], sums, np.ones(sums.shape, dtype=bool), np.full(b - a, len(cells))
+
+    return array_sums(rows, keys, cells=systems, out=out)
 
 
 def _segment_systems(x, t, n, margin, starts, wants_hessian: bool) -> np.ndarray:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logistra.operators.sums import ARRAY, CELLS, Out, array_sums, summable
 from logistra.operators.validate import checked
 
 
@@ -77,11 +78,15 @@ def explode_array(df: DataFrame, key: str, values: str) -> DataFrame:
 def vector_sum(df: DataFrame, key: str | Sequence[str], phi: str = "phi") -> DataFrame:
     """``(key, i, v)``: sum of the vectors of each key, cell by cell.
 
-    The sums start before the shuffle, so a hot key sends one partial row per
-    task and cell.
+    Nulls add nothing; a cell that is null in all of a key's vectors is null. Keys
+    of floating point or nested types are summed cell by cell, as only Spark tells
+    them apart as Spark does.
     """
     keys = key_list(key)
-    cells = vector_to_indexed(df, keys, phi)
+    vectors = df.select(*keys, F.col(phi).cast(ARRAY).alias(CELLS))
+    if summable([df.schema[k].dataType for k in keys]):
+        return array_sums(vectors, keys, CELLS, out=Out(None, ["i", "v"]))
+    cells = vector_to_indexed(vectors, keys, CELLS)
     return cells.groupBy(*keys, "i").agg(F.sum("v").alias("v"))
 
 

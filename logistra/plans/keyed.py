@@ -31,17 +31,18 @@ from logistra.functions import dense
 from logistra.functions.logistic import linear, name, number
 from logistra.operators.matrix import as_arrow, ddl
 from logistra.operators.moments import (
-    block_sums,
     cell_sums,
     design,
     gradient_cells,
     hessian_cells,
+    keyed_arrays,
     packed,
     strategy_for,
 )
+from logistra.operators.sums import CELLS, whole_arrays
 from logistra.operators.validate import checked
 from logistra.operators.vectors import key_list
-from logistra.plans.layout import Stored, measure
+from logistra.plans.layout import Shape, Stored, measure
 from logistra.storage import new_table_path
 
 SALT = "_salt"
@@ -147,7 +148,7 @@ class _Rows:
             rows, columns = design(df, d, keys), [*keys, *[f"x{i}" for i in range(d)], "t"]
         else:
             rows, columns = packed(df, d, keys), [*keys, "phi", "t"]
-        self.stored = Stored(rows, columns, collapse, persist)
+        self.stored = Stored(rows, columns, collapse, persist, keys)
 
     def close(self) -> None:
         self.stored.close()
@@ -174,9 +175,10 @@ class _Rows:
     def stacked_systems(self, state: DataFrame | None) -> DataFrame:
         """``(key, cells, w)``: cells of [H | g] and weights of every key as arrays.
 
-        Rows of a key lie together, so a task sends few partial sums per key.
+        Every task sends one array per key that it read.
         """
-        self._lay_out()
+        if state is None and self._sums_outgrow_rows(self._shape().keys):
+            self._lay_out()
         keys = [name(key) for key in self.keys]
         rows, weights = self.stored.rows, ["0D"] * self.d
         if state is not None:
@@ -185,24 +187,15 @@ class _Rows:
         margin = linear([f"get(phi, {i})" for i in range(self.d)], weights)
         rows = rows.selectExpr(*keys, "phi", "t", "n", f"{margin} AS margin")
         wanted = gradient_cells(self.d) + hessian_cells(self.d)
-        # Summed by key and cell: the tasks combine their rows before they send them.
-        partial = block_sums(rows, self.keys, self.d, wanted)
-        place = f"if(j = {self.d}, i, {self.d} + i * {self.d} + j) AS place"
-        sums = partial.groupBy(*self.keys, "i", "j").agg(F.sum("v").alias("v"))
-        sums = sums.selectExpr(*keys, place, "v")
-        # At most d (d + 3) / 2 places per key are gathered.
-        gathered = sums.groupBy(*self.keys).agg(
-            F.array_sort(F.collect_list(F.struct("place", "v"))).alias("cells")
-        )
+        sums = keyed_arrays(rows, self.keys, self.d, wanted)
+        gathered = whole_arrays(sums, self.keys, len(wanted)).withColumnRenamed(CELLS, "cells")
         if state is not None:
             weights = self._weights(state)
             gathered = gathered.join(
                 F.broadcast(weights) if self.fits else weights, self.keys, "left"
             )
         olds = ", ".join("0D" if state is None else f"coalesce(w{i}, 0D)" for i in range(self.d))
-        return gathered.selectExpr(
-            *keys, "transform(cells, c -> c.v) AS cells", f"array({olds}) AS w"
-        )
+        return gathered.selectExpr(*keys, "cells", f"array({olds}) AS w")
 
     def _weights(self, state: DataFrame) -> DataFrame:
         return state.select(*self.keys, *[f"w{i}" for i in range(self.d)])
@@ -214,15 +207,20 @@ class _Rows:
         does not make them fewer: then every step would send more than the rows.
         """
         self.fits = _table_bytes(state, self.keys, self.d) <= self.broadcast_limit
-        if not self.fits or self._sums_outgrow_rows(state):
+        if not self.fits or self._sums_outgrow_rows(state.count()):
             self._lay_out()
 
-    def _sums_outgrow_rows(self, state: DataFrame) -> bool:
+    def _shape(self) -> Shape:
+        if self.stored.shape is None:
+            self.stored.shape = measure(self.stored.rows, self.keys, self.keys)
+        return self.stored.shape
+
+    def _sums_outgrow_rows(self, keys: int) -> bool:
         """Whether one step's partial sums may hold more numbers than all rows."""
-        if strategy_for(self.d) != "wide" or self.laid_out:
+        if self.laid_out:
             return False
-        shape = self.stored.shape or measure(self.stored.rows, self.keys)
-        partial = min(shape.rows, state.count() * shape.tasks)
+        shape = self._shape()
+        partial = min(shape.rows, keys * shape.tasks)
         return partial * (self.d * (self.d + 3) // 2 + self.d) > shape.rows * (self.d + 2)
 
     def _with_state(self, state: DataFrame) -> DataFrame:

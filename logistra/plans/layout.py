@@ -16,6 +16,7 @@ class Shape(NamedTuple):
     rows: int
     distinct: int
     tasks: int
+    keys: int
 
     def collapses(self) -> bool:
         """Whether grouping equal rows is sure to be cheap.
@@ -27,21 +28,25 @@ class Shape(NamedTuple):
         return 4 * self.distinct * self.tasks <= self.rows
 
 
-def measure(rows: DataFrame, columns: Sequence[str]) -> Shape:
-    """Row count, and estimates of distinct rows and of scan tasks.
+def measure(rows: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> Shape:
+    """Row count, and estimates of distinct rows, of scan tasks and of distinct keys.
 
     The estimates choose the plan only; no result depends on them.
     """
+    key = F.xxhash64(*keys) if keys else F.lit(0)
     found = (
-        rows.select(F.xxhash64(*columns).alias("row"), F.spark_partition_id().alias("task"))
+        rows.select(
+            F.xxhash64(*columns).alias("row"), F.spark_partition_id().alias("task"), key.alias("key")
+        )
         .agg(
             F.count("*").alias("rows"),
             F.approx_count_distinct("row").alias("distinct"),
             F.approx_count_distinct("task").alias("tasks"),
+            F.approx_count_distinct("key").alias("keys"),
         )
         .first()
     )
-    return Shape(found["rows"], found["distinct"], found["tasks"])
+    return Shape(found["rows"], found["distinct"], found["tasks"], found["keys"])
 
 
 def collapse_copies(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -62,10 +67,17 @@ class Stored:
     joins.
     """
 
-    def __init__(self, rows: DataFrame, columns: Sequence[str], collapse: str, persist: bool):
+    def __init__(
+        self,
+        rows: DataFrame,
+        columns: Sequence[str],
+        collapse: str,
+        persist: bool,
+        keys: Sequence[str] = (),
+    ):
         if collapse not in ("auto", "always", "never"):
             raise ValueError(f"collapse must be auto, always or never, not {collapse!r}")
-        self.shape = measure(rows, columns) if collapse == "auto" else None
+        self.shape = measure(rows, columns, keys) if collapse == "auto" else None
         self.collapsed = collapse == "always"
         spread = False
         if self.shape is not None:

@@ -14,10 +14,11 @@ from logistra.operators.moments import (
     design,
     gradient_cells,
     hessian_cells,
-    matrix_sums,
+    matrix_arrays,
     packed,
     strategy_for,
 )
+from logistra.operators.sums import CELLS, PART
 from logistra.operators.vectors import indexed_to_dense
 from logistra.plans.layout import Stored
 
@@ -61,11 +62,13 @@ class _Pass:
         """H and g at ``weights``: d^2 / 2 + d sums reach the driver, never rows."""
         if self.strategy == "wide":
             row = cell_sums(self.rows, self.d, weights, self.cells, tree=self.tree).collect()[0]
-            sums = [(i, j, v or 0.0) for (i, j), v in zip(self.cells, row, strict=True)]
+            sums = [v or 0.0 for v in row]
         else:
-            sums = matrix_sums(self.rows, self.d, weights, self.cells).collect()
+            arrays = matrix_arrays(self.rows, self.d, weights, self.cells, self.tree)
+            parts = sorted(arrays.collect(), key=lambda row: row[PART])
+            sums = [v for row in parts for v in row[CELLS]] or [0.0] * len(self.cells)
         full = np.zeros((self.d, self.d + 1))
-        for i, j, v in sums:
+        for (i, j), v in zip(self.cells, sums, strict=True):
             full[i, j] = v
             if j < self.d:
                 full[j, i] = v
