@@ -9,9 +9,10 @@ embeddings have a small Hamming distance. Several samples of a few coordinates
 of several walks are looked up among the samples of the benchmark items; a hit
 is verified by the exact edit distance.
 
-Walks miss some of the leaks of many edits, the more the longer the item. So the
-items are also cut into one piece more than a leak may have edits: at least one
-piece is then unchanged in the leak, and is looked up as a run of words.
+Walks are out of step for a while after every edit, so a sample of a long item
+rarely survives the most edits that count. Long items are therefore searched by
+overlapping windows of bounded length: each is a trial of its own, and edits are
+spread unevenly over them, so the chance of a hit rises with an item's length.
 """
 
 from __future__ import annotations
@@ -25,9 +26,12 @@ from pyspark.sql import functions as F
 
 from logistra.llm import tokens
 from logistra.llm.frames import pick
+from logistra.storage import drop_table, new_table_path, stored
 
-# Items of fewer words are too short for walks; their pieces alone are looked up.
+# Items of fewer words are too short for walks; two of their pieces are looked up.
 LEAST_WORDS = 8
+# Items of more words are searched by windows of so many words, one every so many.
+WHOLE_WORDS, WINDOW, STRIDE = 15, 14, 7
 # Characters that are words of their own, and punctuation that they come with.
 UNSPACED = "".join(
     rf"\p{{Is{script}}}"
@@ -36,15 +40,16 @@ UNSPACED = "".join(
 UNSPACED_MARKS = r"[\x{3000}\x{0F0B}-\x{0F14}]|[\p{IsPunctuation}&&[\x{3001}-\x{303F}\x{FF00}-\x{FF65}]]"
 # Most edits of words, as a share of the item's words.
 EDITS = 0.2
-# Five walks found 99% of passages with one to five random edits of words; the
-# pieces find all passages of any number of edits that counts.
-# Walks, samples of each walk and size class, and coordinates of a sample.
-WALKS, SAMPLES, COORDINATES = 5, 8, 4
-# Items of one size class differ by less than this factor; their windows reach
-# over the smallest item of the class.
+# Walks, samples of each walk and size class, coordinates of a sample, and their distance.
+WALKS, SAMPLES, COORDINATES, GAP = 5, 12, 4, 2
+# Windows of one size class differ by less than this factor; samples reach
+# over the smallest window of the class.
 CLASS_RATIO = 1.5
-# Items and characters of one pass over the documents; more make more passes.
-BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16_000_000
+# Entries of a table of known keys, for each key.
+SPARSE = 8
+# Items and characters of one pass over the documents; more make more passes. An
+# index takes about 100 bytes a character.
+BLOCK_ITEMS, BLOCK_CHARS = 20_000, 1_000_000
 # Steps after which walks that met are merged.
 MERGES = {1, 2, 4, 8, 12, 20, 32, 50, 80, 128, 200, 320, 512}
 
@@ -62,70 +67,84 @@ def short(words: np.ndarray) -> np.ndarray:
 
 
 class Sample:
-    """Coordinates of one walk and the items that each prefix of them leaves."""
+    """Coordinates of one walk and the windows that each prefix of them leaves."""
 
-    def __init__(self, steps: np.ndarray, symbols: np.ndarray, items: np.ndarray):
-        """``symbols``: a row of words at ``steps`` for each of ``items``."""
+    def __init__(self, steps: np.ndarray, symbols: np.ndarray, windows: np.ndarray):
+        """``symbols``: a row of words at ``steps`` for each of ``windows``."""
         self.steps = steps
+        bits = max(8, int(SPARSE * len(windows)).bit_length())
+        self.shift = np.uint32(32 - min(bits, 24))
         keys = symbols[:, 0]
         self.seen = []
         for j in range(len(steps)):
             keys = join_keys(keys, symbols[:, j]) if j else keys
-            known = np.zeros(1 << 16, dtype=bool)
-            known[keys >> np.uint32(16)] = True
+            known = np.zeros((1 << 32) >> int(self.shift), dtype=bool)
+            known[keys >> self.shift] = True
             self.seen.append(known)
         order = np.argsort(keys, kind="stable")
-        self.keys, self.items = keys[order], items[order]
+        self.keys, self.windows = keys[order], windows[order].astype(np.int32)
 
-    def hits(self, keys, walks, starts) -> set[tuple[int, int, int]]:
-        """(item, first start, last start) of the walks whose key is an item's."""
+    def may_hit(self, depth: int, keys: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(self.seen[depth][keys >> self.shift])
+
+    def hits(self, keys, walks, starts) -> np.ndarray:
+        """(window, first start, last start) rows of the walks whose key is a window's."""
         low, high = (np.searchsorted(self.keys, keys, side=x) for x in ("left", "right"))
-        return {
-            (int(item), int(starts[walks[r]]), int(starts[walks[r] + 1]) - 1)
-            for r in np.flatnonzero(high > low)
-            for item in self.items[low[r] : high[r]]
-        }
+        n = high - low
+        walk = np.repeat(walks, n)
+        place = np.arange(len(walk)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        return np.column_stack([self.windows[place], starts[walk], starts[walk + 1] - 1])
 
 
 class Index:
     """The samples of all items, by walk."""
 
-    def __init__(self, ids: list, texts: list[str]):
+    def __init__(self, ids: pa.Array, texts: pa.Array):
         table = tokens.byte_table(letters_only=True)
         words = [
             w.hashes[i:j]
-            for w in tokens.words(pa.array([t.lower() for t in texts], pa.string()), table)
+            for w in tokens.words(texts, table)
             for i, j in zip(w.offsets[:-1], w.offsets[1:], strict=True)
         ]
         kept = [i for i, w in enumerate(words) if len(w)]
-        self.ids, self.words = [ids[i] for i in kept], [words[i] for i in kept]
+        self.ids, self.words = ids.take(pa.array(kept, pa.int64())), [words[i] for i in kept]
         random = np.random.default_rng(SEED)
-        sizes = np.array([len(w) for w in self.words], dtype=np.int64)
-        walked = sizes >= LEAST_WORDS
+        # A row per window: item, first word, words.
+        cut = [
+            (item, a, b - a)
+            for item, w in enumerate(self.words)
+            if len(w) >= LEAST_WORDS
+            for a, b in _windows(len(w))
+        ]
+        windows = np.array(cut, dtype=np.int64).reshape(-1, 3)
+        self.items, self.places, sizes = windows.T
         classes = np.floor(np.log(sizes / LEAST_WORDS) / np.log(CLASS_RATIO) + 1e-9).astype(int)
-        self.most = int(sizes[walked].max(initial=0))
+        self.most = int(sizes.max(initial=0))
         self.walks: list[tuple[np.ndarray, list[Sample]]] = []
         for _ in range(WALKS):
             multipliers = random.integers(1, 1 << 63, 2 * self.most + 1, dtype=np.uint64)
             multipliers = (multipliers >> np.uint64(31)).astype(np.uint32) | np.uint32(1)
             samples = []
-            for c in np.unique(classes[walked]):
-                items = np.flatnonzero(walked & (classes == c))
-                smallest = int(sizes[items].min())
-                symbols = np.stack([self._embed(short(self.words[i]), multipliers) for i in items])
+            for c in np.unique(classes):
+                chosen = np.flatnonzero(classes == c)
+                smallest = int(sizes[chosen].min())
+                symbols = self._embed(chosen, sizes[chosen], multipliers)
                 for _ in range(SAMPLES):
-                    # A walk of j steps has passed about j / 2 words; the first
-                    # steps, before walks have merged, tell least.
-                    steps = np.arange(smallest // 3, int(1.6 * smallest))
-                    steps = np.sort(random.choice(steps, COORDINATES, replace=False))
-                    samples.append(Sample(steps, symbols[:, steps], items))
+                    steps = _coordinates(smallest, random)
+                    samples.append(Sample(steps, symbols[:, steps], chosen))
             self.walks.append((multipliers, samples))
         self.pieces = self._pieces()
 
-    def _pieces(self) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(words, known top bits, hashes, items, places in the items) of the pieces of each length."""
+    def _pieces(self) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(words, hashes, items, places in the items) of the pieces of short items, by length.
+
+        Of two halves a leak of up to one edit holds one unchanged; without edits
+        the item is one piece.
+        """
         cut: dict[int, list[tuple[int, int, int]]] = {}
         for item, words in enumerate(self.words):
+            if len(words) >= LEAST_WORDS:
+                continue
             parts = int(EDITS * len(words)) + 1
             ends = [len(words) * j // parts for j in range(parts + 1)]
             for a, b in zip(ends[:-1], ends[1:], strict=True):
@@ -133,52 +152,67 @@ class Index:
         out = []
         for size, pieces in sorted(cut.items()):
             keys, items, places = zip(*sorted(pieces), strict=True)
-            keys = np.array(keys, dtype=np.uint64)
-            known = np.zeros(1 << 20, dtype=bool)
-            known[keys >> np.uint64(44)] = True
-            out.append((size, known, keys, np.array(items), np.array(places)))
+            out.append((size, np.array(keys, dtype=np.uint64), np.array(items), np.array(places)))
         return out
 
-    def unchanged(self, w: tokens.Words) -> set[tuple[int, int, int]]:
-        """(document, item, start) where a document of the chunk holds a piece of the item."""
-        found: set[tuple[int, int, int]] = set()
-        for size, known, keys, items, places in self.pieces:
+    def unchanged(self, w: tokens.Words) -> np.ndarray:
+        """(document, item, start) rows where a document of the chunk may hold a short item.
+
+        A piece of the item is there, and of its other words all but as many as edits
+        count are at their places or next to them, so a common piece alone is none.
+        """
+        found = [np.zeros((0, 3), dtype=np.int64)]
+        padded = np.concatenate([np.zeros(LEAST_WORDS, dtype=np.uint64), w.hashes])
+        padded = np.concatenate([padded, np.zeros(2 * LEAST_WORDS, dtype=np.uint64)])
+        for size, keys, items, places in self.pieces:
             if len(w.hashes) < size:
                 continue
             runs = tokens.shingles(w.hashes, size)
-            at = np.flatnonzero(known[runs >> np.uint64(44)])
+            low, high = (np.searchsorted(keys, runs, side=x) for x in ("left", "right"))
+            at = np.flatnonzero(high > low)
             docs = np.searchsorted(w.offsets, at, side="right") - 1
             inside = at + size <= w.offsets[docs + 1]
             at, docs = at[inside], docs[inside]
-            low, high = (np.searchsorted(keys, runs[at], side=x) for x in ("left", "right"))
-            n = high - low
+            n = high[at] - low[at]
             hit = np.repeat(np.arange(len(at)), n)
-            piece = np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n) + low[hit]
-            starts = np.maximum(w.offsets[docs[hit]], at[hit] - places[piece])
-            found.update(zip(docs[hit].tolist(), items[piece].tolist(), starts.tolist(), strict=True))
-        return found
-
-    @staticmethod
-    def _embed(words: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
-        out, place = np.zeros(len(multipliers), dtype=np.uint32), 0
+            piece = np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n) + low[at][hit]
+            start = at[hit] - places[piece]
+            for item in np.unique(items[piece]):
+                words = self.words[item]
+                mine = np.flatnonzero(items[piece] == item)
+                missing = np.zeros(len(mine), dtype=np.int64)
+                for j, word in enumerate(words):
+                    near = padded[start[mine, None] + (j + LEAST_WORDS) + np.array([-1, 0, 1])]
+                    missing += ~(near == word).any(axis=1)
+                mine = mine[missing <= int(EDITS * len(words))]
+                first = np.maximum(w.offsets[docs[hit[mine]]], start[mine])
+                found.append(np.column_stack([docs[hit[mine]], np.full(len(mine), item), first]))
+        return np.unique(np.concatenate(found), axis=0)
+
+    def _embed(self, chosen: np.ndarray, sizes: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
+        """A row of the embedding for each of the chosen windows; zeros follow its last word."""
+        text = np.zeros((len(chosen), int(sizes.max()) + 1), dtype=np.uint32)
+        for row, window in enumerate(chosen):
+            words, a = self.words[self.items[window]], self.places[window]
+            text[row, : sizes[row]] = short(words[a : a + sizes[row]])
+        out = np.zeros((len(chosen), len(multipliers)), dtype=np.uint32)
+        rows, place = np.arange(len(chosen)), np.zeros(len(chosen), dtype=np.int64)
         for j, m in enumerate(multipliers):
-            if place == len(words):
-                break
-            out[j] = words[place]
-            with np.errstate(over="ignore"):
-                place += int((words[place] * m) >> np.uint32(31))
+            out[:, j] = text[rows, place]
+            place = np.minimum(place + ((out[:, j] * m) >> np.uint32(31)), sizes)
         return out
 
-    def candidates(self, words: np.ndarray) -> set[tuple[int, int, int]]:
-        """(item, first, last): starts between which a walk of the text hit a sample of the item."""
-        found: set[tuple[int, int, int]] = set()
+    def candidates(self, words: np.ndarray) -> np.ndarray:
+        """(item, first, last) rows: starts of the item, beyond the text's ends too, after hits of a window."""
+        found = [np.zeros((0, 3), dtype=np.int64)]
         text = np.concatenate([short(words), np.zeros(2 * self.most + 2, dtype=np.uint32)])
         for multipliers, samples in self.walks if self.most else ():
-            found |= self._walk(text, len(words), multipliers, samples)
-        return found
+            found += self._walk(text, len(words), multipliers, samples)
+        rows = np.unique(np.concatenate(found), axis=0)
+        return np.column_stack([self.items[rows[:, 0]], self.places[rows[:, 0]], rows[:, 1:]])
 
     @staticmethod
-    def _walk(text, n, multipliers, samples) -> set[tuple[int, int, int]]:
+    def _walk(text, n, multipliers, samples) -> list[np.ndarray]:
         place = np.arange(n)  # word under each walk, ascending
         start = np.arange(n)  # first start of the walks merged into each
         opening: dict[int, list[int]] = {}
@@ -187,24 +221,23 @@ class Index:
         # Of each sample begun: walks at its first step, the same walks now, keys so far.
         running: dict[int, list] = {}
         starts: dict[int, np.ndarray] = {}
-        found: set[tuple[int, int, int]] = set()
+        found: list[np.ndarray] = []
         last = max(int(sample.steps[-1]) for sample in samples)
         for j in range(last + 1):
             under = text[place]
             if j in opening:
-                top = under >> np.uint32(16)
                 starts[j] = np.append(start, n)
                 for s in opening[j]:
-                    hit = np.flatnonzero(samples[s].seen[0][top])
+                    hit = samples[s].may_hit(0, under)
                     running[s] = [hit, hit, under[hit], 1]
             for s in list(running):
                 sample, (origin, at, keys, depth) = samples[s], running[s]
                 if depth < COORDINATES and sample.steps[depth] == j:
                     keys = join_keys(keys, under[at])
-                    ok = np.flatnonzero(sample.seen[depth][keys >> np.uint32(16)])
+                    ok = sample.may_hit(depth, keys)
                     running[s] = [origin[ok], at[ok], keys[ok], depth + 1]
                     if depth + 1 == COORDINATES:
-                        found |= sample.hits(keys[ok], origin[ok], starts[int(sample.steps[0])])
+                        found.append(sample.hits(keys[ok], origin[ok], starts[int(sample.steps[0])]))
                         del running[s]
             place = place + ((under * multipliers[j]) >> np.uint32(31))
             if j + 1 in MERGES and len(place):
@@ -221,7 +254,7 @@ class Index:
         n = len(pattern)
         most = int(EDITS * n)
         low = max(0, first - most)
-        region = words[low : last + n + most]
+        region = words[low : max(0, last + n + most)]
         present = set(region.tolist())
         if sum(word in present for word in pattern.tolist()) < n - most:
             return None
@@ -242,16 +275,15 @@ class Index:
             return
         for w in tokens.words(column, table):
             near: dict[tuple[int, int], list[tuple[int, int]]] = {}
-            for item, first, last in self.candidates(w.hashes):
+            for item, offset, first, last in self.candidates(w.hashes).tolist():
                 # A merged walk can start in several documents.
                 d = int(np.searchsorted(w.offsets, first, side="right")) - 1
                 while d < len(w.offsets) - 1 and w.offsets[d] <= last:
                     if w.offsets[d + 1] > w.offsets[d]:
-                        near.setdefault((d, item), []).append(
-                            (max(first, w.offsets[d]), min(last, w.offsets[d + 1] - 1))
-                        )
+                        a, b = max(first, w.offsets[d]), min(last, w.offsets[d + 1] - 1)
+                        near.setdefault((d, item), []).append((a - offset, b - offset))
                     d += 1
-            for d, item, start in self.unchanged(w):
+            for d, item, start in self.unchanged(w).tolist():
                 near.setdefault((d, item), []).append((start, start))
             for (d, item), places in near.items():
                 words, base = w.hashes[w.offsets[d] : w.offsets[d + 1]], int(w.offsets[d])
@@ -264,6 +296,26 @@ class Index:
                     yield w.first + d, item, *min(found)
 
 
+def _coordinates(smallest: int, random: np.random.Generator) -> np.ndarray:
+    """Steps of a sample of windows of at least so many words.
+
+    A walk of j steps has passed about j / 2 words; the first steps, before walks
+    have merged, tell least. Steps keep GAP apart, since neighbours mostly see the same
+    word; the shortest windows leave no room for that.
+    """
+    first, last = smallest // 3, int(1.6 * smallest)
+    more = GAP - 1 if smallest >= 12 else 0
+    steps = np.arange(first, last - (COORDINATES - 1) * more)
+    return np.sort(random.choice(steps, COORDINATES, replace=False)) + more * np.arange(COORDINATES)
+
+
+def _windows(n: int) -> list[tuple[int, int]]:
+    """First and last word + 1 of the windows of an item of n words."""
+    if n <= WHOLE_WORDS:
+        return [(0, n)]
+    return [(a, a + WINDOW) for a in [*range(0, n - WINDOW, STRIDE), n - WINDOW]]
+
+
 def _merged(places: list[tuple[int, int]], gap: int) -> list[tuple[int, int]]:
     """Places as few ranges: one that begins near the last joins it."""
     out: list[list[int]] = []
@@ -285,15 +337,18 @@ def units(text: Column | str) -> Column:
     )
 
 
-def indexes(benchmark: DataFrame) -> Iterator[Index]:
-    """Indexes of ``benchmark`` (item_id, text) in blocks of bounded size."""
+def blocks(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """``benchmark`` (item_id, text) and the number of blocks of bounded size that it is cut into."""
     items = pick(benchmark, "item_id", "text").where("text IS NOT NULL").withColumn("text", units("text"))
     size = items.select(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    blocks = max(1, -(-size[0] // BLOCK_ITEMS), -(-size[1] // BLOCK_CHARS))
-    for b in range(blocks):
-        rows = items.where(F.expr(f"pmod(xxhash64(item_id, text), {blocks}) = {b}")).collect()
-        rows.sort(key=lambda r: (r.item_id is None, r.item_id, r.text))
-        yield Index([r.item_id for r in rows], [r.text for r in rows])
+    return items, max(1, -(-size[0] // BLOCK_ITEMS), -(-size[1] // BLOCK_CHARS))
+
+
+def index_of(items: DataFrame, block: int, of: int) -> Index:
+    """The index of one block, whose items alone reach the driver."""
+    rows = items.where(F.expr(f"pmod(xxhash64(item_id, text), {of}) = {block}")) if of > 1 else items
+    rows = rows.orderBy("item_id", "text").toArrow()
+    return Index(rows.column("item_id").combine_chunks(), rows.column("text").combine_chunks())
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -303,7 +358,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     floor(EDITS * n) edits of words away; of several places the nearest, then
     the first, counts; so items of one to four words are found unchanged alone.
     Characters of scripts without spaces count as words. Null, empty and wordless
-    texts match nothing. Equal rows give equal rows.
+    texts match nothing. Equal rows give equal rows. Items of fewer than
+    LEAST_WORDS words are found for certain, longer ones as far as their walks
+    hit. A benchmark of several blocks makes a pass over the documents for each, one
+    after the other, and the rows of each are written to the shared folder.
     """
     texts = pick(docs, "doc_id", "text").withColumn("text", units("text"))
     ids = [pick(f, c).schema[c].dataType for f, c in ((docs, "doc_id"), (benchmark, "item_id"))]
@@ -311,11 +369,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         f"doc_id {ids[0].simpleString()}, item_id {ids[1].simpleString()},"
         " words long, distance long, last_word long"
     )
-    out = None
-    for index in indexes(benchmark):
-        found = texts.mapInArrow(_match_rows(index), schema)
-        out = found if out is None else out.union(found)
-    return out
+    items, n = blocks(benchmark)
+    if n == 1:
+        return texts.mapInArrow(_match_rows(index_of(items, 0, 1)), schema)
+    path = new_table_path(docs.sparkSession, "leaks")
+    for b in range(n):
+        found = texts.mapInArrow(_match_rows(index_of(items, b, n)), schema)
+        found.write.mode("append").parquet(path)
+    return docs.sparkSession.read.parquet(path)
 
 
 def _match_rows(index: Index):
@@ -326,7 +387,7 @@ def _match_rows(index: Index):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").take(pa.array(rows, pa.int64())),
-                    pa.array([index.ids[i] for i in items], pa.int64()),
+                    index.ids.take(pa.array(items, pa.int64())),
                     pa.array([len(index.words[i]) for i in items], pa.int64()),
                     pa.array(distances, pa.int64()),
                     pa.array(ends, pa.int64()),
@@ -338,18 +399,29 @@ def _match_rows(index: Index):
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in whose text no item is found, with all their columns."""
+    """The rows of ``docs`` in whose text ``find_leaks`` finds no item, with all their columns.
+
+    Rows with null, empty or wordless texts stay; repeated rows stay or go together;
+    an empty benchmark keeps all. After each block but the last what is left is
+    written to the shared folder.
+    """
     names, place = docs.columns, _place(docs, "text")
-    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    for index in indexes(benchmark):
+    plain, path = docs.toDF(*[f"c{i}" for i in range(len(names))]), None
+    items, n = blocks(benchmark)
+    for b in range(n):
 
-        def keep(batches, index=index):
+        def keep(batches, index=index_of(items, b, n)):
             for batch in batches:
                 hit = np.zeros(batch.num_rows, dtype=bool)
                 hit[[row for row, *_ in index.matches(batch.column("lowered"))]] = True
                 yield batch.filter(pa.array(~hit)).select(list(range(batch.num_columns - 1)))
 
         plain = plain.withColumn("lowered", units(f"c{place}")).mapInArrow(keep, plain.schema)
+        if b + 1 < n:
+            before = path
+            plain, path = stored(plain, "unleaked")
+            if before:
+                drop_table(docs.sparkSession, before)
     return plain.toDF(*names)
 
 

@@ -34,7 +34,7 @@ FAMILY = ["hub", "size"]
 # Rows of a bucket up to which all its pairs are listed.
 SMALL_BUCKET = 32
 # Tokens of the classes that one task compares as left and as right sides.
-LEFT_TOKENS, RIGHT_TOKENS = 400_000, 2_000_000
+LEFT_TOKENS, RIGHT_TOKENS = 400_000, 1_000_000
 
 
 class Rule:
@@ -137,6 +137,7 @@ def _compare(rule: Rule):
         bounds = np.asarray(lists.offsets, dtype=np.int64)
         bounds = bounds - bounds[0]
         _, numbers = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        numbers = numbers.astype(np.int32)
         sizes = np.diff(bounds)
         present = np.zeros(len(numbers) + 1, dtype=bool)
         # Only right rows are counted; their tokens lie together after sorting.
@@ -146,7 +147,7 @@ def _compare(rule: Rule):
         for x in left:
             mine = numbers[bounds[x] : bounds[x + 1]]
             present[mine] = True
-            inter = np.add.reduceat(present[own].astype(np.int64), starts) if len(own) else own
+            inter = np.add.reduceat(present[own], starts, dtype=np.int64) if len(own) else own
             present[mine] = False
             union = sizes[x] + sizes[right] - inter
             hit = right[(inter * rule.den >= rule.num * union) & (comps[right] != comps[x])]

@@ -88,19 +88,69 @@ def changed(rng, words, edits):
     return out
 
 
-@pytest.mark.parametrize("size", [20, 60, 120, 300, 600])
-def test_finds_all_leaks_of_the_most_edits(size):
-    rng = random.Random(size)
-    items = [corpus.prose(rng, size).split() for _ in range(20)]
-    index = decontaminate.Index(list(range(20)), [" ".join(i) for i in items])
+def leaks(size, n, seed):
+    """Items, and a text for each with as many random edits as count, amid other words."""
+    rng = random.Random(seed)
+    items = [corpus.prose(rng, size).split() for _ in range(n)]
+    edits = int(0.2 * size)
     docs = [
-        corpus.prose(rng, 50) + " " + " ".join(changed(rng, i, int(0.2 * size))) + " " + corpus.prose(rng, 30)
+        corpus.prose(rng, 50) + " " + " ".join(changed(rng, i, edits)) + " " + corpus.prose(rng, 30)
         for i in items
     ]
     # A leak may begin a text and follow on another.
-    docs += [" ".join(changed(rng, i, int(0.2 * size))) for i in items]
+    docs += [" ".join(changed(rng, i, edits)) for i in items]
+    return decontaminate.Index(pa.array(range(n)), pa.array([" ".join(i) for i in items])), docs
+
+
+@pytest.mark.parametrize("size", [8, 10, 12, 14, 17, 20, 30, 60, 120, 300, 600])
+def test_walks_find_leaks_of_the_most_edits(size):
+    """By the walks alone: items of so many words have no pieces."""
+    n = min(200, 6000 // size)
+    index, docs = leaks(size, n, size)
+    assert index.pieces == []
     found = {(row, item) for row, item, *_ in index.matches(pa.array(docs, pa.string()))}
-    assert found == {(row, row % 20) for row in range(40)}
+    own = {(row, row % n) for row in range(2 * n)}
+    # Few words are near to other items too.
+    assert len(found & own) >= (0.97 if size < 20 else 0.99) * len(own)
+    if size >= 20:
+        assert found <= own
+
+
+@pytest.mark.parametrize("size", [5, 6, 7])
+def test_pieces_find_all_leaks_of_short_items(size):
+    index, docs = leaks(size, 100, size)
+    assert len(index.items) == 0
+    found = {(row, item) for row, item, *_ in index.matches(pa.array(docs, pa.string()))}
+    assert {(row, row % 100) for row in range(200)} <= found
+
+
+def test_common_pieces_are_no_candidates():
+    """Of thousands of places of a frequent pair only those that may be a leak are verified."""
+    index = decontaminate.Index(pa.array([1]), pa.array(["of the old red house"]))
+    text = " ".join(f"of the word{i}" for i in range(5000)) + " of the old red mouse"
+    (w,) = decontaminate.tokens.words(pa.array([text]), decontaminate.tokens.byte_table(letters_only=True))
+    assert len(index.unchanged(w)) == 1
+    assert [(r[0], r[1], r[2]) for r in index.matches(pa.array([text]))] == [(0, 0, 1)]
+
+
+def test_index_stays_small():
+    import pickle
+
+    rng = random.Random(2)
+    items = [corpus.prose(rng, rng.randrange(8, 690)) for _ in range(48)]
+    index = decontaminate.Index(pa.array(range(48)), pa.array(items))
+    assert len(pickle.dumps(index)) < 150 * sum(map(len, items))
+
+
+def test_ids_of_any_type_and_blocks(spark, monkeypatch):
+    docs, items = fixture()
+    want = {(f"d{d}" if d is not None else None, f"i{i}", x) for d, i, x in brute(docs, items)}
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 10)
+    named = [(None if d[0] is None else f"d{d[0]}", *d[1:]) for d in docs]
+    table = corpus.frame(spark, named, corpus.SCHEMA.replace("doc_id long", "doc_id string"))
+    benchmark = spark.createDataFrame([(f"i{i}", t) for i, t in items], "item_id string, text string")
+    found = {(r.doc_id, r.item_id, r.distance) for r in decontaminate.find_leaks(table, benchmark).collect()}
+    assert {x for x in found if x[1] != "i42"} == want
 
 
 def test_finds_short_items_and_scripts_without_spaces(spark):
