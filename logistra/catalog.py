@@ -311,6 +311,38 @@ def adjugate_singular(d: int) -> Query:
     return query
 
 
+def star_matrices(spark: SparkSession, folder: str) -> DataFrame:
+    """16 x 16 of rank 15: per return flag, the Laplacian of a star with mean quantities as weights."""
+    edges = (
+        features.table(spark, folder, "lineitem")
+        .groupBy("l_returnflag", F.expr("CAST(1 + l_orderkey % 15 AS int) AS leaf"))
+        .agg(F.avg(F.col("l_quantity") / 25).alias("w"))
+    )
+    own = "struct(leaf AS i, leaf AS j, w AS v), struct(0 AS i, 0 AS j, w AS v)"
+    sides = "struct(0 AS i, leaf AS j, -w AS v), struct(leaf AS i, 0 AS j, -w AS v)"
+    filled = edges.selectExpr("l_returnflag", f"inline(array({own}, {sides}))")
+    zeros = (
+        edges.select("l_returnflag")
+        .distinct()
+        .selectExpr("l_returnflag", "explode(sequence(0, 255)) AS place")
+        .selectExpr("l_returnflag", "CAST(place DIV 16 AS int) AS i", "CAST(place % 16 AS int) AS j", "0D AS v")
+    )
+    return filled.union(zeros).groupBy("l_returnflag", "i", "j").agg(F.sum("v").alias("v"))
+
+
+def adjugate_singular_large(spark: SparkSession, folder: str) -> DataFrame:
+    cells = matrix.adjugate(star_matrices(spark, folder), 16, "l_returnflag")
+    return cells.select("l_returnflag", "i", "j", rounded("v").alias("v"))
+
+
+def inverse_condition(spark: SparkSession, folder: str) -> DataFrame:
+    """[[1, 1], [0, g]] with g from 1 to 2^-50 has the condition number 2 (1 + g) / g."""
+    cells = "struct(0 AS i, 0 AS j, 1D AS v), struct(0 AS i, 1 AS j, 1D AS v), "
+    cells += "struct(1 AS i, 0 AS j, 0D AS v), struct(1 AS i, 1 AS j, pow(2D, -(s_suppkey % 51)) AS v)"
+    table = features.table(spark, folder, "supplier").selectExpr("s_suppkey", f"inline(array({cells}))")
+    return matrix.inverse(table, 2, "s_suppkey", condition_limit=1e9)
+
+
 def inverse_singular(d: int) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
         cells = matrix.inverse(exact_matrices(spark, folder, d, scaled=True), d, "s_suppkey")
@@ -435,6 +467,34 @@ def newton_resume(spark: SparkSession, folder: str) -> DataFrame:
     return steps(newton.newton_train(rows, 3, iterations=3, init=stored))
 
 
+def newton_journal(spark: SparkSession, folder: str) -> DataFrame:
+    """Three steps, and a second run that goes on behind them."""
+    rows, path = features.line(spark, folder), new_table_path(spark, "journal")
+    newton.newton_train(rows, 3, iterations=3, journal=path)
+    return steps(newton.newton_train(rows, 3, history=True, journal=path))
+
+
+def newton_by_key_journal(table: Callable, d: int) -> Query:
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        rows, path = table(spark, folder), new_table_path(spark, "journal")
+        keyed.newton_train_by(rows, SUPPLIER, d, iterations=3, journal=path)
+        return steps(keyed.newton_train_by(rows, SUPPLIER, d, journal=path))
+
+    return query
+
+
+def newton_observed(spark: SparkSession, folder: str) -> DataFrame:
+    """Rejected and guarded rows, counted by the pass of the first step itself."""
+    damaged = "CASE l_linenumber WHEN 7 THEN transform(phi, x -> double('NaN')) WHEN 6 THEN slice(phi, 1, 2) ELSE phi END"
+    rows = features.line(spark, folder).withColumn("phi", F.expr(damaged))
+    fit, counts = validate.observe_rows(rows, 3)
+    newton.newton_train(fit, 3, iterations=1, collapse="never")
+    found = counts.get
+    return spark.createDataFrame(
+        [(found["rows"], found["rejected"], found["guarded"])], "rows long, rejected long, guarded long"
+    )
+
+
 def newton_by_key(table: Callable, d: int, history: bool = False) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
         return steps(keyed.newton_train_by(table(spark, folder), SUPPLIER, d, history=history))
@@ -477,6 +537,11 @@ QUERIES: dict[str, Query] = {
     "dim_rejects": dim_rejects,
     "nan_guard": nan_guard,
     "nan_guard_count": nan_guard_count,
+    "newton_observed": newton_observed,
+    "newton_journal": newton_journal,
+    "newton_by_key_journal": newton_by_key_journal(features.line_wide, 5),
+    "adjugate_singular_large": adjugate_singular_large,
+    "inverse_condition": inverse_condition,
     "explode_array": explode_array,
     "score_margin": scored("margin"),
     "score_prob": scored("p"),

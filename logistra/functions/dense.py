@@ -171,12 +171,25 @@ def solved(stack: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return x, singular, p
 
 
-def inverse(stack: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Inverses and singular flags; a singular matrix gets an all-zero inverse."""
+def inverse(stack: np.ndarray, limit: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Inverses and singular flags; a singular matrix gets an all-zero inverse.
+
+    With a ``limit`` so does a matrix whose one-norm condition number is not below or at it.
+    """
     x, singular, _ = solved(stack, np.broadcast_to(np.eye(stack.shape[1]), stack.shape))
+    if limit is not None:
+        with np.errstate(all="ignore"):
+            condition = _one_norm(stack) * _one_norm(x)
+            singular |= ~(condition <= limit)
+        x[singular] = 0.0
     return x + 0.0, singular
 
 
+def _one_norm(stack: np.ndarray) -> np.ndarray:
+    """Largest sum of a column's absolute cells."""
+    return np.abs(stack).sum(axis=1).max(axis=1)
+
+
 def newton_update(
     hessian: np.ndarray, gradient: np.ndarray, tolerance: float
 ) -> tuple[np.ndarray, np.ndarray]:

@@ -94,12 +94,23 @@ def adjugate(matrix: DataFrame, d: int, key: Key = None) -> DataFrame:
     return dense_to_coo(done, d, keys)
 
 
-def inverse(matrix: DataFrame, d: int, key: Key = None) -> DataFrame:
-    """``(key, i, j, v, singular)``: determinant exactly 0 gives all zeros."""
+def inverse(
+    matrix: DataFrame, d: int, key: Key = None, condition_limit: float | None = None
+) -> DataFrame:
+    """``(key, i, j, v, singular)``: determinant exactly 0 gives all zeros.
+
+    With ``condition_limit`` so does a matrix whose condition number, the product of
+    the one-norms of matrix and inverse, is above it. A number c leaves about 16 - log10(c)
+    correct digits, so 1e13 keeps three; matrices of NaN or infinite cells have no number and are flagged.
+    """
     keys = key_list(key)
     table = coo_to_dense(matrix, d, key)
     outputs = "m array<double>, singular boolean"
-    done = _stacked(table, d, keys, lambda stack: list(dense.inverse(stack)), outputs)
+
+    def run(stack: np.ndarray) -> list[np.ndarray]:
+        return list(dense.inverse(stack, condition_limit))
+
+    done = _stacked(table, d, keys, run, outputs)
     return dense_to_coo(done, d, [*keys, "singular"]).select(*keys, "i", "j", "v", "singular")
 
 

@@ -7,7 +7,7 @@ expressions once more per reference.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from logistra.constants import NAN_FILL
@@ -36,6 +36,27 @@ def check_dims(df: DataFrame, d: int, on_error: str = "fail", phi: str = "phi"):
     raise ValueError(f"on_error must be 'fail' or 'reject', not {on_error!r}")
 
 
+def observe_rows(df: DataFrame, d: int) -> tuple[DataFrame, Observation]:
+    """The rows fit for training, and counts that the first pass over them fills.
+
+    The counts are ``rows``, ``rejected`` (a vector that is missing, incomplete or not of
+    length d, or no target) and ``guarded`` (rows with a NaN, whose cells the guard
+    replaces). They cost no pass of their own: Spark counts while the rows are read. A
+    task that runs again is counted once.
+    """
+    fits = (F.size("phi") == d) & ~F.exists("phi", F.isnull) & F.col("t").isNotNull()
+    fits = F.coalesce(fits, F.lit(False))
+    holds_nan = F.exists("phi", F.isnan) | F.isnan("t")
+    counts = Observation()
+    watched = df.observe(
+        counts,
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(~fits).alias("rejected"),
+        F.count_if(fits & holds_nan).alias("guarded"),
+    )
+    return watched.where(fits), counts
+
+
 def guard_cells(df: DataFrame, value: str = "v", fill: float = NAN_FILL) -> DataFrame:
     """Replace NaN in ``value`` and mark the replaced cells in ``replaced``."""
     return df.withColumn("replaced", F.isnan(value)).withColumn(

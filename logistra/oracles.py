@@ -364,6 +364,22 @@ FROM (SELECT *, CASE {' '.join(f'WHEN r = {i} AND k = {j} THEN {v}' for (i, j),
     "adjugate_singular_wide": exact_adjugate(5),
     "inverse_singular": exact_inverse(3),
     "inverse_singular_wide": exact_inverse(5),
+    # All cofactors of a Laplacian are the weighted number of spanning trees: of a star, the product.
+    "adjugate_singular_large": f"""
+SELECT l_returnflag, i::INT AS i, j::INT AS j, {rounded('trees')} AS v
+FROM (SELECT l_returnflag, product(w) AS trees FROM (
+        SELECT l_returnflag, l_orderkey % 15 AS leaf, avg(l_quantity / 25) AS w
+        FROM lineitem GROUP BY ALL) GROUP BY l_returnflag), range(16) AS x(i), range(16) AS y(j)""",
+    "inverse_condition": """
+SELECT s_suppkey, i::INT AS i, j::INT AS j, 2 * (1 + g) / g > 1e9 AS singular,
+       CASE WHEN 2 * (1 + g) / g > 1e9 OR (i = 1 AND j = 0) THEN 0.0 WHEN j = 0 THEN 1.0
+            WHEN i = 0 THEN -1 / g ELSE 1 / g END::DOUBLE AS v
+FROM (SELECT s_suppkey, pow(2::DOUBLE, -(s_suppkey % 51)) AS g FROM supplier), range(2) AS x(i), range(2) AS y(j)""",
+    "newton_observed": """
+SELECT count(*) AS rows, count(*) FILTER (l_linenumber = 6) AS rejected,
+       count(*) FILTER (l_linenumber = 7) AS guarded FROM lineitem""",
+    "newton_journal": history(LINE, 3),
+    "newton_by_key_journal": trained(LINE_WIDE, 5, SUPPLIER),
     "newton_by_part": first_step_by_part(),
     "newton_by_key_nan": trained(LINE_WIDE + NOT_SEVEN, 5, SUPPLIER),
     "newton_by_key_nan_products": trained(

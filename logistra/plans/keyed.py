@@ -42,6 +42,7 @@ from logistra.operators.moments import (
 from logistra.operators.sums import CELLS, whole_arrays
 from logistra.operators.validate import checked
 from logistra.operators.vectors import key_list
+from logistra.plans.journal import Journal, digest
 from logistra.plans.layout import Shape, Stored, measure
 from logistra.storage import new_table_path
 
@@ -62,6 +63,7 @@ def newton_train_by(
     tolerance: float = PIVOT_TOLERANCE,
     broadcast_limit: int = BROADCAST_LIMIT,
     rows_per_salt: int = ROWS_PER_SALT,
+    journal: str | None = None,
 ) -> DataFrame:
     """``(key, i, w, singular)`` after exactly ``iterations`` steps per key.
 
@@ -70,7 +72,8 @@ def newton_train_by(
     ``iteration`` 1, 2, ... A key with a singular Hessian keeps its weights
     and is flagged. Keys must not be null. ``collapse`` and ``persist`` work as
     in ``newton_train``. The weights of every step stay in
-    the shared folder, since the result is read from there.
+    the shared folder, since the result is read from there; with ``journal`` they are kept
+    in that folder, and a run that broke off goes on behind its last finished step.
     """
     if iterations < 1:
         raise ValueError("training needs at least one iteration")
@@ -83,37 +86,41 @@ def newton_train_by(
     # Keys have names of their own inside, so that no inner column clashes.
     inner = {column: f"_key{i}" for i, column in enumerate(names)}
     keyed_rows = df.withColumnsRenamed(inner)
-    data = _Rows(keyed_rows, [*inner.values()], d, collapse, persist, broadcast_limit, rows_per_salt)
-    path = new_table_path(spark, "weights")
-    try:
-        state = _run(data, path, init, inner, iterations, tolerance)
-    finally:
-        data.close()
-    kept = ["iteration", *data.keys] if history else data.keys
-    steps = spark.read.parquet(path) if history else state
+    settings = {"keys": names, "d": d, "start": digest(init), "tolerance": tolerance}
+    log = Journal(spark, journal or new_table_path(spark, "weights"), settings)
+    done = min(log.finished(), iterations)
+    keys = [*inner.values()]
+    if done < iterations:
+        data = _Rows(keyed_rows, keys, d, collapse, persist, broadcast_limit, rows_per_salt)
+        try:
+            _run(data, log, done, init, inner, iterations, tolerance)
+        finally:
+            data.close()
+    kept = ["iteration", *keys] if history else keys
+    steps = log.history(iterations) if history else log.read(iterations)
     weights = ", ".join(f"struct({i} AS i, w{i} AS w)" for i in range(d))
     out = steps.selectExpr(*[name(n) for n in kept], "singular", f"inline_outer(array({weights}))")
     outer = {place: column for column, place in inner.items()}
     return out.select(*kept, "i", "w", "singular").withColumnsRenamed(outer)
 
 
-def _run(data, path, init, inner, iterations, tolerance) -> DataFrame:
-    """The weights after the last step; those of each step are written below ``path``."""
-    d, spark = data.d, data.stored.rows.sparkSession
-    state = None if init is None else _wide_model(init.withColumnsRenamed(inner), data.keys, d)
-    for iteration in range(1, iterations + 1):
+def _run(data, log: Journal, done: int, init, inner, iterations, tolerance) -> None:
+    """The steps behind the ``done`` first ones, each committed to the journal."""
+    d = data.d
+    if done:
+        state = log.read(done)
+    else:
+        state = None if init is None else _wide_model(init.withColumnsRenamed(inner), data.keys, d)
+    for iteration in range(done + 1, iterations + 1):
         # The first weights may cover few keys; from the second step on the
         # table has one row per key and keeps its size.
-        if state is not None and iteration <= 2:
+        if state is not None and iteration <= max(2, done + 1):
             data.choose_join(state)
         if strategy_for(d) == "wide":
             solved = solve_systems(data.systems(state), data.keys, d, tolerance)
         else:
             solved = solve_stacked(data.stacked_systems(state), data.keys, d, tolerance)
-        step = f"{path}/iteration={iteration}"
-        solved.write.parquet(step)
-        state = spark.read.schema(solved.schema).parquet(step)
-    return state
+        state = log.write(iteration, solved)
 
 
 def _wide_model(model: DataFrame, keys: Sequence[str], d: int) -> DataFrame:

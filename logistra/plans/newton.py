@@ -20,8 +20,11 @@ from logistra.operators.moments import (
 )
 from logistra.operators.sums import CELLS, PART
 from logistra.operators.vectors import indexed_to_dense
+from logistra.plans.journal import Journal
 from logistra.plans.layout import Stored
 
+STEP = "i int, w double, singular boolean"
+
 
 def model_frame(spark: SparkSession, weights: Sequence[float]) -> DataFrame:
     """``(i, w)`` rows of a weight vector."""
@@ -111,6 +114,7 @@ def newton_train(
     collapse: str = "auto",
     persist: bool = False,
     tolerance: float = PIVOT_TOLERANCE,
+    journal: str | None = None,
 ) -> DataFrame:
     """``(i, w, singular)`` after exactly ``iterations`` full Newton steps.
 
@@ -119,25 +123,37 @@ def newton_train(
     1, 2, ... ``singular`` tells that the step found a singular Hessian and
     kept the weights. ``collapse`` (auto, always, never) groups equal rows
     once; ``persist`` keeps the rows between the steps, which pays off for
-    costly sources such as text or joins.
+    costlier sources such as text or joins. ``journal`` is a folder that keeps every finished
+    step: a run that broke off goes on behind its last one, over the same rows.
     """
+    spark = df.sparkSession
     weights = np.zeros(d) if init is None else np.array(model_weights(init))
     if weights.size != d:
         raise ValueError(f"{weights.size} weights for {d} features")
+    log, rows = None, []
+    if journal is not None:
+        settings = {"d": d, "start": weights.tolist(), "tolerance": tolerance, "strategy": strategy}
+        log = Journal(spark, journal, settings)
+        for iteration in range(1, min(log.finished(), iterations) + 1):
+            step = sorted(log.read(iteration).collect(), key=lambda row: row["i"])
+            weights = np.array([row["w"] for row in step])
+            rows += [(iteration, row["i"], row["w"], row["singular"]) for row in step]
     data = _Pass(df, d, strategy)
-    rows = []
+    first = len(rows) // d + 1
     try:
-        data.store(collapse, persist)
-        for iteration in range(1, iterations + 1):
+        if first <= iterations:
+            data.store(collapse, persist)
+        for iteration in range(first, iterations + 1):
             h, g = data.system(weights.tolist())
             update, singular = dense.newton_update(h[None], g[None], tolerance)
             weights = weights - update[0]
-            rows += [(iteration, i, float(w), bool(singular[0])) for i, w in enumerate(weights)]
+            step = [(i, float(w), bool(singular[0])) for i, w in enumerate(weights)]
+            if log is not None:
+                log.write(iteration, spark.createDataFrame(step, STEP).coalesce(1))
+            rows += [(iteration, *row) for row in step]
     finally:
         data.close()
     if not iterations:
         rows = [(0, i, float(w), False) for i, w in enumerate(weights)]
-    steps = df.sparkSession.createDataFrame(
-        rows if history else rows[-d:], "iteration int, i int, w double, singular boolean"
-    )
+    steps = spark.createDataFrame(rows if history else rows[-d:], f"iteration int, {STEP}")
     return steps if history else steps.drop("iteration")

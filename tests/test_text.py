@@ -125,5 +125,63 @@ def test_model_files(spark, tmp_path):
     assert model.load_history(spark, path).count() == 1
     # A path that only begins alike is another model.
     model.save_model(model.load_history(spark, path), path + "2")
-    with pytest.raises(ValueError, match="read from"):
-        model.save_model(model.load_history(spark, path), path)
+    # A model may be saved where it is read from.
+    model.save_model(model.load_history(spark, path).withColumn("w", F.expr("w + 1")), path)
+    assert [tuple(r) for r in model.load_model(spark, path).collect()] == [(0, 1.7)]
+
+
+def test_readers_never_miss_the_model(spark, tmp_path):
+    """While versions replace each other, every read gives one whole version."""
+    import threading
+
+    path = str(tmp_path / "model")
+    rows = lambda n: spark.range(4).selectExpr("CAST(id AS int) AS i", f"CAST({n} AS double) AS w")
+    model.save_model(rows(0), path)
+    seen, failed, done = [], [], threading.Event()
+
+    def read():
+        while not done.is_set():
+            try:
+                seen.append([row.w for row in model.load_model(spark, path).collect()])
+            except Exception as error:  # noqa: BLE001
+                failed.append(error)
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    try:
+        for n in range(1, 8):
+            before = len(seen)
+            model.save_model(rows(n), path)
+            while len(seen) == before and not failed:
+                done.wait(0.01)
+    finally:
+        done.set()
+        reader.join()
+    assert not failed
+    assert all(len(found) == 4 and len(set(found)) == 1 for found in seen)
+    numbers = [found[0] for found in seen]
+    assert numbers == sorted(numbers) and len(set(numbers)) > 3
+    folders = [entry.name for entry in (tmp_path / "model").iterdir() if entry.name.startswith("version-")]
+    assert len(folders) == model.KEPT_VERSIONS
+
+
+def test_a_broken_switch_leaves_the_model(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "model")
+    model.save_model(spark.createDataFrame([(0, 1.0)], "i int, w double"), path)
+
+    def broken(self, version):
+        raise OSError("driver lost")
+
+    monkeypatch.setattr(model._Store, "point_to", broken)
+    with pytest.raises(OSError, match="lost"):
+        model.save_model(spark.createDataFrame([(0, 2.0)], "i int, w double"), path)
+    assert [tuple(r) for r in model.load_model(spark, path).collect()] == [(0, 1.0)]
+
+
+def test_models_without_versions_are_read_and_replaced(spark, tmp_path):
+    path = str(tmp_path / "model")
+    plain = spark.createDataFrame([(3, 0, 1.0)], "iteration int, i int, w double")
+    plain.write.partitionBy("iteration").parquet(path)
+    assert [tuple(r) for r in model.load_model(spark, path).collect()] == [(0, 1.0)]
+    model.save_model(plain.withColumn("w", F.lit(2.0)), path)
+    assert [tuple(r) for r in model.load_history(spark, path).select("iteration", "w").collect()] == [(3, 2.0)]
