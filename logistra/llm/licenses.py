@@ -1,14 +1,18 @@
-"""License scans: lines and paragraphs against licence templates.
+"""License scans: windows of texts against licence templates.
 
-Texts are normalised to lower-case words of letters and digits. A line, or a
-paragraph of up to MOST_LINES lines, is compared with each template by the Dice
-coefficient of their distinct word bigrams. Only templates whose size lets the
-coefficient reach the threshold are candidates.
+Texts are normalised to lower-case words of letters and digits. Wherever bigrams of a
+template lie close enough together, the windows around them, of up to the template's
+size times what the threshold allows, are compared with it by the Dice coefficient of their
+distinct word bigrams. The bounds that a match puts on the number of common bigrams
+and on the window's size prune the other templates and places, so lines, paragraphs
+and the length of the text do not matter.
 """
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +23,8 @@ from logistra.llm.frames import pick
 
 # Least Dice coefficient of a match.
 THRESHOLD = 0.8
-# Lines of the longest paragraph that is compared as one segment.
-MOST_LINES = 40
 
-# Notices by which common licences are named or granted.
+# Notices by which common licences are named or granted, and texts of short ones.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     (
@@ -80,6 +82,54 @@ TEMPLATES = (
     ),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    (
+        "MIT",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING"
+        " BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND"
+        " NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM,"
+        " DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING"
+        " FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "BSD",
+        "Redistribution and use in source and binary forms, with or without modification, are"
+        " permitted provided that the following conditions are met: 1. Redistributions of source"
+        " code must retain the above copyright notice, this list of conditions and the following"
+        " disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,"
+        " this list of conditions and the following disclaimer in the documentation and/or other"
+        " materials provided with the distribution.",
+    ),
+    (
+        "BSD",
+        "Redistribution and use in source and binary forms, with or without modification, are"
+        " permitted provided that the following conditions are met:",
+    ),
+    (
+        "BSD-3-Clause",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to"
+        " endorse or promote products derived from this software without specific prior written"
+        " permission.",
+    ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or"
+        " without fee is hereby granted, provided that the above copyright notice and this"
+        " permission notice appear in all copies.",
+    ),
+    (
+        "Zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event"
+        " will the authors be held liable for any damages arising from the use of this software."
+        " Permission is granted to anyone to use this software for any purpose, including"
+        " commercial applications, and to alter it and redistribute it freely",
+    ),
+    (
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to"
+        " copy, modify, publish, use, compile, sell, or distribute this software, either in source"
+        " code form or as a compiled binary, for any purpose, commercial or non-commercial, and by"
+        " any means.",
+    ),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
@@ -95,76 +145,137 @@ def _bigrams(hashes: np.ndarray) -> np.ndarray:
     return np.unique(tokens.shingles(hashes, 2))
 
 
-def _segments(w: tokens.Words, doc: int) -> Iterator[tuple[int, int, int, int]]:
-    """(first line, lines, first word, last word) of the lines and paragraphs of a document."""
-    lo, hi = w.bounds[doc], w.bounds[doc + 1]
-    breaks = np.flatnonzero(w.raw[lo:hi] == 10) + lo
-    edges = np.concatenate([[lo], breaks, [hi]])
-    at = np.searchsorted(w.starts, edges)
-    start = None
-    for line in range(len(edges) - 1):
-        if at[line + 1] > at[line]:
-            yield line, 1, at[line], at[line + 1]
-            start = line if start is None else start
-        elif start is not None:
-            if 1 < line - start <= MOST_LINES:
-                yield start, line - start, at[start], at[line]
-            start = None
-    if start is not None and 1 < len(edges) - 1 - start <= MOST_LINES:
-        yield start, len(edges) - 1 - start, at[start], at[-1]
+class Match(NamedTuple):
+    """A window that reaches the threshold: its document, template, words and coefficient."""
+
+    doc: int
+    template: int
+    first: int
+    end: int
+    common: int
+    dice: float
 
 
 class Matcher:
     """Templates as one sorted list of bigrams."""
 
     def __init__(self, templates=TEMPLATES, threshold: float = THRESHOLD):
+        if not 0 < threshold <= 1:
+            raise ValueError("the threshold is above 0 and at most 1")
         self.names = [name for name, _ in templates]
         self.threshold = threshold
         self.table = tokens.byte_table(letters_only=True)
         texts = pa.array([text for _, text in templates], pa.string())
-        sets = [
-            _bigrams(w.hashes[i:j])
+        words = [
+            w.hashes[i:j]
             for w in tokens.words(texts, self.table)
             for i, j in zip(w.offsets[:-1], w.offsets[1:], strict=True)
         ]
-        self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        sets = [_bigrams(h) for h in words]
+        self.sets = [frozenset(s.tolist()) for s in sets]
+        # A window of n bigrams, c of them among a template's s, matches if 2 c >= threshold (s + n).
+        # As c <= n and c <= s, at least so many are common, and the window has at most so many.
+        sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        self.least = np.ceil(sizes * threshold / (2 - threshold) - 1e-9).astype(np.int64)
+        self.most = np.floor(sizes * (2 - threshold) / threshold + 1e-9).astype(np.int64)
+        self.single = np.array([len(h) == 1 for h in words], dtype=bool)
         values = np.concatenate([*sets, np.zeros(0, dtype=np.uint64)]).astype(np.uint64)
-        owners = np.repeat(np.arange(len(sets)), self.sizes)
+        owners = np.repeat(np.arange(len(sets)), sizes)
         order = np.argsort(values, kind="stable")
         self.values, self.owners = values[order], owners[order]
-        # What a segment's size may be for the smallest and largest template.
-        self.low = self.sizes.min(initial=1) * threshold / (2 - threshold)
-        self.high = self.sizes.max(initial=0) * (2 - threshold) / threshold
-
-    def best(self, hashes: np.ndarray) -> tuple[int, float] | None:
-        """First of the templates with the largest coefficient, if that reaches the threshold."""
-        # A segment of n words has at most n - 1 bigrams.
-        if max(1, len(hashes) - 1) < self.low:
-            return None
-        found = _bigrams(hashes)
-        n = len(found)
-        if not self.low <= n <= self.high:
-            return None
-        i, j = (np.searchsorted(self.values, found, side=side) for side in ("left", "right"))
-        if not (j > i).any():
-            return None
-        common = np.zeros(len(self.sizes), dtype=np.int64)
-        for a, b in zip(i[j > i], j[j > i], strict=True):
-            common[self.owners[a:b]] += 1
-        fits = 2 * np.minimum(self.sizes, n) >= self.threshold * (self.sizes + n)
-        dice = np.where(fits, 2 * common / (self.sizes + n), 0.0)
-        top = int(np.argmax(dice))
-        return (top, float(dice[top])) if dice[top] >= self.threshold else None
+
+    def _hits(self, w: tokens.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(templates, places, documents) of template bigrams in a chunk, by template, then place."""
+        pairs = tokens.shingles(w.hashes, 2) if len(w.hashes) > 1 else w.hashes[:0]
+        inside = np.ones(len(pairs), dtype=bool)
+        # The last word of a document and the first of the next are no bigram.
+        ends = w.offsets[1:-1] - 1
+        inside[ends[(ends >= 0) & (ends < len(pairs))]] = False
+        found, parts = [], [(pairs, np.flatnonzero(_among(pairs, self.values) & inside), False)]
+        if self.single.any():
+            alone = tokens.alone(w.hashes)
+            parts.append((alone, np.flatnonzero(_among(alone, self.values)), True))
+        for codes, at, single in parts:
+            i, j = (np.searchsorted(self.values, codes[at], side=side) for side in ("left", "right"))
+            n = j - i
+            place = np.repeat(at, n)
+            owner = self.owners[np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(i, n)]
+            mine = self.single[owner] == single
+            found.append((owner[mine], place[mine]))
+        owner, place = (np.concatenate(f) for f in zip(*found, strict=True))
+        order = np.lexsort((place, owner))
+        owner, place = owner[order], place[order]
+        return owner, place, np.searchsorted(w.offsets, place, side="right") - 1
+
+    def windows(self, w: tokens.Words) -> list[Match]:
+        """Of every place where a template may begin the window with the largest coefficient, if that matches."""
+        if len(w.hashes) == 0 or len(self.values) == 0:
+            return []
+        owner, place, docs = self._hits(w)
+        out: list[Match] = []
+        for t in np.unique(owner):
+            a, b = np.searchsorted(owner, [t, t + 1])
+            at, of, least = place[a:b], docs[a:b], int(self.least[t])
+            if self.single[t]:
+                out += [Match(int(d), int(t), int(p), int(p) + 1, 1, 1.0) for d, p in zip(of, at, strict=True)]
+                continue
+            if len(at) < least:
+                continue
+            last = np.arange(len(at) - least + 1) + least - 1
+            near = (at[last] - at[: len(last)] < self.most[t]) & (of[last] == of[: len(last)])
+            # A window that could begin with the bigram before is no worse for it.
+            follows = np.append(False, (at[1:] == at[:-1] + 1) & (of[1:] == of[:-1]))[: len(near)]
+            follows[1:] &= near[:-1]
+            for p, d in zip(at[: len(last)][near & ~follows].tolist(), of[: len(last)][near & ~follows].tolist()):
+                end = min(p + int(self.most[t]), int(w.offsets[d + 1]) - 1)
+                codes = tokens.shingles(w.hashes[p : end + 1], 2).tolist()
+                if best := self._best(codes, self.sets[t]):
+                    dice, common, size = best
+                    out.append(Match(d, int(t), p, p + size + 1, common, dice))
+        return out
+
+    def _best(self, codes: list[int], template: frozenset) -> tuple[float, int, int] | None:
+        """(coefficient, common bigrams, bigrams) of the best window that begins where ``codes`` do."""
+        seen: set[int] = set()
+        common, best = 0, (0.0, 0, 0)
+        for size, code in enumerate(codes, 1):
+            if code in seen:
+                continue
+            seen.add(code)
+            if code in template:
+                common += 1
+                dice = 2 * common / (len(template) + len(seen))
+                if dice > best[0]:
+                    best = dice, common, size
+        return best if best[0] >= self.threshold - 1e-12 else None
+
+    def matches(self, w: tokens.Words) -> list[Match]:
+        """Windows that do not overlap: those with more common bigrams first, then by coefficient, template, place."""
+        kept: list[Match] = []
+        by_doc: dict[int, list[Match]] = {}
+        for found in self.windows(w):
+            by_doc.setdefault(found.doc, []).append(found)
+        for _, found in sorted(by_doc.items()):
+            chosen: list[Match] = []
+            for m in sorted(found, key=lambda m: (-m.common, -m.dice, m.template, m.first)):
+                place = bisect([c.first for c in chosen], m.first)
+                before = place == 0 or chosen[place - 1].end <= m.first
+                if before and (place == len(chosen) or chosen[place].first >= m.end):
+                    chosen.insert(place, m)
+            kept += chosen
+        return kept
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per matching segment of ``docs`` (doc_id, text).
+    """One row per matching window of ``docs`` (doc_id, text).
 
-    ``line`` is the number of the segment's first line, from 0, ``lines`` its
-    number of lines, ``template`` the number of the best template (the first of
-    equals) and ``dice`` the coefficient. Every line is a segment, and every run
-    of 2 to MOST_LINES lines between lines without words. Null, empty and
-    wordless texts have no segments; rows with equal ids are scanned each.
+    ``line`` is the number of the line, from 0, in which the window begins, ``lines`` the
+    number of lines it reaches over, ``template`` the number of the template and
+    ``dice`` the coefficient. Of overlapping windows that with most common bigrams
+    stays, of equals that of the first template. A window may begin and end anywhere, also
+    amid a line, and has at most (2 - threshold) / threshold times the template's bigrams.
+    Null, empty and wordless texts have none; rows with equal ids are scanned each;
+    an empty table, or no template, gives none.
     """
     texts = pick(docs, "doc_id", "text")
     matcher = Matcher(templates, threshold)
@@ -173,10 +284,11 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
         for batch in batches:
             rows = []
             for w in tokens.words(batch.column("text"), matcher.table):
-                for doc in _hit_documents(w, matcher):
-                    for line, lines, i, j in _segments(w, doc):
-                        if match := matcher.best(w.hashes[i:j]):
-                            rows.append((w.first + doc, line, lines, *match))
+                for m in matcher.matches(w):
+                    lo = w.bounds[m.doc]
+                    breaks = np.flatnonzero(w.raw[lo : w.starts[m.end - 1]] == 10) + lo
+                    line, last = np.searchsorted(breaks, w.starts[[m.first, m.end - 1]]).tolist()
+                    rows.append((w.first + m.doc, line, last - line + 1, m.template, m.dice))
             at, line, lines, template, dice = zip(*rows, strict=True) if rows else ((),) * 5
             yield pa.RecordBatch.from_arrays(
                 [
@@ -194,16 +306,6 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     return texts.mapInArrow(run, SCHEMA.format(id=id_type))
 
 
-def _hit_documents(w: tokens.Words, matcher: Matcher) -> np.ndarray:
-    """Documents that hold a bigram of a template, or one of its words alone."""
-    if len(w.hashes) == 0 or len(matcher.values) == 0:
-        return np.zeros(0, dtype=np.int64)
-    places = np.flatnonzero(_among(tokens.shingles(w.hashes, 2), matcher.values))
-    singles = np.flatnonzero(_among(tokens.alone(w.hashes), matcher.values))
-    at = np.concatenate([places, singles])
-    return np.unique(np.searchsorted(w.offsets, at, side="right") - 1)
-
-
 def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Whether each value is known; most are told apart by 16 bits."""
     seen = np.zeros(1 << 16, dtype=bool)

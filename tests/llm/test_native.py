@@ -178,6 +178,64 @@ def test_licences(spark):
     assert licenses.scan(spark.createDataFrame([], corpus.SCHEMA)).collect() == []
 
 
+def test_licences_anywhere_in_a_text(spark):
+    """Amid a line, at the end of a long paragraph, commented, wrapped, or several in one text."""
+    rng = random.Random(3)
+    prose = lambda n: corpus.prose(rng, n)
+    gpl, apache, bsd = (next(t for n, t in licenses.TEMPLATES if n == name and len(t) > 150) for name in ("GPL-3.0", "Apache-2.0", "BSD"))
+    wrapped = "\n".join(" * " + " ".join(apache.split()[i : i + 7]) + "\n *" for i in range(0, 80, 7))
+    table = [
+        (1, f"{prose(10)} Licensed under the MIT License. {prose(10)}"),
+        (2, "\n".join(prose(9) for _ in range(42)) + "\n" + gpl),
+        (3, f"/*\n{bsd}\n*/ {prose(40)}"),
+        (4, wrapped + "\n" + prose(30)),
+        (5, f"{prose(50)} {gpl} {prose(30)} All rights reserved. {prose(5)}"),
+        (6, " ".join(w for i, w in enumerate(gpl.split()) if i % 12)),
+        (7, prose(400)),
+        (8, "under the terms of the License under the License"),
+    ]
+    docs = corpus.frame(spark, [(i, t, "en", "s", 0) for i, t in table])
+    got = sorted((r.doc_id, r.line, r.license) for r in licenses.scan(docs).collect())
+    assert got == [
+        (1, 0, "MIT"), (2, 42, "GPL-3.0"), (3, 1, "BSD"), (4, 0, "Apache-2.0"), (5, 0, "GPL-3.0"),
+        (5, 0, "Proprietary"), (6, 0, "GPL-3.0"),
+    ]
+
+
+def test_licence_windows_against_brute_force():
+    """The best coefficient of each template over all windows of bounded size of each text."""
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    letters = "abcdefgh"
+    word = lambda n: " ".join(rng.choice(letters) for _ in range(n))
+    templates = [(str(i), word(rng.randrange(1, 9))) for i in range(6)]
+    matcher = licenses.Matcher(templates, 0.8)
+    pairs = lambda ws: frozenset(zip(ws, ws[1:])) if len(ws) > 1 else frozenset(ws)
+    sets = [pairs(t.split()) for _, t in templates]
+    texts = [word(rng.randrange(0, 30)) for _ in range(150)]
+    texts += [f"{word(6)} {t} {word(5)}" for _, t in templates]
+    found = {}
+    for w in licenses.tokens.words(pa.array(texts), matcher.table):
+        for m in matcher.windows(w):
+            found[w.first + m.doc, m.template] = max(found.get((w.first + m.doc, m.template), 0), m.dice)
+        for m in matcher.matches(w):
+            assert m.first < m.end and w.offsets[m.doc] <= m.first and m.end <= w.offsets[m.doc + 1]
+    want = {}
+    for d, text in enumerate(texts):
+        ws = text.split()
+        for t, own in enumerate(sets):
+            most = int(len(own) * 1.5 + 1e-9)
+            spans = [(a, b) for a in range(len(ws)) for b in range(a + 1, min(len(ws), a + most + 1) + 1)]
+            single = len(templates[t][1].split()) == 1
+            spans = [(a, b) for a, b in spans if (b - a == 1) == single]
+            best = max((2 * len(own & pairs(ws[a:b])) / (len(own) + len(pairs(ws[a:b]))) for a, b in spans), default=0)
+            if best >= 0.8:
+                want[d, t] = best
+    assert found.keys() == want.keys()
+    assert all(abs(found[k] - want[k]) < 1e-12 for k in want)
+
+
 URLS = [
     ("http://WWW.Example.com/en/1?x=/a#b", "www.example.com", "/en/1", "www.example.com/en/", "allow"),
     ("https://m.example.com/en/", "m.example.com", "/en/", "example.com/en/", "block"),
