@@ -1,11 +1,11 @@
 """Language identification by prediction by partial matching.
 
 Every language has a tree of byte contexts up to ORDER bytes with the counts of
-what followed. A byte is coded in the longest context that the tree keeps; one
-that never followed there costs an escape and is coded in the next shorter
-context, at last as one of 256 bytes. The counts stay frozen while a text is
-scored, so its code length is a sum of table values, and the language with the
-shortest code wins.
+what followed, held as sorted arrays of its own, so languages share no room. A byte is coded in
+the longest context that the tree keeps; one that never followed there costs an
+escape and is coded in the next shorter context, at last as one of 256 bytes. The
+counts stay frozen while a text is scored, so its code length is a sum over its runs of
+ORDER + 1 bytes, and the language with the shortest code wins.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logistra.llm import tokens
@@ -24,14 +24,11 @@ from logistra.llm.frames import pick, remainder
 ORDER = 3
 # Documents of each language that are learned from, about; a hash chooses them.
 SAMPLE_DOCS = 1500
-# Four-byte runs of a language that are learned, most frequent first.
+# Runs of a language that are learned, most frequent first: the size of its tree.
 MOST_RUNS = 300_000
-# A context is kept if some language has seen it so often.
+# A context is kept if the language has seen it so often.
 LEAST_COUNT = 4
-# Values of the table of code lengths: 64 MB.
-MOST_CELLS = 16_000_000
-# Different bytes that have a symbol of their own; others share one.
-MOST_SYMBOLS = 160
+# Most languages: their trees are sent to every task, a few megabytes each.
 LANGUAGES = 1000
 
 
@@ -59,107 +56,111 @@ def training_runs(texts: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "run").agg(F.sum("n").alias("n"))
 
 
+def _distinct(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found, where = np.unique(codes, return_inverse=True)
+    return found, np.bincount(where, weights=n, minlength=len(found))
+
+
+class Tree:
+    """The contexts of one language, by length: contexts, escapes, codes and their bits."""
+
+    def __init__(self, run: np.ndarray, n: np.ndarray):
+        """Byte runs as numbers, and how often each occurs."""
+        self.levels: list[tuple[np.ndarray, ...]] = []
+        for k in range(ORDER + 1):
+            # A code is a context of k bytes and the byte behind it.
+            codes, counts = _distinct(run & ((1 << 8 * (k + 1)) - 1), n)
+            contexts, totals = _distinct(codes >> 8, counts)
+            kinds = np.bincount(np.searchsorted(contexts, codes >> 8), minlength=len(contexts))
+            kept = totals >= (LEAST_COUNT if k else 1)
+            of = np.searchsorted(contexts, codes >> 8)
+            bits = -np.log2(counts / (totals + kinds)[of])
+            escapes = -np.log2(kinds / (totals + kinds))
+            self.levels.append(
+                (
+                    contexts[kept].astype(np.uint32),
+                    escapes[kept].astype(np.float32),
+                    codes[kept[of]].astype(np.uint32),
+                    bits[kept[of]].astype(np.float32),
+                )
+            )
+
+    def bits(self, runs: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each run of ORDER + 1 bytes."""
+        cost = np.zeros(len(runs), dtype=np.float64)
+        left = np.arange(len(runs))
+        for k in reversed(range(ORDER + 1)):
+            contexts, escapes, codes, bits = self.levels[k]
+            code = runs[left] & np.uint32((1 << 8 * (k + 1)) - 1)
+            place, hit = _places(codes, code)
+            cost[left[hit]] += bits[place[hit]]
+            left, context = left[~hit], code[~hit] >> np.uint32(8)
+            place, known = _places(contexts, context)
+            cost[left[known]] += escapes[place[known]]
+        cost[left] += 8.0
+        return cost
+
+
+def _places(values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted value is among the sorted ones, and whether it is there."""
+    if not len(values):
+        return np.zeros(len(wanted), dtype=np.int64), np.zeros(len(wanted), dtype=bool)
+    place = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
+    return place, values[place] == wanted
+
+
 class Model:
-    """Code lengths in bits by context, next symbol and language."""
+    """A context tree for each language."""
 
     def __init__(self, runs: dict[str, tuple[np.ndarray, np.ndarray]]):
         """``runs``: byte runs and their counts of each language."""
         self.langs = sorted(runs)
-        used = np.zeros(256, dtype=np.int64)
-        for run, n in runs.values():
-            np.add.at(used, run & 255, n)
-        order = [int(b) for b in np.argsort(-used, kind="stable") if used[b] > 0 and b != 32]
-        own = [32, *order[: MOST_SYMBOLS - 1]]
-        # Symbol 0 stands for all other bytes.
-        self.symbol = np.zeros(256, dtype=np.int64)
-        self.symbol[own] = np.arange(1, len(own) + 1)
-        self.size = a = len(own) + 1
-        counts = [self._counts(*runs[lang]) for lang in self.langs]
-        kept = [np.zeros(1, dtype=np.int64)]
-        for k in range(1, ORDER + 1):
-            contexts = np.unique(np.concatenate([c[k][0] // a for c in counts]))
-            most = np.zeros(len(contexts), dtype=np.int64)
-            for c in counts:
-                own_contexts, where = np.unique(c[k][0] // a, return_inverse=True)
-                n = np.bincount(where, weights=c[k][1]).astype(np.int64)
-                place = np.searchsorted(contexts, own_contexts)
-                most[place] = np.maximum(most[place], n)
-            room = max(a, MOST_CELLS // (a * len(self.langs)) - sum(map(len, kept)))
-            chosen = np.flatnonzero(most >= LEAST_COUNT)
-            chosen = chosen[np.argsort(-most[chosen], kind="stable")[:room]]
-            kept.append(np.sort(contexts[chosen]))
-        self._build(counts, kept)
-
-    def _counts(self, run, n) -> list[tuple[np.ndarray, np.ndarray]]:
-        """By order: (context and symbol as one number, count)."""
-        s = [self.symbol[(run >> shift) & 255] for shift in (24, 16, 8, 0)]
-        out = []
-        for k in range(ORDER + 1):
-            code = np.zeros(len(run), dtype=np.int64)
-            for part in s[ORDER - k :]:
-                code = code * self.size + part
-            codes, where = np.unique(code, return_inverse=True)
-            out.append((codes, np.bincount(where, weights=n)))
-        return out
-
-    def _build(self, counts, kept) -> None:
-        a, langs = self.size, len(self.langs)
-        starts = np.cumsum([0, *map(len, kept)])
-        table = np.zeros((starts[-1], a, langs), dtype=np.float32)
-        # Node of the longest kept suffix of every context of ORDER symbols.
-        node = np.zeros(1, dtype=np.int32)
-        for k in range(ORDER + 1):
-            contexts = kept[k]
-            if k:
-                wider = np.tile(node, a)
-                wider[contexts] = starts[k] + np.arange(len(contexts))
-            for lang in range(langs):
-                codes, n = counts[lang][k]
-                place = np.searchsorted(contexts, codes // a)
-                ok = place < len(contexts)
-                ok[ok] = contexts[place[ok]] == codes[ok] // a
-                seen = np.zeros((len(contexts), a), dtype=np.float64)
-                seen[place[ok], codes[ok] % a] = n[ok]
-                total, kinds = seen.sum(axis=1, keepdims=True), (seen > 0).sum(axis=1, keepdims=True)
-                if k:
-                    shorter = table[node[contexts % a ** (k - 1)], :, lang].astype(np.float64)
-                else:
-                    shorter = np.full((1, a), 8.0)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    hit = -np.log2(seen / (total + kinds))
-                    escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
-                table[starts[k] : starts[k + 1], :, lang] = np.where(seen > 0, hit, escape + shorter)
-            if k:
-                node = wider
-        self.node, self.table = node, table.reshape(-1, langs)
+        self.trees = [Tree(*runs[lang]) for lang in self.langs]
 
     def code_lengths(self, column: pa.Array) -> np.ndarray:
-        """Bits of every text under every language."""
+        """Bits of every text under every language.
+
+        Bytes are read in pieces of tokens.CHUNK, across texts and within long ones; the
+        distinct runs of a piece are looked up once per language.
+        """
         raw, bounds = tokens.buffers(column)
         out = np.zeros((len(bounds) - 1, len(self.langs)))
-        a = self.size
-        for first, last in tokens.chunks(bounds):
-            sizes = np.diff(bounds[first : last + 1])
-            docs = np.flatnonzero(sizes)
-            if not len(docs):
-                continue
-            symbols = self.symbol[raw[bounds[first] : bounds[last]]]
-            text = np.full(len(symbols) + ORDER * len(docs), self.symbol[32])
-            at = np.arange(len(symbols)) + np.repeat(ORDER * np.arange(1, len(docs) + 1), sizes[docs])
-            text[at] = symbols
-            context = (text[at - 3] * a + text[at - 2]) * a + text[at - 1]
-            bits = self.table[self.node[context].astype(np.int64) * a + symbols]
-            begin = np.cumsum(sizes[docs]) - sizes[docs]
-            out[first + docs] = np.add.reduceat(bits, begin, axis=0, dtype=np.float64)
+        for first in range(int(bounds[0]), int(bounds[-1]), tokens.CHUNK):
+            end = min(first + tokens.CHUNK, int(bounds[-1]))
+            found, where = np.unique(_runs(raw, bounds, first, end), return_inverse=True)
+            # Texts with bytes in the piece, and where in it each begins.
+            docs = np.arange(
+                np.searchsorted(bounds, first, side="right") - 1, np.searchsorted(bounds, end, side="left")
+            )
+            docs = docs[np.minimum(bounds[docs + 1], end) > np.maximum(bounds[docs], first)]
+            begin = np.maximum(bounds[docs], first) - first
+            for lang, tree in enumerate(self.trees):
+                out[docs, lang] += np.add.reduceat(tree.bits(found)[where], begin)
         return out
 
 
+def _runs(raw: np.ndarray, bounds: np.ndarray, first: int, end: int) -> np.ndarray:
+    """The run that every byte from ``first`` to ``end`` - 1 ends; spaces precede a text."""
+    out = raw[first:end].astype(np.uint32)
+    starts = bounds[np.searchsorted(bounds, first - ORDER, side="left") : np.searchsorted(bounds, end)]
+    for back in range(1, ORDER + 1):
+        before = np.full(end - first, 32, dtype=np.uint32)
+        if (have := max(first, back)) < end:
+            before[have - first :] = raw[have - back : end - back]
+        for step in range(back):
+            at = starts + step - first
+            before[at[(at >= 0) & (at < end - first)]] = 32
+        out |= before << np.uint32(8 * back)
+    return out
+
+
 def train(docs: DataFrame) -> Model | None:
     """A model of the languages of ``docs`` (text, lang); null without any labelled text.
 
     About SAMPLE_DOCS documents of each language are used, chosen by a hash, all
     of them if there are fewer. Their whole texts are counted by the executors;
-    the driver gets at most MOST_RUNS counts per language.
+    the driver gets the MOST_RUNS most frequent runs of each language, so a rare one keeps
+    its own. More than LANGUAGES languages are refused.
     """
     known = pick(docs, "doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
@@ -173,8 +174,9 @@ def train(docs: DataFrame) -> Model | None:
     chance = F.expr("shiftrightunsigned(xxhash64(doc_id, text), 11) / 9007199254740992D")
     sample = known.where(chance < share[F.col("lang")]).select("lang", F.lower("text").alias("text"))
     runs: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    counted = training_runs(sample).orderBy(F.desc("n"), "lang", "run").limit(MOST_RUNS * len(sizes))
-    rows = counted.toArrow()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "run"))
+    counted = training_runs(sample).withColumn("rank", rank).where(F.col("rank") <= MOST_RUNS)
+    rows = counted.drop("rank").toArrow()
     langs = np.array(rows.column("lang").to_pylist(), dtype=object)
     for lang in sorted(set(langs)):
         own = langs == lang
@@ -217,7 +219,12 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def identify(docs: DataFrame, folds: int = 3, held_out: int = 1) -> DataFrame:
-    """Predictions for all of ``docs`` by a model of those outside one fold of a hash of the id."""
+    """Predictions for all of ``docs`` by a model of those outside one fold of a hash of the id.
+
+    ``(doc_id, held_out, lang_pred, score)``, a row per row. A null id is of fold 0; rows
+    without text or language teach nothing; equal texts get equal predictions; an empty
+    table gives none. Very long texts are read piece by piece.
+    """
     labelled = pick(docs, "doc_id", "text", "lang")
     model = train(labelled.where(remainder(F.col("doc_id"), folds) != held_out))
     fold = (remainder(F.col("doc_id"), folds) == held_out).alias("held_out")

@@ -103,6 +103,52 @@ def test_code_length_is_that_of_the_context_tree():
         assert model.code_lengths(pa.array([text]))[0, 0] == pytest.approx(want, abs=1e-4)
 
 
+def test_pieces_change_no_code_length(monkeypatch):
+    rng = random.Random(7)
+    texts = ["".join(rng.choices("abc é中", k=rng.randrange(0, 60))) for _ in range(40)] + ["", None, "x" * 500]
+    raw = [("   " + (t or "")).encode() for t in texts]
+    runs = [int.from_bytes(r[i : i + 4], "big") for r in raw for i in range(len(r) - 3)]
+    model = language_id.Model({"x": np.unique(runs, return_counts=True), "y": (np.array([5]), np.array([9]))})
+    column = pa.array(["skipped", *texts])[1:]
+    whole = model.code_lengths(column)
+    alone = np.concatenate([model.code_lengths(pa.array([t], pa.string())) for t in texts])
+    assert np.allclose(whole, alone, atol=1e-3)
+    for size in (1, 2, 7, 64):
+        monkeypatch.setattr(language_id.tokens, "CHUNK", size)
+        assert np.allclose(whole, model.code_lengths(column), atol=1e-3)
+
+
+def test_rare_languages_keep_their_runs(spark, monkeypatch):
+    """One of forty languages has a few short texts, amid languages of thousands of runs."""
+    monkeypatch.setattr(language_id, "MOST_RUNS", 60)
+    rng = random.Random(9)
+    table, n = [], 0
+    for lang in range(40):
+        sounds = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzäöüßéèçñ中文日本кириллица", k=3)) for _ in range(6)]
+        for _ in range(2 if lang == 7 else 12):
+            text = " ".join(rng.choice(sounds) for _ in range(15 if lang == 7 else 60))
+            table.append((n, text, f"l{lang:02}", "s", 0))
+            n += 1
+    model = language_id.train(corpus.frame(spark, table))
+    assert len(model.langs) == 40
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(corpus.frame(spark, table), model).collect()}
+    assert sum(got[i] == lang for i, _, lang, *_ in table) >= 0.97 * n
+    assert all(got[i] == lang for i, _, lang, *_ in table if lang == "l07")
+
+
+def test_a_long_text_takes_little_memory():
+    import tracemalloc
+
+    runs = {f"l{i}": np.unique(np.random.default_rng(i).integers(0, 1 << 32, 2000), return_counts=True) for i in range(40)}
+    model = language_id.Model(runs)
+    column = pa.array(["the quick brown fox " * 400_000])
+    tracemalloc.start()
+    model.code_lengths(column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100_000_000
+
+
 def graded(n=400):
     rng = random.Random(4)
     docs, labels = [], []
