@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -16,7 +16,7 @@ class Shape(NamedTuple):
     rows: int
     distinct: int
     tasks: int
-    keys: int
+    keys: int = 1
 
     def collapses(self) -> bool:
         """Whether grouping equal rows is sure to be cheap.
@@ -28,25 +28,34 @@ class Shape(NamedTuple):
         return 4 * self.distinct * self.tasks <= self.rows
 
 
+def _marked(rows: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> tuple[DataFrame, list[Column]]:
+    """``rows`` with hashes of row and key and the task, and the aggregates that measure them."""
+    key = F.xxhash64(*keys) if keys else F.lit(0)
+    marked = rows.select(
+        "*", F.xxhash64(*columns).alias("_row"), F.spark_partition_id().alias("_task"), key.alias("_key")
+    )
+    return marked, [
+        F.count(F.lit(1)).alias("rows"),
+        F.approx_count_distinct("_row").alias("distinct"),
+        F.approx_count_distinct("_task").alias("tasks"),
+        F.approx_count_distinct("_key").alias("keys"),
+    ]
+
+
 def measure(rows: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> Shape:
     """Row count, and estimates of distinct rows, of scan tasks and of distinct keys.
 
     The estimates choose the plan only; no result depends on them.
     """
-    key = F.xxhash64(*keys) if keys else F.lit(0)
-    found = (
-        rows.select(
-            F.xxhash64(*columns).alias("row"), F.spark_partition_id().alias("task"), key.alias("key")
-        )
-        .agg(
-            F.count("*").alias("rows"),
-            F.approx_count_distinct("row").alias("distinct"),
-            F.approx_count_distinct("task").alias("tasks"),
-            F.approx_count_distinct("key").alias("keys"),
-        )
-        .first()
-    )
-    return Shape(found["rows"], found["distinct"], found["tasks"], found["keys"])
+    marked, counts = _marked(rows, columns, keys)
+    return Shape(**marked.agg(*counts).first().asDict())
+
+
+def measured_pass(rows: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, Observation]:
+    """``rows`` that are measured by the pass that reads them; the observation then has the shape."""
+    marked, counts = _marked(rows, columns, ())
+    seen = Observation()
+    return marked.observe(seen, *counts).select(rows.columns), seen
 
 
 def collapse_copies(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -57,7 +66,7 @@ def collapse_copies(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 class Stored:
     """The rows that every step of a training run reads.
 
-    With ``collapse`` auto the table is measured once. Equal rows are grouped
+    With ``collapse`` auto the table is measured, unless its ``shape`` is known. Equal rows are grouped
     if that is cheap, and a table that came in fewer tasks than the cluster
     has cores is spread over all of them; the result is kept in executor
     memory and disk, and a lost executor costs the recomputation of its part.
@@ -74,10 +83,13 @@ class Stored:
         collapse: str,
         persist: bool,
         keys: Sequence[str] = (),
+        shape: Shape | None = None,
     ):
         if collapse not in ("auto", "always", "never"):
             raise ValueError(f"collapse must be auto, always or never, not {collapse!r}")
-        self.shape = measure(rows, columns, keys) if collapse == "auto" else None
+        self.shape = shape
+        if shape is None and collapse == "auto":
+            self.shape = measure(rows, columns, keys)
         self.collapsed = collapse == "always"
         spread = False
         if self.shape is not None:

@@ -21,7 +21,7 @@ from logistra.operators.moments import (
 from logistra.operators.sums import CELLS, PART
 from logistra.operators.vectors import indexed_to_dense
 from logistra.plans.journal import Journal
-from logistra.plans.layout import Stored
+from logistra.plans.layout import Shape, Stored, measured_pass
 
 STEP = "i int, w double, singular boolean"
 
@@ -51,23 +51,43 @@ class _Pass:
         if self.strategy not in ("wide", "blas"):
             raise ValueError(f"unknown strategy {strategy!r}")
         self.rows = design(df, d) if self.strategy == "wide" else packed(df, d)
+        self.columns = [*([f"x{i}" for i in range(d)] if self.strategy == "wide" else ["phi"]), "t"]
         self.tree = False
         self.stored: Stored | None = None
+        # How the rows are to be stored once the first pass has measured them.
+        self.measuring: tuple[str, bool] | None = None
 
     def store(self, collapse: str, persist: bool) -> None:
-        features = [f"x{i}" for i in range(self.d)] if self.strategy == "wide" else ["phi"]
-        self.stored = Stored(self.rows, [*features, "t"], collapse, persist)
-        self.rows = self.stored.rows
-        shape = self.stored.shape
-        self.tree = not self.stored.collapsed and shape is not None and shape.tasks > TREE_TASKS
+        if collapse == "auto":
+            self.measuring = collapse, persist
+        else:
+            self._stored(Stored(self.rows, self.columns, collapse, persist))
+
+    def _stored(self, stored: Stored) -> None:
+        self.stored, self.rows = stored, stored.rows
+        shape = stored.shape
+        self.tree = not stored.collapsed and shape is not None and shape.tasks > TREE_TASKS
 
     def system(self, weights: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
-        """H and g at ``weights``: d^2 / 2 + d sums reach the driver, never rows."""
+        """H and g at ``weights``: d^2 / 2 + d sums reach the driver, never rows.
+
+        The first pass measures the rows that it reads; how later passes get them
+        follows from that.
+        """
+        if self.measuring is None:
+            return self._sums(self.rows, weights)
+        rows, seen = measured_pass(self.rows, self.columns)
+        out = self._sums(rows, weights)
+        self._stored(Stored(self.rows, self.columns, *self.measuring, shape=Shape(**seen.get)))
+        self.measuring = None
+        return out
+
+    def _sums(self, rows: DataFrame, weights: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
         if self.strategy == "wide":
-            row = cell_sums(self.rows, self.d, weights, self.cells, tree=self.tree).collect()[0]
+            row = cell_sums(rows, self.d, weights, self.cells, tree=self.tree).collect()[0]
             sums = [v or 0.0 for v in row]
         else:
-            arrays = matrix_arrays(self.rows, self.d, weights, self.cells, self.tree)
+            arrays = matrix_arrays(rows, self.d, weights, self.cells, self.tree)
             parts = sorted(arrays.collect(), key=lambda row: row[PART])
             sums = [v for row in parts for v in row[CELLS]] or [0.0] * len(self.cells)
         full = np.zeros((self.d, self.d + 1))

@@ -189,6 +189,25 @@ def test_collapse_is_chosen_by_shape(spark):
     assert not Shape(rows=1000, distinct=30, tasks=10).collapses()
 
 
+@pytest.mark.parametrize("d", [2, 9])
+def test_the_first_pass_measures(spark, monkeypatch, d):
+    """Six steps are six passes: no pass of its own finds out whether equal rows pay."""
+    from logistra.plans import layout
+
+    plain = [(row + [float(i % 3)] * (d - 2), t) for i, (row, t) in enumerate(SMALL * 50)]
+    rows = vectors(spark, plain, 4)
+    want = weights(newton.newton_train(rows, d, collapse="never", tolerance=1e-6))
+
+    def no_pass(*_):
+        raise AssertionError("a pass to measure")
+
+    monkeypatch.setattr(layout, "measure", no_pass)
+    chosen, collapse = [], layout.collapse_copies
+    monkeypatch.setattr(layout, "collapse_copies", lambda *a: chosen.append(1) or collapse(*a))
+    assert weights(newton.newton_train(rows, d, tolerance=1e-6)) == pytest.approx(want, rel=1e-9)
+    assert chosen == [1]
+
+
 def test_tree_sum(spark):
     rows = moments.design(vectors(spark, SMALL, 5), 2)
     cells = moments.hessian_cells(2) + moments.gradient_cells(2)
