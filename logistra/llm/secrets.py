@@ -191,10 +191,14 @@ def findings(text: str) -> str:
         f" WHEN {told_within} THEN regexp_extract(w[i], r'{ANNOUNCED}{value}', 1) ELSE '' END"
     )
     told = f"filter(array(trim(TRAILING ',;)' FROM {told})), c -> c <> '')"
-    # Text before the candidate in its own word belongs to what is around it.
-    candidate = (
-        f"transform(array_distinct(concat({runs}, {told})), c ->"
-        f" named_struct('word', i, 'candidate', c, 'features', {features('c', before, after, 'w[i]')}))"
+    # A run that holds an announced value, with its keyword say, is that value. Text before
+    # the candidate in its own word belongs to what is around it.
+    others = f"filter({runs}, c -> NOT exists(told, v -> contains(c, v)))"
+    candidate = let(
+        told,
+        "told",
+        f"transform(array_distinct(concat({others}, told)), c ->"
+        f" named_struct('word', i, 'candidate', c, 'features', {features('c', before, after, 'w[i]')}))",
     )
     return let(words, "w", f"flatten(transform({chosen}, i -> {candidate}))")
 
