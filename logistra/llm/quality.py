@@ -222,7 +222,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def good_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` with a score of at least THRESHOLD, with all their columns."""
+    """The rows of ``docs`` with a score of at least THRESHOLD, with all their columns.
+
+    Null and empty texts are scored as empty ones; equal texts stay or go together, repeated
+    rows each; a score of exactly THRESHOLD stays; an empty table gives none.
+    """
     lower = [c.lower() for c in docs.columns]
     place = docs.columns.index("text") if "text" in docs.columns else lower.index("text")
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
@@ -235,7 +239,12 @@ def good_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -> DataFrame:
-    """Scores of all of ``docs`` by a model of the labels outside one fold of a hash of the id."""
+    """Scores of all of ``docs`` by a model of the labels outside one fold of a hash of the id.
+
+    ``(doc_id, held_out, score, predicted)``, a row per row. A null id is of fold 0; null
+    and empty texts are scored as empty; equal texts get equal scores; a score of
+    exactly THRESHOLD is predicted 1; an empty table gives none.
+    """
     known = pick(labels, "doc_id", "quality").withColumnRenamed("quality", "label")
     model = train(docs, known.where(remainder(F.col("doc_id"), folds) != held_out))
     return score(docs, model).select(

@@ -133,7 +133,10 @@ def verdicts(pages: DataFrame, outcomes: DataFrame, rules=RULES) -> DataFrame:
     """``(page_id, host, path, rule, verdict, bad_share, low)`` for every row of ``pages``.
 
     The longest fitting rule decides; without one a page is blocked if its
-    host's lower bound is above LIMIT. Pages without a host have an empty one.
+    host's lower bound is above LIMIT, and allowed if it is exactly LIMIT. Pages without a
+    host, null urls among them, have an empty one, which is a host like others. Each row is
+    judged for itself, rows of one page_id too; a null page_id has no outcome. Equal
+    rows give equal rows; no outcomes leave all to the rules; an empty table gives none.
     """
     parts = with_host(pick(pages, "page_id", "url").selectExpr("page_id", "url"))
     rule, said = rule_of(rules)
