@@ -20,7 +20,11 @@ NEAR = ngram_join.Rule(k=5, num=80, den=100, spare=0.25)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that a classifier of the labelled ones does not reject."""
+    """Documents that a classifier of the labelled ones does not reject.
+
+    Null and empty texts are scored as empty; repeated rows stay or go together; an
+    empty table stays empty.
+    """
     labels = pick(table(spark, folder, "labels"), "doc_id", "quality")
     model = quality.train(docs, labels.withColumnRenamed("quality", "label"))
     return quality.good_documents(pick(docs, *COLUMNS), model)
@@ -35,12 +39,20 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, folder: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents in which no benchmark item is found."""
+    """Documents in which no benchmark item is found.
+
+    Null, empty and wordless texts stay; repeated rows stay or go together; an empty
+    benchmark keeps all.
+    """
     return decontaminate.without_leaks(pick(docs, *COLUMNS), table(spark, folder, "benchmark"))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """All documents, secrets masked in their texts."""
+    """All documents, secrets masked in their texts, n_chars of the new text.
+
+    Null, empty and blank texts stay as they are; repeated rows are masked alike; an
+    empty table stays empty.
+    """
     documents = pick(docs, *COLUMNS)
     return secrets.mask(documents, secrets.train(secrets.corpus_examples(documents)))
 
@@ -48,7 +60,9 @@ def secret_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame
 def mixing_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """The training sequence: a row for each pass of the mix over a document, by position.
 
-    ``taken`` is the number of words that the pass takes, ``position`` its time.
+    ``taken`` is the number of words that the pass takes, ``position`` its time. Null
+    and empty texts have no words and are never taken; repeated rows are documents each, and
+    ties are broken by id and text, so reruns agree; an empty table gives none.
     """
     return mixing.training_sequence(pick(docs, *COLUMNS))
 
