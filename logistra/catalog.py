@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logistra.operators import matrix, moments, scoring, validate, vectors
+from logistra.operators import exact, matrix, moments, scoring, tiles, validate, vectors
 from logistra.plans import features, keyed, newton
 from logistra.sources import model, text
 from logistra.storage import new_table_path
@@ -216,6 +216,21 @@ def vector_sum(spark: SparkSession, folder: str) -> DataFrame:
     return sums.select("label", "i", rounded("v").alias("v"))
 
 
+def exact_vector_sum(spark: SparkSession, folder: str) -> DataFrame:
+    sums = exact.exact_vector_sum(features.embeddings(spark, folder), "label")
+    return sums.select("label", "i", rounded("v").alias("v"))
+
+
+def exact_sum_cancelling(spark: SparkSession, folder: str) -> DataFrame:
+    """Prices beside the same prices times 1e25 and -1e25, which leave no digit to plain sums."""
+    prices = features.table(spark, folder, "lineitem").selectExpr(
+        "l_suppkey", "l_extendedprice AS p", "l_extendedprice * 1e25D AS much"
+    )
+    rows = prices.selectExpr("l_suppkey", "explode(array(array(much, p), array(p, -much), array(-much, much))) AS phi")
+    sums = exact.exact_vector_sum(rows, "l_suppkey")
+    return sums.select("l_suppkey", "i", rounded("v", 4).alias("v"))
+
+
 def sum_by_key(spark: SparkSession, folder: str) -> DataFrame:
     sums = vectors.sum_by_key(features.table(spark, folder, "events"), "event_type", "value")
     return sums.select("event_type", rounded("total", 4).alias("total"))
@@ -417,6 +432,29 @@ def inverse(d: int) -> Query:
     return query
 
 
+def supplier_tiles(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
+    """One matrix with a row and a column per supplier: diagonal plus rank one, rows reversed."""
+    supplier = features.table(spark, folder, "supplier")
+    d = supplier.count()
+    rows = supplier.selectExpr(
+        "s_suppkey AS i", "s_acctbal / 10000 AS u", f"explode(sequence(0, {d - 1})) AS j"
+    )
+    diagonal = "if(i = j, 1D + i % 7, 0D)"
+    cells = rows.selectExpr(f"CAST({d - 1} - i AS int) AS i", "j", f"{diagonal} + u * (((7 * j) % 11 - 5) / 11D) AS v")
+    return cells, d
+
+
+def determinant_tiled(spark: SparkSession, folder: str) -> DataFrame:
+    cells, d = supplier_tiles(spark, folder)
+    found = tiles.determinant(cells, d, size=64)
+    return found.select("sign", rounded("log_abs_det").alias("log_abs_det"))
+
+
+def inverse_tiled(spark: SparkSession, folder: str) -> DataFrame:
+    cells, d = supplier_tiles(spark, folder)
+    return tiles.inverse(cells, d, size=64).select("i", "j", rounded("v").alias("v"), "singular")
+
+
 def matvec(spark: SparkSession, folder: str) -> DataFrame:
     wanted = moments.hessian_cells(3) + moments.gradient_cells(3)
     both = moments.system_by(features.line(spark, folder), SUPPLIER, ZEROS, wanted)
@@ -448,9 +486,9 @@ def steps(trained: DataFrame) -> DataFrame:
     return trained.select(*others, rounded("w").alias("w"), "singular")
 
 
-def train(table: Callable, d: int, persist: bool = False) -> Query:
+def train(table: Callable, d: int, persist: bool = False, strategy: str = "auto") -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        return steps(newton.newton_train(table(spark, folder), d, persist=persist))
+        return steps(newton.newton_train(table(spark, folder), d, persist=persist, strategy=strategy))
 
     return query
 
@@ -554,6 +592,8 @@ QUERIES: dict[str, Query] = {
     "row_hessian_coo": row_hessian_coo,
     "row_hessian_dense": row_hessian_dense,
     "vector_sum": vector_sum,
+    "exact_vector_sum": exact_vector_sum,
+    "exact_sum_cancelling": exact_sum_cancelling,
     "sum_by_key": sum_by_key,
     "sum_by_key_int": sum_by_key_int,
     "gradient": gradient_of(features.line, WEIGHTS),
@@ -585,6 +625,8 @@ QUERIES: dict[str, Query] = {
     "adjugate_wide": adjugate(5),
     "inverse": inverse(3),
     "inverse_wide": inverse(5),
+    "determinant_tiled": determinant_tiled,
+    "inverse_tiled": inverse_tiled,
     "matvec": matvec,
     "vector_subtract": vector_subtract,
     "newton_step": newton_step,
@@ -595,6 +637,7 @@ QUERIES: dict[str, Query] = {
     "newton_train_orders": train(features.orders, 3),
     "newton_train_documents": train(features.documents, 3, persist=True),
     "newton_train_embeddings": train(features.embeddings, 64),
+    "newton_train_exact": train(features.line, 3, strategy="exact"),
     "newton_history": newton_history,
     "newton_resume": newton_resume,
     "newton_by_key": newton_by_key(features.line, 3),

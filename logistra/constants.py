@@ -43,3 +43,6 @@ PART_CELLS = 1024
 
 # Bytes of the systems or matrices that a task works on at a time.
 SLICE_BYTES = 16 * 1024 * 1024
+
+# Rows and columns of a tile of a large matrix: 512 KB of cells.
+TILE = 256

@@ -189,8 +189,8 @@ def newton_system(
     """``(i, j, v)``: the wanted cells of [H | g] at ``weights``.
 
     ``wide`` sums built-in expressions, ``blas`` multiplies Arrow batches,
-    ``long`` explodes every row into cells; ``auto`` picks one of the first
-    two by width.
+    ``long`` explodes every row into cells, ``exact`` adds without rounding, to
+    the same bits in any order; ``auto`` picks one of the first two by width.
     """
     weights = [float(w) for w in weights]
     if len(weights) != d:
@@ -203,6 +203,10 @@ def newton_system(
         return matrix_sums(packed(df, d), d, weights, cells)
     if strategy == "long":
         return _exploded_system(df, d, weights, cells)
+    if strategy == "exact":
+        from logistra.operators.exact import exact_system
+
+        return exact_system(df, d, weights, cells)
     raise ValueError(f"unknown strategy {strategy!r}")
 
 

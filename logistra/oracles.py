@@ -191,6 +191,13 @@ def diagonal(matrix: str, d: int) -> str:
     return " * ".join(f"({matrix})[{k}][{k}]" for k in range(1, d + 1))
 
 
+# One matrix D + u v', whose inverse and determinant are known, with its rows reversed.
+TILED = """
+WITH s AS (SELECT s_suppkey AS i, s_acctbal / 10000 AS u, 1.0::DOUBLE + s_suppkey % 7 AS d,
+                  ((7 * s_suppkey) % 11 - 5) / 11.0::DOUBLE AS v FROM supplier),
+     f AS (SELECT count(*) AS n, 1 + sum(u * v / d) AS c, sum(ln(d)) AS logs FROM s)"""
+
+
 def determinants(d: int) -> str:
     return f"""
 SELECT {SUPPLIER}, {rounded('det', 3)} AS det, sign(det)::DOUBLE AS sign,
@@ -423,6 +430,12 @@ FROM ({scored(LINE, WEIGHTS)})""",
     "vector_sum": f"""
 SELECT label, i::INT AS i, {rounded('sum(phi[i + 1])')} AS v
 FROM ({EMBEDDINGS}), range(64) AS r(i) GROUP BY label, i""",
+    "exact_vector_sum": f"""
+SELECT label, i::INT AS i, {rounded('sum(phi[i + 1])')} AS v
+FROM ({EMBEDDINGS}), range(64) AS r(i) GROUP BY label, i""",
+    "exact_sum_cancelling": f"""
+SELECT l_suppkey, i::INT AS i, {rounded('sum(l_extendedprice)', 4)} AS v
+FROM lineitem, range(2) AS r(i) GROUP BY l_suppkey, i""",
     "sum_by_key": f"""
 SELECT event_type, {rounded('sum(value)', 4)} AS total FROM events GROUP BY event_type""",
     "sum_by_key_int": """
@@ -461,6 +474,15 @@ FROM ({EMBEDDINGS}), range(64) AS r(i)""",
     "inverse_wide": supplier_cells(
         5, reduced(with_identity(5), 5), "x[i + 1][j + 6]", ", FALSE AS singular"
     ),
+    "determinant_tiled": f"""{TILED}
+SELECT (sign(c) * CASE WHEN n * (n - 1) // 2 % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS sign,
+       {rounded('logs + ln(abs(c))')} AS log_abs_det
+FROM f""",
+    "inverse_tiled": f"""{TILED}
+SELECT a.i::INT AS i, (n - 1 - b.i)::INT AS j,
+       {rounded('CASE WHEN a.i = b.i THEN 1 / a.d ELSE 0 END - a.u * b.v / (a.d * b.d) / c')} AS v,
+       FALSE AS singular
+FROM s a, s b, f""",
     "matvec": f"""
 SELECT {SUPPLIER}, i::INT AS i, {rounded('x[i + 1][4]')} AS v
 FROM (SELECT {SUPPLIER}, {reduced('m', 3)} AS x FROM ({supplier_matrices(3)})),
@@ -470,6 +492,7 @@ SELECT {SUPPLIER}, i::INT AS i, {rounded('a.v - b.v')} AS v
 FROM ({supplier_gradient(ZEROS)}) a JOIN ({supplier_gradient(WEIGHTS)}) b USING ({SUPPLIER}, i)""",
     "newton_step": step(),
     "newton_train": trained(LINE, 3),
+    "newton_train_exact": trained(LINE, 3),
     "newton_train_wide": trained(LINE_WIDE, 5),
     "newton_train_products": trained(LINE_PRODUCTS, 10),
     "newton_train_events": trained(EVENTS, 3),

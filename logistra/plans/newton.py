@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from logistra.constants import ITERATIONS, PIVOT_TOLERANCE, TREE_TASKS
 from logistra.functions import dense
+from logistra.operators.exact import exact_system
 from logistra.operators.moments import (
     cell_sums,
     design,
@@ -48,7 +49,7 @@ class _Pass:
         self.d = d
         self.cells = hessian_cells(d) + gradient_cells(d)
         self.strategy = strategy_for(d) if strategy == "auto" else strategy
-        if self.strategy not in ("wide", "blas"):
+        if self.strategy not in ("wide", "blas", "exact"):
             raise ValueError(f"unknown strategy {strategy!r}")
         self.rows = design(df, d) if self.strategy == "wide" else packed(df, d)
         self.columns = [*([f"x{i}" for i in range(d)] if self.strategy == "wide" else ["phi"]), "t"]
@@ -58,6 +59,10 @@ class _Pass:
         self.measuring: tuple[str, bool] | None = None
 
     def store(self, collapse: str, persist: bool) -> None:
+        if collapse == "auto" and self.strategy == "exact":
+            # What is measured depends on how the rows are dealt, and a count times a
+            # term is rounded where equal terms are not.
+            collapse = "never"
         if collapse == "auto":
             self.measuring = collapse, persist
         else:
@@ -86,6 +91,10 @@ class _Pass:
         if self.strategy == "wide":
             row = cell_sums(rows, self.d, weights, self.cells, tree=self.tree).collect()[0]
             sums = [v or 0.0 for v in row]
+        elif self.strategy == "exact":
+            found = exact_system(rows, self.d, weights, self.cells, self.tree).collect()
+            known = {(row["i"], row["j"]): row["v"] for row in found}
+            sums = [known.get(cell, 0.0) for cell in self.cells]
         else:
             arrays = matrix_arrays(rows, self.d, weights, self.cells, self.tree)
             parts = sorted(arrays.collect(), key=lambda row: row[PART])
@@ -145,6 +154,8 @@ def newton_train(
     once; ``persist`` keeps the rows between the steps, which pays off for
     costlier sources such as text or joins. ``journal`` is a folder that keeps every finished
     step: a run that broke off goes on behind its last one, over the same rows.
+    With the ``strategy`` exact the weights are the same to the last bit however the
+    rows are dealt; equal rows are then grouped only if ``collapse`` is always.
     """
     spark = df.sparkSession
     weights = np.zeros(d) if init is None else np.array(model_weights(init))
