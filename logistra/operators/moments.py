@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logistra.constants import GRADIENT_BINS, SLICE_BYTES, TREE_BINS, WIDE_LIMIT
+from logistra.constants import GRADIENT_BINS, RUNNING_BYTES, SLICE_BYTES, TREE_BINS, WIDE_LIMIT
 from logistra.functions import logistic
 from logistra.operators.scoring import row_gradient, row_hessian_coo
 from logistra.operators.sums import Out, array_sums, groups
@@ -287,8 +287,6 @@ def keyed_arrays(
     per key. A task adds up its batches and sends one array per key. Guards as in
     ``system_of``.
     """
-    at_i, at_j = np.array(cells, dtype=np.int32).reshape(-1, 2).T
-    wants_hessian = bool((at_j < d).any())
     # Runs whose systems are in memory at a time.
     step = max(1, SLICE_BYTES // (8 * d * (d + 1)))
 
@@ -300,39 +298,43 @@ def keyed_arrays(
         for a in range(0, len(starts), step):
             b = min(a + step, len(starts))
             run = slice(ends[a], ends[b])
-            sums = _segment_systems(x[run], t[run], n[run], margin[run], starts[a:b] - ends[a], wants_hessian)
-            sums = sums[:, at_i, at_j]
+            sums = _segment_cells(x[run], t[run], n[run], margin[run], starts[a:b] - ends[a], cells)
             yield found[a:b], sums, np.ones(sums.shape, dtype=bool), np.full(b - a, len(cells))
 
-    return array_sums(rows, keys, cells=systems, out=out)
+    return array_sums(rows, keys, cells=systems, out=out, gather=RUNNING_BYTES // 2)
 
 
-def _segment_systems(x, t, n, margin, starts, wants_hessian: bool) -> np.ndarray:
-    """[H | g] of each run of rows, shape (runs, d, d + 1)."""
+def _segment_cells(x, t, n, margin, starts, cells: Sequence[Cell]) -> np.ndarray:
+    """The cells of [H | g] of each run of rows, shape (runs, cells)."""
     d, runs = x.shape[1], len(starts)
     if runs <= d:
+        at_i, at_j = np.array(cells, dtype=np.int32).reshape(-1, 2).T
+        wants_hessian = bool((at_j < d).any())
         edges = [*starts, len(x)]
         return np.stack(
             [
-                system_of(x[a:b], t[a:b], n[a:b], margin[a:b], wants_hessian)
+                system_of(x[a:b], t[a:b], n[a:b], margin[a:b], wants_hessian)[at_i, at_j]
                 for a, b in zip(edges[:-1], edges[1:], strict=True)
             ]
         )
-    out = np.zeros((runs, d, d + 1))
+    out = np.empty((len(cells), runs))
+    run = np.repeat(np.arange(runs), np.diff(starts, append=len(x)))
+    x = np.ascontiguousarray(x.T)
     with np.errstate(over="ignore", invalid="ignore"):
         p = 1.0 / (1.0 + np.exp(-margin))
         resid, curv = p - t, p * (1.0 - p) * n
-        known = ~np.isnan(resid)
-        terms = np.where(known[:, None], x, 0.0) * np.where(known, resid * n, 0.0)[:, None]
-        out[:, :, d] = np.add.reduceat(terms, starts, axis=0)
-        if wants_hessian:
-            finite = np.isfinite(x).all(axis=1) & np.isfinite(curv)
-            xh, c = np.where(finite[:, None], x, 0.0), np.where(finite, curv, 0.0)
-            for i in range(d):
-                terms = xh[:, i:] * (xh[:, i] * c)[:, None]
-                out[:, i, i:d] = np.add.reduceat(terms, starts, axis=0)
-                out[:, i:, i] = out[:, i, i:d]
-    return out
+        known, finite = ~np.isnan(resid), np.isfinite(x).all(axis=0) & np.isfinite(curv)
+        xg, xh = (x if kept.all() else np.where(kept, x, 0.0) for kept in (known, finite))
+        resid, curv = np.where(known, resid * n, 0.0), np.where(finite, curv, 0.0)
+        left = None
+        for at, (i, j) in enumerate(cells):
+            if j == d:
+                terms = xg[i] * resid
+            else:
+                left, scaled = (left, scaled) if left == i else (i, xh[i] * curv)
+                terms = scaled * xh[j]
+            out[at] = np.bincount(run, weights=terms, minlength=runs)
+    return np.ascontiguousarray(out.T)
 
 
 def gradient_by(df: DataFrame, key: str | Sequence[str], weights: Sequence[float]) -> DataFrame:

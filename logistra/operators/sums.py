@@ -36,6 +36,8 @@ from logistra.functions.logistic import name
 # Columns of the partial sums beside the keys.
 CELLS, PART, BIN = "_cells", "_part", "_bin"
 ARRAY = ArrayType(DoubleType())
+# A cell of a running sum and whether it is known.
+CELL_BYTES = 9
 
 
 class Running:
@@ -71,7 +73,7 @@ class Running:
         self.sizes = np.concatenate([self.sizes, np.zeros(shape[0] - have[0], dtype=np.int64)])
 
     def full(self) -> bool:
-        return self.sums.size * 9 > self.budget
+        return self.sums.size * CELL_BYTES > self.budget
 
     def take(self, keep: tuple | None = None) -> tuple[list[tuple], tuple[np.ndarray, ...]]:
         """Keys and (sums, known, sizes), which are then gone; the key ``keep`` stays."""
@@ -119,6 +121,13 @@ class Out:
 
 def groups(batch: pa.RecordBatch, keys: Sequence[str]) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
     """Rows ordered by key, where each key's run starts, and the keys; nulls are equal."""
+    if len(keys) == 1:
+        # The codes of one column are its groups already, in the order of their first rows.
+        coded = batch.column(keys[0]).dictionary_encode()
+        found = coded.dictionary.to_pylist() + [None] * bool(coded.null_count)
+        group = coded.indices.fill_null(len(coded.dictionary)).to_numpy(zero_copy_only=False)
+        order = np.argsort(group, kind="stable")
+        return order, np.searchsorted(group[order], np.arange(len(found))), [(key,) for key in found]
     group = np.zeros(batch.num_rows, dtype=np.int64)
     first = np.zeros(1, dtype=np.int64)
     for key in keys:
@@ -165,6 +174,7 @@ def array_sums(
     cells: Callable[[pa.RecordBatch], Iterator[tuple]] | None = None,
     out: Out | None = None,
     budget: int = RUNNING_BYTES,
+    gather: int = 0,
 ) -> DataFrame:
     """``(*keys, PART, CELLS)``: the sum of the arrays in ``column`` of each key, cell by cell.
 
@@ -172,13 +182,14 @@ def array_sums(
     everywhere is null; the longest array gives the length. ``cells`` replaces
     ``column``: from a batch of ``rows`` it yields keys, their sums, which cells
     are known, and lengths. ``tree`` adds a level of TREE_BINS sums per key. With
-    ``out`` a row per cell is returned instead.
+    ``out`` a row per cell is returned instead. Batches are put together up to ``gather``
+    bytes first, so that a key comes up once for several of its rows.
     """
     schema = StructType(
         [*[rows.schema[key] for key in keys], StructField(PART, IntegerType()), StructField(CELLS, ARRAY)]
     )
     source = cells or (lambda batch: _arrays(batch, keys, column))
-    sums = rows.mapInArrow(_partial_sums(keys, source, budget), schema)
+    sums = rows.mapInArrow(_partial_sums(keys, source, budget, gather), schema)
     if tree:
         salted = sums.withColumn(BIN, F.spark_partition_id() % TREE_BINS)
         sums = _merged(salted, [*keys, PART, BIN], schema, budget)
@@ -193,12 +204,24 @@ def whole_arrays(sums: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
     return parts.withColumn(CELLS, F.flatten(F.transform(CELLS, lambda part: part[CELLS])))
 
 
-def _partial_sums(keys: Sequence[str], source, budget: int):
+def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches with rows, put together until they have ``size`` bytes."""
+    held, held_bytes = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            held_bytes += batch.nbytes
+        if held and held_bytes >= size:
+            yield held[0] if len(held) == 1 else pa.concat_batches(held)
+            held, held_bytes = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _partial_sums(keys: Sequence[str], source, budget: int, gather: int = 0):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         running, types = Running(budget), None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in gathered(batches, gather):
             types = types or [batch.schema.field(key).type for key in keys]
             for part in source(batch):
                 running.add(*part)

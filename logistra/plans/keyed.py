@@ -26,6 +26,7 @@ from logistra.constants import (
     ITERATIONS,
     PIVOT_TOLERANCE,
     ROWS_PER_SALT,
+    RUNNING_BYTES,
 )
 from logistra.functions import dense
 from logistra.functions.logistic import linear, name, number
@@ -39,7 +40,7 @@ from logistra.operators.moments import (
     packed,
     strategy_for,
 )
-from logistra.operators.sums import CELLS, whole_arrays
+from logistra.operators.sums import CELL_BYTES, CELLS, whole_arrays
 from logistra.operators.validate import checked
 from logistra.operators.vectors import key_list
 from logistra.plans.journal import Journal, digest
@@ -223,12 +224,17 @@ class _Rows:
         return self.stored.shape
 
     def _sums_outgrow_rows(self, keys: int) -> bool:
-        """Whether one step's partial sums may hold more numbers than all rows."""
+        """Whether one step's partial sums may hold more numbers than all rows.
+
+        A task that reads more keys than its running sums hold sends them again and again.
+        """
         if self.laid_out:
             return False
-        shape = self._shape()
+        shape, cells = self._shape(), self.d * (self.d + 3) // 2
         partial = min(shape.rows, keys * shape.tasks)
-        return partial * (self.d * (self.d + 3) // 2 + self.d) > shape.rows * (self.d + 2)
+        if strategy_for(self.d) != "wide" and shape.pairs * cells * CELL_BYTES > RUNNING_BYTES * max(1, shape.tasks):
+            partial = shape.rows
+        return partial * (cells + self.d) > shape.rows * (self.d + 2)
 
     def _with_state(self, state: DataFrame) -> DataFrame:
         """Rows with the weights of their key; a key without weights has zeros."""

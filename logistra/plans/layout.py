@@ -17,6 +17,8 @@ class Shape(NamedTuple):
     distinct: int
     tasks: int
     keys: int = 1
+    # Keys of each task, added up.
+    pairs: int = 1
 
     def collapses(self) -> bool:
         """Whether grouping equal rows is sure to be cheap.
@@ -39,11 +41,12 @@ def _marked(rows: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> tup
         F.approx_count_distinct("_row").alias("distinct"),
         F.approx_count_distinct("_task").alias("tasks"),
         F.approx_count_distinct("_key").alias("keys"),
+        F.approx_count_distinct(F.xxhash64("_key", "_task")).alias("pairs"),
     ]
 
 
 def measure(rows: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> Shape:
-    """Row count, and estimates of distinct rows, of scan tasks and of distinct keys.
+    """Row count, and estimates of distinct rows, of scan tasks, of distinct keys and of those of each task.
 
     The estimates choose the plan only; no result depends on them.
     """

@@ -184,3 +184,16 @@ def test_many_keys_are_laid_out_once(spark):
     above = plan[: plan.index("InMemoryTableScan")]
     assert "Exchange hashpartitioning" not in above
     data.close()
+
+
+def test_rows_are_laid_out_where_a_task_reads_more_keys_than_its_sums_hold(spark, monkeypatch):
+    # 40 keys in each of two tasks, 65 cells of 9 bytes: 23,400 bytes a task.
+    rows = spark.range(0, 4000, 1, 2).selectExpr(
+        "id % 40 AS k", "transform(sequence(0, 9), i -> double(id % (i + 2))) AS phi", "double(id % 2) AS t"
+    )
+    for budget, laid_out in ((10_000, True), (1 << 20, False)):
+        monkeypatch.setattr(keyed, "RUNNING_BYTES", budget)
+        data = keyed._Rows(rows, ["k"], 10, "auto", False, 1 << 28, 1 << 20)
+        assert data.stacked_systems(None).count() == 40
+        assert data.laid_out == laid_out
+        data.close()

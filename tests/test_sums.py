@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from helpers import numpy_newton
@@ -149,3 +150,18 @@ def test_small_budgets_and_parts_change_no_system(spark, monkeypatch):
     whole = {(r.i, r.j): r.h for r in moments.hessian(frame, w).collect()}
     for i, j in whole:
         assert whole[i, j] == pytest.approx(sum(want[k, i, j] for k in range(7)), rel=1e-9, abs=1e-9)
+
+
+def test_batches_are_put_together_before_they_are_grouped():
+    batches = [pa.RecordBatch.from_pydict({"k": [1, None, 2], "v": [[1.0], [2.0], [4.0]]}) for _ in range(5)]
+    seen = []
+
+    def source(batch):
+        seen.append(batch.num_rows)
+        yield from sums._arrays(batch, ["k"], "v")
+
+    for gather, calls in ((10**6, [15]), (2 * batches[0].nbytes, [6, 6, 3]), (0, [3] * 5)):
+        seen.clear()
+        (out,) = sums._partial_sums(["k"], source, 10**6, gather)(iter(batches))
+        assert seen == calls
+        assert dict(zip(out["k"].to_pylist(), out["_cells"].to_pylist())) == {1: [5.0], None: [10.0], 2: [20.0]}
