@@ -6,60 +6,55 @@ over all. The background counts are scaled to the target's number of words, so
 that both models are smoothed alike. A document's score is the mean over its
 words of target loss minus background loss: negative for texts like the target.
 
-The models are tables that grow with the corpus. Frequent bigrams, which would
-be hot keys, are looked up in the tasks; all others are joined.
+Documents are stored in blocks, as numbers of the block's words. A block sends its
+words and bigrams, once each, to the buckets of the words before; a bucket sums
+them over all blocks and answers every block in the order in which it was asked.
+So a bigram is shuffled once for a block that has it, and comes back as two
+numbers. The bigrams of a frequent word are dealt over several buckets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logistra.llm import tokens
 from logistra.llm.frames import pick
-from logistra.storage import drop_table, stored
+from logistra.llm.packed import joined, lengths, packed, plain, unpack
+from logistra.storage import stored
 
 # Words of the shared vocabulary, if it is to be bounded: the most frequent ones,
 # all others are one word. None: every word of the corpus.
 VOCABULARY: int | None = None
-# Words whose counts a task holds before it sends them on.
+# Words, and documents, of a block, or of the last text of it if that is longer.
 HELD_WORDS = 1 << 21
 # Most ids of the target that are broadcast: 8 bytes each.
 BROADCAST_ROWS = 1_000_000
-# A bigram, or word, that is at least this part of all is sent to every task, which
-# bounds their number; the others are joined. The choice changes no result.
-HOT_PAIRS, HOT_WORDS = 1 << 20, 1 << 18
-
-
-def _sums(parts: list[tuple[np.ndarray, ...]], same: int = 1) -> tuple[np.ndarray, ...]:
-    """Distinct first entries of (value, ..., count, ...) parts and the sums of the counts.
-
-    The first ``same`` columns are equal where the first is.
-    """
-    columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-    _, at, where = np.unique(columns[0], return_index=True, return_inverse=True)
-    return *(c[at] for c in columns[:same]), *(
-        np.bincount(where, weights=c, minlength=len(at)).astype(np.int64) for c in columns[same:]
-    )
-
-
-def _held(
-    parts: Iterator[tuple[np.ndarray, ...]], names: list[str], same: int = 1
-) -> Iterator[pa.RecordBatch]:
-    """Sums of the parts of a task, sent on when HELD_WORDS values are held."""
-    held: list[tuple[np.ndarray, ...]] = []
-    for part in parts:
-        held.append(part)
-        if sum(len(p[0]) for p in held) >= HELD_WORDS:
-            held = [_sums(held, same)]
-            if len(held[0][0]) >= HELD_WORDS // 2:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in held.pop()], names=names)
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in _sums(held, same)], names=names)
+# Words of the corpus for each bucket, where the shuffle has not more partitions.
+BUCKET_WORDS = 1 << 21
+# A word that is at least this part of a block is reported by it, and as many of the most
+# frequent ones are known to all tasks, which name them by number. The bigrams after such a
+# word are dealt over a bucket for each HOT_PAIRS of them. The choice changes no result.
+HOT_WORDS, HOT_PAIRS = 1 << 13, 1 << 18
+
+# Columns of a block's row; all but the ids are packed.
+BLOCK = ["block", "ids", "sizes", "chosen", "words", "at"]
+# What a block sends to a bucket: words, bigrams that each begins, counts of each as a second
+# word, the second words of the bigrams (numbers of known words from 1; of others 0, and their
+# hashes), and the bigrams' counts; in all and in the target.
+ASKED = ["bucket", "block", "words", "followers", "single", "target_single", "seconds", "others", "n", "target_n"]
+# What it gets back: the different second words of the bucket; of each word the bigrams it
+# begins, their kinds in the target, and in the background as the words of those of expected
+# count below 1 and the number of the others, and its counts as a second word, over all
+# blocks; and the bigrams' counts in the other blocks.
+WORD_FACTS = ["total", "target_total", "target_kinds", "rare", "kinds", "single", "target_single"]
+ANSWERED = ["block", "bucket", "distinct", *WORD_FACTS, "n", "target_n"]
 
 
 def vocabulary(texts: DataFrame) -> np.ndarray | None:
@@ -69,30 +64,69 @@ def vocabulary(texts: DataFrame) -> np.ndarray | None:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = tokens.byte_table()
-        found = (
-            np.unique(w.hashes.view(np.int64), return_counts=True)
-            for batch in batches
-            for w in tokens.words(batch.column("text"), table)
-        )
-        yield from _held(found, ["word", "n"])
+        for batch in batches:
+            for w in tokens.words(batch.column("text"), table):
+                found = np.unique(w.hashes.view(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["word", "n"])
 
     counted = texts.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
     return np.sort(np.array([r.word for r in top], dtype=np.int64))
 
 
-def bigrams(w: tokens.Words, vocab: np.ndarray | None) -> tuple[np.ndarray, ...]:
-    """Of each word: hash of the bigram it ends, the word before and the word; 0 is before a first word.
+def blocks(texts: DataFrame, vocab: np.ndarray | None) -> DataFrame:
+    """``texts`` (doc_id, text, is_target) in blocks: a row of BLOCK, and its frequent words, for each.
 
-    Words that are not in ``vocab``, where there is one, are 0.
+    Words are hashes, the most frequent first; those that are not in ``vocab``,
+    where there is one, are 0.
     """
-    words = w.hashes.view(np.int64)
-    if vocab is not None:
-        words = np.where(np.isin(words, vocab), words, 0)
-    before = np.append(0, words[:-1])[: len(words)]
-    first = w.offsets[:-1]
-    before[first[first < len(before)]] = 0
-    return pair_codes(before, words), before, words
+
+    def block(number: int, held: list[tuple]) -> pa.RecordBatch:
+        ids = pa.concat_arrays([part[0] for part in held])
+        sizes, chosen, hashes = (np.concatenate(c) for c in list(zip(*held, strict=True))[1:])
+        words, where, n = np.unique(hashes, return_inverse=True, return_counts=True)
+        order = np.argsort(-n, kind="stable")
+        rank = np.empty(len(words), dtype=np.int64)
+        rank[order] = np.arange(len(words))
+        frequent = order[n[order] * HOT_WORDS >= len(hashes)]
+        known = [
+            packed(sizes, np.array([0, len(sizes)])),
+            packed(chosen, np.array([0, len(chosen)])),
+            plain(words[order], np.array([0, len(words)])),
+            packed(rank[where], np.array([0, len(hashes)])),
+        ]
+        lists = [pa.array(c) for c in (words[frequent], n[frequent])]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([number]), pa.ListArray.from_arrays([0, len(ids)], ids), *known]
+            + [pa.array([len(hashes)]), pa.array([int(np.dot(sizes, chosen))])]
+            + [pa.ListArray.from_arrays([0, len(c)], c) for c in lists],
+            names=[*BLOCK, "size", "target_size", "frequent", "times"],
+        )
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = tokens.byte_table()
+        number = TaskContext.get().partitionId() << 32
+        held: list[tuple] = []
+        size = 0
+        for batch in batches:
+            chosen = batch.column("is_target").to_numpy(zero_copy_only=False).astype(np.int64)
+            for w in tokens.words(batch.column("text"), table):
+                sizes, hashes = np.diff(w.offsets), w.hashes.view(np.int64)
+                if vocab is not None:
+                    hashes = np.where(np.isin(hashes, vocab), hashes, 0)
+                ids = batch.column("doc_id").slice(w.first, len(sizes))
+                held.append((ids, sizes, chosen[w.first : w.first + len(sizes)], hashes))
+                size += len(sizes) + len(hashes)
+                if size >= HELD_WORDS:
+                    yield block(number, held)
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield block(number, held)
+
+    id_type = texts.schema["doc_id"].dataType.simpleString()
+    schema = f"block long, ids array<{id_type}>, " + ", ".join(f"{c} binary" for c in BLOCK[2:])
+    schema += ", size long, target_size long, frequent array<long>, times array<long>"
+    return texts.mapInArrow(split, schema)
 
 
 def pair_codes(before: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -101,77 +135,189 @@ def pair_codes(before: np.ndarray, words: np.ndarray) -> np.ndarray:
     return tokens.mix(mixed + words.view(np.uint64)).view(np.int64)
 
 
-def bigram_counts(texts: DataFrame, vocab: np.ndarray | None) -> DataFrame:
-    """``(before, word, n, target_n)``: bigrams of all ``texts`` (text, is_target) and of the target's."""
-    names = ["code", "before", "word", "n", "target_n"]
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _held(_bigrams(batches, vocab), names, same=3):
-            yield batch.select(names[1:])
-
-    # Hashes do not compress, so the code is not shuffled with the words that it follows from.
-    counted = texts.mapInArrow(count, ", ".join(f"{c} long" for c in names[1:]))
-    return counted.groupBy("before", "word").agg(*(F.sum(c).alias(c) for c in names[3:]))
-
-
-def _bigrams(batches: Iterator[pa.RecordBatch], vocab: np.ndarray | None):
-    table = tokens.byte_table()
-    for batch in batches:
-        chosen = batch.column("is_target").to_numpy(zero_copy_only=False)
-        for w in tokens.words(batch.column("text"), table):
-            found = bigrams(w, vocab)
-            sizes = np.diff(w.offsets)
-            mine = np.repeat(chosen[w.first : w.first + len(sizes)], sizes).astype(np.int64)
-            yield _sums([(*found, np.ones(len(mine), dtype=np.int64), mine)], same=3)
-
-
-def _with(rows: DataFrame, facts: DataFrame, key: str, least: float) -> DataFrame:
-    """``rows`` joined to ``facts`` of every ``key``; facts of size ``least`` or more are broadcast."""
-    hot = F.broadcast(facts.where(F.col("size") >= least).drop("size"))
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
-    cold = facts.where(F.col("size") < least).drop("size")
-    return rows.join(hot, key).unionByName(rest.join(cold, key))
-
+class Dealing(NamedTuple):
+    """How bigrams are dealt to buckets."""
+
+    buckets: int
+    known: np.ndarray  # frequent words, ascending
+    numbers: np.ndarray  # of each, by frequency, from 1
+    parts: np.ndarray  # buckets over which the bigrams after each are dealt
+
+    def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and parts of ``words``; 0 and 1 of those that are not known."""
+        if not len(self.known):
+            return np.zeros(len(words), dtype=np.int64), np.ones(len(words), dtype=np.int64)
+        place = np.minimum(np.searchsorted(self.known, words), len(self.known) - 1)
+        found = self.known[place] == words
+        return np.where(found, self.numbers[place], 0), np.where(found, self.parts[place], 1)
+
+
+class Bigrams(NamedTuple):
+    """The bigrams of a block by bucket and word before; words are places in ``words``."""
+
+    sizes: np.ndarray  # words of each document
+    words: np.ndarray  # hashes; 0, the word before a first one, is among them
+    numbers: np.ndarray  # of the words, 0 if not known
+    single: np.ndarray  # counts as a second word
+    target_single: np.ndarray
+    at: np.ndarray  # for each word of the texts, the place of the bigram that it ends
+    entries: np.ndarray  # words before, once for every bucket
+    first: np.ndarray  # whether this is the bucket that counts the word itself
+    followers: np.ndarray  # bigrams of each entry
+    entry_cuts: np.ndarray  # entries of each bucket
+    seconds: np.ndarray
+    n: np.ndarray
+    target_n: np.ndarray
+    cuts: np.ndarray  # bigrams of each bucket
+
+
+def _bigrams(block: dict, dealing: Dealing) -> Bigrams:
+    sizes, chosen, second = (unpack(block[c]) for c in ("sizes", "chosen", "at"))
+    words = np.frombuffer(block["words"], dtype=np.int64)
+    if not (words == 0).any():
+        words = np.append(words, 0)
+    many = len(words)
+    mine = np.repeat(chosen, sizes)
+    single, target_single = np.bincount(second, minlength=many), np.bincount(second[mine > 0], minlength=many)
+    before = np.append(0, second[:-1])[: len(second)]
+    starts = np.cumsum(sizes) - sizes
+    before[starts[sizes > 0]] = np.flatnonzero(words == 0)[0]
+
+    codes, where, n = np.unique(before * many + second, return_inverse=True, return_counts=True)
+    target_n = np.bincount(where[mine > 0], minlength=len(codes))
+    before, second = codes // many, codes % many
+    numbers, parts = dealing.of(words)
+    mixed = tokens.mix(words.view(np.uint64) + np.uint64(2))
+    home = (mixed % np.uint64(dealing.buckets)).astype(np.int64)
+    part = (mixed[second] >> np.uint64(20)) % parts[before].astype(np.uint64)
+    bucket = (home[before] + part.astype(np.int64)) % dealing.buckets
+    order = np.argsort(bucket, kind="stable")
+    back = np.empty(len(order), dtype=np.int64)
+    back[order] = np.arange(len(order))
+
+    entries = np.repeat(np.arange(many), parts)
+    part = np.arange(len(entries)) - np.repeat(np.cumsum(parts) - parts, parts)
+    entry_bucket = (home[entries] + part) % dealing.buckets
+    by = np.argsort(entry_bucket, kind="stable")
+    entries, part, entry_bucket = entries[by], part[by], entry_bucket[by]
+    bucket, before = bucket[order], before[order]
+    bounds = np.searchsorted(bucket * many + before, entry_bucket * many + entries)
+    every = np.arange(dealing.buckets + 1)
+    return Bigrams(
+        sizes, words, numbers, single, target_single, back[where], entries, part == 0,
+        np.diff(bounds, append=len(before)), np.searchsorted(entry_bucket, every),
+        second[order], n[order], target_n[order], np.searchsorted(bucket, every),
+    )
+
+
+def _ask(dealing: Dealing) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of ASKED of each block with words, one for every bucket."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                b = _bigrams(block, dealing)
+                if len(b.at):
+                    seconds = b.numbers[b.seconds]
+                    others = np.append(0, np.cumsum(seconds == 0))[b.cuts]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.arange(dealing.buckets)),
+                            pa.array(np.full(dealing.buckets, block["block"])),
+                            plain(b.words[b.entries], b.entry_cuts),
+                            packed(b.followers, b.entry_cuts),
+                            packed(np.where(b.first, b.single[b.entries], 0), b.entry_cuts),
+                            packed(np.where(b.first, b.target_single[b.entries], 0), b.entry_cuts),
+                            packed(seconds, b.cuts),
+                            plain(b.words[b.seconds[seconds == 0]], others),
+                            packed(b.n, b.cuts),
+                            packed(b.target_n, b.cuts),
+                        ],
+                        names=ASKED,
+                    )
+
+    return ask
+
+
+def _sums(where: np.ndarray, values: np.ndarray, many: int) -> np.ndarray:
+    return np.bincount(where, weights=values, minlength=many).astype(np.int64)
+
+
+def _answer(dealing: Dealing, scale: float) -> Callable[[pa.Table], pa.Table]:
+    """Rows of ANSWERED for the rows of ASKED of a bucket."""
+
+    def answer(asked: pa.Table) -> pa.Table:
+        entry_cuts, cuts = (np.append(0, np.cumsum(lengths(asked[c]))) for c in ("followers", "seconds"))
+        words, entry = np.unique(np.frombuffer(joined(asked["words"]), dtype=np.int64), return_inverse=True)
+        before = np.repeat(entry, unpack(joined(asked["followers"])))
+        numbers = unpack(joined(asked["seconds"]))
+        seconds = np.append(0, dealing.known[np.argsort(dealing.numbers)])[numbers]
+        seconds[numbers == 0] = np.frombuffer(joined(asked["others"]), dtype=np.int64)
+        codes, at, where = np.unique(pair_codes(words[before], seconds), return_index=True, return_inverse=True)
+        before, many = before[at], len(words)
+        own = [unpack(joined(asked[c])) for c in ("n", "target_n")]
+        n, target_n = (_sums(where, x, len(codes)) for x in own)
+        rare = n * scale < 1
+        facts = [
+            _sums(before, n, many),
+            _sums(before, target_n, many),
+            _sums(before, target_n > 0, many),
+            _sums(before, np.where(rare, n, 0), many),
+            _sums(before, ~rare, many),
+            *(_sums(entry, unpack(joined(asked[c])), many) for c in ("single", "target_single")),
+        ]
+        distinct = int((facts[5] > 0).sum())
+        return pa.table(
+            [
+                asked["block"],
+                asked["bucket"],
+                pa.array(np.full(len(asked), distinct)),
+                *(packed(x[entry], entry_cuts) for x in facts),
+                *(packed(x[where] - mine, cuts) for x, mine in zip((n, target_n), own, strict=True)),
+            ],
+            names=ANSWERED,
+        )
 
-def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first two columns, words, as one hash."""
-    for batch in batches:
-        codes = pair_codes(batch.column(0).to_numpy(), batch.column(1).to_numpy())
-        names = ["code", *batch.schema.names[2:]]
-        yield pa.RecordBatch.from_arrays([pa.array(codes), *batch.columns[2:]], names=names)
+    return answer
 
 
-def losses(counted: DataFrame) -> tuple[DataFrame, int]:
-    """``(code, n, target, background)``: bits of the second word after the first; and words in all.
+def _score(dealing: Dealing, scale: float, chosen: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Scores of the documents of a block by its rows of ANSWERED.
 
     Witten-Bell: a first word's counts are joined by as many draws from the
     word's own frequency (plus one) as it has kinds of followers. Counts may be
     fractions; a bigram of expected count below 1 is that part of a kind.
     """
-    spark = counted.sparkSession
-    counted, path = stored(counted, "bigrams")
-    every, chosen = counted.selectExpr("coalesce(sum(n), 0)", "coalesce(sum(target_n), 0)").first()
-    scale = chosen / max(1, every)
-    counts = {"target": "CAST(target_n AS double)", "background": f"n * {scale!r}D"}
-    first = [f"sum({c}) AS total_{m}" for m, c in counts.items()]
-    first += [f"sum(least({c}, 1D)) + 1 AS kinds_{m}" for m, c in counts.items()]
-    second = [f"sum({c}) + 1 AS single_{m}" for m, c in counts.items()]
-    size = F.sum("n").alias("size")
-    befores, at = stored(counted.groupBy("before").agg(size, *map(F.expr, first)), "befores")
-    words, of = stored(counted.groupBy("word").agg(size, *map(F.expr, second)), "words")
-    singles = float(chosen + max(1, words.count()))
-    least = every / HOT_WORDS
-    rows = _with(_with(counted, befores, "before", least), words, "word", least)
-    bits = [
-        f"CAST(-log2(({c} + kinds_{m} * single_{m} / {singles!r}D) / (total_{m} + kinds_{m})) AS float) AS {m}"
-        for m, c in counts.items()
-    ]
-    rows = rows.selectExpr("before", "word", "n", *bits)
-    schema = "code long, n long, target float, background float"
-    out, _ = stored(rows.mapInArrow(_coded, schema), "losses")
-    for old in (path, at, of):
-        drop_table(spark, old)
-    return out, every
+
+    def score(block: pa.Table, answers: pa.Table) -> pa.Table:
+        b = _bigrams({c: block[c][0].as_py() for c in BLOCK[2:]}, dealing)
+        answers = answers.sort_by("bucket")
+        fact = {c: _sums(b.entries, unpack(joined(answers[c])), len(b.words)) for c in WORD_FACTS if len(b.at)}
+        n = {c: getattr(b, c) + unpack(joined(answers[c])) for c in ("n", "target_n")}
+        singles = float(chosen + max(1, sum(answers["distinct"].to_pylist())))
+        before = np.repeat(b.entries, b.followers)
+        docs = np.flatnonzero(b.sizes)
+        starts = (np.cumsum(b.sizes) - b.sizes)[docs]
+        out = []
+        for counts, total, kinds, single in (
+            ("target_n", "target_total", lambda: fact["target_kinds"] + 1.0, "target_single"),
+            ("n", "total", lambda: fact["rare"] * scale + fact["kinds"] + 1.0, "single"),
+        ):
+            losses = np.zeros(len(b.sizes))
+            if len(b.at):
+                by = 1.0 if counts == "target_n" else scale
+                first = kinds()[before]
+                draws = first * (fact[single] * by + 1.0)[b.seconds] / singles
+                bits = -np.log2((n[counts] * by + draws) / ((fact[total] * by)[before] + first))
+                # As single precision, in which models are kept.
+                losses[docs] = np.add.reduceat(bits.astype(np.float32).astype(np.float64)[b.at], starts)
+                losses[docs] /= b.sizes[docs]
+            out.append(pa.array(losses, mask=b.sizes == 0))
+        ids = block["ids"].combine_chunks().flatten()
+        return pa.table([ids, pa.array(b.sizes), *out], names=["doc_id", "n_words", "target_loss", "background_loss"])
+
+    return score
 
 
 def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
@@ -182,74 +328,40 @@ def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     space. Losses are bits per word. Texts without words, and null texts, have
     n_words 0 and null losses. Without any target both models know nothing but
     the vocabulary's size on the target side. All counts are over all rows and
-    all words; the driver gets the at most HOT_PAIRS most frequent bigrams.
+    all words; the driver gets the at most HOT_WORDS most frequent words.
     """
+    spark = docs.sparkSession
     texts = pick(docs, "doc_id", "text")
     ids = pick(target_ids, "doc_id").where("doc_id IS NOT NULL").distinct()
     ids = ids.select("doc_id", F.lit(True).alias("is_target"))
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
     marked = texts.join(ids, "doc_id", "left").select(
-        "text", F.coalesce("is_target", F.lit(False)).alias("is_target")
+        "doc_id", "text", F.coalesce("is_target", F.lit(False)).alias("is_target")
     )
-    vocab = vocabulary(texts)
-    model, every = losses(bigram_counts(marked, vocab))
-    frequent = F.col("n") >= every / HOT_PAIRS
-    hot = model.where(frequent).drop("n").orderBy("code").toArrow()
-    codes, *bits = (hot.column(c).to_numpy() for c in ("code", "target", "background"))
-    del hot
-
-    def places(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place of each bigram among the frequent ones, and whether it is one."""
-        if not len(codes):
-            return np.zeros(len(found), dtype=np.int64), np.zeros(len(found), dtype=bool)
-        place = np.minimum(np.searchsorted(codes, found), len(codes) - 1)
-        return place, codes[place] == found
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Words, words in rare bigrams and the loss of the frequent bigrams of each document."""
-        table = tokens.byte_table()
-        for batch in batches:
-            out = np.zeros((4, batch.num_rows))
-            for w in tokens.words(batch.column("text"), table):
-                sizes = np.diff(w.offsets)
-                docs = np.flatnonzero(sizes)
-                if len(docs):
-                    place, known = places(bigrams(w, vocab)[0])
-                    out[0, w.first + docs] = sizes[docs]
-                    out[1, w.first + docs] = np.add.reduceat((~known).astype(np.int64), w.offsets[docs])
-                    for k, model_bits in enumerate(bits if len(codes) else ()):
-                        each = np.where(known, model_bits[place].astype(np.float64), 0)
-                        out[2 + k, w.first + docs] = np.add.reduceat(each, w.offsets[docs])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("key")]
-                + [pa.array(x.astype(np.int64)) for x in out[:2]]
-                + [pa.array(x) for x in out[2:]],
-                names=["doc_id", "key", "n_words", "rare", "target", "background"],
-            )
-
-    def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rare bigrams of each document."""
-        table = tokens.byte_table()
-        for batch in batches:
-            keys = batch.column("key").to_numpy()
-            for w in tokens.words(batch.column("text"), table):
-                found = bigrams(w, vocab)[0]
-                rare = np.flatnonzero(~places(found)[1])
-                of = np.searchsorted(w.offsets, rare, side="right") - 1 + w.first
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[of]), pa.array(found[rare])], names=["key", "code"]
-                )
-
-    # Equal rows have one key. Their rare bigrams are counted together, so means are joined.
-    keyed = texts.withColumn("key", F.xxhash64("doc_id", "text"))
-    rare = keyed.select("key", "text").mapInArrow(far, "key long, code long")
-    rare = rare.join(model.where(~frequent).drop("n").hint("merge"), "code").groupBy("key").agg(
-        F.avg("target").alias("rare_target"), F.avg("background").alias("rare_background")
+    # Rows are large: the writer is to look at its pages after each.
+    held, _ = stored(blocks(marked, vocabulary(texts)), "blocks", **{
+        "compression": "zstd", "parquet.enable.dictionary": "false",
+        "parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1",
+    })
+    every, chosen = held.selectExpr("coalesce(sum(size), 0)", "coalesce(sum(target_size), 0)").first()
+    scale = chosen / max(1, every)
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-every // BUCKET_WORDS))
+    known = held.selectExpr("inline(arrays_zip(frequent, times))").groupBy("frequent").agg(F.sum("times").alias("n"))
+    known = known.orderBy(F.desc("n"), "frequent").limit(HOT_WORDS).toArrow()
+    order = np.argsort(known["frequent"].to_numpy())
+    parts = np.minimum(-(-known["n"].to_numpy() // HOT_PAIRS), buckets)
+    dealing = Dealing(buckets, known["frequent"].to_numpy()[order], order + 1, parts[order])
+
+    names = {"bucket": "long", "block": "long", "distinct": "long"}
+    asked = held.select(*[c for c in BLOCK if c != "ids"]).mapInArrow(
+        _ask(dealing), ", ".join(f"{c} {names.get(c, 'binary')}" for c in ASKED)
+    )
+    answers = asked.groupBy("bucket").applyInArrow(
+        _answer(dealing, scale), ", ".join(f"{c} {names.get(c, 'binary')}" for c in ANSWERED)
     )
     id_type = texts.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, key long, n_words long, rare long, target double, background double"
-    total = "CASE WHEN n_words > 0 THEN ({0} + rare * coalesce(rare_{0}, 0D)) / n_words END AS {0}_loss"
-    scored = keyed.mapInArrow(near, schema).join(rare, "key", "left")
-    scored = scored.selectExpr("doc_id", "n_words", total.format("target"), total.format("background"))
+    schema = f"doc_id {id_type}, n_words long, target_loss double, background_loss double"
+    rows = held.select(*BLOCK).groupBy("block").cogroup(answers.groupBy("block"))
+    scored = rows.applyInArrow(_score(dealing, scale, chosen), schema)
     return scored.withColumn("difference", F.col("target_loss") - F.col("background_loss"))

@@ -280,3 +280,58 @@ def test_lm_score_tells_all_words_apart(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "HOT_PAIRS", 1)
     monkeypatch.setattr(lm_score, "HOT_WORDS", 4)
     assert scores() == looked_up and len(looked_up) == len(table)
+
+
+def new_bytes(spark, job):
+    """Bytes of the files that ``job`` leaves in Spark's local folders and in the shared one."""
+    from pathlib import Path
+
+    from logistra.storage import shared_dir
+
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    folders = [Path(d.getPath()) for d in blocks.localDirs()]
+    folders.append(Path(shared_dir(spark).removeprefix("file:")))
+    files = lambda: {f: f.stat().st_size for d in folders for f in d.rglob("*") if f.is_file()}
+    before = files()
+    job()
+    return sum(size for f, size in files().items() if f not in before)
+
+
+def test_lm_score_disk(spark):
+    """Nearly every bigram occurs once; each was stored and shuffled several times."""
+    rng = random.Random(3)
+    known = ["".join(rng.choices("abcdefghijklmnop", k=rng.randrange(3, 9))) for _ in range(30_000)]
+    texts = [" ".join(known[int(30_000 * rng.random() ** 3)] for _ in range(500)) for _ in range(1000)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    ids = spark.createDataFrame([(i,) for i in range(0, 1000, 3)], "doc_id long")
+    took = new_bytes(spark, lambda: lm_score.score(docs, ids).write.format("noop").mode("overwrite").save())
+    assert took <= 4 * sum(map(len, texts))
+
+
+def test_lm_score_of_any_blocks_and_buckets(spark, monkeypatch):
+    """One block or many, few buckets or many, frequent words dealt over several: one result."""
+    table = corpus.rows()
+    ids = spark.createDataFrame([(row[0],) for row in table[::3]], "doc_id long")
+
+    def scores():
+        found = lm_score.score(corpus.frame(spark, table), ids).collect()
+        return Counter((r.doc_id, r.n_words, *(x if x is None else round(x, 5) for x in r[2:])) for r in found)
+
+    whole = scores()
+    monkeypatch.setattr(lm_score, "HELD_WORDS", 500)
+    monkeypatch.setattr(lm_score, "BUCKET_WORDS", 1 << 10)
+    monkeypatch.setattr(lm_score, "HOT_PAIRS", 20)
+    assert sum((whole - scores()).values()) <= 2  # rounding at a half
+    monkeypatch.setattr(lm_score, "HOT_WORDS", 1)
+    assert sum((whole - scores()).values()) <= 2
+
+
+def test_packed():
+    from logistra.llm import packed
+
+    values = np.array([0, 1, 127, 128, 0, 16383, 16384, 1 << 40, (1 << 62) + 5])
+    cuts = np.array([0, 0, 4, 9])
+    rows = pa.chunked_array([packed.packed(values, cuts)])
+    assert [packed.unpack(r).tolist() for r in rows.to_pylist()] == [[], [0, 1, 127, 128], values[4:].tolist()]
+    assert packed.lengths(rows).tolist() == [0, 4, 5]
+    assert packed.unpack(packed.joined(rows)).tolist() == values.tolist()
