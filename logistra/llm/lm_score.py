@@ -43,8 +43,10 @@ BUCKET_WORDS = 1 << 21
 # word are dealt over a bucket for each HOT_PAIRS of them. The choice changes no result.
 HOT_WORDS, HOT_PAIRS = 1 << 13, 1 << 18
 
-# Columns of a block's row; all but the ids are packed.
-BLOCK = ["block", "ids", "sizes", "chosen", "words", "at"]
+# Columns of a block's row: its documents, the low halves of its words, the place of the word
+# before a first one, and the words of the texts as places. The high halves are beside them,
+# so that only those who need whole words read them.
+BLOCK = ["block", "ids", "sizes", "chosen", "low", "start", "at"]
 # What a block sends to a bucket: words, bigrams that each begins, counts of each as a second
 # word, the second words of the bigrams (numbers of known words from 1; of others 0, and their
 # hashes), and the bigrams' counts; in all and in the target.
@@ -89,18 +91,23 @@ def blocks(texts: DataFrame, vocab: np.ndarray | None) -> DataFrame:
         rank = np.empty(len(words), dtype=np.int64)
         rank[order] = np.arange(len(words))
         frequent = order[n[order] * HOT_WORDS >= len(hashes)]
+        ranked = words[order] if (words == 0).any() else np.append(words[order], 0)
+        start = int(np.flatnonzero(ranked == 0)[0])
+        halves = ranked.view(np.uint64).astype(np.uint32), (ranked.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
         known = [
             packed(sizes, np.array([0, len(sizes)])),
             packed(chosen, np.array([0, len(chosen)])),
-            plain(words[order], np.array([0, len(words)])),
+            plain(halves[0], np.array([0, len(ranked)])),
+            pa.array([start]),
             packed(rank[where], np.array([0, len(hashes)])),
+            plain(halves[1], np.array([0, len(ranked)])),
         ]
         lists = [pa.array(c) for c in (words[frequent], n[frequent])]
         return pa.RecordBatch.from_arrays(
             [pa.array([number]), pa.ListArray.from_arrays([0, len(ids)], ids), *known]
             + [pa.array([len(hashes)]), pa.array([int(np.dot(sizes, chosen))])]
             + [pa.ListArray.from_arrays([0, len(c)], c) for c in lists],
-            names=[*BLOCK, "size", "target_size", "frequent", "times"],
+            names=[*BLOCK, "high", "size", "target_size", "frequent", "times"],
         )
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,8 +131,8 @@ def blocks(texts: DataFrame, vocab: np.ndarray | None) -> DataFrame:
             yield block(number, held)
 
     id_type = texts.schema["doc_id"].dataType.simpleString()
-    schema = f"block long, ids array<{id_type}>, " + ", ".join(f"{c} binary" for c in BLOCK[2:])
-    schema += ", size long, target_size long, frequent array<long>, times array<long>"
+    schema = f"block long, ids array<{id_type}>, sizes binary, chosen binary, low binary, start long, at binary"
+    schema += ", high binary, size long, target_size long, frequent array<long>, times array<long>"
     return texts.mapInArrow(split, schema)
 
 
@@ -139,25 +146,23 @@ class Dealing(NamedTuple):
     """How bigrams are dealt to buckets."""
 
     buckets: int
-    known: np.ndarray  # frequent words, ascending
-    numbers: np.ndarray  # of each, by frequency, from 1
-    parts: np.ndarray  # buckets over which the bigrams after each are dealt
+    known: np.ndarray  # frequent words, the most frequent first
+    parts: np.ndarray  # buckets over which the bigrams after each, and words of its low half, are dealt
 
-    def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and parts of ``words``; 0 and 1 of those that are not known."""
-        if not len(self.known):
-            return np.zeros(len(words), dtype=np.int64), np.ones(len(words), dtype=np.int64)
-        place = np.minimum(np.searchsorted(self.known, words), len(self.known) - 1)
-        found = self.known[place] == words
-        return np.where(found, self.numbers[place], 0), np.where(found, self.parts[place], 1)
+
+def _numbers(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Place from 1 of each value among ``keys``, 0 where it is none of them."""
+    if not len(keys):
+        return np.zeros(len(values), dtype=np.int64)
+    order = np.argsort(keys, kind="stable")
+    place = order[np.minimum(np.searchsorted(keys, values, sorter=order), len(keys) - 1)]
+    return np.where(keys[place] == values, place + 1, 0)
 
 
 class Bigrams(NamedTuple):
-    """The bigrams of a block by bucket and word before; words are places in ``words``."""
+    """The bigrams of a block by bucket and word before; words are their places in the block."""
 
     sizes: np.ndarray  # words of each document
-    words: np.ndarray  # hashes; 0, the word before a first one, is among them
-    numbers: np.ndarray  # of the words, 0 if not known
     single: np.ndarray  # counts as a second word
     target_single: np.ndarray
     at: np.ndarray  # for each word of the texts, the place of the bigram that it ends
@@ -172,22 +177,21 @@ class Bigrams(NamedTuple):
 
 
 def _bigrams(block: dict, dealing: Dealing) -> Bigrams:
+    """Of a row of BLOCK; the buckets follow from the low halves of the words."""
     sizes, chosen, second = (unpack(block[c]) for c in ("sizes", "chosen", "at"))
-    words = np.frombuffer(block["words"], dtype=np.int64)
-    if not (words == 0).any():
-        words = np.append(words, 0)
-    many = len(words)
+    low = np.frombuffer(block["low"], dtype=np.uint32)
+    many = len(low)
     mine = np.repeat(chosen, sizes)
     single, target_single = np.bincount(second, minlength=many), np.bincount(second[mine > 0], minlength=many)
     before = np.append(0, second[:-1])[: len(second)]
     starts = np.cumsum(sizes) - sizes
-    before[starts[sizes > 0]] = np.flatnonzero(words == 0)[0]
+    before[starts[sizes > 0]] = block["start"]
 
     codes, where, n = np.unique(before * many + second, return_inverse=True, return_counts=True)
     target_n = np.bincount(where[mine > 0], minlength=len(codes))
     before, second = codes // many, codes % many
-    numbers, parts = dealing.of(words)
-    mixed = tokens.mix(words.view(np.uint64) + np.uint64(2))
+    parts = np.append(1, dealing.parts)[_numbers(dealing.known.view(np.uint64).astype(np.uint32), low)]
+    mixed = tokens.mix(low.astype(np.uint64) + np.uint64(2))
     home = (mixed % np.uint64(dealing.buckets)).astype(np.int64)
     part = (mixed[second] >> np.uint64(20)) % parts[before].astype(np.uint64)
     bucket = (home[before] + part.astype(np.int64)) % dealing.buckets
@@ -204,7 +208,7 @@ def _bigrams(block: dict, dealing: Dealing) -> Bigrams:
     bounds = np.searchsorted(bucket * many + before, entry_bucket * many + entries)
     every = np.arange(dealing.buckets + 1)
     return Bigrams(
-        sizes, words, numbers, single, target_single, back[where], entries, part == 0,
+        sizes, single, target_single, back[where], entries, part == 0,
         np.diff(bounds, append=len(before)), np.searchsorted(entry_bucket, every),
         second[order], n[order], target_n[order], np.searchsorted(bucket, every),
     )
@@ -219,18 +223,20 @@ def _ask(dealing: Dealing) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                 block = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
                 b = _bigrams(block, dealing)
                 if len(b.at):
-                    seconds = b.numbers[b.seconds]
+                    low, high = (np.frombuffer(block[c], dtype=np.uint32) for c in ("low", "high"))
+                    words = (high.astype(np.uint64) << np.uint64(32) | low).view(np.int64)
+                    seconds = _numbers(dealing.known, words)[b.seconds]
                     others = np.append(0, np.cumsum(seconds == 0))[b.cuts]
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.arange(dealing.buckets)),
                             pa.array(np.full(dealing.buckets, block["block"])),
-                            plain(b.words[b.entries], b.entry_cuts),
+                            plain(words[b.entries], b.entry_cuts),
                             packed(b.followers, b.entry_cuts),
                             packed(np.where(b.first, b.single[b.entries], 0), b.entry_cuts),
                             packed(np.where(b.first, b.target_single[b.entries], 0), b.entry_cuts),
                             packed(seconds, b.cuts),
-                            plain(b.words[b.seconds[seconds == 0]], others),
+                            plain(words[b.seconds[seconds == 0]], others),
                             packed(b.n, b.cuts),
                             packed(b.target_n, b.cuts),
                         ],
@@ -252,7 +258,7 @@ def _answer(dealing: Dealing, scale: float) -> Callable[[pa.Table], pa.Table]:
         words, entry = np.unique(np.frombuffer(joined(asked["words"]), dtype=np.int64), return_inverse=True)
         before = np.repeat(entry, unpack(joined(asked["followers"])))
         numbers = unpack(joined(asked["seconds"]))
-        seconds = np.append(0, dealing.known[np.argsort(dealing.numbers)])[numbers]
+        seconds = np.append(0, dealing.known)[numbers]
         seconds[numbers == 0] = np.frombuffer(joined(asked["others"]), dtype=np.int64)
         codes, at, where = np.unique(pair_codes(words[before], seconds), return_index=True, return_inverse=True)
         before, many = before[at], len(words)
@@ -293,7 +299,7 @@ def _score(dealing: Dealing, scale: float, chosen: int) -> Callable[[pa.Table, p
     def score(block: pa.Table, answers: pa.Table) -> pa.Table:
         b = _bigrams({c: block[c][0].as_py() for c in BLOCK[2:]}, dealing)
         answers = answers.sort_by("bucket")
-        fact = {c: _sums(b.entries, unpack(joined(answers[c])), len(b.words)) for c in WORD_FACTS if len(b.at)}
+        fact = {c: _sums(b.entries, unpack(joined(answers[c])), len(b.single)) for c in WORD_FACTS if len(b.at)}
         n = {c: getattr(b, c) + unpack(joined(answers[c])) for c in ("n", "target_n")}
         singles = float(chosen + max(1, sum(answers["distinct"].to_pylist())))
         before = np.repeat(b.entries, b.followers)
@@ -349,12 +355,11 @@ def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-every // BUCKET_WORDS))
     known = held.selectExpr("inline(arrays_zip(frequent, times))").groupBy("frequent").agg(F.sum("times").alias("n"))
     known = known.orderBy(F.desc("n"), "frequent").limit(HOT_WORDS).toArrow()
-    order = np.argsort(known["frequent"].to_numpy())
     parts = np.minimum(-(-known["n"].to_numpy() // HOT_PAIRS), buckets)
-    dealing = Dealing(buckets, known["frequent"].to_numpy()[order], order + 1, parts[order])
+    dealing = Dealing(buckets, known["frequent"].to_numpy(), parts)
 
     names = {"bucket": "long", "block": "long", "distinct": "long"}
-    asked = held.select(*[c for c in BLOCK if c != "ids"]).mapInArrow(
+    asked = held.select(*[c for c in BLOCK if c != "ids"], "high").mapInArrow(
         _ask(dealing), ", ".join(f"{c} {names.get(c, 'binary')}" for c in ASKED)
     )
     answers = asked.groupBy("bucket").applyInArrow(

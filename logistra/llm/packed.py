@@ -50,8 +50,8 @@ def packed(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
 
 
 def plain(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
-    """Binary column of the runs of 64-bit ``values`` between ``cuts``, as they are."""
-    return binary(np.ascontiguousarray(values).view(np.uint8), cuts * 8)
+    """Binary column of the runs of ``values`` between ``cuts``, as they are."""
+    return binary(np.ascontiguousarray(values).view(np.uint8), cuts * values.itemsize)
 
 
 def joined(column: pa.ChunkedArray) -> bytes:
