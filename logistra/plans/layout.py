@@ -36,13 +36,16 @@ def _marked(rows: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> tup
     marked = rows.select(
         "*", F.xxhash64(*columns).alias("_row"), F.spark_partition_id().alias("_task"), key.alias("_key")
     )
-    return marked, [
+    counts = [
         F.count(F.lit(1)).alias("rows"),
         F.approx_count_distinct("_row").alias("distinct"),
         F.approx_count_distinct("_task").alias("tasks"),
         F.approx_count_distinct("_key").alias("keys"),
-        F.approx_count_distinct(F.xxhash64("_key", "_task")).alias("pairs"),
     ]
+    # Without keys there is one for all tasks, as for a Shape that names none.
+    if keys:
+        counts.append(F.approx_count_distinct(F.xxhash64("_key", "_task")).alias("pairs"))
+    return marked, counts
 
 
 def measure(rows: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> Shape:
